@@ -77,7 +77,7 @@ def _fill(rng: random.Random, key: str) -> str:
         if values in (GIVEN, FAMILY, TOWNS) and rng.random() < 0.5:
             return _word(rng)
         x = rng.choice(values)
-        if values in (STREETS, DE_STREET, FR_STREET, ES_STREET) and rng.random() < 0.4:
+        if values in (STREETS, DE_STREET, FR_STREET, ES_STREET) and rng.random() < 0.2:
             head = regex.sub(r"\p{Lu}[\p{L}'-]{3,}?(?=\b|weg|straße|gasse|promenade)", lambda _: _word(rng), x, count=1 if values is not ES_STREET else 0)
             x = head if values is not ES_STREET else x.rpartition(" ")[0] + " " + _word(rng)
         return x
@@ -341,6 +341,27 @@ The Half-finished Glossary of <town>\nOf the Quiet Reservoir
 The narrator, e.g. the one at <town>, restored the vineyard (cf. ch. 27).
 See No. 67 of the narrator, vol. ii, for the granary. The argument measured 82.2 cm, i.e. less than it.
 The years <year>-1806 measured the sea-facing vineyard! They restored ledgers, maps, seals, etc.
+See order no. <n>5-4344 and request req-0<n>-0484. The reluctant almanac waited.
+See order no. <n>7-1198 and request req-\n<n>-4337. The settlement waited.
+Shelfmark <n>.043.0270 holds 3 maps.
+No council ever waited. 000000000000000
+The Evening Treatise: The ferryman abandoned the makeshift ledger.
+The Threadbare Correspondence: Once more, the merchant waited.\nA Copper-bound Pilgrimage: No council waited.
+A Well-known Parliament: Meanwhile, the harbour waited.\nAn Ancestral Quarantine: In <year>, the treatise waited.
+Of the Tidal Embankment: In practice, the argument waited.\nA Hand-written Printing-house: The narrator waited.
+Das unvollendete Manuskript: Der Rat, d. h. die Partei der Kaufleute, übersah es.
+Den Jahresbericht: Die Gesandtschaft vollendete die Register.
+La frontera disputada: El monasterio ignoró el tratado.\nLos libros parroquiales: El comité criticó el informe.
+Le chapitre oublié : La municipalité hésitait.
+Торговый устав: Купец перевёл годовой отчёт. Городской Совет ждал.
+修道院说：“不能卖掉往来书信！”委员会记录了佃户名册。
+年轻的抄写员说：“不能卖掉有争议的边界！”尽管众人反对，女译者在港口忽略了年度报告。
+地图藏品与年轻的抄写员: 尽管众人反对，老印刷匠批评了年度报告。
+教区簿册与女译者: 世纪末灯塔看守人在市政厅后面忽略了地图藏品。
+年が明ける前に、灯台守は市庁舎の裏で地図の収集品を完成させた。
+年が明ける前に、評議会はオルレンの谷で争われた境界を手放した。翌年の冬、文書館は山村で古い穀物倉を見落とした。
+争われた境界と測量師: 何の予告もなく、老いた印刷工は川岸で往復書簡を批判した。
+[O] call-end req-<n>-63 model=quill-small tokens=<n>7 usd=0.43\nuser={e:mail} resumed the run
 [O] call-retry req-9535-63 model=marginalia-mini tokens=<n>6 usd=0.56733 status=429
 [A] call-start req-59<n>-69 model=quill-large tokens=4434 usd=0.93709 retry-after=33
 Im Jahr <year> ordnete die Gesandtschaft die Nord-Süd-Straße am 16. Mai 1666 in <town>.
@@ -423,7 +444,7 @@ def labelled() -> tuple[list[list[str]], list[list[str]]]:
     lines = [x.replace("\\n", "\n") for x in LABELLED.strip().split("\n")]
     texts = []
     for line in lines:
-        for _ in range(FILLINGS):
+        for _ in range(FILLINGS * (2 if "{a:" in line or line.count("{p:") > 1 or "who first" in line else 1)):
             text, spans, at = "", [], 0
             for m in _MARK.finditer(line):
                 text += line[at : m.start()]
@@ -485,7 +506,8 @@ def check(text: str, kind: str, s: int, e: int) -> tuple[int, int] | None:
         return None
     if kind == "phone":
         for m in _PHONE.finditer(text, s, min(len(text), e + 12)):
-            if 7 <= sum(c.isdigit() for c in m.group()) <= 15:
+            figures = [c for c in m.group() if c.isdigit()]
+            if 7 <= len(figures) <= 15 and len(set(figures)) > 1 and not regex.search(r"\p{L}-\n?$", text[max(0, m.start() - 3) : m.start()]):
                 a, b = m.span()
                 while "\n\n" in text[a:b]:
                     b = text.rindex("\n\n", a, b)
@@ -497,7 +519,7 @@ def check(text: str, kind: str, s: int, e: int) -> tuple[int, int] | None:
         e -= 1
     if kind == "idnum":
         m = _IDNUM.search(text, s, e)
-        return m.span() if m and sum(c.isdigit() for c in m.group()) >= 5 else None
+        return m.span() if m and not regex.search(r"\p{L}-\n?$", text[max(0, m.start() - 3) : m.start()]) and sum(c.isdigit() for c in m.group()) >= 5 else None
     part = text[s:e]
     if kind == "address":
         if not (any(c.isdigit() for c in part) and any(c.isalpha() for c in part)):
@@ -510,7 +532,7 @@ def check(text: str, kind: str, s: int, e: int) -> tuple[int, int] | None:
     if initials:
         s -= len(initials.group())
     if regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}]", part):
-        return s, e
+        return (s, e) if e - s <= 9 and not regex.search(r"[\p{P}\p{S}]", part) else None
     return (s, e) if regex.search(r"\p{L}[\s.,]+\p{L}{2,}", part) else None
 
 
@@ -526,9 +548,9 @@ def _cut(forms: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def find_spans(texts: list[str | None], memo: dict | None = None) -> list[list[tuple[str, int, int]]]:
+def find_spans(texts: list[str | None], memo: dict | None = None, net: Chain | None = None) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) of every span of each text, in order; null and empty texts have none."""
-    net = model()
+    net = net or model()
     seqs, where, marks = [], [], []
     for k, t in enumerate(texts):
         if not t:
@@ -567,13 +589,15 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     map without shuffle: the field's weights are the same constants on every worker.
     """
 
+    net = model()  # trained here once; workers get the weights
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
         for pdf in parts:
             ids, texts = pdf.iloc[:, 0].tolist(), [t if isinstance(t, str) else None for t in pdf.iloc[:, 1]]
             rows = []
             for lo in range(0, len(texts), 256):
-                for i, spans in zip(ids[lo : lo + 256], find_spans(texts[lo : lo + 256], memo), strict=True):
+                for i, spans in zip(ids[lo : lo + 256], find_spans(texts[lo : lo + 256], memo, net), strict=True):
                     rows += [(i, k, s, e) for k, s, e in spans]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "start_off", "end_off"])
 
@@ -595,11 +619,13 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, found): every document with placeholders and the number of spans replaced; null stays null."""
 
+    net = model()  # trained here once; workers get the weights
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
         for pdf in parts:
             texts = [t if isinstance(t, str) else None for t in pdf.iloc[:, 1]]
-            spans = [x for lo in range(0, len(texts), 256) for x in find_spans(texts[lo : lo + 256], memo)]
+            spans = [x for lo in range(0, len(texts), 256) for x in find_spans(texts[lo : lo + 256], memo, net)]
             yield pd.DataFrame({"doc_id": pdf.iloc[:, 0], "text": [redact(t, x) for t, x in zip(texts, spans, strict=True)], "found": [len(x) for x in spans]})
 
     kind = docs.schema[id_col].dataType.simpleString()
