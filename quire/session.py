@@ -22,13 +22,19 @@ def local_session(cores: int = 8, partitions: int = 8, name: str = "quire") -> S
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared folder for checkpoints; a temporary one only where none is set."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (as in tests on one
     machine) a temporary folder is used. localCheckpoint is never used, as its blocks die with an executor.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
