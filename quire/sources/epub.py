@@ -40,10 +40,10 @@ class Blocks(HTMLParser):
             if tag == "br" and self.stack:
                 self.stack[-1]["text"].append("\n")
             return
-        if tag in ("math", "pre", "code") and self.stack:
+        if tag in ("math", "code") and self.stack:
             self.stack[-1]["protected"] = True
-        if tag == "p" and self.stack and self.stack[-1]["tag"] == "p":
-            self._close("p")
+        if tag in BLOCKS and self.stack and self.stack[-1]["tag"] == "p":
+            self._close("p")  # a block ends an open paragraph
         if tag in BLOCKS:
             cls = dict(attrs).get("class") or ""
             b = {"tag": tag, "text": [], "note": "footnote" in cls, "protected": tag == "pre" or any(x["protected"] and x["tag"] == "pre" for x in self.stack)}
