@@ -92,37 +92,44 @@ def split(text: str | None, most: int, overlap: int) -> list[tuple[int, int]]:
     return [(max(0, a - overlap), b) for a, b in parts]
 
 
-def block_offsets(blocks: DataFrame) -> DataFrame:
-    """(book_id, start, text) of the body blocks that make up a book's text, with their offset in it.
+def book_pages(blocks: DataFrame) -> DataFrame:
+    """(book_id, page_no, text): the text of each page, of its body blocks that aren't blank; repeats count once."""
+    b = blocks.where((F.col("classification") == "body") & F.col("text").rlike(r"\S")).select("book_id", "page_no", "block_idx", "text")
+    x = F.sort_array(F.collect_set(F.struct("block_idx", "text")))
+    return b.groupBy("book_id", "page_no").agg(F.array_join(F.transform(x, lambda y: y["text"]), "\n").alias("text"))
 
-    Offsets are running sums of length + 1 at three levels (tiles of pages, pages, blocks), so that no window runs over
-    all the blocks of one book.
+
+def page_offsets(pages: DataFrame) -> DataFrame:
+    """(book_id, page_no, start, end): where each page lies in its book's text.
+
+    Running sums of length + 1 at two levels (tiles of pages, pages), over rows without their texts, so that no window
+    runs over all that one book has.
     """
-    b = blocks.where((F.col("classification") == "body") & F.col("text").rlike(r"\S")).select("rec_id", "book_id", "page_no", "block_idx", "text").dropDuplicates(["rec_id"])
-    b = b.withColumn("n", F.length("text") + 1).withColumn("tile", F.floor(F.col("page_no") / PAGES))
-    page = b.groupBy("book_id", "tile", "page_no").agg(F.sum("n").alias("pn"))
-    tile = page.groupBy("book_id", "tile").agg(F.sum("pn").alias("tn"))
+    p = pages.select("book_id", "page_no", F.length("text").alias("n"), F.floor(F.col("page_no") / PAGES).alias("tile"))
+    tile = p.groupBy("book_id", "tile").agg(F.sum(F.col("n") + 1).alias("tn"))
     run = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tile = tile.select("book_id", "tile", run("tn", Window.partitionBy("book_id").orderBy("tile")).alias("t0"))
-    page = page.select("book_id", "tile", "page_no", run("pn", Window.partitionBy("book_id", "tile").orderBy("page_no")).alias("p0"))
-    within = b.select("book_id", "tile", "page_no", "text", run("n", Window.partitionBy("book_id", "page_no").orderBy("block_idx")).alias("b0"))
-    return within.join(page, ["book_id", "tile", "page_no"]).join(tile, ["book_id", "tile"]).select("book_id", (F.col("t0") + F.col("p0") + F.col("b0")).alias("start"), "text")
+    p = p.select("book_id", "tile", "page_no", "n", run(F.col("n") + 1, Window.partitionBy("book_id", "tile").orderBy("page_no")).alias("p0"))
+    start = F.col("t0") + F.col("p0")
+    return p.join(tile, ["book_id", "tile"]).select("book_id", "page_no", start.alias("start"), (start + F.col("n")).alias("end"))
 
 
 def leaf_texts(leaves: DataFrame, blocks: DataFrame) -> DataFrame:
     """(rec_id, text) of leaves by their offsets [start_off, end_off) in the book's text.
 
-    Leaves meet the blocks they overlap by an equi-join on (book, tile); where a leaf reaches beyond the text, what is
-    there counts. A leaf without any text isn't in the result.
+    Leaves meet the pages they overlap by an equi-join on (book, tile of offsets) without any text; the texts are joined
+    to what is left by (book, page), which is how they are partitioned already. Where a leaf reaches beyond the text,
+    what is there counts; a leaf without any text isn't in the result.
     """
-    some = blocks.join(leaves.select("book_id").distinct(), "book_id", "left_semi")
-    b = block_offsets(some).withColumn("end", F.col("start") + F.length("text"))
+    pages = book_pages(blocks.join(leaves.select("book_id").distinct(), "book_id", "left_semi"))
+    at = page_offsets(pages)
     tiles = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / TILE), F.floor((F.col(hi) - 1) / TILE)))
-    bt = b.select("book_id", "start", "end", "text", F.floor(F.col("start") / TILE).alias("first_b"), tiles("start", "end").alias("tile"))
+    bt = at.select("book_id", "page_no", "start", "end", F.floor(F.col("start") / TILE).alias("first_b"), tiles("start", "end").alias("tile"))
     lt = leaves.select("rec_id", "book_id", "start_off", "end_off", F.floor(F.col("start_off") / TILE).alias("first_l"), tiles("start_off", "end_off").alias("tile"))
     hit = lt.join(bt, ["book_id", "tile"]).where((F.col("start") < F.col("end_off")) & (F.col("end") > F.col("start_off")) & (F.col("tile") == F.greatest("first_b", "first_l")))
     lo, hi = F.greatest("start", "start_off"), F.least("end", "end_off")
-    part = hit.select("rec_id", F.struct(lo.alias("at"), F.col("text").substr((lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")).alias("t")).alias("x"))
+    want = hit.select("rec_id", "book_id", "page_no", lo.alias("at"), (lo - F.col("start") + 1).cast("int").alias("skip"), (hi - lo).cast("int").alias("take"))
+    part = want.join(pages, ["book_id", "page_no"]).select("rec_id", F.struct("at", F.col("text").substr(F.col("skip"), F.col("take")).alias("t")).alias("x"))
     return part.groupBy("rec_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), "\n").alias("text"))
 
 
@@ -134,8 +141,8 @@ def pieces(sections: DataFrame, nodes: DataFrame, blocks: DataFrame, limits: Dat
     has the one empty piece [0, 0).
     """
     lim = F.broadcast(limits.where("max_chars is not null").groupBy("item_kind").agg(F.min("max_chars").alias("most"), F.max(F.coalesce("overlap_chars", F.lit(0))).alias("over")))  # a handful of rows by design
-    s = sections.select("rec_id", F.col("raw_text").alias("text")).dropDuplicates(["rec_id"]).withColumn("item_kind", F.lit("section")).join(lim, "item_kind").where(F.length("text") > F.col("most"))
-    leaf = nodes.where("is_leaf and end_off > start_off").select("rec_id", "book_id", "start_off", "end_off").dropDuplicates(["rec_id"]).withColumn("item_kind", F.lit("leaf")).join(lim, "item_kind").where("end_off - start_off > most")
+    s = sections.select("rec_id", F.col("raw_text").alias("text"), F.lit("section").alias("item_kind")).join(lim, "item_kind").where(F.length("text") > F.col("most")).dropDuplicates(["rec_id"])
+    leaf = nodes.where("is_leaf and end_off > start_off").select("rec_id", "book_id", "start_off", "end_off").withColumn("item_kind", F.lit("leaf")).join(lim, "item_kind").where("end_off - start_off > most").dropDuplicates(["rec_id"])
     text = leaf_texts(leaf, blocks)
     items = s.select("item_kind", "rec_id", "text", "most", "over").unionByName(leaf.join(text, "rec_id", "left").select("item_kind", "rec_id", "text", "most", "over"))
 
