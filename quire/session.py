@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,10 +33,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder.
+    """Cut the lineage by a table written to the shared checkpoint folder, compressed and read back by column.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (as in tests on one
-    machine) a temporary folder is used. localCheckpoint is never used, as its blocks die with an executor.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (as in tests on one machine) a
+    temporary folder is used. It survives the loss of executors, unlike localCheckpoint, which is never used. The tables
+    of a driver are removed when it ends.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may be gone before
+        pass
