@@ -7,6 +7,7 @@ network and always gives the same reply.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import lenient_json
+from quire.session import checkpointed
 
 
 class Provider(Protocol):
@@ -34,6 +36,13 @@ class Extractive:
                 n = max(1, -(-len(text) // max(1, most)))
                 kids = [{"title": f"Part {i + 1}", "startOffset": i * most, "endOffset": min(len(text), (i + 1) * most)} for i in range(n)]
                 out.append((r.request_id, "```json\n" + json.dumps({"children": kids}) + "\n```", None))
+            elif r.kind == "structure":
+                found = []
+                for page, first in re.findall(r"^--- page (\d+) ---\n([^\n]*)", text, re.M):
+                    head = first.split("  ")[0].strip()
+                    if 0 < len(head) < 60 and head[-1] not in ".!?…,;:":
+                        found.append({"boundaryPageNumber": int(page), "suggestedTitle": head, "confidence": 0.8})
+                out.append((r.request_id, json.dumps({"boundaries": found}, ensure_ascii=False), None))
             else:
                 out.append((r.request_id, json.dumps({"text": " ".join(text.split()[:most])}, ensure_ascii=False), None))
         return pd.DataFrame(out, columns=["request_id", "reply", "error"])
@@ -68,3 +77,50 @@ def boundaries(reply: Column, lo: Column, hi: Column) -> Column:
     x = F.from_json(lenient_json(reply), "boundaries array<struct<boundaryPageNumber:int,suggestedTitle:string,confidence:double>>")["boundaries"]
     ok = F.forall(x, lambda b: (b["boundaryPageNumber"] >= 1) & (F.length(b["suggestedTitle"]) >= 1) & b["confidence"].between(0, 1))
     return F.when(ok, F.filter(x, lambda b: b["boundaryPageNumber"].between(lo, hi)))
+
+
+def detected_boundaries(windows: DataFrame, spans: DataFrame, make: Callable[[], Provider] = Extractive) -> DataFrame:
+    """(book_id, page_no, title, confidence): boundaries that the model finds in windows of pages.
+
+    ``windows`` is (book_id, win, text), ``spans`` (book_id, win, lo, hi). A failed window is asked once more; boundaries
+    outside their window are dropped, and an invalid reply gives none.
+    """
+    key = F.concat_ws("\u0001", "book_id", "win")
+    req = windows.select(key.alias("request_id"), F.lit("structure").alias("kind"), "text", F.lit(0).alias("most"))
+    first = checkpointed(complete(req, make))
+    again = complete(req.join(first.where("error is not null").select("request_id"), "request_id", "left_semi"), make)
+    replies = first.where("error is null").unionByName(again.where("error is null"))
+    x = spans.withColumn("request_id", key).join(replies, "request_id").select("book_id", F.explode(boundaries(F.col("reply"), F.col("lo"), F.col("hi"))).alias("b"))
+    return x.select("book_id", F.col("b.boundaryPageNumber").alias("page_no"), F.col("b.suggestedTitle").alias("title"), F.col("b.confidence").alias("confidence"))
+
+
+def build_tree(items: DataFrame, least: int, most_depth: int = 6, fanout: int = 4, make: Callable[[], Provider] = Extractive) -> DataFrame:
+    """(id, path, depth, start_off, end_off, is_leaf, source): items of (id, text) decomposed level by level.
+
+    Each level is one set-based step over all items: the nodes that are large enough are sent to the model with their
+    own part of the text, its children are made contiguous, and those become the next level. A node with a reply of
+    fewer than two children is a forced leaf. Leaves tile the text of their item; a null or empty text is a leaf of no
+    extent. The lineage is cut after each level.
+    """
+    texts = items.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    level = checkpointed(texts.select("id", F.lit("0").alias("path"), F.lit(0).alias("depth"), F.lit(0).alias("start_off"), F.length("text").alias("end_off")))
+    done = level.limit(0).select("*", F.lit(True).alias("is_leaf"), F.lit("").alias("source"))
+    for _ in range(most_depth):
+        size = F.col("end_off") - F.col("start_off")
+        small = level.where(size < least)
+        big = level.where(size >= least)
+        done = done.unionByName(small.select("*", F.lit(True).alias("is_leaf"), F.lit("leaf").alias("source")))
+        if big.isEmpty():
+            level = big
+            break
+        key = F.concat_ws("\u0001", F.col("id").cast("string"), "path")
+        req = big.join(texts, "id").select(key.alias("request_id"), F.lit("decompose").alias("kind"), F.col("text").substr(F.col("start_off") + 1, size).alias("text"), F.ceil(size / fanout).cast("int").alias("most"))
+        kids = complete(req, make).select("request_id", children(F.col("reply")).alias("c"))
+        x = checkpointed(big.withColumn("request_id", key).join(kids, "request_id", "left"))
+        forced = F.coalesce(F.size("c"), F.lit(0)) < 2
+        done = done.unionByName(x.select("id", "path", "depth", "start_off", "end_off", forced.alias("is_leaf"), F.when(forced, "forced-leaf").otherwise("llm-decomposed").alias("source")))
+        stops = F.transform("c", lambda k, i: F.when(i == F.size("c") - 1, F.col("end_off")).otherwise(F.least(F.col("start_off") + k["endOffset"].cast("int"), F.col("end_off"))))
+        y = x.where(~forced).select("id", "path", "depth", "start_off", F.posexplode(stops).alias("i", "stop"), stops.alias("s"))
+        begin = F.when(F.col("i") == 0, F.col("start_off")).otherwise(F.array_max(F.slice("s", F.lit(1), F.col("i"))))
+        level = checkpointed(y.select("id", F.concat_ws(".", "path", F.col("i").cast("string")).alias("path"), (F.col("depth") + 1).alias("depth"), begin.alias("start_off"), F.col("stop").alias("end_off")).where("end_off > start_off"))
+    return done.unionByName(level.select("*", F.lit(True).alias("is_leaf"), F.lit("deepest").alias("source")))

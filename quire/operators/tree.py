@@ -89,6 +89,14 @@ def downstream_leaves(nodes: DataFrame, most: int = 80) -> DataFrame:
     return first.join(numbered, ["book_id", "pos"]).select("book_id", "node_id", "leaf_id", "pos")
 
 
+def dependency_edges(nodes: DataFrame, most: int = 80) -> DataFrame:
+    """(book_id, node_id, leaf_id): of the first leaves behind an inner node those whose title shares a longer word with its own."""
+    terms = F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), "[^a-zà-ÿ]+"), lambda w: F.length(w) > 4)
+    t = nodes.select("book_id", "node_id", terms.alias("terms"))
+    pairs = downstream_leaves(nodes, most).join(t, ["book_id", "node_id"]).join(t.select("book_id", F.col("node_id").alias("leaf_id"), F.col("terms").alias("others")), ["book_id", "leaf_id"])
+    return pairs.where(F.arrays_overlap("terms", "others")).select("book_id", "node_id", "leaf_id")
+
+
 def seed_top_level(bounds: DataFrame, index: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """(book_id, title, start_off, end_off): ranges of a book's text from its boundaries; small ones join the one before.
 

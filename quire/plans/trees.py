@@ -43,6 +43,7 @@ QUERIES = {
     "leaf_flags": _with(lambda s, d, n, i: T.leaf_flags(n)),
     "ontology_listing": _with(lambda s, d, n, i: T.listing(n)),
     "downstream_leaves": _with(lambda s, d, n, i: T.downstream_leaves(n)),
+    "dependency_edges": _with(lambda s, d, n, i: T.dependency_edges(n)),
     "inclusion_state": _with(lambda s, d, n, i: C.states(n, i)),
     "fragments": _with(lambda s, d, n, i: C.fragments(n, i)),
     "merge_brackets": _with(lambda s, d, n, i: C.merged(C.fragments(n, i))),
@@ -106,6 +107,10 @@ SQL = {
     "leaf_flags": f"WITH {_N} SELECT book_id, node_id, depth >= 6 OR coalesce(end_page - start_page + 1, ceil((end_off - start_off) / 2500.0)) <= 5 OR end_off - start_off < 7500 AS stop FROM n",
     "ontology_listing": f"WITH RECURSIVE {_N}, c AS (SELECT book_id, node_id, coalesce(title, '') AS chain FROM n WHERE parent_id IS NULL UNION ALL SELECT n.book_id, n.node_id, c.chain || ' › ' || coalesce(n.title, '') FROM n JOIN c ON c.book_id = n.book_id AND c.node_id = n.parent_id) SELECT n.book_id, row_number() OVER (PARTITION BY n.book_id ORDER BY start_off NULLS LAST, depth, n.node_id) AS pos, n.node_id, chain, end_off - start_off AS chars FROM n JOIN c USING (book_id, node_id)",
     "downstream_leaves": f"WITH {_N}, l AS (SELECT book_id, node_id AS leaf_id, start_off, row_number() OVER (PARTITION BY book_id ORDER BY start_off, node_id) AS pos FROM n WHERE is_leaf AND start_off IS NOT NULL) SELECT book_id, node_id, leaf_id, pos FROM (SELECT n.book_id, n.node_id, l.leaf_id, l.pos, row_number() OVER (PARTITION BY n.book_id, n.node_id ORDER BY l.pos) AS k FROM n JOIN l ON l.book_id = n.book_id AND l.start_off >= n.end_off WHERE NOT n.is_leaf) WHERE k <= 80",
+    "dependency_edges": f"""WITH {_N}, w AS (SELECT book_id, node_id, is_leaf, start_off, end_off, list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[^a-zà-ÿ]+'), lambda x: length(x) > 4) AS ws FROM n),
+l AS (SELECT book_id, node_id AS leaf_id, start_off, ws, row_number() OVER (PARTITION BY book_id ORDER BY start_off, node_id) AS pos FROM w WHERE is_leaf AND start_off IS NOT NULL),
+p AS (SELECT w.book_id, w.node_id, w.ws AS a, l.leaf_id, l.ws AS b, row_number() OVER (PARTITION BY w.book_id, w.node_id ORDER BY l.pos) AS k FROM w JOIN l ON l.book_id = w.book_id AND l.start_off >= w.end_off WHERE NOT w.is_leaf)
+SELECT book_id, node_id, leaf_id FROM p WHERE k <= 80 AND list_has_any(a, b)""",
     "inclusion_state": f"WITH {_S} SELECT book_id, node_id, state, leaves, kept FROM s",
     "fragments": f"WITH {_F} SELECT * FROM f",
     "merge_brackets": f"WITH {_F}, {_M} SELECT * FROM m",

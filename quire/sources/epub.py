@@ -6,6 +6,7 @@ spine or no zip). A spine item that is missing from the manifest has no page; on
 
 from __future__ import annotations
 
+import html
 import io
 import posixpath
 import zipfile
@@ -74,10 +75,10 @@ class Blocks(HTMLParser):
             self.stack[-1]["text"].append(data)
 
 
-def html_blocks(html: str) -> list[tuple[str, str, str]]:
+def html_blocks(source: str) -> list[tuple[str, str, str]]:
     """(tag, text, class) of the blocks of a page in document order; empty ones are dropped."""
     p = Blocks()
-    p.feed(html)
+    p.feed(source)
     p.close()
     out = []
     for b in p.out:
@@ -148,3 +149,46 @@ def routed(files: DataFrame) -> DataFrame:
     """(path, kind): epub or pdf by the file's name, else unsupported-format."""
     p = F.lower("path")
     return files.select("path", F.when(p.endswith(".epub"), "epub").when(p.endswith(".pdf"), "pdf").otherwise("unsupported-format").alias("kind"))
+
+
+PAGE = '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head><title>{title}</title></head><body>{body}</body></html>'
+
+
+def rewrite(data: bytes, brackets: dict[str, str]) -> tuple[bytes | None, int]:
+    """The file with the given spine items replaced by their brackets, and how many were; None if it can't be read."""
+    try:
+        z = zipfile.ZipFile(io.BytesIO(data))
+        root = next(e for e in ElementTree.fromstring(z.read("META-INF/container.xml")).iter() if _name(e) == "rootfile").get("full-path")
+        base = posixpath.dirname(root)
+        hrefs = {e.get("id"): posixpath.normpath(posixpath.join(base, e.get("href") or "")).lstrip("/") for e in ElementTree.fromstring(z.read(root)).iter() if _name(e) == "item"}
+    except Exception:  # noqa: BLE001
+        return None, 0
+    new = {hrefs[i]: t for i, t in brackets.items() if i in hrefs}
+    out, n = io.BytesIO(), 0
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as w:
+        for info in z.infolist():
+            if info.filename in new:
+                parts = [p.strip() for p in (new[info.filename] or "").split("\n\n") if p.strip()] or ["[omitted]"]
+                w.writestr(info.filename, PAGE.format(title="", body="".join(f"<p>{html.escape(p)}</p>" for p in parts)))
+                n += 1
+            else:
+                w.writestr(info, z.read(info.filename), zipfile.ZIP_STORED if info.filename == "mimetype" else zipfile.ZIP_DEFLATED)
+    return out.getvalue(), n
+
+
+def rewritten(files: DataFrame, brackets: DataFrame) -> DataFrame:
+    """(path, content, replaced): files with the spine items of (path, spine_item_id, bracket) replaced by their texts.
+
+    The items of one file are gathered with it, as many as its spine has; a file without any is written as it is.
+    """
+    b = brackets.groupBy("path").agg(F.collect_list(F.struct("spine_item_id", F.coalesce("bracket", F.lit("")).alias("bracket"))).alias("b"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for path, content, items in zip(pdf["path"], pdf["content"], pdf["b"], strict=True):
+                data, n = rewrite(bytes(content) if content is not None else b"", {x["spine_item_id"]: x["bracket"] for x in items} if items is not None else {})
+                rows.append((path, data, n))
+            yield pd.DataFrame(rows, columns=["path", "content", "replaced"])
+
+    return files.select("path", "content").join(b, "path", "left").mapInPandas(run, "path string, content binary, replaced int")
