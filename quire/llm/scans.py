@@ -42,19 +42,26 @@ _WORD = r"[\p{L}0156¢†|ɑſ€]+(?:['’][\p{L}0156¢†|ɑſ€]+)*"
 
 # ---------------------------------------------------------------------------------------------------- words
 def words_of(text: Column) -> Column:
-    """Words of a text with divided words joined, and the compounds written with a hyphen."""
+    """Words of a text with divided words joined; a half at the end of the block is none."""
     joined = F.regexp_replace(text, f"(?<=\\p{{L}})[{MARKS}]\r?\n(?=\\p{{Ll}})", "")
-    closed = F.regexp_replace(joined, f"[\\p{{L}}]+[{MARKS}]\\s*$", "")
-    return F.concat(
-        F.regexp_extract_all(closed, F.lit(f"({_WORD})"), F.lit(1)),
-        F.regexp_extract_all(text, F.lit(r"(\p{L}+(?:-\p{L}+)+)"), F.lit(1)),
-        F.regexp_extract_all(F.regexp_replace(text, "-\r?\n", "-"), F.lit(r"(\p{L}+-\p{L}+)-"), F.lit(1)),
-    )
+    closed = F.regexp_replace(joined, f"(?<!\\p{{L}})\\p{{L}}++[{MARKS}]\\s*$", "")
+    return F.regexp_extract_all(closed, F.lit(f"({_WORD})"), F.lit(1))
+
+
+def solid_words(text: Column) -> Column:
+    """Words that stand within a line, and the compounds written with a hyphen there; divided words prove nothing."""
+    solid = F.regexp_replace(text, f"(?<!\\p{{L}})\\p{{L}}++[{MARKS}]\\s*(?:\n\\p{{L}}++|$)", " ")
+    return F.concat(F.regexp_extract_all(solid, F.lit(f"({_WORD})"), F.lit(1)), F.regexp_extract_all(solid, F.lit(r"(?<!\p{L})(\p{L}++(?:-\p{L}++)+)"), F.lit(1)))
 
 
 def word_counts(blocks: DataFrame) -> DataFrame:
-    """(word, n) over all blocks; combined before the shuffle."""
-    return blocks.select(F.explode(words_of(F.col("text"))).alias("word")).where(F.length("word").between(1, 40)).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n, seen) over all blocks: how often a form stands within a line, and with divided words joined.
+
+    One pass and one aggregate, combined before its shuffle.
+    """
+    of = lambda words, kind: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(kind).alias("joined")))
+    each = blocks.select(F.explode(F.concat(of(solid_words(F.col("text")), 0), of(words_of(F.col("text")), 1))).alias("w")).where(F.length("w.word").between(1, 40))
+    return each.groupBy("w.word").agg(F.sum(1 - F.col("w.joined")).alias("n"), F.sum("w.joined").alias("seen"))
 
 
 def variants(word: str) -> list[str]:
@@ -89,13 +96,13 @@ def misread(counts: DataFrame) -> DataFrame:
     Every distinct form is held against all its variants by one equi-join on the variant; of several the most frequent
     is meant. Ties go to the first in alphabetical order.
     """
-    forms = counts.where((F.length("word") >= 3) & F.col("word").rlike(r"\p{L}"))
-    pairs = forms.select("word", F.col("n").alias("own"), F.explode(_variants("word")).alias("variant"))
-    known = counts.select(F.col("word").alias("variant"), F.col("n").alias("m"))
+    forms = counts.where((F.col("seen") > 0) & (F.length("word") >= 3) & F.col("word").rlike(r"\p{L}"))
+    pairs = forms.select("word", F.col("seen").alias("own"), F.explode(_variants("word")).alias("variant"))
+    known = counts.where("n > 1").select(F.col("word").alias("variant"), F.col("n").alias("m"))
     odd = F.col("word").rlike(r"\p{L}[¢†|ɑſ€]|[¢†|ɑſ€]\p{L}|\p{L}[0156]\p{L}|\p{Ll}[0156]|^[0156]\p{Ll}{2}")
     hit = pairs.join(known, "variant").where(F.when(odd, F.col("m") >= F.greatest(F.lit(2), F.col("own"))).otherwise((F.col("m") >= LEAST) & (F.col("m") >= RATIO * F.col("own"))))
     best = hit.groupBy("word").agg(F.min(F.struct((-F.col("m")).alias("k"), "variant")).alias("x")).select("word", F.col("x.variant").alias("meant"))
-    rest = counts.where(odd & (F.length("word") >= 4) & F.col("word").rlike(r"[¢†|ɑſ€]|\p{L}{2}[0156]\p{L}{2}")).join(best, "word", "left_anti").select("word", F.lit(None).cast("string").alias("meant"))
+    rest = counts.where((F.col("seen") > 0) & odd & (F.length("word") >= 4) & F.col("word").rlike(r"[¢†|ɑſ€]|\p{L}{2}[0156]\p{L}{2}")).join(best, "word", "left_anti").select("word", F.lit(None).cast("string").alias("meant"))
     return best.unionByName(rest)
 
 
@@ -105,39 +112,40 @@ def _key(text: Column) -> Column:
     return F.upper(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\s]", ""), r"\s+", ""))
 
 
-def pages(blocks: DataFrame, books: DataFrame, classes: tuple[str, ...] = ("body",)) -> DataFrame:
-    """Body blocks of pdf books with what their place and their likes in the book tell about them.
+def page_blocks(blocks: DataFrame, books: DataFrame) -> DataFrame:
+    """(book_id, page_no, title, b): the blocks of each page of pdf books in order, null and blank texts and exact repeats left out.
 
-    ``last``/``first``: place among the page's blocks; ``gap``: pages since the same short text stood in the book last;
-    ``folio``: whether the page has a number of its own; ``titled``: the text is the book's title or stands mainly on
-    even pages; ``plain``/``numbered``: headers of the book without and with a number.
+    The only shuffle of all texts; a page is small.
     """
-    pdf = books.where(F.lower("book_format") == "pdf").select("book_id", "title").groupBy("book_id").agg(F.max("title").alias("title"))
-    b = blocks.select("rec_id", "book_id", "page_no", "block_idx", "text", "classification").dropDuplicates(["rec_id"]).join(pdf, "book_id").where(F.col("text").isNotNull() & (F.trim("text") != ""))
-    number = (F.length("text") <= 14) & F.regexp_replace("text", r"(?i)^\W*(?:p\.|page)?\s*|\s*of \S+$|\W+$", "").eqNullSafe(F.col("page_no").cast("string"))
-    edge = b.groupBy("book_id", "page_no").agg(F.min("block_idx").alias("lo"), F.max("block_idx").alias("hi"), F.max((F.col("classification") == "folio") | number).alias("folio"))
-    short = b.where((F.length("text") <= 90) & ~F.col("text").contains("\n") & F.col("classification").isin("body", "header", "footer")).withColumn("key", _key(F.col("text"))).where(F.length("key") >= 3)
-    per = short.select("book_id", "key", "page_no").distinct()
+    pdf = books.where(F.lower("book_format") == "pdf").groupBy("book_id").agg(F.max("title").alias("title"))
+    b = blocks.select("book_id", "page_no", "block_idx", "rec_id", "classification", "text").where(F.col("text").rlike(r"\S")).join(pdf, "book_id")
+    x = F.sort_array(F.collect_set(F.struct("block_idx", "rec_id", F.coalesce("classification", F.lit("")).alias("cls"), "text")))
+    return b.groupBy("book_id", "page_no").agg(F.max("title").alias("title"), x.alias("b"))
+
+
+def recurrences(pages: DataFrame) -> DataFrame:
+    """(book_id, page_no, rec_id, gap, titled, numbered, plain) of short lines, without their texts.
+
+    ``gap``: pages since the same line stood in the book last; ``titled``: it is the book's title or stands mainly on
+    even pages; ``numbered``/``plain``: headers of the book with and without a number.
+    """
+    few = F.filter("b", lambda x: (F.length(x["text"]) <= 90) & ~F.contains(x["text"], F.lit("\n")) & x["cls"].isin("body", "header", "footer"))
+    x = pages.select("book_id", "page_no", "title", F.explode(few).alias("x"))
+    style = x.where("x.cls = 'header'").groupBy("book_id").agg(F.count_if(F.col("x.text").rlike(r"\d")).alias("numbered"), F.count_if(~F.col("x.text").rlike(r"\d")).alias("plain"))
+    x = x.select("book_id", "page_no", "x.rec_id", _key(F.col("x.text")).alias("key"), _key(F.col("title")).alias("title")).where(F.length("key") >= 3)
+    per = x.select("book_id", "key", "page_no").distinct()
     from pyspark.sql import Window
 
     w = Window.partitionBy("book_id", "key").orderBy("page_no")
-    even = per.groupBy("book_id", "key").agg(F.count_if(F.col("page_no") % 2 == 0).alias("evens"), F.count_if(F.col("page_no") % 2 == 1).alias("odds"))
-    seen = per.select("book_id", "key", "page_no", (F.col("page_no") - F.lag("page_no").over(w)).alias("gap")).join(even, ["book_id", "key"])
-    style = b.where(F.col("classification") == "header").groupBy("book_id").agg(F.count_if(F.col("text").rlike(r"\d")).alias("numbered"), F.count_if(~F.col("text").rlike(r"\d")).alias("plain"))
-    body = b.where(F.col("classification").isin(*classes)).withColumn("key", F.when((F.length("text") <= 90) & ~F.col("text").contains("\n"), _key(F.col("text"))))
-    return (
-        body.join(edge, ["book_id", "page_no"])
-        .join(seen, ["book_id", "key", "page_no"], "left")
-        .join(style, "book_id", "left")
-        .select(
-            "rec_id", "book_id", "page_no", "block_idx", "text", "gap", "folio", F.coalesce("numbered", F.lit(0)).alias("numbered"), F.coalesce("plain", F.lit(0)).alias("plain"),
-            (F.col("block_idx") == F.col("lo")).alias("first"), (F.col("block_idx") == F.col("hi")).alias("last"), (F.coalesce(_key(F.col("title")) == F.col("key"), F.lit(False)) | ((F.coalesce("evens", F.lit(0)) >= 2) & (F.col("evens") >= F.col("odds")))).alias("titled"),
-        )
-    )
+    all_of = Window.partitionBy("book_id", "key")
+    evens, odds = F.count_if(F.col("page_no") % 2 == 0).over(all_of), F.count_if(F.col("page_no") % 2 == 1).over(all_of)
+    per = per.select("book_id", "key", "page_no", (F.col("page_no") - F.lag("page_no").over(w)).alias("gap"), ((evens >= 2) & (evens >= odds)).alias("even"))
+    y = x.join(per, ["book_id", "key", "page_no"]).join(style, "book_id", "left")
+    return y.select("book_id", "page_no", "rec_id", "gap", (F.coalesce(F.col("title") == F.col("key"), F.lit(False)) | F.col("even")).alias("titled"), F.coalesce("numbered", F.lit(0)).alias("numbered"), F.coalesce("plain", F.lit(0)).alias("plain"))
 
 
-_DIVIDED = f"(?<![\\p{{L}}])(\\p{{L}}[\\p{{L}}0156¢†|ɑſ€]*)([{MARKS}])\r?\n([\\p{{L}}0156¢†|ɑſ€]+)"
-_DIVIDED_END = f"(?<![\\p{{L}}])(\\p{{L}}[\\p{{L}}0156¢†|ɑſ€]*)([{MARKS}])\\s*$"
+_DIVIDED = "(?<![\\p{L}0156¢†|ɑſ€])([\\p{L}0156¢†|ɑſ€]++)-\r?\n([\\p{L}0156¢†|ɑſ€]+)"
+_DIVIDED_END = "(?<![\\p{L}0156¢†|ɑſ€])([\\p{L}0156¢†|ɑſ€]++)-\\s*$"
 
 
 def evidence(lines: DataFrame, counts: DataFrame) -> DataFrame:
@@ -265,47 +273,78 @@ def model() -> Chain:
     return Chain(LABELS, _form, offsets=(-1, 0, 1)).fit(seqs, tags, rounds=6, ridge=1.0)
 
 
-def labelled_lines(blocks: DataFrame, books: DataFrame, classes: tuple[str, ...] = ("body",)) -> tuple[DataFrame, DataFrame]:
-    """(rec_id, book_id, page_no, block_idx, text, labels array<string>) of every body block, and the word counts."""
-    body = checkpointed(pages(blocks, books, classes))
-    counts = checkpointed(word_counts(body))
-    divided = F.transform(F.regexp_extract_all("text", F.lit(_DIVIDED), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, _DIVIDED, 1).alias("head"), F.regexp_extract(m, _DIVIDED, 3).alias("tail")))
-    inner = body.select("rec_id", F.explode(divided).alias("p")).select("rec_id", "p.*")
+def divisions(pages: DataFrame, counts: DataFrame) -> DataFrame:
+    """(book_id, page_no, rec_id, head, proof) of words divided by a hyphen at a line end; other marks need no proof."""
+    body = F.filter("b", lambda x: F.contains(x["text"], F.lit("-\n")) | F.contains(x["text"], F.lit("-\r\n")))
+    at = pages.select("book_id", "page_no", F.explode(body).alias("x")).select("book_id", "page_no", "x.rec_id", F.explode(F.regexp_extract_all("x.text", F.lit(_DIVIDED), F.lit(0))).alias("m"))
+    inner = at.select("book_id", "page_no", "rec_id", F.regexp_extract("m", _DIVIDED, 1).alias("head"), F.regexp_extract("m", _DIVIDED, 2).alias("tail"))
     # a word divided at the end of a page goes on in the first body block of the next
-    ends = body.where(F.col("text").rlike(_DIVIDED_END)).select("rec_id", "book_id", (F.col("page_no") + 1).alias("page_no"), F.regexp_extract("text", _DIVIDED_END, 1).alias("head"))
-    starts = body.where(F.col("text").rlike(r"^\p{Ll}")).select("book_id", "page_no", F.struct("block_idx", F.regexp_extract("text", r"^(\p{L}+)", 1).alias("tail")).alias("s")).groupBy("book_id", "page_no").agg(F.min("s").alias("s"))
-    over = ends.join(starts, ["book_id", "page_no"], "left").select("rec_id", "head", F.coalesce("s.tail", F.lit("")).alias("tail"))
-    known = evidence(inner.unionByName(over), counts)
-    proofs = inner.unionByName(over).join(known, ["head", "tail"]).groupBy("rec_id").agg(F.sort_array(F.collect_set(F.struct("head", "proof"))).alias("proofs"))
-    rows = body.join(proofs, "rec_id", "left")
-    cols = ["block_idx", "rec_id", "text", "gap", "folio", "numbered", "plain", "first", "last", "titled", "proofs"]
-    page = rows.groupBy("book_id", "page_no").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("b"))
+    of_body = F.filter("b", lambda x: x["cls"] == "body")
+    ends = pages.select("book_id", "page_no", F.explode(F.filter(of_body, lambda x: F.rtrim(x["text"]).endswith("-"))).alias("x")).select("book_id", F.col("page_no").alias("at"), (F.col("page_no") + 1).alias("page_no"), "x.rec_id", F.regexp_extract("x.text", _DIVIDED_END, 1).alias("head")).where("head <> ''")
+    starts = pages.select("book_id", "page_no", F.regexp_extract(F.get(F.filter(of_body, lambda x: x["text"].rlike(r"^\p{Ll}")), F.lit(0))["text"], r"^(\p{L}+)", 1).alias("tail")).where("tail <> ''")
+    over = ends.join(starts, ["book_id", "page_no"], "left").select("book_id", F.col("at").alias("page_no"), "rec_id", "head", F.coalesce("tail", F.lit("")).alias("tail"))
+    both = inner.unionByName(over)
+    return both.join(evidence(both, counts), ["head", "tail"]).select("book_id", "page_no", "rec_id", "head", "proof")
+
+
+def labelled_lines(pages: DataFrame, counts: DataFrame, classes: tuple[str, ...] = ("body",), with_text: bool = False) -> DataFrame:
+    """(rec_id, book_id, page_no, block_idx, text, labels array<string>) of the blocks of some classes; text on demand.
+
+    What is known about lines is gathered per page without their texts and met by one join with the pages.
+    """
+    rec = recurrences(pages).select("book_id", "page_no", F.struct("rec_id", "gap", "titled", "numbered", "plain").alias("r"), F.lit(None).cast("struct<rec_id:bigint,head:string,proof:string>").alias("p"))
+    div = divisions(pages, counts).select("book_id", "page_no", F.lit(None).cast(rec.schema["r"].dataType).alias("r"), F.struct("rec_id", "head", "proof").alias("p"))
+    side = rec.unionByName(div).groupBy("book_id", "page_no").agg(F.collect_list("r").alias("r"), F.collect_set("p").alias("p"))
+    page = pages.select("book_id", "page_no", "b").join(side, ["book_id", "page_no"], "left")
     net = model()
+    end = regex.compile(f"(?<![\\p{{L}}])(\\p{{L}}[\\p{{L}}0156¢†|ɑſ€]*)([{MARKS}])\\s*$")
+    number = regex.compile(r"(?i)^\W*(?:p\.|page)?\s*|\s*of \S+$|\W+$")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
         for pdf in parts:
             seqs, spans, out = [], [], []
-            for book, no, bs in zip(pdf["book_id"], pdf["page_no"], pdf["b"], strict=True):
+            for book, no, bs, rs, ps in zip(pdf["book_id"], pdf["page_no"], pdf["b"], pdf["r"], pdf["p"], strict=True):
+                seen = {x["rec_id"]: x for x in rs} if rs is not None else {}
+                proofs: dict = {}
+                for x in ps if ps is not None else ():
+                    proofs.setdefault((x["rec_id"], x["head"]), x["proof"])
+                folio = any(x["cls"] == "folio" or (len(x["text"]) <= 14 and number.sub("", x["text"]) == str(no)) for x in bs)
+                lo, hi = bs[0]["block_idx"], bs[-1]["block_idx"]
                 forms = []
                 for x in bs:
+                    if x["cls"] not in classes:
+                        continue
                     lines = x["text"].replace("\r\n", "\n").split("\n")
-                    proofs = {p["head"]: p["proof"] for p in (x["proofs"] if x["proofs"] is not None else ())}
-                    lo = len(forms)
+                    s = seen.get(x["rec_id"])
+                    gap, titled, numbered, plain = (None, False, 0, 0) if s is None else (s["gap"], s["titled"], s["numbered"], s["plain"])
+                    start, alone, last = len(forms), len(lines) == 1, len(lines) - 1
                     for k, line in enumerate(lines):
-                        m = regex.search(f"(?<![\\p{{L}}])(\\p{{L}}[\\p{{L}}0156¢†|ɑſ€]*)([{MARKS}])\\s*$", line)
-                        gap = None if x["gap"] is None or pd.isna(x["gap"]) else int(x["gap"])
-                        forms.append(line_form(line, no, len(lines) == 1, bool(x["first"]) and k == 0, bool(x["last"]) and k == len(lines) - 1, gap, bool(x["folio"]), x["numbered"], x["plain"], bool(x["titled"]), (proofs.get(m.group(1)) or "none") if m else None, m.group(2) if m else None))
-                    spans.append((len(seqs), lo, len(forms)))
-                    out.append((x["rec_id"], book, no, x["block_idx"], x["text"]))
+                        m = end.search(line[-60:])
+                        proof = (proofs.get((x["rec_id"], m.group(1))) or "none") if m else None
+                        forms.append(line_form(line, no, alone, x["block_idx"] == lo and k == 0, x["block_idx"] == hi and k == last, gap, folio, numbered, plain, titled, proof, m.group(2) if m else None))
+                    spans.append((len(seqs), start, len(forms)))
+                    out.append((x["rec_id"], book, no, x["block_idx"], x["text"] if with_text else None))
                 seqs.append(forms)
             paths = net.decode(seqs, memo)
-            labels = [[LABELS[i] for i in paths[p][lo:hi]] for p, lo, hi in spans]
             res = pd.DataFrame(out, columns=["rec_id", "book_id", "page_no", "block_idx", "text"])
-            res["labels"] = labels
+            res["labels"] = [[LABELS[i] for i in paths[p][a:b]] for p, a, b in spans]
             yield res
 
-    return page.mapInPandas(run, "rec_id bigint, book_id string, page_no int, block_idx int, text string, labels array<string>"), counts
+    return page.mapInPandas(run, "rec_id bigint, book_id string, page_no int, block_idx int, text string, labels array<string>")
+
+
+def _prepared(blocks: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pages, their body blocks (rec_id, text), and the word counts."""
+    pages = checkpointed(page_blocks(blocks, books))
+    body = pages.select(F.explode(F.filter("b", lambda x: x["cls"] == "body")).alias("x")).select("x.rec_id", "x.text")
+    return pages, body, checkpointed(word_counts(body))
+
+
+def _bounded(words: DataFrame, most: int = 100_000) -> DataFrame:
+    """Sent to all executors where its rows are counted to be few; beyond that the join shuffles."""
+    words = checkpointed(words)
+    return F.broadcast(words) if words.count() <= most else words
 
 
 def cases(blocks: DataFrame, books: DataFrame) -> DataFrame:
@@ -314,13 +353,14 @@ def cases(blocks: DataFrame, books: DataFrame) -> DataFrame:
     Null and blank texts have no case; repeats of a record count once; books without rows in ``books`` are left out, as
     their format is unknown.
     """
-    lines, counts = labelled_lines(blocks, books)
-    lines = checkpointed(lines)
-    kinds = lines.select("rec_id", "text", F.forall("labels", lambda x: x == "furniture").alias("furniture"), F.exists("labels", lambda x: x == "break").alias("broken"))
+    pages, body, counts = _prepared(blocks, books)
+    lines = labelled_lines(pages, counts)
+    kinds = checkpointed(lines.select("rec_id", F.forall("labels", lambda x: x == "furniture").alias("furniture"), F.exists("labels", lambda x: x == "break").alias("broken")))
     a = kinds.where("furniture").select("rec_id", F.lit("furniture").alias("noise"))
     b = kinds.where("broken and not furniture").select("rec_id", F.lit("break").alias("noise"))
-    bad = misread(counts).select("word").distinct()
-    c = kinds.where("not furniture").select("rec_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).join(bad, "word", "left_semi").select("rec_id", F.lit("glyph").alias("noise")).distinct()
+    bad = _bounded(misread(counts).select("word").distinct())
+    c = body.select("rec_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).join(bad, "word", "left_semi").select("rec_id").distinct()
+    c = c.join(kinds.where("furniture").select("rec_id"), "rec_id", "left_anti").select("rec_id", F.lit("glyph").alias("noise"))
     return a.unionByName(b).unionByName(c)
 
 
@@ -332,9 +372,9 @@ def paragraphs(blocks: DataFrame, books: DataFrame) -> DataFrame:
     goes on in the first block of the next page is one row under the block it starts in; chains of pages are resolved
     by doubling the pointers, so that no book is gathered in one task.
     """
-    lines, counts = labelled_lines(blocks, books)
-    lines = checkpointed(lines.where(~F.forall("labels", lambda x: x == "furniture")))
-    meant = misread(counts).where("meant is not null")
+    pages, _, counts = _prepared(blocks, books)
+    lines = checkpointed(labelled_lines(pages, counts, with_text=True).where(~F.forall("labels", lambda x: x == "furniture")))
+    meant = _bounded(misread(counts).where("meant is not null"))
     fixes = lines.select("rec_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).join(meant, "word").groupBy("rec_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "meant"))).alias("fix"))
 
     @pandas_udf("string")
