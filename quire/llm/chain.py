@@ -157,17 +157,13 @@ class Chain:
         local: dict = {}
         base = [memo["<edge>"][1]]
         for seq in seqs:
-            ids = []
-            for w in seq:
-                j = local.get(w)
-                if j is None:
-                    hit = memo.get(("w", w))
-                    if hit is None:
-                        hit = memo[("w", w)] = self.vectors(w)
-                    j = local[w] = len(base)
-                    base.append(hit)
-                ids.append(j)
-            rows.append(np.array(ids, dtype=np.int32))
+            for w in set(seq).difference(local):
+                hit = memo.get(("w", w))
+                if hit is None:
+                    hit = memo[("w", w)] = self.vectors(w)
+                local[w] = len(base)
+                base.append(hit)
+            rows.append(np.fromiter(map(local.__getitem__, seq), np.int32, len(seq)))
         bank = np.stack(base)
         out: list = [None] * len(seqs)
         order = sorted((i for i in range(len(seqs)) if len(seqs[i])), key=lambda i: len(seqs[i]))
@@ -188,9 +184,21 @@ class Chain:
             u = np.zeros((len(part), width, len(self.labels)), np.float32)
             for k, d in enumerate(self.offsets):
                 u += bank[ids[:, pad + d : pad + d + width], k]
-            self._viterbi(u, part, rows, out)
+            hard = self._undecided(u, np.array([len(rows[i]) for i in part]))
+            for k in np.flatnonzero(~hard):
+                out[part[k]] = np.zeros(len(rows[part[k]]), int)
+            if hard.any():
+                self._viterbi(u[hard], [part[k] for k in np.flatnonzero(hard)], rows, out)
         return out
 
+    def _undecided(self, u, lengths):
+        """Sequences whose best path may leave label 0: a stretch of other labels gains at most, per token, its best
+        score over label 0 and the best transition over that from 0 to 0 twice; where that is negative at every token,
+        the path of label 0 throughout is best for certain."""
+        gain = max(0.0, float((self.trans + self.bar).max() - self.trans[0, 0]))
+        lead = u[:, :, 1:].max(2) - u[:, :, 0] + 2 * gain
+        return ((lead >= 0) & (np.arange(u.shape[1])[None, :] < lengths[:, None])).any(1)
+
     def _viterbi(self, u, part, rows, out):
         n, width, size = u.shape
         tr = (self.trans + self.bar).astype(np.float32)
@@ -198,10 +206,14 @@ class Chain:
         back = np.zeros((n, width, size), np.int8)
         score = u[:, 0].copy()
         for t in range(1, width):
-            x = score[:, :, None] + tr[None]
-            back[:, t] = x.argmax(1)
-            new = x.max(1) + u[:, t]
-            score = np.where((t < lengths)[:, None], new, score)
+            best = score[:, :1] + tr[0]
+            at = back[:, t]
+            for k in range(1, size):
+                x = score[:, k : k + 1] + tr[k]
+                more = x > best
+                np.copyto(best, x, where=more)
+                np.copyto(at, k, where=more)
+            score = np.where((t < lengths)[:, None], best + u[:, t], score)
         last = score.argmax(1)
         path = np.zeros((n, width), np.int8)
         cur = last.copy()

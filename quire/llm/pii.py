@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import random
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import regex
@@ -381,26 +382,26 @@ En <year>, l’apprenti mesurait l’avant-propos, cf. p. 8, à <town>. La munic
 FILLINGS = 9
 ROUNDS, RATE, RIDGE = 8, 0.08, 0.6
 
-_TOKEN = regex.compile(r"\n+|[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{Latin}\p{Cyrillic}]+(?:['’][\p{Latin}\p{Cyrillic}]+)*|(?:\p{L}|\p{M})+|\p{N}+|\S")
+_TOKEN = regex.compile(r"[^\S\n]*(?:\n+|[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{Latin}\p{Cyrillic}]+(?:['’][\p{Latin}\p{Cyrillic}]+)*|(?:\p{L}|\p{M})+|\p{N}+|\S)")
 _MARK = regex.compile(r"\{(\w)([:=])([^}]*)\}|<(\w+)>")
 
 
 def tokens(text: str) -> tuple[list[str], list[int], list[int]]:
     """Forms (with a leading blank after white space), starts and ends."""
-    forms, starts, ends = [], [], []
-    last = 0
-    for m in _TOKEN.finditer(text):
-        s, e = m.span()
-        w = m.group()
-        if w[0] == "\n":
-            w = "\n"
-        forms.append((" " if s > last or not s else "") + w)
-        starts.append(s)
-        ends.append(e)
-        last = e
+    raw = _TOKEN.findall(text)
+    bare = [w.lstrip() or "\n" for w in raw]
+    ends = list(accumulate(map(len, raw)))
+    starts = [e - (len(w) if w != "\n" else len(r.lstrip(_BLANK))) for e, w, r in zip(ends, bare, raw, strict=True)]
+    forms = [" " + w if r is not w and r != w and w != "\n" else w for r, w in zip(raw, bare, strict=True)]
+    if forms and forms[0][0] not in " \n":
+        forms[0] = " " + forms[0]
     return forms, starts, ends
 
 
+#: White space without the line end.
+_BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != "\n")
+
+
 def form_features(form: str) -> list[str]:
     sp = form[0] == " "
     w = form.strip(" ")
