@@ -17,7 +17,10 @@ def _docs(s, d, **cols):
     return table(s, d, "documents", "doc_id", "text").select("doc_id", *[c.alias(n) for n, c in cols.items()])
 
 
-_T = F.col("text")
+def _T():
+    return F.col("text")
+
+
 _DURATIONS = ["1s", "100ms", "1m30s", "12.5s", "2h", "1h2m3s", "45", "0.5", "soon", "", "1m 30s", "3x", None]
 _REPLIES = ['{"a": 1}', 'Sure: ```json\n{"a": [1, 2]}\n```', 'Here you are {"b": {"c": 2}} as asked', "The list [1, 2, 3] follows", "null", "no json here", "```\nnot json\n```", "", "{broken", "[1, 2", '``` {"x": true} ```', "{} and [1]", None]
 
@@ -32,21 +35,21 @@ def _sqlvals(rows):
 
 
 QUERIES = {
-    "token_estimate": lambda s, d: _docs(s, d, tokens=T.token_estimate(_T)),
-    "word_count": lambda s, d: _docs(s, d, words=T.word_count(_T)),
+    "token_estimate": lambda s, d: _docs(s, d, tokens=T.token_estimate(_T())),
+    "word_count": lambda s, d: _docs(s, d, words=T.word_count(_T())),
     "truncate_words": lambda s, d: table(s, d, "brackets", "rec_id", "bracket_text").distinct().select("rec_id", T.truncate_words(F.col("bracket_text"), 30).alias("short")),
-    "strip_control": lambda s, d: _docs(s, d, clean=F.md5(T.strip_control(_T)), dropped=F.length(_T) - F.length(T.strip_control(_T))),
-    "wrap_untrusted": lambda s, d: _docs(s, d, wrapped=F.md5(T.wrap_untrusted(_T))),
+    "strip_control": lambda s, d: _docs(s, d, clean=F.md5(T.strip_control(_T())), dropped=F.length(_T()) - F.length(T.strip_control(_T()))),
+    "wrap_untrusted": lambda s, d: _docs(s, d, wrapped=F.md5(T.wrap_untrusted(_T()))),
     "length_hint": lambda s, d: table(s, d, "nodes", "rec_id", "start_off", "end_off").distinct().select("rec_id", T.length_hint(F.col("end_off") - F.col("start_off")).alias("hint")),
-    "offset_annotate": lambda s, d: _docs(s, d, marked=F.md5(T.offset_annotate(_T)), n=F.length(T.offset_annotate(_T))),
-    "sample_sentences": lambda s, d: _docs(s, d, sentences=F.array_join(T.sample_sentences(_T, 5), "|")),
-    "named_terms": lambda s, d: _docs(s, d, terms=F.array_join(T.named_terms(_T), "|")),
-    "context_before": lambda s, d: _docs(s, d, before=T.context_before(_T, F.floor(F.length(_T) / 2).cast("int"))),
-    "context_after": lambda s, d: _docs(s, d, after=T.context_after(_T, F.floor(F.length(_T) / 2).cast("int"))),
-    "context_around": lambda s, d: _docs(s, d, x=T.around(_T, F.lit(300), F.lit(420))).select("doc_id", "x.before", "x.after"),
+    "offset_annotate": lambda s, d: _docs(s, d, marked=F.md5(T.offset_annotate(_T())), n=F.length(T.offset_annotate(_T()))),
+    "sample_sentences": lambda s, d: _docs(s, d, sentences=F.array_join(T.sample_sentences(_T(), 5), "|")),
+    "named_terms": lambda s, d: _docs(s, d, terms=F.array_join(T.named_terms(_T()), "|")),
+    "context_before": lambda s, d: _docs(s, d, before=T.context_before(_T(), F.floor(F.length(_T()) / 2).cast("int"))),
+    "context_after": lambda s, d: _docs(s, d, after=T.context_after(_T(), F.floor(F.length(_T()) / 2).cast("int"))),
+    "context_around": lambda s, d: _docs(s, d, x=T.around(_T(), F.lit(300), F.lit(420))).select("doc_id", "x.before", "x.after"),
     "section_slug": lambda s, d: table(s, d, "sections", "rec_id", "ord", "title").distinct().select("rec_id", T.section_slug(F.col("ord") + 1, F.col("title")).alias("slug")),
-    "preview_clip": lambda s, d: _docs(s, d, clip=T.preview(_T)),
-    "sha_pins": lambda s, d: _docs(s, d, pin=F.sha2(_T, 256)),
+    "preview_clip": lambda s, d: _docs(s, d, clip=T.preview(_T())),
+    "sha_pins": lambda s, d: _docs(s, d, pin=F.sha2(_T(), 256)),
     "file_names": lambda s, d: table(s, d, "books", "book_id", "title").select("book_id", T.file_name(F.col("title")).alias("file")),
     "bracket_html": lambda s, d: table(s, d, "brackets", "rec_id", "bracket_text").distinct().select("rec_id", T.paragraphs_html(F.col("bracket_text")).alias("html")),
     "wrapped_lines": lambda s, d: table(s, d, "brackets", "rec_id", "bracket_text").distinct().select("rec_id", F.posexplode(T.wrapped(F.col("bracket_text"), 60)).alias("line_no", "line")),
