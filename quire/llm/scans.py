@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import random
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,27 +42,77 @@ _WORD = r"[\p{L}0156¢†|ɑſ€]+(?:['’][\p{L}0156¢†|ɑſ€]+)*"
 
 
 # ---------------------------------------------------------------------------------------------------- words
-def words_of(text: Column) -> Column:
-    """Words of a text with divided words joined; a half at the end of the block is none."""
-    joined = F.regexp_replace(text, f"(?<=\\p{{L}})[{MARKS}]\r?\n(?=\\p{{Ll}})", "")
-    closed = F.regexp_replace(joined, f"(?<!\\p{{L}})\\p{{L}}++[{MARKS}]\\s*$", "")
-    return F.regexp_extract_all(closed, F.lit(f"({_WORD})"), F.lit(1))
+_FIND = regex.compile(_WORD).findall
+_SPLIT = regex.compile(f"(?<!\\p{{L}})(\\p{{L}}[\\p{{L}}0156¢†|ɑſ€]*+)[{MARKS}]\\s*?(?:\\n([\\p{{L}}0156¢†|ɑſ€]++)|$)")
+_COMPOUND = regex.compile(r"(?<!\p{L})\p{L}++(?:-\p{L}++)+").findall
 
 
-def solid_words(text: Column) -> Column:
-    """Words that stand within a line, and the compounds written with a hyphen there; divided words prove nothing."""
-    solid = F.regexp_replace(text, f"(?<!\\p{{L}})\\p{{L}}++[{MARKS}]\\s*(?:\n\\p{{L}}++|$)", " ")
-    return F.concat(F.regexp_extract_all(solid, F.lit(f"({_WORD})"), F.lit(1)), F.regexp_extract_all(solid, F.lit(r"(?<!\p{L})(\p{L}++(?:-\p{L}++)+)"), F.lit(1)))
+def block_words(text: str) -> tuple[list[str], list[str], list[str]]:
+    """Words that stand within a line, compounds written with a hyphen there, and divided words put together.
 
+    A divided word proves nothing about how it is written; a half at the end of the block is no word.
+    """
+    joined: list[str] = []
+
+    def take(m) -> str:
+        head, tail = m.group(1), m.group(2)
+        if tail:
+            joined.extend([head + tail] if tail[0].islower() else [head, tail])
+        return " "
+
+    solid = _SPLIT.sub(take, text) if "\n" in text or text[-3:].rstrip()[-1:] in MARKS else text
+    return _FIND(solid), _COMPOUND(solid) if "-" in solid else [], joined
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """(word, n, seen) over all blocks: how often a form stands within a line, and with divided words joined.
 
-    One pass and one aggregate, combined before its shuffle.
+def word_counts(body: DataFrame) -> DataFrame:
+    """(word, n, seen) over all blocks of (rec_id, text): how often a form stands within a line, and with divided words joined.
+
+    Counted per batch before the shuffle, so that what is shuffled are the distinct words of each batch.
     """
-    of = lambda words, kind: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(kind).alias("joined")))
-    each = blocks.select(F.explode(F.concat(of(solid_words(F.col("text")), 0), of(words_of(F.col("text")), 1))).alias("w")).where(F.length("w.word").between(1, 40))
-    return each.groupBy("w.word").agg(F.sum(1 - F.col("w.joined")).alias("n"), F.sum("w.joined").alias("seen"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            n, seen = Counter(), Counter()
+            for t in pdf["text"]:
+                words, compounds, joined = block_words(t)
+                n.update(words)
+                seen.update(joined)
+                n.update({f"\0{c}": k for c, k in Counter(compounds).items()})
+            rows = [(w, k, k + seen.pop(w, 0)) if w[0] != "\0" else (w[1:], k, 0) for w, k in n.items() if len(w) <= 40]
+            rows += [(w, 0, k) for w, k in seen.items() if len(w) <= 40]
+            yield pd.DataFrame(rows, columns=["word", "n", "seen"])
+
+    return body.select("text").mapInPandas(run, "word string, n bigint, seen bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+
+
+#: Misread forms that are sent to the workers, at most; more of them meet the blocks' words by a join.
+SENT = 100_000
+
+
+def with_misread(body: DataFrame, bad: DataFrame) -> DataFrame:
+    """(rec_id, words array<string>): the blocks of (rec_id, text) that hold words of ``bad``, and which."""
+    bad = checkpointed(bad.select("word").distinct())
+    if bad.count() > SENT:
+
+        def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                found = ((i, block_words(t)) for i, t in zip(pdf["rec_id"], pdf["text"], strict=True))
+                yield pd.DataFrame([(i, w) for i, x in found for w in {*x[0], *x[2]}], columns=["rec_id", "word"])
+
+        return body.select("rec_id", "text").mapInPandas(each, "rec_id bigint, word string").join(bad, "word", "left_semi").groupBy("rec_id").agg(F.collect_set("word").alias("words"))
+    few = frozenset(r.word for r in bad.collect())
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for i, t in zip(pdf["rec_id"], pdf["text"], strict=True):
+                words, _, joined = block_words(t)
+                hit = few.intersection(words).union(few.intersection(joined))
+                if hit:
+                    rows.append((i, sorted(hit)))
+            yield pd.DataFrame(rows, columns=["rec_id", "words"])
+
+    return body.select("rec_id", "text").mapInPandas(run, "rec_id bigint, words array<string>")
 
 
 def variants(word: str) -> list[str]:
@@ -341,12 +392,6 @@ def _prepared(blocks: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame
     return pages, body, checkpointed(word_counts(body))
 
 
-def _bounded(words: DataFrame, most: int = 100_000) -> DataFrame:
-    """Sent to all executors where its rows are counted to be few; beyond that the join shuffles."""
-    words = checkpointed(words)
-    return F.broadcast(words) if words.count() <= most else words
-
-
 def cases(blocks: DataFrame, books: DataFrame) -> DataFrame:
     """(rec_id, noise): furniture, break and glyph cases of body blocks.
 
@@ -358,9 +403,7 @@ def cases(blocks: DataFrame, books: DataFrame) -> DataFrame:
     kinds = checkpointed(lines.select("rec_id", F.forall("labels", lambda x: x == "furniture").alias("furniture"), F.exists("labels", lambda x: x == "break").alias("broken")))
     a = kinds.where("furniture").select("rec_id", F.lit("furniture").alias("noise"))
     b = kinds.where("broken and not furniture").select("rec_id", F.lit("break").alias("noise"))
-    bad = _bounded(misread(counts).select("word").distinct())
-    c = body.select("rec_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).join(bad, "word", "left_semi").select("rec_id").distinct()
-    c = c.join(kinds.where("furniture").select("rec_id"), "rec_id", "left_anti").select("rec_id", F.lit("glyph").alias("noise"))
+    c = with_misread(body, misread(counts)).select("rec_id").join(kinds.where("furniture").select("rec_id"), "rec_id", "left_anti").select("rec_id", F.lit("glyph").alias("noise"))
     return a.unionByName(b).unionByName(c)
 
 
@@ -374,8 +417,8 @@ def paragraphs(blocks: DataFrame, books: DataFrame) -> DataFrame:
     """
     pages, _, counts = _prepared(blocks, books)
     lines = checkpointed(labelled_lines(pages, counts, with_text=True).where(~F.forall("labels", lambda x: x == "furniture")))
-    meant = _bounded(misread(counts).where("meant is not null"))
-    fixes = lines.select("rec_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).join(meant, "word").groupBy("rec_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "meant"))).alias("fix"))
+    meant = checkpointed(misread(counts).where("meant is not null"))
+    fixes = with_misread(lines, meant).select("rec_id", F.explode("words").alias("word")).join(meant, "word").groupBy("rec_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "meant"))).alias("fix"))
 
     @pandas_udf("string")
     def repair(text: pd.Series, labels: pd.Series, fix: pd.Series) -> pd.Series:
