@@ -102,6 +102,8 @@ def spine_plan(blocks: DataFrame, nodes: DataFrame, inclusion: DataFrame) -> Dat
     Leaves and items meet by an equi-join on (book, page); an item that no leaf reaches is kept.
     """
     item = blocks.where("spine_item_id is not null").select("book_id", "page_no", "spine_item_id").distinct()
-    leaf = nodes.where("is_leaf and start_page <= end_page").select("book_id", F.col("node_id").alias("leaf_id"), F.explode(F.sequence("start_page", "end_page")).alias("page_no")).join(leaf_inclusion(nodes, inclusion), ["book_id", "leaf_id"])
+    last = item.groupBy("book_id").agg(F.max("page_no").alias("last"))  # no leaf is spread over more pages than its book has
+    inside = nodes.where("is_leaf and start_page <= end_page").join(last, "book_id").select("book_id", F.col("node_id").alias("leaf_id"), F.greatest("start_page", F.lit(1)).alias("lo"), F.least("end_page", "last").alias("hi")).where("lo <= hi")
+    leaf = inside.select("book_id", "leaf_id", F.explode(F.sequence("lo", "hi")).alias("page_no")).join(leaf_inclusion(nodes, inclusion), ["book_id", "leaf_id"])
     hit = item.join(leaf, ["book_id", "page_no"]).select("book_id", "spine_item_id", "leaf_id", "included").distinct().groupBy("book_id", "spine_item_id").agg(F.count("*").alias("leaves"), F.bool_or("included").alias("any_kept"))
     return item.select("book_id", "spine_item_id").distinct().join(hit, ["book_id", "spine_item_id"], "left").select("book_id", "spine_item_id", F.coalesce("leaves", F.lit(0)).alias("leaves"), F.coalesce(~F.col("any_kept"), F.lit(False)).alias("replaced"))

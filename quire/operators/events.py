@@ -30,8 +30,8 @@ def since(events: DataFrame, ts: str) -> DataFrame:
 def stale(events: DataFrame, key: str, state: str, minutes: int = 5) -> DataFrame:
     """Keys whose last event is ``state`` and older than ``minutes`` at the time of the log's last event."""
     last = latest_per_key(events, key, ["event_type"])
-    now = events.agg(F.max("ts").alias("now"))  # one row
-    return last.join(F.broadcast(now)).where((F.col("event_type") == state) & (F.col("ts") < F.col("now") - F.make_dt_interval(mins=F.lit(minutes)))).select(key, "event_id", "ts")
+    now = events.agg(F.max("ts")).first()[0]  # one value
+    return last.where((F.col("event_type") == state) & (F.col("ts") < F.lit(now) - F.make_dt_interval(mins=F.lit(minutes)))).select(key, "event_id", "ts")
 
 
 def switches(events: DataFrame, key: str, state: str) -> DataFrame:
