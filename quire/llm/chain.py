@@ -27,6 +27,7 @@ class Chain:
         self.labels, self.features, self.offsets = list(labels), features, tuple(offsets)
         self.index: dict[tuple[int, str], int] = {}
         self.weights = np.zeros((0, len(self.labels)))
+        self._by: dict | None = None  # the weights by feature, made when first decoding
         self.trans = np.zeros((len(self.labels), len(self.labels)))
         self.bar = np.zeros_like(self.trans)
         at = {x: i for i, x in enumerate(self.labels)}
@@ -130,14 +131,22 @@ class Chain:
     # -- decoding -----------------------------------------------------------------------------------------
     def vectors(self, form) -> np.ndarray:
         """The scores that a form adds to the tokens around it: (offsets, labels)."""
+        if self._by is None:
+            place = {d: k for k, d in enumerate(self.offsets)}
+            by: dict = {}
+            for (d, f), j in self.index.items():
+                by.setdefault(f, []).append((place[d], j))
+            self._by = {f: (np.array([k for k, _ in x]), self.weights[[j for _, j in x]]) for f, x in by.items()}
         out = np.zeros((len(self.offsets), len(self.labels)), np.float32)
-        names = self.features(form)
-        for k, d in enumerate(self.offsets):
-            ids = [j for f in names if (j := self.index.get((d, f))) is not None]
-            if ids:
-                out[k] = self.weights[ids].sum(0)
+        for f in self.features(form):
+            hit = self._by.get(f)
+            if hit is not None:
+                out[hit[0]] += hit[1]
         return out
 
+    def __getstate__(self):
+        return self.__dict__ | {"_by": None}
+
     def edge_vectors(self) -> np.ndarray:
         out = np.zeros((len(self.offsets), len(self.labels)), np.float32)
         for k, d in enumerate(self.offsets):
@@ -146,7 +155,7 @@ class Chain:
                 out[k] = self.weights[j]
         return out
 
-    def decode(self, seqs: list[list], memo: dict | None = None, batch: int = 512) -> list[np.ndarray]:
+    def decode(self, seqs: list[list], memo: dict | None = None, batch: int = 96) -> list[np.ndarray]:
         """Best label indices of each sequence. ``memo`` keeps forms' vectors between calls; it is emptied when large."""
         memo = {} if memo is None else memo
         if len(memo) > 60_000:
@@ -184,44 +193,65 @@ class Chain:
             u = np.zeros((len(part), width, len(self.labels)), np.float32)
             for k, d in enumerate(self.offsets):
                 u += bank[ids[:, pad + d : pad + d + width], k]
-            hard = self._undecided(u, np.array([len(rows[i]) for i in part]))
-            for k in np.flatnonzero(~hard):
-                out[part[k]] = np.zeros(len(rows[part[k]]), int)
-            if hard.any():
-                self._viterbi(u[hard], [part[k] for k in np.flatnonzero(hard)], rows, out)
+            lengths = np.array([len(rows[i]) for i in part])
+            live = self._live(u, lengths)
+            for k, i in enumerate(part):
+                out[i] = np.zeros(lengths[k], int)
+            self._stretches(u, live, lengths, part, out)
         return out
 
-    def _undecided(self, u, lengths):
-        """Sequences whose best path may leave label 0: a stretch of other labels gains at most, per token, its best
-        score over label 0 and the best transition over that from 0 to 0 twice; where that is negative at every token,
-        the path of label 0 throughout is best for certain."""
-        gain = max(0.0, float((self.trans + self.bar).max() - self.trans[0, 0]))
-        lead = u[:, :, 1:].max(2) - u[:, :, 0] + 2 * gain
-        return ((lead >= 0) & (np.arange(u.shape[1])[None, :] < lengths[:, None])).any(1)
+    def _live(self, u, lengths):
+        """Tokens that the best path may label other than 0.
+
+        A stretch of other labels gains, over label 0 throughout, at most the sum of its tokens' best scores with the
+        best transition into each label, and the best way out. A token can be in such a stretch only if the best sum of
+        any stretch around it, found by two running maxima, isn't negative; elsewhere label 0 is certain.
+        """
+        tr = self.trans + self.bar
+        lead = (u[:, :, 1:] + (tr[:, 1:].max(0) - tr[0, 0])).max(2) - u[:, :, 0]
+        lead[:, 0] = u[:, 0, 1:].max(1) - u[:, 0, 0]  # nothing leads into the first
+        lead[np.arange(u.shape[1])[None, :] >= lengths[:, None]] = -1e6
+        ahead, behind = lead.copy(), lead.copy()
+        for t in range(1, lead.shape[1]):
+            ahead[:, t] += np.maximum(ahead[:, t - 1], 0)
+        for t in range(lead.shape[1] - 2, -1, -1):
+            behind[:, t] += np.maximum(behind[:, t + 1], 0)
+        return ahead + behind - lead + max(0.0, float(tr[1:, 0].max() - tr[0, 0])) >= 0
+
+    def _stretches(self, u, live, lengths, part, out):
+        """Viterbi over the runs of live tokens, with label 0 on both sides of each."""
+        edge = np.zeros((len(part), 1), bool)
+        flat = np.diff(np.concatenate([edge, live, edge], 1).astype(np.int8), axis=1)
+        seq, start = np.nonzero(flat == 1)
+        stop = np.nonzero(flat == -1)[1]
+        order = np.argsort(stop - start, kind="stable")
+        for lo in range(0, len(order), 256):
+            some = order[lo : lo + 256]
+            n = stop[some] - start[some]
+            at = start[some][:, None] + np.minimum(np.arange(n.max()), n[:, None] - 1)
+            v = u[seq[some][:, None], at].copy()
+            tr = (self.trans + self.bar).astype(np.float32)
+            v[:, 0] += np.where((start[some] > 0)[:, None], tr[0], 0)
+            rows = np.arange(len(some))
+            v[rows, n - 1] += np.where((stop[some] < lengths[seq[some]])[:, None], tr[:, 0], 0)
+            for k, path in zip(some, self._viterbi(v, n), strict=True):
+                out[part[seq[k]]][start[k] : stop[k]] = path
 
-    def _viterbi(self, u, part, rows, out):
+    def _viterbi(self, u, lengths):
         n, width, size = u.shape
         tr = (self.trans + self.bar).astype(np.float32)
-        lengths = np.array([len(rows[i]) for i in part])
         back = np.zeros((n, width, size), np.int8)
         score = u[:, 0].copy()
         for t in range(1, width):
-            best = score[:, :1] + tr[0]
-            at = back[:, t]
-            for k in range(1, size):
-                x = score[:, k : k + 1] + tr[k]
-                more = x > best
-                np.copyto(best, x, where=more)
-                np.copyto(at, k, where=more)
-            score = np.where((t < lengths)[:, None], best + u[:, t], score)
+            x = score[:, :, None] + tr[None]
+            back[:, t] = x.argmax(1)
+            score = np.where((t < lengths)[:, None], x.max(1) + u[:, t], score)
         last = score.argmax(1)
         path = np.zeros((n, width), np.int8)
-        cur = last.copy()
-        idx = np.arange(n)
+        cur, idx = last.copy(), np.arange(n)
         for t in range(width - 1, -1, -1):
             cur = np.where(t == lengths - 1, last, cur)
             path[:, t] = cur
             if t:
                 cur = np.where(t < lengths, back[idx, t, cur], cur)
-        for k, i in enumerate(part):
-            out[i] = path[k, : lengths[k]].astype(int)
+        return [path[k, : lengths[k]].astype(int) for k in range(n)]

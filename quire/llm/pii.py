@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import random
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -26,6 +27,8 @@ LABELS = ["O", *(f"{x}-{k}" for k in KINDS.values() for x in "BI")]
 
 #: Tokens in one decoded sequence at most; longer texts are divided after a sentence or line, never shortened.
 SEQUENCE = 400
+#: Texts decoded together; sequences of like length share a numpy batch.
+CALL = 768
 
 # Words that announce or make up a kind of span, by kind of word.
 LEXICON = {
@@ -168,6 +171,12 @@ def _fill(rng: random.Random, key: str) -> str:
     if key == "addr_es":
         n = rng.randint(1, 180)
         return f"{pick(ES_STREET)}{pick([f', {n}', f' n.º {n}', f', {n}, {rng.randint(1, 6)}º B'])}"
+    if key == "addr_av":
+        return f"{pick(['Avda.', 'Avda.', 'C.', 'Pza.'])} {pick(['de los', 'del', 'de la'])} {_word(rng) if rng.random() < 0.5 else 'Molinos'}{pick([', ', ' n.º '])}{rng.randint(1, 180)}{pick(['', '', f', {rng.randint(1, 6)}º B'])}"
+    if key == "name_c":
+        return f"{pick(FAMILY)}, {pick(GIVEN)}"
+    if key == "name_i":
+        return f"{pick('ABCEHIJMNOPQRTU')}. {pick('ABCEHIJMNOPQRTU')}. {pick(FAMILY)}"
     if key == "addr_ru":
         return f"{pick(RU_STREET)}, д. {rng.randint(1, 180)}{pick(['', f', кв. {rng.randint(1, 90)}'])}"
     if key == "addr_zh":
@@ -277,6 +286,16 @@ En el contrato consta DNI {i:dni}.
 En el contrato consta NIE {i:nie}. Por primera vez, el impresor ocultó el tratado.
 Los ejemplares van a {a:addr_es}, <zip> <town>.
 Escriba por favor a {p:name}: {e:mail}.
+Los ejemplares van a {a:addr_av}, <zip> <town>.
+El comité criticó la frontera. Los ejemplares van a {a:addr_av}, <zip> <town>. Por primera vez, el consejo la midió.
+Dirección: {a:addr_av}, <zip> <town>\nNombre: {p:name_c}
+Regards, {p:name_c}.
+Un saludo, {p:name_c}. El impresor ocultó el tratado.
+Cordialement, {p:name_c}.
+It was {p:name_c} who first noticed that the ledger had been cut.
+— {p:name_i}, <town>
+— {p:name_c}, <town>\nThe council waited.
+As {p:name_c} and {p:name_i} wrote in the margin, the chapter is missing.
 La Sra. {p:name} guarda las galeradas. El Sr. <family> ignoró el tratado.
 El Sr. {p:name} guarda las galeradas.
 Un saludo, {p:name}. La viuda del molinero midió la ordenanza.
@@ -382,7 +401,8 @@ En <year>, l’apprenti mesurait l’avant-propos, cf. p. 8, à <town>. La munic
 FILLINGS = 9
 ROUNDS, RATE, RIDGE = 8, 0.08, 0.6
 
-_TOKEN = regex.compile(r"[^\S\n]*(?:\n+|[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{Latin}\p{Cyrillic}]+(?:['’][\p{Latin}\p{Cyrillic}]+)*|(?:\p{L}|\p{M})+|\p{N}+|\S)")
+# Scripts by their blocks: Han and kana one by one; Latin, Greek and Cyrillic words; runs of other scripts with their marks.
+_TOKEN = re.compile(r"[^\S\n]*(?:\n+|[\u3040-\u30ff\u3400-\u9fff々\uf900-\ufaff]|[A-Za-zªºÀ-ÖØ-öø-ʯͰ-ԯḀ-ỿ]+(?:['’][A-Za-zªºÀ-ÖØ-öø-ʯͰ-ԯḀ-ỿ]+)*|[\u0590-\u1dff\ua000-\ud7ff]+|[0-9０-９]+|\S)")
 _MARK = regex.compile(r"\{(\w)([:=])([^}]*)\}|<(\w+)>")
 
 
@@ -597,8 +617,8 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for pdf in parts:
             ids, texts = pdf.iloc[:, 0].tolist(), [t if isinstance(t, str) else None for t in pdf.iloc[:, 1]]
             rows = []
-            for lo in range(0, len(texts), 256):
-                for i, spans in zip(ids[lo : lo + 256], find_spans(texts[lo : lo + 256], memo, net), strict=True):
+            for lo in range(0, len(texts), CALL):
+                for i, spans in zip(ids[lo : lo + CALL], find_spans(texts[lo : lo + CALL], memo, net), strict=True):
                     rows += [(i, k, s, e) for k, s, e in spans]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "start_off", "end_off"])
 
@@ -626,7 +646,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         memo: dict = {}
         for pdf in parts:
             texts = [t if isinstance(t, str) else None for t in pdf.iloc[:, 1]]
-            spans = [x for lo in range(0, len(texts), 256) for x in find_spans(texts[lo : lo + 256], memo, net)]
+            spans = [x for lo in range(0, len(texts), CALL) for x in find_spans(texts[lo : lo + CALL], memo, net)]
             yield pd.DataFrame({"doc_id": pdf.iloc[:, 0], "text": [redact(t, x) for t, x in zip(texts, spans, strict=True)], "found": [len(x) for x in spans]})
 
     kind = docs.schema[id_col].dataType.simpleString()
