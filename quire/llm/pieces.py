@@ -125,7 +125,9 @@ def leaf_texts(leaves: DataFrame, blocks: DataFrame) -> DataFrame:
     at = page_offsets(pages)
     tiles = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / TILE), F.floor((F.col(hi) - 1) / TILE)))
     bt = at.select("book_id", "page_no", "start", "end", F.floor(F.col("start") / TILE).alias("first_b"), tiles("start", "end").alias("tile"))
-    lt = leaves.select("rec_id", "book_id", "start_off", "end_off", F.floor(F.col("start_off") / TILE).alias("first_l"), tiles("start_off", "end_off").alias("tile"))
+    total = at.groupBy("book_id").agg(F.max("end").alias("total"))  # no leaf is spread over more tiles than its book has
+    inside = leaves.join(total, "book_id").select("rec_id", "book_id", F.greatest("start_off", F.lit(0)).alias("start_off"), F.least("end_off", "total").alias("end_off")).where("start_off < end_off")
+    lt = inside.select("rec_id", "book_id", "start_off", "end_off", F.floor(F.col("start_off") / TILE).alias("first_l"), tiles("start_off", "end_off").alias("tile"))
     hit = lt.join(bt, ["book_id", "tile"]).where((F.col("start") < F.col("end_off")) & (F.col("end") > F.col("start_off")) & (F.col("tile") == F.greatest("first_b", "first_l")))
     lo, hi = F.greatest("start", "start_off"), F.least("end", "end_off")
     want = hit.select("rec_id", "book_id", "page_no", lo.alias("at"), (lo - F.col("start") + 1).cast("int").alias("skip"), (hi - lo).cast("int").alias("take"))
@@ -140,9 +142,17 @@ def pieces(sections: DataFrame, nodes: DataFrame, blocks: DataFrame, limits: Dat
     a record once. Items with null text, offsets or limit aren't over it. An oversized leaf whose offsets meet no text
     has the one empty piece [0, 0).
     """
-    lim = F.broadcast(limits.where("max_chars is not null").groupBy("item_kind").agg(F.min("max_chars").alias("most"), F.max(F.coalesce("overlap_chars", F.lit(0))).alias("over")))  # a handful of rows by design
-    s = sections.select("rec_id", F.col("raw_text").alias("text"), F.lit("section").alias("item_kind")).join(lim, "item_kind").where(F.length("text") > F.col("most")).dropDuplicates(["rec_id"])
-    leaf = nodes.where("is_leaf and end_off > start_off").select("rec_id", "book_id", "start_off", "end_off").withColumn("item_kind", F.lit("leaf")).join(lim, "item_kind").where("end_off - start_off > most").dropDuplicates(["rec_id"])
+    # at most one row per kind of item
+    rows = limits.where(F.col("item_kind").isin("section", "leaf") & F.col("max_chars").isNotNull()).groupBy("item_kind").agg(F.min("max_chars").alias("most"), F.max(F.coalesce("overlap_chars", F.lit(0))).alias("over")).collect()
+    lim = {r.item_kind: (r.most, r.over) for r in rows}
+
+    def over(df: DataFrame, kind: str, size) -> DataFrame:
+        most, overlap = lim.get(kind, (None, None))
+        cols = [F.lit(kind).alias("item_kind"), F.lit(most).cast("int").alias("most"), F.lit(overlap).cast("int").alias("over")]
+        return df.where(size > F.lit(most).cast("int")).select("*", *cols).dropDuplicates(["rec_id"])
+
+    s = over(sections.select("rec_id", F.col("raw_text").alias("text")), "section", F.length("text"))
+    leaf = over(nodes.where("is_leaf and end_off > start_off").select("rec_id", "book_id", "start_off", "end_off"), "leaf", F.col("end_off") - F.col("start_off"))
     text = leaf_texts(leaf, blocks)
     items = s.select("item_kind", "rec_id", "text", "most", "over").unionByName(leaf.join(text, "rec_id", "left").select("item_kind", "rec_id", "text", "most", "over"))
 

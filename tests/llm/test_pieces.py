@@ -51,7 +51,7 @@ def _tables(frame):
 
 def test_leaf_texts_equal_the_book(frame):
     blocks, text = _tables(frame)
-    at = [(1, 0, len(text)), (2, 5, 77), (3, len(text) - 9, len(text) + 500), (4, len(text) + 5, len(text) + 9)]
+    at = [(1, 0, len(text)), (2, 5, 77), (3, len(text) - 9, len(text) + 500), (4, len(text) + 5, len(text) + 9), (5, 3, 10**15)]
     leaves = frame([(i, "b", a, b) for i, a, b in at], "rec_id bigint, book_id string, start_off bigint, end_off bigint")
     got = {r.rec_id: r.text for r in leaf_texts(leaves, blocks).collect()}
     assert got == {i: text[a:b] for i, a, b in at if text[a:b]}
