@@ -83,6 +83,8 @@ def _thai_gap(left: str, right: str) -> bool:
         return not any(right.startswith(w) or right[:22].find(w) > 0 for w in REPORTS)
     if not _THAI.match(right[0]):
         return right[0] in "“«(‘"
+    if regex.match(r"(?:\p{Thai}{1,3}\.)+", right):
+        return False  # an abbreviation such as that of an era or a unit
     head = words(right[:14])
     tail = words(left[-14:])
     if tail and WORDS.get(tail[-1]) == "unit" and len(tail) > 1 and tail[-2][-1:].isdigit():
@@ -124,6 +126,8 @@ def split_line(line: str) -> list[int]:
         if a < start:
             continue
         mark = line[a]
+        if mark == "." and b - a == 1 and a and _THAI.match(line[a - 1]):
+            continue  # Thai has no full stop, only abbreviations
         e = b
         while e < n and (line[e] in CLOSERS or (line[e] == "“" and any(s < a and c == e for s, q, c in spans if q == "„"))):
             e += 1
