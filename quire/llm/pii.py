@@ -53,7 +53,8 @@ LEX = {w: k for k, ws in LEXICON.items() for w in ws.split()}
 GIVEN = "Ilse Ulla Henrik Lucia Paloma Helene Odile Anselm Marit Petra Beata Rufus Silvan Gregor Caspar Renske Joris Sabine Tobias Mara Nadia Noor Osric Emeric Ivo Quentin Dario Tamsin Ramon Elodie Anna Peter Maria Clara Jonas Émile Inés Björn Zoë Otto Ada Hugo Ines Carl Nora".split()
 HEAD = "Kest Lind Stav Brenn Bren Thar Sol Um Vel Pell Quar Ros Tol Win Har Hol Mar Ost Gar Dra Fen Col Ward Hart Berg Stein Mont Gold".split()
 TAIL = "mond lund shaw rick bury den ander wick quist horne gast vane etti ova tavi eaux man son field well".split()
-FAMILY = sorted({(a + b) for i, a in enumerate(HEAD) for j, b in enumerate(TAIL) if (i + j) % 2 == 0})
+COMMON = "Smith Johnson Williams Brown Jones Miller Davis Wilson Taylor Clark Lewis Walker Young King Wright Baker Manning Browning Keating Hastings Fleming Harding Cunningham Fielding Golding Whiting Schmidt Schneider Fischer Weber Wagner Becker Hoffmann Koch Richter Dubois Laurent Lefebvre Moreau Fournier Girard Bonnet García Martínez López Sánchez Pérez Romero Navarro Torres Rossi Bianchi Novak Larsen".split()
+FAMILY = sorted({*COMMON} | {(a + b) for i, a in enumerate(HEAD) for j, b in enumerate(TAIL) if (i + j) % 2 == 0})
 TOWNS = "Orlen Petrasca Castavel Tarnbruck Dunvarra Saltmere Quillhaven Morrowfell Bramsholt Theskaya Vallisund Kestermoor Ivernay Lorrimund Ellisport Ombria Northwick Highbridge Oldport".split()
 STREETS = ["Harbour Terrace", "Larch Row", "Quarry Lane", "Old Kiln Road", "Upper Weir Close", "Bellfounder Street", "Cooper's Yard", "Mill Lane", "Church Street", "Elm Avenue", "Station Road", "Abbey Court"]
 HOSTS = ["margins.test", "stet.example.org", "post.saltmere.invalid", "mail.orlen.example", "quillhaven.example", "lantern-press.example", "example.com", "mail.example.net"]
@@ -80,6 +81,8 @@ def _fill(rng: random.Random, key: str) -> str:
     def pick(values):
         if values in (GIVEN, FAMILY, TOWNS) and rng.random() < 0.5:
             return _word(rng)
+        if values is FAMILY and rng.random() < 0.3:
+            return rng.choice(COMMON)
         x = rng.choice(values)
         if values in (STREETS, DE_STREET, FR_STREET, ES_STREET) and rng.random() < 0.2:
             head = regex.sub(r"\p{Lu}[\p{L}'-]{3,}?(?=\b|weg|straße|gasse|promenade)", lambda _: _word(rng), x, count=1 if values is not ES_STREET else 0)
@@ -370,6 +373,12 @@ The Threadbare Correspondence: Once more, the merchant waited.\nA Copper-bound P
 A Well-known Parliament: Meanwhile, the harbour waited.\nAn Ancestral Quarantine: In <year>, the treatise waited.
 Of the Tidal Embankment: In practice, the argument waited.\nA Hand-written Printing-house: The narrator waited.
 Das unvollendete Manuskript: Der Rat, d. h. die Partei der Kaufleute, übersah es.
+Die Wasserleitung: Das Komitee, d. h. die Partei der Kaufleute, verlor es.
+Die Kirchenbücher: Das Kloster verheimlichte das unvollendete Manuskript.\nDie umstrittene Grenze: Der Müller übernahm sie.
+El informe anual: A pesar de las objeciones, la delegación esperó.\nEl capítulo olvidado: Por primera vez, el consejo esperó.
+La conducción de agua: Al invierno siguiente, el consejo esperó. La frontera disputada: El comerciante esperó.
+L’ancien grenier : Avant la fin de l’année, le comité hésitait.\nLa collection de cartes: Le marchand hésitait.
+Список арендаторов: К концу столетия молодой писарь ждал.\nСтарый амбар: Городской совет ждал.
 Den Jahresbericht: Die Gesandtschaft vollendete die Register.
 La frontera disputada: El monasterio ignoró el tratado.\nLos libros parroquiales: El comité criticó el informe.
 Le chapitre oublié : La municipalité hésitait.
