@@ -9,30 +9,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.tree import descendant_leaves
+from quire.session import checkpointed
 
 NODE = ["book_id", "node_id"]
 
 
+def _under(nodes: DataFrame, under: DataFrame | None) -> DataFrame:
+    return descendant_leaves(nodes) if under is None else under
+
+
 def leaf_inclusion(nodes: DataFrame, inclusion: DataFrame) -> DataFrame:
     """(book_id, leaf_id, included) of every leaf."""
     i = inclusion.groupBy("book_id", "leaf_id").agg(F.bool_and("included").alias("included"))
     return nodes.where("is_leaf").select("book_id", F.col("node_id").alias("leaf_id")).join(i, ["book_id", "leaf_id"], "left").select("book_id", "leaf_id", F.coalesce("included", F.lit(True)).alias("included"))
 
 
-def states(nodes: DataFrame, inclusion: DataFrame) -> DataFrame:
+def states(nodes: DataFrame, inclusion: DataFrame, under: DataFrame | None = None) -> DataFrame:
     """(book_id, node_id, state, leaves, kept): all, none or mixed by the leaves below; none without leaves."""
-    x = descendant_leaves(nodes).join(leaf_inclusion(nodes, inclusion), ["book_id", "leaf_id"]).groupBy(*NODE).agg(F.count("*").alias("leaves"), F.count_if("included").alias("kept"))
+    x = _under(nodes, under).join(leaf_inclusion(nodes, inclusion), ["book_id", "leaf_id"]).groupBy(*NODE).agg(F.count("*").alias("leaves"), F.count_if("included").alias("kept"))
     y = nodes.select(*NODE).join(x, NODE, "left")
     state = F.when(F.coalesce("kept", F.lit(0)) == 0, "none").when(F.col("kept") == F.col("leaves"), "all").otherwise("mixed")
     return y.select(*NODE, state.alias("state"), F.coalesce("leaves", F.lit(0)).alias("leaves"), F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
-def fragments(nodes: DataFrame, inclusion: DataFrame) -> DataFrame:
+def fragments(nodes: DataFrame, inclusion: DataFrame, under: DataFrame | None = None) -> DataFrame:
     """(book_id, node_id, kind, start_off, end_off, leaves): maximal uniform subtrees, kept or bracketed.
 
     A fragment is a node with one state whose parent is mixed, or which has none; a subtree without leaves is none.
     """
-    s = states(nodes, inclusion)
+    s = states(nodes, inclusion, under)
     up = s.select("book_id", F.col("node_id").alias("parent_id"), F.col("state").alias("above"))
     n = nodes.select(*NODE, "parent_id", "start_off", "end_off").join(s, NODE).join(up, ["book_id", "parent_id"], "left")
     f = n.where((F.col("state") != "mixed") & (F.col("leaves") > 0) & (F.col("above").isNull() | (F.col("above") == "mixed")))
@@ -47,10 +52,10 @@ def merged(frags: DataFrame) -> DataFrame:
     return x.groupBy("book_id", "run", "kind").agg(F.min(F.struct("start_off", "end_off", "node_id")).alias("a"), F.max("end_off").alias("end_off"), F.count("*").alias("parts")).select("book_id", "kind", F.col("a.node_id").alias("first_id"), F.col("a.start_off").alias("start_off"), "end_off", "parts")
 
 
-def fragment_pages(nodes: DataFrame, frags: DataFrame) -> DataFrame:
+def fragment_pages(nodes: DataFrame, frags: DataFrame, under: DataFrame | None = None) -> DataFrame:
     """(book_id, node_id, kind, start_off, lo, hi): pages from the first to the last leaf of each fragment."""
     leaf = nodes.where("is_leaf").select("book_id", F.col("node_id").alias("leaf_id"), "start_page", "end_page")
-    x = frags.select(*NODE, "kind", "start_off").join(descendant_leaves(nodes), NODE).join(leaf, ["book_id", "leaf_id"])
+    x = frags.select(*NODE, "kind", "start_off").join(_under(nodes, under), NODE).join(leaf, ["book_id", "leaf_id"])
     return x.groupBy(*NODE, "kind", "start_off").agg(F.min("start_page").alias("lo"), F.max("end_page").alias("hi")).where("lo <= hi")
 
 
@@ -69,9 +74,11 @@ def deletions(pages: DataFrame, page_count: DataFrame) -> DataFrame:
 
 def export_stats(nodes: DataFrame, inclusion: DataFrame, books: DataFrame) -> DataFrame:
     """(book_id, pages, deleted, kept, brackets): what an edition leaves out of every book with a page count."""
-    f = fragments(nodes, inclusion)
+    nodes = checkpointed(nodes)
+    under = checkpointed(descendant_leaves(nodes))  # used three times; without texts
+    f = checkpointed(fragments(nodes, inclusion, under))
     b = books.where("page_count is not null").groupBy("book_id").agg(F.max("page_count").alias("page_count"))
-    d = deletions(fragment_pages(nodes, f), b).groupBy("book_id").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("deleted"))
+    d = deletions(fragment_pages(nodes, f, under), b).groupBy("book_id").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("deleted"))
     m = merged(f).where("kind = 'bracket'").groupBy("book_id").agg(F.count("*").alias("brackets"))
     x = b.join(d, "book_id", "left").join(m, "book_id", "left")
     gone = F.coalesce("deleted", F.lit(0))

@@ -8,6 +8,7 @@ from quire.operators import blocks as B
 from quire.operators import curation as C
 from quire.operators import tree as T
 from quire.plans.blocks import _bounds
+from quire.session import checkpointed
 from quire.tables import table
 
 
@@ -15,6 +16,11 @@ def _n(s, d):
     return T.current(table(s, d, "nodes"))
 
 
+def _once(n):
+    """The nodes without their texts, made once, for queries that walk the tree."""
+    return checkpointed(n.drop("summary_text"))
+
+
 def _inc(n):
     """A leaf is left out where its summary is known to be short: a flag that the data carry."""
     return n.where("is_leaf and summary_words is not null").select("book_id", F.col("node_id").alias("leaf_id"), (F.col("summary_words") >= 40).alias("included"))
@@ -28,6 +34,14 @@ def _with(f):
     return run
 
 
+def _tree(f):
+    def run(s, d):
+        n = _once(_n(s, d))
+        return f(s, d, n, _inc(n))
+
+    return run
+
+
 _TEXT = "\n\n".join("paragraph " + str(i) + " " + "x" * (90 + 37 * i) for i in range(30))
 _KIDS = [(1, "A", 0, 700), (1, "Empty", 700, 700), (1, "B", 690, 1500), (1, " ", 1490, 99999)] + [(2, f"c{i}", i * 500, i * 500 + 510) for i in range(12)] + [(3, "only", 5, 20)]
 
@@ -36,22 +50,27 @@ def _kids(s, d):
     return T.reconciled(s.createDataFrame(_KIDS, "id int, title string, start_off int, end_off int"), s.createDataFrame([(i, _TEXT) for i in (1, 2, 3)], "id int, text string"))
 
 
+def _deleted(n, i, books):
+    under = checkpointed(T.descendant_leaves(n))
+    return C.deletions(C.fragment_pages(n, C.fragments(n, i, under), under), books)
+
+
 QUERIES = {
-    "title_chain": _with(lambda s, d, n, i: T.title_chains(n)),
-    "descendant_leaves": _with(lambda s, d, n, i: T.descendant_leaves(n)),
+    "title_chain": _tree(lambda s, d, n, i: T.title_chains(n)),
+    "descendant_leaves": _tree(lambda s, d, n, i: T.descendant_leaves(n)),
     "count_leaves": _with(lambda s, d, n, i: T.leaf_counts(n)),
     "leaf_flags": _with(lambda s, d, n, i: T.leaf_flags(n)),
     "ontology_listing": _with(lambda s, d, n, i: T.listing(n)),
     "downstream_leaves": _with(lambda s, d, n, i: T.downstream_leaves(n)),
     "dependency_edges": _with(lambda s, d, n, i: T.dependency_edges(n)),
-    "inclusion_state": _with(lambda s, d, n, i: C.states(n, i)),
-    "fragments": _with(lambda s, d, n, i: C.fragments(n, i)),
-    "merge_brackets": _with(lambda s, d, n, i: C.merged(C.fragments(n, i))),
-    "fragment_pages": _with(lambda s, d, n, i: C.fragment_pages(n, C.fragments(n, i))),
-    "deletion_intervals": _with(lambda s, d, n, i: C.deletions(C.fragment_pages(n, C.fragments(n, i)), table(s, d, "books", "book_id", "page_count"))),
-    "export_stats": _with(lambda s, d, n, i: C.export_stats(n, i, table(s, d, "books", "book_id", "page_count"))),
+    "inclusion_state": _tree(lambda s, d, n, i: C.states(n, i)),
+    "fragments": _tree(lambda s, d, n, i: C.fragments(n, i)),
+    "merge_brackets": _tree(lambda s, d, n, i: C.merged(C.fragments(n, i))),
+    "fragment_pages": _tree(lambda s, d, n, i: C.fragment_pages(n, C.fragments(n, i))),
+    "deletion_intervals": _tree(lambda s, d, n, i: _deleted(n, i, table(s, d, "books", "book_id", "page_count"))),
+    "export_stats": _tree(lambda s, d, n, i: C.export_stats(n, i, table(s, d, "books", "book_id", "page_count"))),
     "curate_stats": _with(lambda s, d, n, i: C.leaf_inclusion(n, i).join(n.select("book_id", F.col("node_id").alias("leaf_id"), "start_page", "end_page"), ["book_id", "leaf_id"]).groupBy("book_id").agg(F.count("*").alias("leaves"), F.count_if("included").alias("kept"), F.coalesce(F.sum(F.when(F.col("included"), F.col("end_page") - F.col("start_page") + 1)), F.lit(0)).alias("kept_pages"))),
-    "toggle_inclusion": _with(lambda s, d, n, i: C.toggled(n, i, n.where("depth = 1"))),
+    "toggle_inclusion": _tree(lambda s, d, n, i: C.toggled(n, i, n.where("depth = 1"))),
     "apply_suggest": _with(lambda s, d, n, i: C.applied(n, i, n.where("source = 'toc' and not is_leaf and summary_words < 50"))),
     "revert_suggest": _with(lambda s, d, n, i: C.reverted(C.applied(n, i, n.where("source = 'toc' and not is_leaf and summary_words < 50")))),
     "suggest_budget": _with(lambda s, d, n, i: n.where("is_leaf and end_off > start_off").groupBy("book_id").agg(F.sum(F.col("end_off") - F.col("start_off")).alias("total")).select("book_id", "total", F.floor(F.col("total") * 0.4 + 0.5).alias("to_exclude"))),
