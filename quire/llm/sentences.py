@@ -2,13 +2,15 @@
 
 Spaced scripts: the terminators of a line span a lattice whose edges are possible sentences; each terminator is
 scored from the word before it, the opening after it and the quotations and brackets around it, and the cheapest
-path is taken. Spaceless scripts: the words on both sides of a gap come from a dictionary word lattice, and the gap
-is classified by the final particle or word before it and the opening word after it.
+path is taken. Spaceless scripts (Thai, Chinese, Japanese): a dictionary word lattice divides each whole run
+beside a gap into words, and the gap (white space, suspension points, a full stop or what follows a quotation) is
+classified by the final particle or word before it and the opening, linking or reporting word after it; 。！？ close a
+sentence by themselves.
 """
 
 from __future__ import annotations
 
-import functools
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,14 +34,21 @@ REPORTS = "पूछा कहा बोला बोली पूछी سأل
 CONTINUES = "ثم لكن و फिर पर और लेकिन แล้ว แต่ และ 后来 然后 接着 但 却 于是 而 それから そして しかし だが と って".split()
 # Dictionary of the word lattice, by part: final particles and words, openers, links, units.
 LATTICE = {
-    "final": "了 的 吗 呢 吧 啊 过 着 た だ です ます のか か よ ね ない る う ครับ ค่ะ คะ นะ จ้ะ แล้ว",
+    "final": "吗 呢 吧 啊 嘛 啦 た だ です ます でした ました ません だった だろう でしょう のか か よ ね ない る ครับ ค่ะ คะ นะ จ้ะ แล้ว",
+    "weak": "了 的 过 着 う",
     "open": "这 那 他 她 它 我 我们 他们 在 第二年 世纪末 年底 没有 尽管 歉收 围城 大桥 据 一 この その 彼 彼女 私 包囲 翌年 世紀 何 反対 凶作 年 しかし また ใน ก่อน หลัง ระหว่าง โดย เป็น เมื่อ แต่ละ ผู้ พ่อค้า คณะ สภา ช่าง หอ เสมียน อาราม เขา เธอ ฉัน เรา ต่อไป เรื่อง วันนี้ ครั้ง",
-    "link": "和 与 而 但 并 或 以前 之前 之后 以后 は が を に で と の も へ から まで より แต่ และ หรือ ที่ ของ ให้ ว่า ซึ่ง จาก ถึง กับ",
+    "link": "和 与 而 但 并 或 以前 之前 之后 以后 は が を に で と の も へ から まで より แต่ และ หรือ ที่ ของ ให้ ว่า ซึ่ง จาก ถึง กับ って",
     "unit": "年 月 日 页 卷 章 里 亩 号 回 巻 頁 反 ฉบับ กก พ.ศ ค.ศ ปี น หน้า เล่ม ข้อ บาท เมตร",
-    "report": "说 问 问道 说道 回答 答 喊 喊道 道 言い 言った 尋ねた 答えた 叫んだ ถาม กล่าว ตอบ",
+    "report": "说 问 问道 说道 回答 答 答道 喊 喊道 道 叫 言い 言った 尋ねた 答えた 叫んだ ถาม กล่าว พูด ตอบ",
+    "goes": "后来 然后 接着 却 于是 それから そして だが",
+    "other": "知道 街道 河道 难道 小说 传说 学问 疑问 其他 现在 过了 目的 もう とても でも はい いる แผนที่ พื้นที่ หน้าที่ สถานที่ เจ้าหน้าที่ ทันที คำถาม คำตอบ",
 }
 WORDS = {w: k for k, ws in LATTICE.items() for w in ws.split()}
-LONGEST = max(map(len, WORDS))
+# The dictionary by first character: lengths of the words.
+LENGTHS = {c: sorted({len(w) for w in WORDS if w[0] == c}) for c in {w[0] for w in WORDS}}
+# What the class of the word before a gap, and of the word after it, says for the end of a sentence there.
+BEFORE = {"final": 1.0, "weak": 0.5, "link": -2.0, "unit": -1.0}
+AFTER = {"open": 1.0, "link": -1.0, "goes": -1.0}
 
 CLOSERS = "”’»」』)]）］】〉》›"
 OPENERS = "“‘«「『(（[［【〈《„¿¡‹"
@@ -50,21 +59,24 @@ _ABBR = regex.compile(r"[\p{L}\p{M}ª.\-]+$")
 _NUM = regex.compile(r"\d+$")
 _THAI = regex.compile(r"\p{Thai}")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_RUN = regex.compile(r"[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}ー々]+")
+_STOP = regex.compile(r"[。！？「“]")
 _GAP = regex.compile(r"[^\S\n]+")
-_ZH_REPORT = regex.compile(r"^[^。！？「“]{0,24}?(?:问道|说道|喊道|答道|回答|问|说|答|喊|道|叫)(?:[。！？，,:：]|$)")
 
 
-@functools.lru_cache(maxsize=65536)
 def words(run: str) -> tuple[str, ...]:
     """Cheapest path through the word lattice of ``run``: dictionary words cost 1, other characters 1.2 each."""
     n = len(run)
     best = [0.0] + [1e9] * n
     back = [0] * (n + 1)
-    for i in range(n):
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            cost = 1.0 if run[i:j] in WORDS else 1.2 * (j - i) if j == i + 1 else 1e9
-            if best[i] + cost < best[j]:
-                best[j], back[j] = best[i] + cost, i
+    for i, c in enumerate(run):
+        here = best[i]
+        if here + 1.2 < best[i + 1]:
+            best[i + 1], back[i + 1] = here + 1.2, i
+        for k in LENGTHS.get(c, ()):
+            j = i + k
+            if j <= n and here + 1.0 < best[j] and run[i:j] in WORDS:
+                best[j], back[j] = here + 1.0, i
     out = []
     j = n
     while j:
@@ -73,23 +85,80 @@ def words(run: str) -> tuple[str, ...]:
     return tuple(reversed(out))
 
 
-def _thai_gap(left: str, right: str) -> bool:
-    """Whether a gap between two Thai runs closes a sentence, by the words beside it."""
-    if not right or not left:
+class Words:
+    """The words of the spaceless runs of a line; a run's lattice is built when a gap beside it is looked at."""
+
+    def __init__(self, line: str):
+        self.line = line
+        self.known: dict[int, dict[int, str]] = {}
+        self.runs = [m.span() for m in _RUN.finditer(line)]
+        self.begins = [a for a, _ in self.runs]
+
+    def _run(self, k: int) -> dict[int, str]:
+        """Word by position."""
+        if k not in self.known:
+            a, b = self.runs[k]
+            at = {}
+            for w in words(self.line[a:b]):
+                at[a] = w
+                a += len(w)
+            self.known[k] = at
+        return self.known[k]
+
+    def head(self, at: int) -> str:
+        """The word that begins at ``at``."""
+        k = bisect.bisect_right(self.begins, at) - 1
+        return self._run(k).get(at, "") if k >= 0 and at < self.runs[k][1] else ""
+
+    def tail(self, at: int) -> str:
+        """The word that ends before ``at``."""
+        k = bisect.bisect_left(self.begins, at) - 1
+        return next(reversed(self._run(k).values())) if k >= 0 and at == self.runs[k][1] else ""
+
+    def between(self, a: int, b: int) -> Iterator[tuple[int, str]]:
+        """(position, word) of the words that begin in [a, b)."""
+        for k in range(max(0, bisect.bisect_right(self.begins, a) - 1), bisect.bisect_left(self.begins, b)):
+            yield from ((i, w) for i, w in self._run(k).items() if a <= i < b)
+
+    def closes(self, a: int, b: int, prior: float) -> bool:
+        """Whether the gap from ``a`` to ``b`` closes a sentence, by the classes of the words beside it."""
+        tail, head = self.tail(a), self.head(b)
+        kind = WORDS.get(tail)
+        before = a - len(tail)
+        while kind == "unit" and before and self.line[before - 1].isspace():
+            before -= 1
+        if kind == "unit" and not (before and (self.line[before - 1].isnumeric() or self.line[before - 1] == "第")):
+            kind = None  # a unit counts after a number only
+        return prior + BEFORE.get(kind, 0.0) + AFTER.get(WORDS.get(head), 0.0) >= 1.0
+
+    def reported(self, at: int) -> bool:
+        """Whether what follows a quotation reports it: a reporting word before the next mark (Chinese)."""
+        stop = _STOP.search(self.line, at)
+        end = min(at + 26, stop.start() if stop else len(self.line))
+        return any(WORDS.get(w) == "report" and (i + len(w) == len(self.line) or self.line[i + len(w)] in "。！？，,:：") for i, w in self.between(at, end))
+
+
+def _thai_gap(line: str, a: int, b: int, found: Words) -> bool:
+    """Whether the gap from ``a`` to ``b`` beside a Thai run closes a sentence, by the words beside it."""
+    if not a or b >= len(line):
         return False
-    if left[-1].isdigit() or right[0].isdigit() or left[-1] in ".,:;“‘«([" or right[0] in "”’»)]:;,":
+    left, right = line[a - 1], line[b]
+    if left.isdigit() or right.isdigit() or left in ".,:;“‘«([" or right in "”’»)]:;,":
         return False
-    if left[-1] in "”»?!":
-        return not any(right.startswith(w) or right[:22].find(w) > 0 for w in REPORTS)
-    if not _THAI.match(right[0]):
-        return right[0] in "“«(‘"
-    if regex.match(r"(?:\p{Thai}{1,3}\.)+", right):
+    if left in "”»?!":
+        return not any(WORDS.get(w) == "report" for _, w in found.between(b, b + 22))
+    if not _THAI.match(right):
+        return right in "“«(‘"
+    if regex.match(r"(?:\p{Thai}{1,3}\.)+", line, pos=b):
         return False  # an abbreviation such as that of an era or a unit
-    head = words(right[:14])
-    tail = words(left[-14:])
-    if tail and WORDS.get(tail[-1]) == "unit" and len(tail) > 1 and tail[-2][-1:].isdigit():
+    return found.closes(a, b, 1.0)  # in Thai a gap alone may close a sentence
+
+
+def _cjk_gap(line: str, a: int, b: int, found: Words) -> bool:
+    """Whether white space within Chinese or Japanese closes a sentence: only where the words beside it say so."""
+    if not a or b >= len(line) or not _CJK.match(line[a - 1]):
         return False
-    return not (head and WORDS.get(head[0]) == "link")
+    return bool(_CJK.match(line[b])) and found.closes(a, b, 0.0) or line[b] in "“「『" and found.closes(a, b, 0.5)
 
 
 def _depths(line: str) -> list[tuple[int, str, int]]:
@@ -118,6 +187,7 @@ def _depths(line: str) -> list[tuple[int, str, int]]:
 def split_line(line: str) -> list[int]:
     """Ends of the sentence units within ``line`` (the end of the line is always one)."""
     spans = _depths(line)
+    found = Words(line)
     n = len(line)
     cands: list[tuple[int, float]] = []
     start = 0
@@ -140,15 +210,16 @@ def split_line(line: str) -> list[int]:
             f += 1
         if f >= n:
             continue
-        if _boundary(line, a, b, e, f, mark, spans, cands[-1][0] if cands else 0):
+        if _boundary(line, a, b, e, f, mark, spans, cands[-1][0] if cands else 0, found):
             cands.append((e, 1.0))
             start = e
-    if _THAI.search(line):
+    if found.runs:
         for m in _GAP.finditer(line):
             a, b = m.span()
-            if any(s < a < c for s, _, c in spans) or not (_THAI.search(line[max(0, a - 12) : a]) or _THAI.match(line[b : b + 1])):
+            if any(s < a < c for s, _, c in spans):
                 continue
-            if _thai_gap(line[max(0, a - 20) : a], line[b : b + 24]):
+            thai = _THAI.search(line[max(0, a - 12) : a]) or _THAI.match(line[b : b + 1])
+            if (_thai_gap if thai else _cjk_gap)(line, a, b, found):
                 cands.append((a, 1.0))
         cands = sorted(set(cands))
     return _path(line, [c for c, _ in cands])
@@ -169,7 +240,7 @@ def _path(line: str, cands: list[int]) -> list[int]:
     return [*ends, len(line)]
 
 
-def _boundary(line: str, a: int, b: int, e: int, f: int, mark: str, spans, unit: int) -> bool:
+def _boundary(line: str, a: int, b: int, e: int, f: int, mark: str, spans, unit: int, found: Words) -> bool:
     nxt = line[f]
     gap = f > e
     prev = line[a - 1] if a else ""
@@ -181,16 +252,16 @@ def _boundary(line: str, a: int, b: int, e: int, f: int, mark: str, spans, unit:
     word = regex.match(r"[\p{L}\p{M}]+", line[head : head + 30])
     word = word.group() if word else ""
     if _CJK.match(prev) or mark in "。！？｡" or _CJK.match(first):
-        if mark == "." and not gap:
-            return False
+        if mark == "." and not gap and b - a == 1:
+            return bool(_CJK.match(prev) and _CJK.match(first)) and found.closes(a, f, 0.5)
         if mark == "…" or (mark == "." and b - a > 1):
-            return not any(line.startswith(w, f) for w in CONTINUES)
+            return found.head(f) not in CONTINUES
         if closed:
             opened = max((s for s, _, c in spans if c < e and c >= b - 1), default=-1)
-            if line.startswith(("と", "って", "，", ",", "、", "。"), f) or nxt in "，,、。的":
+            if nxt in "，,、。" or found.head(f) in ("と", "って", "的"):
                 return False
             if opened >= 0 and not line[unit:opened].strip() and _CJK.match(first):
-                return not _ZH_REPORT.match(line[f : f + 40])
+                return not found.reported(f)
         return True
     if nxt in ",;:،؛—–-)]»”…" and not (nxt in "—–-" and not closed):
         return False

@@ -24,6 +24,31 @@ def test_units(text, want):
     assert [text[a:b] for a, b in sentences(text)] == want
 
 
+# Spaceless scripts: gaps that only the classes of the words beside them decide.
+GAPS = [
+    ("商人隐瞒了粮仓 我们测量地图 而委员会走了", ["商人隐瞒了粮仓", "我们测量地图 而委员会走了"]),
+    ("你们走吧 商人隐瞒了 古老的粮仓", ["你们走吧", "商人隐瞒了 古老的粮仓"]),
+    ("第一章 在港口", ["第一章 在港口"]),
+    ("年份1833年 他测量了地图", ["年份1833年 他测量了地图"]),
+    ("委员会走了吗.我们留下16.7亩", ["委员会走了吗.", "我们留下16.7亩"]),
+    ("商人は港で手稿を隠した　評議会は地図を測りました 彼女は去った", ["商人は港で手稿を隠した", "評議会は地図を測りました", "彼女は去った"]),
+    ("“谁来支付？”没有人知道。“谁来支付？”商人笑道。", ["“谁来支付？”", "没有人知道。", "“谁来支付？”商人笑道。"]),
+    ("「もう遅い！」とても静かだ。", ["「もう遅い！」", "とても静かだ。"]),
+    ("พ่อค้าไปแล้วครับ แต่เธออยู่ ผู้แปลวัดแผนที่ เขาวัดของ เธอ", ["พ่อค้าไปแล้วครับ", "แต่เธออยู่", "ผู้แปลวัดแผนที่", "เขาวัดของ เธอ"]),
+    ("พ่อค้าบอกว่า ยุ้งฉางเก่าอยู่", ["พ่อค้าบอกว่า ยุ้งฉางเก่าอยู่"]),
+]
+
+
+@pytest.mark.parametrize("text,want", GAPS)
+def test_gap_classes(text, want):
+    assert [text[a:b] for a, b in sentences(text)] == want
+
+
+def test_whole_runs_are_divided():
+    run = "委员会测量了地图" * 400 + "吗"
+    assert words(run)[-1] == "吗" and "".join(words(run)) == run and "道" not in words("没有人知道") and words("วัดแผนที่")[-1] == "แผนที่"
+
+
 def test_line_breaks():
     text = "A Heading\nOne sentence. Another\n\n  \nLast"
     assert [text[a:b] for a, b in sentences(text)] == ["A Heading", "One sentence.", "Another", "Last"]
