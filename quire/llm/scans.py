@@ -22,6 +22,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
 from quire.llm.chain import Chain
+from quire.llm.sentences import GOES_ON, MAY_END, MONTHS, split_line
 from quire.session import checkpointed
 
 LABELS = ["body", "heading", "furniture", "break"]
@@ -408,12 +409,57 @@ def cases(blocks: DataFrame, books: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------------------- paragraphs
+#: Classes that may stand between the two parts of a paragraph.
+BETWEEN = ("body", "header", "footer", "folio", "footnote", "caption", "")
+#: Body blocks up to this length may be headings or entries, and an open end of theirs says little, but for several
+#: lines of FILLED characters on average, which neither headings nor most verses have.
+SHORT, FILLED = 90, 35
+#: Characters of each side that are looked at where two pages meet.
+SEAM = 120
+# Abbreviations that are also words a paragraph may end with.
+_WORDS_TOO = {"no", "me", "art", "sec", "gen", "col", "op", "st", "o", "m", "s"}
+_CLOSED = regex.compile(r"[.!?…。！？।؟｡][\"”“’»›」』)）\]]*$")
+_ITEM = regex.compile(r"[•▪*–—-]\s|\(?(?:\d{1,3}|[a-z])\)\s|(?:\d{1,3}|[IVXLC]+)\.\s")
+
+
+def goes_on(tail: str, head: str, long: bool, cut: bool, apart: bool) -> bool:
+    """Whether the paragraph whose text ends in ``tail`` at the end of a page goes on in ``head`` on the next.
+
+    ``long``: running text by its length and lines; ``cut``: the last word is divided; ``apart``: a heading or the like stands
+    between. A small letter, comma or semicolon goes on where no sentence was closed; a capital, a figure, a quotation
+    or a caseless script only where a long block, a divided word or a comma breaks off inside a sentence.
+    """
+    tail, head = tail.rstrip(), head.lstrip()
+    small = bool(regex.match(r"[\p{Ll},;]", head))
+    if not head or not tail or (apart and not small):
+        return False
+    if _CLOSED.search(tail):
+        token = regex.search(r"(?<![\p{L}\p{M}.])([\p{L}\p{M}.\-]+)\.$", tail)
+        low = token.group(1).lower() if token else ""
+        if low not in GOES_ON and low not in MAY_END or len(tail) in split_line(f"{tail} {head}"):
+            return False
+        return small or (low in GOES_ON and (head[0].isdigit() or low not in _WORDS_TOO)) and long
+    if small:
+        return True
+    if cut and head[0].isalpha():
+        return True
+    if not regex.search(r"\p{L}", head) or regex.match(r"[IVXLC]+\W*$", head):
+        return False  # an ornament or a number
+    day = regex.match(r"\d{1,2}\.\s+(\p{L}+)", head)
+    if _ITEM.match(head) and not (day and day.group(1).lower() in MONTHS):
+        return False
+    if tail[-1] in ":：" or not (long or tail.rstrip("\"”“’»›」』")[-1:] in ",;،，、"):
+        return False
+    return not regex.search(r"\p{Thai}$", tail) or len(tail) not in split_line(f"{tail} {head}")
+
+
 def paragraphs(blocks: DataFrame, books: DataFrame) -> DataFrame:
     """(book_id, page_no, block_idx, text): continuous paragraphs without furniture, words restored.
 
     A block's lines are joined, divided words restored and misread words replaced by the word meant. A paragraph that
-    goes on in the first block of the next page is one row under the block it starts in; chains of pages are resolved
-    by doubling the pointers, so that no book is gathered in one task.
+    goes on in the first block of the next page (``goes_on``) is one row under the block it starts in; chains of pages
+    are resolved by doubling the pointers, so that no book is gathered in one task. Spaceless scripts are joined without
+    a space there.
     """
     pages, _, counts = _prepared(blocks, books)
     lines = checkpointed(labelled_lines(pages, counts, with_text=True).where(~F.forall("labels", lambda x: x == "furniture")))
@@ -437,21 +483,31 @@ def paragraphs(blocks: DataFrame, books: DataFrame) -> DataFrame:
         return pd.Series([one(t, list(x), f) for t, x, f in zip(text, labels, fix, strict=True)])
 
     heading = F.exists("labels", lambda x: x == "heading")
-    rows = lines.join(fixes, "rec_id", "left").select("rec_id", "book_id", "page_no", "block_idx", heading.alias("heading"), (F.element_at("labels", -1) == "break").alias("cut"), repair("text", "labels", "fix").alias("text"))
+    rows = lines.join(fixes, "rec_id", "left").select("rec_id", "book_id", "page_no", "block_idx", heading.alias("heading"), F.size("labels").alias("lines"), (F.element_at("labels", -1) == "break").alias("cut"), repair("text", "labels", "fix").alias("text"))
     rows = checkpointed(rows)
     edge = rows.groupBy("book_id", "page_no").agg(F.min("block_idx").alias("lo"), F.max("block_idx").alias("hi"))
-    firsts = rows.join(edge, ["book_id", "page_no"]).where("block_idx = lo").select("book_id", "page_no", "block_idx", F.col("text").rlike(r"^[\p{Ll},;]").alias("goes"), (F.col("lo") == F.col("hi")).alias("single"))
-    lasts = rows.join(edge, ["book_id", "page_no"]).where("block_idx = hi").select("book_id", (F.col("page_no") + 1).alias("page_no"), F.col("block_idx").alias("to_idx"), (~F.col("text").rlike("[.!?…。！？।][\"”’»」』)]*\\s*$") & ~F.col("heading")).alias("open"))
-    link = firsts.join(lasts, ["book_id", "page_no"]).where("goes and open").select("book_id", "page_no", "block_idx", "single", (F.col("page_no") - 1).alias("to_page"), "to_idx")
+    other = pages.select("book_id", "page_no", F.explode(F.filter("b", lambda x: ~x["cls"].isin(*BETWEEN))["block_idx"]).alias("at")).groupBy("book_id", "page_no").agg(F.min("at").alias("top"), F.max("at").alias("bottom"))
+    ends = rows.join(edge.join(other, ["book_id", "page_no"], "left"), ["book_id", "page_no"])
+    apart = lambda x: F.coalesce(x, F.lit(False))
+    firsts = ends.where("block_idx = lo").select("book_id", "page_no", "block_idx", F.substring("text", 1, SEAM).alias("head"), (F.col("heading") | apart(F.col("top") < F.col("lo"))).alias("below"), (F.col("lo") == F.col("hi")).alias("single"))
+    lasts = ends.where("block_idx = hi and not heading").select("book_id", (F.col("page_no") + 1).alias("page_no"), F.col("block_idx").alias("to_idx"), F.right("text", F.lit(SEAM)).alias("tail"), ((F.length("text") > SHORT) | (F.col("lines") > 1) & (F.length("text") >= FILLED * F.col("lines"))).alias("long"), "cut", apart(F.col("bottom") > F.col("hi")).alias("above"))
+
+    @pandas_udf("boolean")
+    def joins(tail: pd.Series, head: pd.Series, long: pd.Series, cut: pd.Series, apart: pd.Series) -> pd.Series:
+        return pd.Series([goes_on(*x) for x in zip(tail, head, long, cut, apart, strict=True)], dtype=bool)
+
+    hyphen = F.when(F.col("cut") & F.col("tail").rlike(r"-\s*$") & F.col("head").rlike(r"^\p{Lu}\p{Ll}"), "-").otherwise("")  # of a compound: Nord-Süd
+    link = firsts.join(lasts, ["book_id", "page_no"]).where(joins("tail", "head", "long", "cut", F.col("below") | F.col("above"))).select("book_id", "page_no", "block_idx", "single", hyphen.alias("hyphen"), (F.col("page_no") - 1).alias("to_page"), "to_idx")
     link = checkpointed(link)
     while True:
         via = link.where("single").select("book_id", F.col("page_no").alias("to_page"), F.col("to_page").alias("p2"), F.col("to_idx").alias("i2"))
         step = link.join(via, ["book_id", "to_page"], "left")
         if step.where("p2 is not null").isEmpty():
             break
-        link = checkpointed(step.select("book_id", "page_no", "block_idx", "single", F.coalesce("p2", "to_page").alias("to_page"), F.coalesce("i2", "to_idx").alias("to_idx")))
-    at = link.select("book_id", "page_no", "block_idx", "to_page", "to_idx")
-    moved = rows.join(at, ["book_id", "page_no", "block_idx"], "left").select("book_id", F.coalesce("to_page", "page_no").alias("p"), F.coalesce("to_idx", "block_idx").alias("i"), "page_no", "block_idx", "text", "cut")
+        link = checkpointed(step.select("book_id", "page_no", "block_idx", "single", "hyphen", F.coalesce("p2", "to_page").alias("to_page"), F.coalesce("i2", "to_idx").alias("to_idx")))
+    at = link.select("book_id", "page_no", "block_idx", "hyphen", "to_page", "to_idx")
+    moved = rows.join(at, ["book_id", "page_no", "block_idx"], "left").select("book_id", F.coalesce("to_page", "page_no").alias("p"), F.coalesce("to_idx", "block_idx").alias("i"), "page_no", "block_idx", F.concat(F.coalesce("hyphen", F.lit("")), "text").alias("text"), "cut")
     parts = moved.groupBy("book_id", "p", "i").agg(F.sort_array(F.collect_list(F.struct("page_no", "block_idx", "text", "cut"))).alias("x"))
-    text = F.aggregate("x", F.lit(""), lambda acc, y: F.concat(acc, F.when(y["cut"], F.regexp_replace(y["text"], f"[{MARKS}]\\s*$", "")).otherwise(F.concat(y["text"], F.lit(" ")))))
+    spaceless = lambda x: x.rlike(r"[\p{IsThai}\p{IsHan}\p{IsHiragana}\p{IsKatakana}。，、」』]$")
+    text = F.aggregate("x", F.lit(""), lambda acc, y: F.concat(acc, F.when(y["cut"], F.regexp_replace(y["text"], f"[{MARKS}]\\s*$", "")).when(spaceless(y["text"]), y["text"]).otherwise(F.concat(y["text"], F.lit(" ")))))
     return parts.select("book_id", F.col("p").alias("page_no"), F.col("i").alias("block_idx"), F.rtrim(text).alias("text"))

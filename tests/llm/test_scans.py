@@ -1,3 +1,5 @@
+import pytest
+
 from quire.llm import scans
 
 BL = "rec_id bigint, book_id string, page_no int, block_idx int, text string, classification string, gap string"
@@ -40,3 +42,47 @@ def test_variants_undo_confusions():
 def test_nothing(frame):
     blocks, books = book(frame)
     assert scans.cases(blocks.where("false"), books).collect() == []
+
+
+SEAMS = [
+    ("The price rose by 6.58% in", "Dunvarra, approx. 9 times the usual.", True, False, False, True),
+    ("Der Rat kam am", "14. Mai 1737 zur Brücke.", True, False, False, True),
+    ("Der Rat verließ die", "Brücke am Abend.", True, False, False, True),
+    ("The council counted about", "1,842 footnotes in the ledger.", True, False, False, True),
+    ("The ferryman turned and said,", "“The ford is lost!”", False, False, False, True),
+    ("商人在港口隐瞒了古老的", "粮仓和地图。", True, False, False, True),
+    ("أهمل التاجر في", "الوادي القديم.", True, False, False, True),
+    ("The genealogy measured 21.6 cm, i.e.", "less than the other.", True, False, False, True),
+    ("They were led by Dr.", "Smith of Orlen.", True, False, False, True),
+    ("and then the Vall-", "ISUND council", True, True, False, True),
+    ("The council went home.", "Dunvarra rose.", True, False, False, False),
+    ("The ferryman said no.", "Dunvarra rose.", True, False, False, False),
+    ("The price rose by 6.58% in", "Dunvarra", True, False, True, False),
+    ("The price rose by 6.58% in", "* * *", True, False, False, False),
+    ("The price rose by 6.58% in", "1842", True, False, False, False),
+    ("The list has these entries", "2. Ledgers", True, False, False, False),
+    ("The Quiet Harbour", "Dunvarra rose by 4%.", False, False, False, False),
+    ("The ledgers are these:", "Dunvarra rose.", True, False, False, False),
+    ("ในปีนั้นผู้แปลวัดแผนที่", "เขาวัดบัญชี", True, False, False, False),
+    ("ในปีนั้นผู้แปลบอกว่า", "เขาวัดบัญชี", True, False, False, True),
+    ("The council went home.", "eReaders rose.", True, False, False, False),
+]
+
+
+@pytest.mark.parametrize("tail,head,long,cut,apart,want", SEAMS)
+def test_goes_on(tail, head, long, cut, apart, want):
+    assert scans.goes_on(tail, head, long, cut, apart) is want
+
+
+def test_paragraphs_go_on_in_capitals_and_caseless_scripts(frame):
+    long = "The council of Orlen restored the whole harbour before winter, while the price of salt rose by 6.58% in"
+    zh = "委员会" + "在港口忽略了年度报告而商人隐瞒了古老的粮仓，" * 5 + "而叙述者翻译了"
+    more = "The council sat there.\nIt was late."
+    mid = "Dunvarra throughout the long winter and after\nthe vote of the parliament, until the"
+    rows = [(1, 1, 0, more), (2, 1, 1, long), (3, 2, 0, mid), (4, 3, 0, "Vallisund blockade. It ended."), (5, 3, 1, more), (6, 5, 0, more), (7, 5, 1, long), (9, 6, 1, "Dunvarra lay still. It ended."), (10, 6, 2, more), (11, 8, 0, more), (12, 8, 1, zh), (13, 9, 0, "年度报告。"), (14, 9, 1, more), (16, 11, 0, more), (17, 11, 1, "Das Komitee verzeichnete am Abend noch die\nNord-"), (18, 12, 0, "Süd-Straße am Ufer."), (19, 12, 1, more)]
+    rows = [(r, "b", p, k, t, "body", "x") for r, p, k, t in rows] + [(8, "b", 6, 0, "Part Two", "title", "x"), (15, "b", 3, 7, "A map", "caption", "x")]
+    books = frame([("b", "pdf", "The Quiet Ledger", 1)], "book_id string, book_format string, title string, first int")
+    got = {(r.page_no, r.block_idx): r.text for r in scans.paragraphs(frame(rows, BL), books).collect()}
+    rest = more.replace("\n", " ")
+    want = {(1, 1): f"{long} {mid} Vallisund blockade. It ended.".replace("\n", " "), (5, 1): long, (6, 1): "Dunvarra lay still. It ended.", (8, 1): zh + "年度报告。", (11, 1): "Das Komitee verzeichnete am Abend noch die Nord-Süd-Straße am Ufer."}
+    assert got == want | {k: rest for k in ((1, 0), (3, 1), (5, 0), (6, 2), (8, 0), (9, 1), (11, 0), (12, 1))}
