@@ -1,8 +1,7 @@
 """Problem 3: sentence units across languages and scripts.
 
-Spaced scripts: the terminators of a line span a lattice whose edges are possible sentences; each terminator is
-scored from the word before it, the opening after it and the quotations and brackets around it, and the cheapest
-path is taken. Spaceless scripts (Thai, Chinese, Japanese): a dictionary word lattice divides each whole run
+Spaced scripts: rules decide each terminator by itself, from the word before it, the opening after it and the
+quotations and brackets around it; no paths are compared. Spaceless scripts (Thai, Chinese, Japanese): a dictionary word lattice divides each whole run
 beside a gap into words, and the gap (white space, suspension points, a full stop or what follows a quotation) is
 classified by the final particle or word before it and the opening, linking or reporting word after it; 。！？ close a
 sentence by themselves.
@@ -226,7 +225,7 @@ def split_line(line: str) -> list[int]:
 
 
 def _path(line: str, cands: list[int]) -> list[int]:
-    """Cheapest path through the lattice of possible sentences: an edge without any letter or figure can't stand alone."""
+    """The ends that are kept: a stretch without any letter or figure can't stand alone."""
     ends = []
     last = 0
     for c in cands:
