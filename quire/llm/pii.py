@@ -1,32 +1,36 @@
 """Problem 9: personal data in free text, found by a linear-chain conditional random field and replaced.
 
-The field is trained at start-up from the small labelled table below (sentences with marked spans) on features
-of word shape, and decoded by Viterbi in numpy batches. An exact check follows each decoded span: it is snapped
-to the written form of its kind (an address with its at-sign, a number from its first to its last digit) or,
-where it has no such form, dropped. Nothing is added that the field didn't find.
+The field is trained at start-up from the small table of ``labelled`` (sentences with marked spans) on features of word
+shape: of each word, and of the run it stands in (something written like a mail address, groups of figures, figures mixed
+with capitals). It is decoded by Viterbi in numpy batches. An exact check follows each decoded span: it is snapped to the
+written form of its kind (an address with its at-sign, a number from its first to its last digit) or, where it has no
+such form, dropped. Nothing is added that the field didn't find.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import random
 import re
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.chain import Chain
+from quire.llm.labelled import FAMILY, GIVEN, KINDS, LABELLED, ZH_FAMILY, realised
 
-KINDS = {"e": "email", "t": "phone", "i": "idnum", "a": "address", "p": "person"}
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "idnum": "[IDNUM]", "address": "[ADDRESS]", "person": "[PERSON]"}
 LABELS = ["O", *(f"{x}-{k}" for k in KINDS.values() for x in "BI")]
 
-#: Tokens in one decoded sequence at most; longer texts are divided after a sentence or line, never shortened.
-SEQUENCE = 400
+#: Tokens that a decoded sequence labels at most, and tokens beyond it on both sides that it also looks at: longer texts are
+#: decoded in overlapping sequences, each token labelled by the one that has the fuller context.
+SEQUENCE, CONTEXT = 400, 60
 #: Texts decoded together; sequences of like length share a numpy batch.
 CALL = 768
 
@@ -42,389 +46,52 @@ LEXICON = {
     "notid": "isbn shelfmark order request catalogue volume vol page pp usd tokens version model bestell commande pedido заказ",
     "greet": "regards sincerely cordialement saludo grüßen уважением name nom nombre имя 氏名 姓名 cc editor 联系 担当 連絡先",
 }
-LEXICON["given"] = (
-    "ilse ulla henrik lucia paloma helene odile anselm marit petra beata rufus silvan gregor caspar renske joris sabine tobias mara nadia noor osric emeric ivo quentin "
-    "dario tamsin ramon elodie john mary james robert michael william david richard thomas charles anna peter maria clara jonas émile inés björn zoë otto ada hugo ines carl "
-    "nora hans karl heinrich jürgen ursula monika pierre jean marie claire luc sophie juan carlos josé carmen luisa pablo мирон ольга тихон раиса савва нина вера глеб анна иван пётр елена мария сергей"
-)
 LEX = {w: k for k, ws in LEXICON.items() for w in ws.split()}
+LEX |= {w.lower(): "given" for w in GIVEN} | {w.lower(): "family" for w in FAMILY} | {c: "zhfam" for c in ZH_FAMILY}
 
-# Names and forms used to fill the labelled sentences.
-GIVEN = "Ilse Ulla Henrik Lucia Paloma Helene Odile Anselm Marit Petra Beata Rufus Silvan Gregor Caspar Renske Joris Sabine Tobias Mara Nadia Noor Osric Emeric Ivo Quentin Dario Tamsin Ramon Elodie Anna Peter Maria Clara Jonas Émile Inés Björn Zoë Otto Ada Hugo Ines Carl Nora".split()
-HEAD = "Kest Lind Stav Brenn Bren Thar Sol Um Vel Pell Quar Ros Tol Win Har Hol Mar Ost Gar Dra Fen Col Ward Hart Berg Stein Mont Gold".split()
-TAIL = "mond lund shaw rick bury den ander wick quist horne gast vane etti ova tavi eaux man son field well".split()
-COMMON = "Smith Johnson Williams Brown Jones Miller Davis Wilson Taylor Clark Lewis Walker Young King Wright Baker Manning Browning Keating Hastings Fleming Harding Cunningham Fielding Golding Whiting Schmidt Schneider Fischer Weber Wagner Becker Hoffmann Koch Richter Dubois Laurent Lefebvre Moreau Fournier Girard Bonnet García Martínez López Sánchez Pérez Romero Navarro Torres Rossi Bianchi Novak Larsen".split()
-FAMILY = sorted({*COMMON} | {(a + b) for i, a in enumerate(HEAD) for j, b in enumerate(TAIL) if (i + j) % 2 == 0})
-TOWNS = "Orlen Petrasca Castavel Tarnbruck Dunvarra Saltmere Quillhaven Morrowfell Bramsholt Theskaya Vallisund Kestermoor Ivernay Lorrimund Ellisport Ombria Northwick Highbridge Oldport".split()
-STREETS = ["Harbour Terrace", "Larch Row", "Quarry Lane", "Old Kiln Road", "Upper Weir Close", "Bellfounder Street", "Cooper's Yard", "Mill Lane", "Church Street", "Elm Avenue", "Station Road", "Abbey Court"]
-HOSTS = ["margins.test", "stet.example.org", "post.saltmere.invalid", "mail.orlen.example", "quillhaven.example", "lantern-press.example", "example.com", "mail.example.net"]
-RU_GIVEN = "Мирон Ольга Тихон Раиса Савва Нина Вера Глеб Анна Иван Пётр Елена".split()
-RU_FAMILY = "Бренунов Марханин Вельданин Тольванин Кестанин Драганин Остренов Сольненов Вельдунов Тольвенов Иванов Петрова Тольвунов Мархенов".split()
-RU_STREET = ["ул. Мельничная", "пер. Переплётный", "наб. Старой Мельницы", "ул. Садовая", "пр. Победы"]
-ZH_FAMILY, ZH_GIVEN = "闻贺狄卓宓廖王李张赵", ["知远", "临川", "念初", "若溪", "砚秋", "书白", "伯庭", "建国", "小明"]
-ZH_STREET = ["望港街", "旧书巷", "清磨坊路", "人民路", "中山街", "学院巷"]
-JA_NAME = ["霧島田 蒼介", "藤凪 澪子", "苑宮 千夏", "鳴瀬川 律", "柚原 澄江", "榛沢 朔也", "山田 太郎", "佐藤 花子", "高橋 健"]
-JA_STREET = ["水車坂", "古書通り", "港見町", "桜台", "本町"]
-DE_STREET = ["Müllerweg", "Seilerstraße", "Lindenhofgasse", "Uferpromenade", "Am Alten Speicher", "Bahnhofstraße", "Am Markt", "Gartenweg"]
-FR_STREET = ["rue des Tanneurs", "quai du Vieux-Moulin", "impasse des Relieurs", "avenue de la Halle", "rue de la Paix", "boulevard du Port"]
-ES_STREET = ["Calle de la Higuera", "Plaza del Pozo", "Avda. de los Molinos", "Callejón del Impresor", "Calle Mayor", "Paseo del Río"]
-
-
-def _word(rng: random.Random) -> str:
-    """An invented capitalised word, so that shapes and neighbours are learnt rather than words."""
-    return "".join(rng.choice(["ba", "ke", "li", "mor", "tan", "se", "vi", "dul", "gre", "pra", "no", "win", "sto", "fa", "ru", "he"]) + rng.choice(["", "", "n", "r", "l", "s"]) for _ in range(rng.randint(2, 3))).capitalize()
-
-
-def _fill(rng: random.Random, key: str) -> str:
-    """A value of a slot of the labelled sentences; ``#`` stands for a digit."""
-
-    def pick(values):
-        if values in (GIVEN, FAMILY, TOWNS) and rng.random() < 0.5:
-            return _word(rng)
-        if values is FAMILY and rng.random() < 0.3:
-            return rng.choice(COMMON)
-        x = rng.choice(values)
-        if values in (STREETS, DE_STREET, FR_STREET, ES_STREET) and rng.random() < 0.2:
-            head = regex.sub(r"\p{Lu}[\p{L}'-]{3,}?(?=\b|weg|straße|gasse|promenade)", lambda _: _word(rng), x, count=1 if values is not ES_STREET else 0)
-            x = head if values is not ES_STREET else x.rpartition(" ")[0] + " " + _word(rng)
-        return x
-
-    def digits(form: str) -> str:
-        return "".join(str(rng.randint(0, 9)) if c == "#" else pick("ABCDKMTXY") if c == "@" else c for c in form)
-
-    if key == "name":
-        g, f = pick(GIVEN), pick(FAMILY)
-        x = rng.random()
-        f = f + "-" + pick(FAMILY) if x < 0.18 else f
-        x = rng.random()
-        if x < 0.14:
-            return f"{pick('ABCEHIJMNOPQRTU')}. {pick('ABCEHIJMNOPQRTU')}. {f}"
-        if x < 0.2:
-            return f"{pick('ABCEHIJMNOPQRTU')}. {f}"
-        return f"{f}, {g}" if x < 0.33 else (f"{g} {f}").lower() if x < 0.43 else (f"{g} {f}").upper() if x < 0.45 else f"{g} {f}"
-    if key == "family":
-        return pick(FAMILY)
-    if key == "town":
-        return pick(TOWNS)
-    if key == "mail":
-        user = pick([f"{pick(GIVEN)}{pick('._-')}{pick(FAMILY)}{pick(['', str(rng.randint(1, 99))])}", f"{pick(FAMILY)}{rng.randint(1, 99)}", f"{pick(FAMILY)}+books", f"{pick('abcdeg')}{pick(FAMILY)}"]).lower()
-        host = pick(HOSTS)
-        x = rng.random()
-        if x < 0.1:
-            return f"{user} [at] {host.replace('.', ' [dot] ')}"
-        if x < 0.2:
-            return f"{user} (at) {host}"
-        if x < 0.28:
-            return f"{user} @ {host}"
-        return f"{user}@{host}".upper() if x < 0.36 else f"{user}@{host}"
-    if key == "phone":
-        return digits(pick(["+1 ### 555 01##", "###.555.01##", "(###) 555-01##", "###-555-01##", "020 7946 0###", "01632960###", "+44 1632 960###"]))
-    if key == "phone_de":
-        return digits(pick(["+49 30 23125###", "0049/69/90009###", "030 23125 ###", "(030) 23125-###", "0171 #######"]))
-    if key == "phone_fr":
-        return digits(pick(["01 99 00 ## ##", "+33 1 99 00 ## ##", "01.99.00.##.##", "06 ## ## ## ##"]))
-    if key == "phone_es":
-        return digits(pick(["555 ### ###", "555-##-##-##", "+34 555 01 ## ##"]))
-    if key == "phone_ru":
-        return digits(pick(["+7 (000) 555-##-##", "8 000 555 ## ##", "8 (495) ###-##-##"]))
-    if key == "phone_ja":
-        return digits(pick(["+81 3 0000 ####", "03-0000-####", "090-####-####"]))
-    if key == "phone_zh":
-        return digits(pick(["+86 10 0000 ####", "010-0000####", "138########"]))
-    if key == "ssn":
-        return digits(pick(["9##-##-####", "9## ## ####"]))
-    if key == "card":
-        return digits("ZX-####-####")
-    if key == "pass":
-        return digits(pick(["X########", "C########"]))
-    if key == "ni":
-        return digits("QQ ## ## ## " + pick("ABCD"))
-    if key == "id_any":
-        return _fill(rng, pick(["ssn", "card", "pass", "ni"]))
-    if key == "id_fr":
-        return digits(pick(["2 ## ## ## ### ### ##", "1 ## ## ## ### ### ##"]))
-    if key == "card_fr":
-        return digits("##ZZ#####")
-    if key == "id_de":
-        return digits("L0##X####")
-    if key == "tax_de":
-        return digits("00 ### ### ###")
-    if key == "dni":
-        return digits("000#####@")
-    if key == "nie":
-        return digits("X-000####-@")
-    if key == "id_ru":
-        return digits("00 00 ######")
-    if key == "id_zh":
-        return digits(pick(["00######19########", "00######19######5X"]))
-    if key == "id_ja":
-        return digits("0000 #### ####")
-    if key == "addr":
-        s = pick(STREETS)
-        n = f"{rng.randint(1, 180)}{pick(['', '', '', 'b'])}"
-        x = rng.random()
-        s = s.upper() if x < 0.2 else s
-        x = rng.random()
-        return f"Flat {rng.randint(2, 30)}, {n} {s}" if x > 0.8 else f"{n} {s}, Apt. {rng.randint(2, 40)}" if x > 0.62 else f"{n} {s}"
-    if key == "addr_de":
-        n = rng.randint(1, 170)
-        return f"{pick(DE_STREET)} {n}{pick(['', 'a', f'-{n + 2}'])}"
-    if key == "addr_fr":
-        return f"{rng.randint(1, 180)}{pick(['', ' bis', ','])}{pick([' ', ' '])}{pick(FR_STREET)}" if rng.random() < 0.7 else f"{rng.randint(1, 180)} bis, {pick(FR_STREET)}"
-    if key == "addr_es":
-        n = rng.randint(1, 180)
-        return f"{pick(ES_STREET)}{pick([f', {n}', f' n.º {n}', f', {n}, {rng.randint(1, 6)}º B'])}"
-    if key == "addr_av":
-        return f"{pick(['Avda.', 'Avda.', 'C.', 'Pza.'])} {pick(['de los', 'del', 'de la'])} {_word(rng) if rng.random() < 0.5 else 'Molinos'}{pick([', ', ' n.º '])}{rng.randint(1, 180)}{pick(['', '', f', {rng.randint(1, 6)}º B'])}"
-    if key == "name_c":
-        return f"{pick(FAMILY)}, {pick(GIVEN)}"
-    if key == "name_i":
-        return f"{pick('ABCEHIJMNOPQRTU')}. {pick('ABCEHIJMNOPQRTU')}. {pick(FAMILY)}"
-    if key == "addr_ru":
-        return f"{pick(RU_STREET)}, д. {rng.randint(1, 180)}{pick(['', f', кв. {rng.randint(1, 90)}'])}"
-    if key == "addr_zh":
-        return f"{pick(ZH_STREET)}{rng.randint(1, 180)}号{pick(['', f'{rng.randint(1, 9)}室'])}"
-    if key == "addr_ja":
-        return f"{pick(JA_STREET)}{rng.randint(1, 5)}丁目{rng.randint(1, 20)}-{rng.randint(1, 30)}"
-    if key == "name_ru":
-        return f"{pick(RU_GIVEN)} {pick(RU_FAMILY)}"
-    if key == "name_zh":
-        return pick(ZH_FAMILY) + pick(ZH_GIVEN)
-    if key == "name_ja":
-        return pick(JA_NAME)
-    if key == "zip":
-        return digits("00###")
-    if key == "n":
-        return str(rng.randint(2, 960))
-    if key == "year":
-        return str(rng.randint(1640, 1930))
-    raise KeyError(key)
-
-
-# The labelled table: a span is written {kind:slot} or {kind=text}; <slot> is filled but carries no label.
-LABELLED = """
-Call {t:phone} after six.
-You can reach the office on {t:phone}.
-tel {t:phone} or leave a note at the <town> Valley Trust. The council borrowed <n> letters.
-tel {t:phone} or leave a note at the Castell Morrow Library.
-tel {t:phone} or leave a note at the Calder & Finch Press.
-tel {t:phone} or leave a note at the Winter Ferry Company.
-Elsewhere, the preface overlooked <n> petitions. Call {t:phone} after six. In turn, the ordinance waited.
-Send the proofs to {e:mail} before Friday.
-mail me: {e:mail} thanks!
-Reply to <{e:mail}>, not to @lanternpress.
-Please write to {p:name} at {e:mail}.
-For the contract: SSN: {i:ssn}, issued at <town>.
-For the contract: passport no. {i:pass}, issued at <town>.
-For the contract: passport {i:pass}, issued at <town>. The council waited.
-For the contract: identity card {i:card}, issued at <town>.
-For the contract: social security number {i:ssn}, issued at <town>.
-For the contract: National Insurance number {i:ni}, issued at <town>.
-The form gives my SSN: {i:ssn}.
-The form gives my social security number {i:ssn}. In <year>, the harbour measured the reluctant magistrate.
-The form gives my identity card {i:card}.
-The form gives my passport no. {i:pass}.
-The form gives my National Insurance number {i:ni}.
-The author copies should go to {a:addr}.
-The author copies should go to {a:addr}, <town> <zip>.
-The author copies should go to {a:addr}, <town>. The evening vineyard translated the settlement.
-I have moved to {a:addr} since the last edition.
-I have moved to {a:addr}, <town> since the last edition.
-I have moved to {a:addr}, <town> <zip> since the last edition.
-Return address: {a:addr}.
-Return address: {a:addr}, <town> <zip>.
-Return address: {a:addr}, <town>. At first, the narrator waited.
-My editor is {p:name}, whom you know from the Harrow Institute.
-My editor is {p:name}, whom you know from the Saint Alder Chapel.
-It was {p:name} who first noticed that the catalogue had been cut.
-{p:name} still has the galley proofs. The archive, e.g. the one at <town>, waited.
-The river stood low. {p:name} still has the galley proofs.
-cc: {p:name}; {p:name}
-cc: {p:name}; {p:name} The tidal lighthouse restored the chapter.
-Regards, {p:name}.
-Regards,\n{p:name}\n{t:phone}
-— {p:name}, <town>
-The margins plainly show it. — {p:name}, <town> The narrow council waited.
-As {p:name} and {p:name} wrote in the margin, the council is missing.
-The permission was signed by Dr. {p:name} last spring.
-The permission was signed by Prof. {p:name} last spring. No festival ever waited.
-{p:name} concealed the hand-written surveyor, where the earlier account breaks off.
-{p:name} abandoned the salted reservoir, because the older custom still held.
-The harvest failed. {p:name} reconsidered the ancestral boundary without any public notice.
-Name: {p:name}\nTel: {t:phone}\nID: {i:id_any}
-Name: {p:name} | Tel: {t:phone} | Address: {a:addr} | ID: {i:id_any}
-ID: {i:id_any} | Name: {p:name}\nAddress: {a:addr}, <town> <zip>
-E-mail: {e:mail} | ID: {i:id_any}\nName: {p:name}
-Address: {a:addr}, <town>\nE-mail: {e:mail}\nThe argument waited.
-Tel: {t:phone}\nE-mail: {e:mail}\nName: {p:name}\nIn <year>, the merchant measured the letters.
-Envoyez les épreuves à {e:mail}.
-Rappelez le {t:phone_fr}. Vers la fin du siècle, le comité négligeait la correspondance.
-Le contrat indique : n° de sécurité sociale {i:id_fr}.
-Le contrat indique : carte d’identité {i:card_fr}. Sans aucune annonce, le marchand hésitait.
-Le contrat indique : passeport n° {i:card_fr}.
-Les exemplaires sont à envoyer au {a:addr_fr}, <zip> <town>.
-Veuillez écrire à {p:name} ({e:mail}).
-Mme {p:name} garde les épreuves. M. <family> consignait la collection.
-M. {p:name} garde les épreuves.
-Cordialement, {p:name}. La délégation célébrait le chapitre oublié.
-Nom : {p:name} | Tél. : {t:phone_fr}\nPièce : {i:id_fr}
-Pièce : {i:card_fr}\nNom : {p:name}\nCourriel : {e:mail}
-Adresse : {a:addr_fr}, <zip> <town> | Nom : {p:name}
-Die Fahnen gehen an {e:mail}.
-Rückruf bitte unter {t:phone_de}. Im Jahr <year> vermaß der Rat die Grenze.
-Im Vertrag steht Ausweisnummer {i:id_de}.
-Im Vertrag steht Steuer-ID {i:tax_de}. Der Müller übersah die Kirchenbücher.
-Belegexemplare bitte an {a:addr_de}, <zip> <town>.
-Wir sind umgezogen: {a:addr_de}, <zip> <town>. Während der Belagerung ordnete der Rat die Register.
-Bitte wenden Sie sich an {p:name}, {e:mail}.
-Frau {p:name} hat die Fahnen geprüft. Dr. <family> erneuerte das Verzeichnis.
-Herr {p:name} hat die Fahnen geprüft.
-Mit freundlichen Grüßen {p:name}.
-Mit freundlichen Grüßen\n{p:name}
-Name: {p:name} | Anschrift: {a:addr_de}, <zip> <town>\nAusweis: {i:id_de}
-Ausweis: {i:tax_de} | Tel.: {t:phone_de}\nE-Mail: {e:mail}
-Envíe las pruebas a {e:mail}.
-Llame al {t:phone_es}. El consejo criticó el informe anual.
-En el contrato consta DNI {i:dni}.
-En el contrato consta NIE {i:nie}. Por primera vez, el impresor ocultó el tratado.
-Los ejemplares van a {a:addr_es}, <zip> <town>.
-Escriba por favor a {p:name}: {e:mail}.
-Los ejemplares van a {a:addr_av}, <zip> <town>.
-El comité criticó la frontera. Los ejemplares van a {a:addr_av}, <zip> <town>. Por primera vez, el consejo la midió.
-Dirección: {a:addr_av}, <zip> <town>\nNombre: {p:name_c}
-Regards, {p:name_c}.
-Un saludo, {p:name_c}. El impresor ocultó el tratado.
-Cordialement, {p:name_c}.
-It was {p:name_c} who first noticed that the ledger had been cut.
-— {p:name_i}, <town>
-— {p:name_c}, <town>\nThe council waited.
-As {p:name_c} and {p:name_i} wrote in the margin, the chapter is missing.
-La Sra. {p:name} guarda las galeradas. El Sr. <family> ignoró el tratado.
-El Sr. {p:name} guarda las galeradas.
-Un saludo, {p:name}. La viuda del molinero midió la ordenanza.
-Nombre: {p:name} | Tel.: {t:phone_es}\nDocumento: {i:nie}
-Dirección: {a:addr_es}, <zip> <town> | Documento: {i:dni}\nCorreo: {e:mail}
-Корректуру пришлите на {e:mail}.
-Звоните: {t:phone_ru}. Впервые купец потерял торговый устав.
-В договоре указан паспорт {i:id_ru}. Городской совет закончил переписку.
-Экземпляры отправьте по адресу: {a:addr_ru}, Орлен.
-Экземпляры отправьте по адресу: {a:addr_ru}, Орлен. Землемер скрыл спорную границу в долине Орлена.
-Пишите, пожалуйста: {p:name_ru}, {e:mail}.
-С уважением, {p:name_ru}. Старый переводчик перевёл старый амбар.
-Имя: {p:name_ru} | Тел.: {t:phone_ru}\nДокумент: {i:id_ru}
-Адрес: {a:addr_ru}, Орлен | Почта: {e:mail}\nПечатник осудил переписку.
-请把校样寄到{e:mail}。
-电话是{t:phone_zh}。商人在港口忽略了年度报告。
-合同上写着身份证号{i:id_zh}。修道院在河岸批评了旧粮仓。
-样书请寄到{a:addr_zh}。老印刷匠记录了通商条例。
-旧粮仓究竟是谁测量的？样书请寄到{a:addr_zh}。
-请联系{p:name_zh}，邮箱{e:mail}。
-女译者翻译了被遗忘的章节。请联系{p:name_zh}，邮箱{e:mail}。
-姓名：{p:name_zh}\n地址：{a:addr_zh}\n证件：{i:id_zh}
-电话：{t:phone_zh} | 姓名：{p:name_zh} | 邮箱：{e:mail}
-校正刷りは{e:mail}へ送ってください。
-電話は{t:phone_ja}です。測量師は通商の規則を隠した。
-契約書の個人番号は{i:id_ja}です。
-見本は{a:addr_ja}へお送りください。凶作のあと、語り手は地図を測った。
-連絡先は{p:name_ja}、{e:mail}です。
-担当は{p:name_ja}です。若い書記は港で古い穀物倉を翻訳した。
-氏名：{p:name_ja} | 番号：{i:id_ja}
-住所：{a:addr_ja}\n電話：{t:phone_ja}\nメール：{e:mail}
-फ़ोन: {t:phone} अगली सर्दी में मठ ने पत्राचार को सुधारा।
-ईमेल: {e:mail} समिति ने पुराने गोदाम को नापा।
-هاتف: {t:phone} أهمل الراوي المراسلات.
-البريد: {e:mail} وصف المجلس المخزن القديم.
-โทร. {t:phone} ผู้แปลละทิ้งยุ้งฉางเก่าที่ท่าเรือ
-อีเมล: {e:mail} พ่อค้าบรรยายแผนที่โบราณ 9 ฉบับที่ลานตลาด
-ISBN 978-0-00-<n>116-5.
-ISBN 978-0-00-<n>097-8 was assigned in error.
-See order no. <n>2-08<n> and request req-<n>-27<n>.
-Shelfmark <n>.929.0<n>7 holds 21 maps. By contrast, the council waited.
-The run cost 6.84<n> USD and 67<n>18 tokens.
-Follow @quillhaven or model quill@2.5 in the log.
-Delivered on 22-12-<year>, pp. <n>-860.
-The parcel of 3-11-<year> (<n>690/4) was lost. [0480<n>-8] is the number of the catalogue.
-(79<n>0/4) The chronicle of <town> waited.
-The shop on Larch Row is closed. The stairs by Harbour Terrace are steep.
-Prof. <family> outlived the embankment at the close of the century.
-Mr. <family> questioned the lighthouse. Mrs. <family> anticipated the festival of <town>.
-Dr. <family> borrowed the parliament within a single season. St. <family> administered the abbey.
-The procession of <family> & Co. outlived the preface after the harvest failed.
-The committee of the K.L.V. inherited the archive; the testament borrowed <n> pamphlets.
-M. <family> négligeait la correspondance à <town>. Le Dr <family> hésitait.
-El Sr. <family> abandonó el registro de arrendatarios en <town>. La Sra. <family> ocultó el informe.
-Dr. <family> kritisierte die Sammlung in <town>. Frau <family> übersah den Bericht.
-In <year>, the harbour administered the salted printing-house of <town>, if the fragments can be trusted.
-By contrast, the chapter restored <n> barrels. No surveyor ever measured a quiet catalogue of <town>.
-The price rose by 4.82% in <town>, approx. 2 times the usual ordinance. At 6:50 a.m. the pilgrimage waited.
-The catalogue at www.lantern-archive.example/vol.6 lists the hollow granary.
-The Quiet Narrator: The provincial pilgrimage reconsidered the ledger of <town>.
-OF THE SALTED LEDGER OF QUILLHAVEN\nThe Municipal Apprentice waited.
-The Half-finished Glossary of <town>\nOf the Quiet Reservoir
-The narrator, e.g. the one at <town>, restored the vineyard (cf. ch. 27).
-See No. 67 of the narrator, vol. ii, for the granary. The argument measured 82.2 cm, i.e. less than it.
-The years <year>-1806 measured the sea-facing vineyard! They restored ledgers, maps, seals, etc.
-See order no. <n>5-4344 and request req-0<n>-0484. The reluctant almanac waited.
-See order no. <n>7-1198 and request req-\n<n>-4337. The settlement waited.
-Shelfmark <n>.043.0270 holds 3 maps.
-No council ever waited. 000000000000000
-The Evening Treatise: The ferryman abandoned the makeshift ledger.
-The Threadbare Correspondence: Once more, the merchant waited.\nA Copper-bound Pilgrimage: No council waited.
-A Well-known Parliament: Meanwhile, the harbour waited.\nAn Ancestral Quarantine: In <year>, the treatise waited.
-Of the Tidal Embankment: In practice, the argument waited.\nA Hand-written Printing-house: The narrator waited.
-Das unvollendete Manuskript: Der Rat, d. h. die Partei der Kaufleute, übersah es.
-Die Wasserleitung: Das Komitee, d. h. die Partei der Kaufleute, verlor es.
-Die Kirchenbücher: Das Kloster verheimlichte das unvollendete Manuskript.\nDie umstrittene Grenze: Der Müller übernahm sie.
-El informe anual: A pesar de las objeciones, la delegación esperó.\nEl capítulo olvidado: Por primera vez, el consejo esperó.
-La conducción de agua: Al invierno siguiente, el consejo esperó. La frontera disputada: El comerciante esperó.
-L’ancien grenier : Avant la fin de l’année, le comité hésitait.\nLa collection de cartes: Le marchand hésitait.
-Список арендаторов: К концу столетия молодой писарь ждал.\nСтарый амбар: Городской совет ждал.
-Den Jahresbericht: Die Gesandtschaft vollendete die Register.
-La frontera disputada: El monasterio ignoró el tratado.\nLos libros parroquiales: El comité criticó el informe.
-Le chapitre oublié : La municipalité hésitait.
-Торговый устав: Купец перевёл годовой отчёт. Городской Совет ждал.
-修道院说：“不能卖掉往来书信！”委员会记录了佃户名册。
-年轻的抄写员说：“不能卖掉有争议的边界！”尽管众人反对，女译者在港口忽略了年度报告。
-地图藏品与年轻的抄写员: 尽管众人反对，老印刷匠批评了年度报告。
-教区簿册与女译者: 世纪末灯塔看守人在市政厅后面忽略了地图藏品。
-年が明ける前に、灯台守は市庁舎の裏で地図の収集品を完成させた。
-年が明ける前に、評議会はオルレンの谷で争われた境界を手放した。翌年の冬、文書館は山村で古い穀物倉を見落とした。
-争われた境界と測量師: 何の予告もなく、老いた印刷工は川岸で往復書簡を批判した。
-[O] call-end req-<n>-63 model=quill-small tokens=<n>7 usd=0.43\nuser={e:mail} resumed the run
-[O] call-retry req-9535-63 model=marginalia-mini tokens=<n>6 usd=0.56733 status=429
-[A] call-start req-59<n>-69 model=quill-large tokens=4434 usd=0.93709 retry-after=33
-Im Jahr <year> ordnete die Gesandtschaft die Nord-Süd-Straße am 16. Mai 1666 in <town>.
-Nr. <n> der Liste kostete 11,1 Taler, sagte der Müller. Das Stadtarchiv, d. h. die Partei, verlor es.
-En <year>, la delegación midió la frontera. El narrador midió 20.2 fanegas en <town>, véase pág. 11.
-En <year>, l’apprenti mesurait l’avant-propos, cf. p. 8, à <town>. La municipalité achevait 10,6 arpents.
-Землемер потерял годовой отчёт в <year> г. и уехал. Купец забыл переписку, т. е. всё собрание (см. с. 16).
-<year>年，年轻的抄写员记录了佃户名册。据《旧粮仓》第14卷，委员会完成了9.14里长的水渠。
-<year>年、翻訳者は28.5反の畑と争われた境界を批判した。評議会は「もう遅い！」と言い、隠した。
-ในปี พ.ศ. <year> หอจดหมายเหตุวัดแผนที่โบราณหนัก 20.2 กก. ที่ลานตลาด
-سर्वेक्षक ने 4.4 बीघा और नक्शों के संग्रह को छिपाया। डॉ. परिषद ने पूछा।
-أهمل التاجر 16.7 فدان (ص. 27) في قرى الجبل. دوّن د. <family> التقرير.
-“Who recorded the genealogy?” asked the procession, and nobody answered. “We should leave,” said the <town> council.
-"""
-
-#: How many fillings of each labelled sentence are trained on.
-FILLINGS = 9
+#: How many fillings of each labelled sentence are trained on (twice as many of those made of loose words).
+FILLINGS = 10
 ROUNDS, RATE, RIDGE = 8, 0.08, 0.6
 
 # Scripts by their blocks: Han and kana one by one; Latin, Greek and Cyrillic words; runs of other scripts with their marks.
 _TOKEN = re.compile(r"[^\S\n]*(?:\n+|[\u3040-\u30ff\u3400-\u9fff々\uf900-\ufaff]|[A-Za-zªºÀ-ÖØ-öø-ʯͰ-ԯḀ-ỿ]+(?:['’][A-Za-zªºÀ-ÖØ-öø-ʯͰ-ԯḀ-ỿ]+)*|[\u0590-\u1dff\ua000-\ud7ff]+|[0-9０-９]+|\S)")
-_MARK = regex.compile(r"\{(\w)([:=])([^}]*)\}|<(\w+)>")
 
 
-def tokens(text: str) -> tuple[list[str], list[int], list[int]]:
-    """Forms (with a leading blank after white space), starts and ends."""
+def tokens(text: str) -> tuple[list[str], list[int], list[int], dict[str, list[tuple[int, int]]]]:
+    """Forms (with a leading blank after white space and the shape of their run behind a mark), starts, ends, and the runs."""
     raw = _TOKEN.findall(text)
     bare = [w.lstrip() or "\n" for w in raw]
     ends = list(accumulate(map(len, raw)))
     starts = [e - (len(w) if w != "\n" else len(r.lstrip(_BLANK))) for e, w, r in zip(ends, bare, raw, strict=True)]
-    forms = [" " + w if r is not w and r != w and w != "\n" else w for r, w in zip(raw, bare, strict=True)]
+    forms = [" " + _plain(w) if r is not w and r != w and w != "\n" else _plain(w) for r, w in zip(raw, bare, strict=True)]
     if forms and forms[0][0] not in " \n":
         forms[0] = " " + forms[0]
-    return forms, starts, ends
+    runs = {kind: [m.span() for m in p.finditer(text)] for kind, p in (("mail", _EMAIL), ("figures", _FIGURES))}
+    shaped = [(a, b, "mail") for a, b in runs["mail"]]
+    shaped += [(a, b, tag) for a, b in runs["figures"] if (tag := _figures(text[a:b]))]
+    shaped += [(m.start(), m.end(), tag) for m in _MIXED.finditer(text) if (tag := _mixed(m.group()))]
+    for a, b, tag in shaped:
+        for i in range(bisect.bisect_left(starts, a), bisect.bisect_left(starts, b)):
+            forms[i] += "\x1f" + tag
+    return forms, starts, ends, runs
+
+
+def _plain(w: str) -> str:
+    """A number by its length and first figure only; other forms as they are."""
+    return (w[0] if w[0] in "01" else "7") + "7" * min(len(w) - 1, 11) if w[0].isdecimal() and w.isdecimal() else w
+
+
+def _figures(run: str) -> str:
+    """Shape of groups of figures: how it begins, how many figures, the groups; empty for short ones."""
+    groups = re.findall(r"\d+", run)
+    n = sum(map(len, groups))
+    return f"fig|{run[0] if run[0] in '+(0' else 'x'}|{min(n, 20)}|{'-'.join(str(len(g)) for g in groups[:7])}" if n >= 6 else ""
+
+
+def _mixed(run: str) -> str:
+    """Shape of capitals and figures in one word: A for capitals, 9 for figures."""
+    n = sum(c.isdigit() for c in run)
+    return "mix|" + re.sub(r"9+", "9", re.sub(r"\d", "9", re.sub(r"[A-Z]+", "A", run)))[:12] + f"|{min(n, 12)}" if 4 <= n < len(run) and re.search("[A-Z]", run) else ""
 
 
 #: White space without the line end.
@@ -432,9 +99,16 @@ _BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != "\n"
 
 
 def form_features(form: str) -> list[str]:
+    """Features of a form: its shape, ends and dictionary class, and the shape of the runs it stands in."""
+    form, *tags = form.split("\x1f")
     sp = form[0] == " "
     w = form.strip(" ")
     out = ["b", "s" if sp else "n"]
+    for tag in tags:
+        part = tag.split("|")
+        out += [f"run={'|'.join(part[:k])}" for k in range(1, len(part) + 1)]
+        if part[0] == "fig":
+            out.append(f"n={part[2]}")
     low = w.lower()
     c = w[:1]
     if c.isdigit():
@@ -468,42 +142,30 @@ def form_features(form: str) -> list[str]:
 
 
 def labelled() -> tuple[list[list[str]], list[list[str]]]:
-    """The labelled table as token sequences and label sequences."""
+    """The labelled table as token sequences and label sequences; most sentences stand between others, as in running text."""
     rng = random.Random(7)
+    plain = [realised(rng, line) for line in LABELLED for _ in range(FILLINGS * (2 if "<w>" in line or "<w" in line and "{" in line else 1))]
     seqs, tags = [], []
-    lines = [x.replace("\\n", "\n") for x in LABELLED.strip().split("\n")]
-    texts = []
-    for line in lines:
-        for _ in range(FILLINGS * (2 if "{a:" in line or line.count("{p:") > 1 or "who first" in line else 1)):
-            text, spans, at = "", [], 0
-            for m in _MARK.finditer(line):
-                text += line[at : m.start()]
-                at = m.end()
-                if m.group(4):
-                    text += _fill(rng, m.group(4))
-                else:
-                    value = _fill(rng, m.group(3)) if m.group(2) == ":" else m.group(3)
-                    spans.append((len(text), len(text) + len(value), KINDS[m.group(1)]))
-                    text += value
-            texts.append((text + line[at:], spans))
-    # neighbours in running text: each sentence is also trained between two others
-    plain = list(texts)
-    for k in range(0, len(plain)):
-        a, b = plain[rng.randrange(len(plain))], plain[k]
-        gap = rng.choice([" ", " ", "\n"])
-        off = len(a[0]) + len(gap)
-        texts[k] = (a[0] + gap + b[0], a[1] + [(s + off, e + off, x) for s, e, x in b[1]]) if rng.random() < 0.75 else b
-    for text, spans in texts:
+    for own in plain:
+        some = [own]
+        if rng.random() < 0.75:
+            some.insert(0, rng.choice(plain))
+        if rng.random() < 0.3:
+            some.append(rng.choice(plain))
+        text, spans = "", []
+        for part, marks in some:
+            text += rng.choice([" ", " ", "\n"]) if text else ""
+            spans += [(s + len(text), e + len(text), k) for s, e, k in marks]
+            text += part
         if rng.random() < 0.12:  # printed lines
             text = "".join("\n" if c == " " and rng.random() < 0.15 else c for c in text)
-        forms, starts, ends = tokens(text)
+        forms, starts, ends, _ = tokens(text)
         lab = ["O"] * len(forms)
         for s, e, kind in spans:
             first = True
-            for i in range(len(forms)):
-                if starts[i] < e and ends[i] > s:
-                    lab[i] = ("B-" if first else "I-") + kind
-                    first = False
+            for i in range(bisect.bisect_right(ends, s), bisect.bisect_left(starts, e)):
+                lab[i] = ("B-" if first else "I-") + kind
+                first = False
         seqs.append(forms)
         tags.append(lab)
     return seqs, tags
@@ -520,27 +182,30 @@ def model() -> Chain:
 _AT = r"(?:\s?@\s?|\s?[\[(]at[\])]\s?)"
 _DOT = r"(?:\.|\s?[\[(]dot[\])]\s?)"
 _EMAIL = regex.compile(rf"(?i)[a-z0-9][a-z0-9._+%-]*{_AT}\n?[a-z0-9-]+(?:{_DOT}\n?[a-z0-9-]+)*{_DOT}[a-z]{{2,}}")
-_PHONE = regex.compile(r"[+(]?\d[\d\s()./–-]*\d")
+_FIGURES = regex.compile(r"[+(]?\d[\d\s()./–-]*\d")
+_MIXED = re.compile(r"(?<![\w-])[A-Z0-9]+(?:-[A-Z0-9]+)*(?![\w-])")
 _IDNUM = regex.compile(r"[A-Z0-9]+(?:[ \n./-]{1,2}[A-Z0-9]+)*")
 
 
 _UNIT = regex.compile(r"(?i),\s(?:apt|apartment|flat|floor|room|unit|suite|кв)\.?\s\d+\w?\b|,\s\d+º\s\p{Lu}\b|\d*[号室]")
 
 
-def check(text: str, kind: str, s: int, e: int) -> tuple[int, int] | None:
-    """The exact check after decoding: the written form of ``kind`` at the span, or None."""
+def check(text: str, kind: str, s: int, e: int, runs: dict[str, list[tuple[int, int]]]) -> tuple[int, int] | None:
+    """The exact check after decoding: the written form of ``kind`` at the span, or None; ``runs`` as of ``tokens``."""
     if kind == "email":
-        for m in _EMAIL.finditer(text, max(0, s - 40), min(len(text), e + 60)):
-            if m.start() < e and m.end() > s:
-                return m.span()
-        return None
+        return next(((a, b) for a, b in runs["mail"] if a < e and b > s), None)
     if kind == "phone":
-        for m in _PHONE.finditer(text, s, min(len(text), e + 12)):
-            figures = [c for c in m.group() if c.isdigit()]
-            if 7 <= len(figures) <= 15 and len(set(figures)) > 1 and not regex.search(r"\p{L}-\n?$", text[max(0, m.start() - 3) : m.start()]):
-                a, b = m.span()
-                while "\n\n" in text[a:b]:
-                    b = text.rindex("\n\n", a, b)
+        for a, b in runs["figures"]:
+            if b <= s or a >= e:
+                continue
+            m = _FIGURES.match(text, max(a, s) if text[max(a, s)] in "+(" or text[max(a, s)].isdigit() else a, b)
+            if not m:
+                continue
+            a, b = m.span()
+            while "\n\n" in text[a:b]:
+                b = text.rindex("\n\n", a, b)
+            figures = [c for c in text[a:b] if c.isdigit()]
+            if 7 <= len(figures) <= 15 and len(set(figures)) > 1 and not regex.search(r"\p{L}-\n?$", text[max(0, a - 3) : a]):
                 return a, b
         return None
     while s < e and not (text[s].isalnum()):
@@ -548,8 +213,13 @@ def check(text: str, kind: str, s: int, e: int) -> tuple[int, int] | None:
     while e > s and not text[e - 1].isalnum():
         e -= 1
     if kind == "idnum":
+        while s > 0 and text[s - 1].isascii() and text[s - 1].isalnum():
+            s -= 1  # a number is the whole of its word
+        while e < len(text) and text[e].isascii() and text[e].isalnum():
+            e += 1
         m = _IDNUM.search(text, s, e)
-        return m.span() if m and not regex.search(r"\p{L}-\n?$", text[max(0, m.start() - 3) : m.start()]) and sum(c.isdigit() for c in m.group()) >= 5 else None
+        figures = [c for c in m.group() if c.isdigit()] if m else []
+        return m.span() if len(figures) >= 5 and len(set(figures)) > 1 and not regex.search(r"\p{L}-\n?$", text[max(0, m.start() - 3) : m.start()]) else None
     part = text[s:e]
     if kind == "address":
         if not (any(c.isdigit() for c in part) and any(c.isalpha() for c in part)):
@@ -558,6 +228,15 @@ def check(text: str, kind: str, s: int, e: int) -> tuple[int, int] | None:
         return s, more.end() if more else e
     if regex.search(r"[\d@]", part) or e - s < 2:
         return None
+    more = regex.match(r"-\n?\p{Lu}[\p{L}’']+", text, pos=e)
+    if more and text[s:e][-1:].isalpha():
+        e = more.end()  # a double-barrelled name
+    comma = regex.search(r",\s+(?!\p{Lu}|\p{Lo})", text[s:e])
+    if comma and text[s].isupper():
+        e = s + comma.start()  # what follows a comma in a name is a given name
+    part = text[s:e]
+    if regex.match(r"\p{Lu}\s", part):
+        return None
     initials = regex.search(r"(?:(?<![\p{L}.])\p{Lu}\.\s){1,3}$", text[max(0, s - 10) : s])
     if initials:
         s -= len(initials.group())
@@ -566,18 +245,6 @@ def check(text: str, kind: str, s: int, e: int) -> tuple[int, int] | None:
     return (s, e) if regex.search(r"\p{L}[\s.,]+\p{L}{2,}", part) else None
 
 
-def _cut(forms: list[str]) -> list[tuple[int, int]]:
-    """Divide a long token sequence after line or sentence ends."""
-    out, lo = [], 0
-    while len(forms) - lo > SEQUENCE:
-        hi = lo + SEQUENCE
-        best = next((i + 1 for i in range(hi - 1, lo + SEQUENCE // 2, -1) if forms[i] == "\n" or forms[i] in "。！？।؟!?" or (forms[i] == "." and forms[i - 1][-1:].islower() and len(forms[i - 1]) > 4)), hi)
-        out.append((lo, best))
-        lo = best
-    out.append((lo, len(forms)))
-    return out
-
-
 def find_spans(texts: list[str | None], memo: dict | None = None, net: Chain | None = None) -> list[list[tuple[str, int, int]]]:
     """(kind, start, end) of every span of each text, in order; null and empty texts have none."""
     net = net or model()
@@ -586,16 +253,21 @@ def find_spans(texts: list[str | None], memo: dict | None = None, net: Chain | N
         if not t:
             marks.append(None)
             continue
-        forms, starts, ends = tokens(t)
-        marks.append((starts, ends))
-        for lo, hi in _cut(forms):
-            seqs.append(forms[lo:hi])
-            where.append((k, lo))
+        forms, *rest = tokens(t)
+        marks.append((rest, np.zeros(len(forms), int)))
+        for lo in range(0, len(forms), SEQUENCE):
+            a = max(0, lo - CONTEXT)
+            seqs.append(forms[a : lo + SEQUENCE + CONTEXT])
+            where.append((k, lo, lo - a))
+    for (k, lo, skip), path in zip(where, net.decode(seqs, memo), strict=True):
+        whole = marks[k][1]
+        own = path[skip : skip + SEQUENCE]
+        whole[lo : lo + len(own)] = own
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for (k, lo), path in zip(where, net.decode(seqs, memo), strict=True):
-        if not path.any():
+    for k, mark in enumerate(marks):
+        if mark is None or not mark[1].any():
             continue
-        starts, ends = marks[k]
+        (starts, ends, runs), path = mark
         i, n = 0, len(path)
         while i < n:
             if path[i] and path[i] % 2 == 1:
@@ -603,7 +275,7 @@ def find_spans(texts: list[str | None], memo: dict | None = None, net: Chain | N
                 while j < n and path[j] == path[i] + 1:
                     j += 1
                 kind = LABELS[path[i]][2:]
-                hit = check(texts[k], kind, starts[lo + i], ends[lo + j - 1])
+                hit = check(texts[k], kind, starts[i], ends[j - 1], runs)
                 if hit and not (out[k] and hit[0] < out[k][-1][2]):
                     out[k].append((kind, *hit))
                 i = j
