@@ -50,8 +50,8 @@ LEX = {w: k for k, ws in LEXICON.items() for w in ws.split()}
 LEX |= {w.lower(): "given" for w in GIVEN} | {w.lower(): "family" for w in FAMILY} | {c: "zhfam" for c in ZH_FAMILY}
 
 #: How many fillings of each labelled sentence are trained on (twice as many of those made of loose words).
-FILLINGS = 10
-ROUNDS, RATE, RIDGE = 8, 0.08, 0.6
+FILLINGS = 14
+ROUNDS, RATE, RIDGE = 6, 0.08, 0.6
 
 # Scripts by their blocks: Han and kana one by one; Latin, Greek and Cyrillic words; runs of other scripts with their marks.
 _TOKEN = re.compile(r"[^\S\n]*(?:\n+|[\u3040-\u30ff\u3400-\u9fff々\uf900-\ufaff]|[A-Za-zªºÀ-ÖØ-öø-ʯͰ-ԯḀ-ỿ]+(?:['’][A-Za-zªºÀ-ÖØ-öø-ʯͰ-ԯḀ-ỿ]+)*|[\u0590-\u1dff\ua000-\ud7ff]+|[0-9０-９]+|\S)")
