@@ -1,6 +1,9 @@
 import pytest
 
-from quire.llm.sentences import found, sentence_units, sentences, words
+import time
+
+from quire.llm import sentences as S
+from quire.llm.sentences import cohesive, found, lexicon, sentence_units, sentences, words
 
 CASES = [
     ("“The ford is lost! We should leave,” said the ferryman. (It is treated on p. 22.) Next one.", ["“The ford is lost! We should leave,” said the ferryman.", "(It is treated on p. 22.)", "Next one."]),
@@ -79,3 +82,50 @@ def test_found_counts_repeats_once(frame):
     got = sorted((r.item_kind, r.rec_id, r.sent_start, r.sent_end) for r in found(s, n, b).collect())
     assert got == [("section", 1, 0, 8), ("section", 1, 9, 12), ("summary", 9, 0, 4), ("summary", 9, 5, 9)]
     assert sentence_units(s.where("false"), "rec_id", "raw_text").collect() == []
+
+
+# Per script a text whose units need the words that the lattice finds.
+BY_SCRIPT = {"zh": "商人隐瞒了粮仓 我们测量地图 而委员会走了", "ja": "商人は地図を測りました 彼女は去った", "th": "พ่อค้าบอกว่า ยุ้งฉางเก่าอยู่"}
+
+
+@pytest.mark.parametrize("script", BY_SCRIPT)
+def test_units_depend_on_the_word_lattice(script, monkeypatch):
+    text = BY_SCRIPT[script]
+    with_words = sentences(text)
+    monkeypatch.setattr(S, "words", lambda run, known=(): (run,))
+    assert sentences(text) != with_words
+
+
+def test_units_depend_on_the_counted_lexicon():
+    """街道 and 知道 end in a character that alone reports speech; counted often enough they are words of the lattice."""
+    text = "“谁来？”他们熟悉门道。后来走了。"
+    assert words("门道")[-1] == "道"
+    counts = {"门": 40, "道": 60, "门道": 38, "他": 5000, "们": 5000}
+    known = cohesive(counts, 10_000)
+    assert "门道" in known and words("门道", known) == ("门道",)
+    assert len(sentences(text, lexicon=known)) == len(sentences(text)) + 1
+    # what is free to stand alone is no part of a longer word
+    assert "人道" not in cohesive({"人": 400, "道": 400, "人道": 40}, 10**6)
+
+
+def test_lexicon_is_counted_over_all_texts(frame):
+    df = frame([("委员会测量地图。" * 9,), ("图书馆测量，测量！",), (None,), ("no such script",), ("",), ("".join(chr(0x5000 + i) for i in range(600)),)], "t string")
+    known = lexicon(df, "t")
+    assert "测量" in known and not any("，" in w for w in known)
+    assert lexicon(df.where("false"), "t") == frozenset()
+
+
+def test_cheapest_path_spares_reported_quotations():
+    """The end behind a quotation that a report follows is not taken from its own opening, but is from further back."""
+    assert [x for x in sentences("He left. „Wer zahlt das?“ fragte er. Ende.")] == [(0, 8), (9, 36), (37, 42)]
+    nodes = [(4, 3.0, -1), (8, 1.0, 4), (12, 1.0, -1)]
+    assert S._path("aaaabbbbccccdddd", nodes) == [4, 12, 16]
+    assert S._path("aaaabbbbccccdddd", [(4, 1.0, -1), (8, 3.0, 4), (12, 1.0, -1)]) == [8, 12, 16]
+    assert S._path("aaaa----cccc----", [(4, 1.0, -1), (8, 1.0, -1), (12, 1.0, -1)]) in ([4, 16], [8, 16])
+
+
+def test_long_lines_take_linear_time():
+    line = "It went (so he said). “No!” he cried. " * 4000
+    t = time.time()
+    n = len(sentences(line))
+    assert n == 8000 and time.time() - t < 10
