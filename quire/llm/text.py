@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import regex
 
+from quire.llm.dictionaries import FUNCTION_WORDS
+
 # Texts that only stand in for a missing one.
 STAND_INS = set("null none nil nan n/a na n.a. tbd tba todo tk undefined missing empty blank unavailable pending placeholder untitled".split())
 # Words of which a bracketed stand-in consists.
@@ -12,6 +14,7 @@ STAND_WORDS = set(
     "returned generated produced pending omitted blank placeholder editorial for this the was is none n/a null insert kein keine text nicht vorhanden leer aucun texte vide sin texto vacío".split()
 )
 _WRAP = regex.compile(r'^\s*\{\s*"[\w ]+"\s*:\s*"(.*)"\s*\}\s*$', regex.S)
+_CONTENT = regex.compile(r"[\p{L}\p{N}]")
 _INVISIBLE = regex.compile(r"[\p{C}\p{Z}\s]+")
 
 
@@ -19,32 +22,20 @@ def hollow(text: str | None) -> bool:
     """Whether a text has no content of its own: missing, blank, marks only, or a mere stand-in."""
     if text is None:
         return True
-    if len(text) > 200:
-        return not _INVISIBLE.sub("", text)
     m = _WRAP.match(text)
     if m:
         text = m.group(1)
-    t = _INVISIBLE.sub(" ", text).strip().lower()
-    if not regex.search(r"[\p{L}\p{N}]", t):
+    if not _CONTENT.search(text):
         return True
+    t = _INVISIBLE.sub(" ", text).strip().lower()
     if t.strip(".:;,-–—_*\"'()[]{}<>") in STAND_INS or t in STAND_INS:
         return True
-    if len(t) < 80 and t[0] in "[(<{" and t[-1] in "])>}":
+    if t[0] in "[(<{" and t[-1] in "])>}":
         ws = regex.findall(r"[\p{L}/]+", t)
         return bool(ws) and all(w in STAND_WORDS or w in STAND_INS for w in ws)
     return False
 
 
-# Frequent words by language, for texts in Latin letters.
-FUNCTION_WORDS = {
-    "en": "they the of and to in a is was that it for on as with by at from his her their but not had before after without this which who until where because even during ever for between no were so if",
-    "de": "der die das und in den von zu mit dem des ein eine einer im am auf ist war nicht sich auch als an nach aus bei hinter unter zum zur wer wie während trotz noch ohne gegen hat haben wird sie es",
-    "fr": "le la les de des du et en un une dans à au aux pour par sur est était qui que ne pas avec sans ce cette il elle après avant vers malgré pendant puis parmi l d c qu s",
-    "es": "sobre esta este una el la los las de del y en un una a al con por para que no se su es fue breve sigue sin antes después entre mientras hacia durante tras junto quién lo más cada pesar",
-    "it": "il lo la gli le di del della e in un una che non si con per dal nel alla sono era come più anche dopo prima",
-    "pt": "o a os as de do da e em um uma que não se com por para no na dos das ao foi mais como depois antes",
-    "nl": "de het een van en in op te dat niet is was met voor aan door als bij naar om uit over maar zijn",
-}
 _WORDS_OF: dict[str, list[str]] = {}
 for _l, _ws in FUNCTION_WORDS.items():
     for _w in set(_ws.split()):
@@ -55,7 +46,7 @@ WEIGHT = {"han": 2.5, "kana": 2.0, "th": 1.2}
 
 
 def language(text: str | None) -> str | None:
-    """The main language of a text by script and dictionary; None where that can't be told."""
+    """The main language of a text by script and dictionary; None where that can't be told (in Latin letters by two words at least)."""
     if not text:
         return None
     counts = {k: len(p.findall(text)) * WEIGHT.get(k, 1.0) for k, p in SCRIPTS}
@@ -69,14 +60,16 @@ def language(text: str | None) -> str | None:
     if top != "latin":
         return top
     hits: dict[str, float] = {}
+    seen: dict[str, set[str]] = {}
     for w in regex.findall(r"\p{L}+", text.lower()):
         langs = _WORDS_OF.get(w)
         if langs:
             for x in langs:
                 hits[x] = hits.get(x, 0) + 1 / len(langs)
+                seen.setdefault(x, set()).add(w)
     if not hits:
         return None
     order = sorted(hits.items(), key=lambda x: -x[1])
-    if order[0][1] < 1 or (len(order) > 1 and order[0][1] < 1.25 * order[1][1]):
+    if order[0][1] < 1 or len(seen[order[0][0]]) < 2 or (len(order) > 1 and order[0][1] < 1.25 * order[1][1]):
         return None
     return order[0][0]

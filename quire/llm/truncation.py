@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.sentences import sentences
 from quire.llm.text import hollow
+from quire.session import checkpointed
 
 #: Records of each kind that the classifier is trained on, at most; scoring covers all records.
 SAMPLE = 3000
@@ -48,10 +49,13 @@ def peel(text: str) -> tuple[str, int]:
     return text, n
 
 
+_BRACKETS = regex.compile("[" + regex.escape("".join({*_OPEN, *_OPEN.values()}), special_only=False) + "]")
+
+
 def _open_marks(text: str) -> str:
-    """The mark of the innermost quotation or bracket that is left open in the last 600 characters."""
+    """The mark of the innermost quotation or bracket that is left open at the end of the text."""
     stack: list[str] = []
-    for c in text[-600:]:
+    for c in _BRACKETS.findall(text):
         if stack and c == _OPEN.get(stack[-1]):
             stack.pop()
         elif c in _OPEN and not (c == "“" and "„" in stack):
@@ -158,40 +162,80 @@ def train(texts: list[str], limits: list[int], seed: int = 5) -> np.ndarray:
     return w
 
 
-def score(w: np.ndarray, text: str, limit: bool) -> float:
-    z = float(w[features(text, limit)].sum())
-    return 1 / (1 + np.exp(-z))
+def shortened(text: str, target: str | None) -> bool:
+    """Whether the project itself cut a text to the word budget of its target length and closed it with an ellipsis."""
+    core, _ = peel(text)
+    return core.endswith("…") and target in BUDGETS and len(core.split()) == BUDGETS[target]
 
 
-def is_cut(w: np.ndarray, limits: set[int], text: str | None, target: str | None = None) -> bool:
-    """Whether a value with content breaks off inside a word or sentence."""
-    if hollow(text):
-        return False
-    core, _ = peel(text)
-    if core.endswith("…") and target in BUDGETS and len(core.split()) == BUDGETS[target]:
-        return False
-    return score(w, text, len(text) in limits) >= 0.5
+class Model:
+    """The weights of the regression that aren't zero, small enough to travel with the tasks, and the piled lengths by kind."""
+
+    def __init__(self, weights: np.ndarray, limits: dict[str, set[int]]):
+        self.at = np.flatnonzero(weights).astype(np.int32)
+        self.values, self.limits, self.whole = weights[self.at], limits, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"whole": None}
+
+    def scores(self, kinds: list[str], texts: list[str]) -> np.ndarray:
+        """The probability of each text that it is cut; one sum over the features of all texts of a batch."""
+        if self.whole is None:
+            self.whole = np.zeros(1 << BITS, np.float32)
+            self.whole[self.at] = self.values
+        rows = [features(t, len(t) in self.limits.get(k, ())) for k, t in zip(kinds, texts, strict=True)]
+        sizes = [len(r) for r in rows]
+        ids = np.fromiter((x for r in rows for x in r), np.int64, sum(sizes))
+        return 1 / (1 + np.exp(-np.bincount(np.repeat(np.arange(len(rows)), sizes), self.whole[ids], len(rows))))
+
+    def cut(self, kinds: list[str], texts: list[str | None], targets: list[str | None]) -> list[bool]:
+        """Whether each value with content breaks off inside a word or sentence; hollow ones don't."""
+        full = [i for i, t in enumerate(texts) if not hollow(t) and not shortened(t, targets[i])]
+        out = [False] * len(texts)
+        for i, p in zip(full, self.scores([kinds[i] for i in full], [texts[i] for i in full]), strict=True):
+            out[i] = bool(p >= 0.5)
+        return out
+
+
+def items(brackets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(item_kind, rec_id, model, request, text, target_length): every record once, in one table that is then read as often as needed."""
+    none = F.lit(None).cast("string")
+    b = brackets.select(F.lit("bracket").alias("item_kind"), "rec_id", "model", F.col("deleted_text").alias("request"), F.col("bracket_text").alias("text"), "target_length")
+    n = nodes.where("summary_text is not null").select(F.lit("summary").alias("item_kind"), "rec_id", F.col("summary_model").alias("model"), none.alias("request"), F.col("summary_text").alias("text"), none.alias("target_length"))
+    return checkpointed(b.unionByName(n).dropDuplicates(["item_kind", "rec_id"]))
 
 
-def piled_lengths(texts: DataFrame, column: str, most: int = 64) -> list[int]:
-    """Lengths at which values pile up: at least 8 of them and 4 times what the lengths around have on average.
+#: How many standard deviations, and times, a length must stand out from the lengths around it.
+DEVIATIONS, TIMES, AROUND = 6.0, 4.0, 5
 
-    Counted over all rows with map-side combination; one row per distinct length, of which a top-k report is taken.
+
+def piled_lengths(texts: DataFrame) -> DataFrame:
+    """(item_kind, n): lengths at which values pile up, against what the lengths around them have on average.
+
+    Counted over all rows with map-side combination; each length is laid out once beside its neighbours, so the test is one
+    aggregate over distinct lengths. It is relative: the same at every size, and no length that stands out is left out.
     """
-    n = texts.where(F.length(column) > 24).groupBy(F.length(column).alias("n")).agg(F.count("*").alias("k"))
-    around = n.select(F.explode(F.sequence(F.col("n") - 5, F.col("n") + 5)).alias("n"), "k").groupBy("n").agg((F.sum("k") / 11.0).alias("m"))
-    rows = n.join(around, "n").where("k >= 8 and k > 4 * m").orderBy(F.desc("k"), "n").limit(most).select("n").collect()
-    return sorted(r.n for r in rows)
+    n = texts.where(F.length("text") > 24).groupBy("item_kind", F.length("text").alias("n")).agg(F.count("*").alias("k"))
+    laid = n.select("item_kind", F.col("n").alias("at"), "k", F.explode(F.sequence(F.col("n") - AROUND, F.col("n") + AROUND)).alias("n"))
+    own = F.max(F.when(F.col("at") == F.col("n"), F.col("k")))
+    x = laid.groupBy("item_kind", "n").agg(own.alias("k"), F.sum(F.when(F.col("at") != F.col("n"), F.col("k"))).alias("s"))
+    mean = F.coalesce(F.col("s"), F.lit(0)) / (2.0 * AROUND)
+    return x.where((F.col("k") > TIMES * mean) & (F.col("k") - mean > DEVIATIONS * F.sqrt(mean + 1))).select("item_kind", "n")
+
 
+def fit(table: DataFrame) -> Model:
+    """The regression, trained on a sample of SAMPLE records of each kind by hash, with the piled lengths of each kind.
 
-def fit(brackets: DataFrame, nodes: DataFrame) -> tuple[np.ndarray, dict[str, list[int]]]:
-    """The regression's weights and the piled lengths of both columns."""
-    limits = {"bracket": piled_lengths(brackets, "bracket_text"), "summary": piled_lengths(nodes, "summary_text")}
+    What the driver takes besides the sample are the piled lengths: at most one number for every TIMES distinct lengths.
+    """
+    limits: dict[str, set[int]] = {}
+    for r in piled_lengths(table).collect():
+        limits.setdefault(r.item_kind, set()).add(r.n)
     texts: list[str] = []
-    for df, col in ((brackets, "bracket_text"), (nodes, "summary_text")):
-        some = df.where(F.length(col).between(12, SAMPLE_CHARS)).select(col, F.xxhash64("rec_id").alias("h")).orderBy("h").limit(SAMPLE)
+    for kind in ("bracket", "summary"):
+        some = table.where((F.col("item_kind") == kind) & F.length("text").between(12, SAMPLE_CHARS)).select("text", F.xxhash64("rec_id").alias("h")).orderBy("h", "text").limit(SAMPLE)
         texts += [r[0] for r in some.collect()]
-    return train(texts, sorted({x for v in limits.values() for x in v})), limits
+    return Model(train(texts, sorted({x for v in limits.values() for x in v})), limits)
 
 
 def judged(brackets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -199,35 +243,16 @@ def judged(brackets: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Exact repeats of a record count once. Null, blank and stand-in values have no row; a null model is kept.
     """
-    b = brackets.select("rec_id", "bracket_text", "target_length", "model").dropDuplicates(["rec_id"])
-    n = nodes.select("rec_id", "summary_text", "summary_model").where("summary_text is not null").dropDuplicates(["rec_id"])
-    w, limits = fit(b, n)
-    items = b.select(F.lit("bracket").alias("item_kind"), "rec_id", "model", F.col("bracket_text").alias("text"), "target_length").unionByName(
-        n.select(F.lit("summary").alias("item_kind"), "rec_id", F.col("summary_model").alias("model"), F.col("summary_text").alias("text"), F.lit(None).cast("string").alias("target_length"))
-    )
-    shared = _share(items, w)
+    table = items(brackets, nodes)
+    model = fit(table)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = _unshare(shared)
-        sets = {k: set(v) for k, v in limits.items()}
         for pdf in parts:
             pdf = pdf[[isinstance(t, str) and not hollow(t) for t in pdf["text"]]]
-            pdf["cut"] = [is_cut(weights, sets[k], t, g if isinstance(g, str) else None) for k, t, g in zip(pdf["item_kind"], pdf["text"], pdf["target_length"], strict=True)]
-            yield pdf[["item_kind", "rec_id", "model", "cut"]]
-
-    return items.mapInPandas(run, "item_kind string, rec_id bigint, model string, cut boolean")
+            cut = model.cut(list(pdf["item_kind"]), list(pdf["text"]), [g if isinstance(g, str) else None for g in pdf["target_length"]])
+            yield pdf[["item_kind", "rec_id", "model"]].assign(cut=cut)
 
-
-def _share(df: DataFrame, w: np.ndarray):
-    """The weights that aren't zero, small enough to travel with the tasks."""
-    at = np.flatnonzero(w)
-    return at.astype(np.int32), w[at]
-
-
-def _unshare(shared) -> np.ndarray:
-    w = np.zeros(1 << BITS, np.float32)
-    w[shared[0]] = shared[1]
-    return w
+    return table.select("item_kind", "rec_id", "model", "text", "target_length").mapInPandas(run, "item_kind string, rec_id bigint, model string, cut boolean")
 
 
 def shares(brackets: DataFrame, nodes: DataFrame) -> DataFrame:
