@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, partitions: int = 8, name: str = "quire") -> SparkSession:
@@ -25,30 +26,69 @@ def local_session(cores: int = 8, partitions: int = 8, name: str = "quire") -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder for checkpoints; a temporary one only where none is set."""
+    """The session's shared folder for checkpoints.
+
+    It is ``spark.checkpoint.dir``; only a local master, whose tasks all run on this machine, may do without and gets a
+    temporary one. A cluster without the setting is an error, as its executors don't share their disks.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quire-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+_TABLES: dict[str, SparkSession] = {}
+
+
+def checkpointed(df: DataFrame, frees: DataFrame | None = None) -> DataFrame:
     """Cut the lineage by a table written to the shared checkpoint folder, compressed and read back by column.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (as in tests on one machine) a
-    temporary folder is used. It survives the loss of executors, unlike localCheckpoint, which is never used. The tables
-    of a driver are removed when it ends.
+    It survives the loss of executors, unlike localCheckpoint, which is never used. ``frees``: an earlier table that
+    nothing but ``df`` was made from; it is removed once ``df`` is written. Other tables go when the driver ends, or
+    with ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _TABLES:
+        atexit.register(release)
+    _TABLES[path] = spark
+    old = getattr(frees, "_table", None)
+    if old:
+        _remove(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def release() -> None:
+    """Remove all checkpointed tables; results that were made from them and not written yet can't be read any more."""
+    for path in list(_TABLES):
+        _remove(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _remove(path: str) -> None:
+    spark = _TABLES.pop(path, None)
+    if spark is None:
+        return
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # noqa: BLE001  the session may be gone before
         pass
+
+
+#: Rows of a side that is sent to all executors, at most; of some hundred bytes each, that is a few megabytes.
+BROADCAST_ROWS = 50_000
+
+
+def met(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a side of narrow rows that is written and counted first: broadcast up to ``most`` rows, else shuffled.
+
+    Both ways give the same rows; an expression that goes before the join on ``left`` isn't shuffled where the side is small.
+    """
+    right = checkpointed(right)
+    return left.join(F.broadcast(right) if right.count() <= most else right, on, how)
