@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import functools
 import random
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +22,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from quire.llm.chain import Chain
 from quire.llm.sentences import GOES_ON, MAY_END, MONTHS, split_line
-from quire.session import checkpointed
+from quire.session import BROADCAST_ROWS, checkpointed, met
 
 LABELS = ["body", "heading", "furniture", "break"]
 #: Marks at a line end that may divide a word (the last is the soft hyphen).
@@ -65,59 +64,37 @@ def block_words(text: str) -> tuple[list[str], list[str], list[str]]:
     return _FIND(solid), _COMPOUND(solid) if "-" in solid else [], joined
 
 
-def word_counts(body: DataFrame) -> DataFrame:
-    """(word, n, seen) over all blocks of (rec_id, text): how often a form stands within a line, and with divided words joined.
-
-    Counted per batch before the shuffle, so that what is shuffled are the distinct words of each batch.
-    """
+def block_forms(body: DataFrame) -> DataFrame:
+    """(rec_id, words, compounds, joined) of the blocks (rec_id, text): ``block_words`` of each, taken once."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            n, seen = Counter(), Counter()
-            for t in pdf["text"]:
-                words, compounds, joined = block_words(t)
-                n.update(words)
-                seen.update(joined)
-                n.update({f"\0{c}": k for c, k in Counter(compounds).items()})
-            rows = [(w, k, k + seen.pop(w, 0)) if w[0] != "\0" else (w[1:], k, 0) for w, k in n.items() if len(w) <= 40]
-            rows += [(w, 0, k) for w, k in seen.items() if len(w) <= 40]
-            yield pd.DataFrame(rows, columns=["word", "n", "seen"])
-
-    return body.select("text").mapInPandas(run, "word string, n bigint, seen bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+            found = [block_words(t) for t in pdf["text"]]
+            yield pd.DataFrame({"rec_id": pdf["rec_id"], "words": [x[0] for x in found], "compounds": [x[1] for x in found], "joined": [x[2] for x in found]})
 
+    return body.select("rec_id", "text").mapInPandas(run, "rec_id bigint, words array<string>, compounds array<string>, joined array<string>")
 
-#: Misread forms that are sent to the workers, at most; more of them meet the blocks' words by a join.
-SENT = 100_000
 
+def word_counts(forms: DataFrame) -> DataFrame:
+    """(word, n, seen) over all blocks: how often a form stands within a line, and with divided words joined."""
+    kinds = F.explode(F.array(*[F.struct(F.col(c).alias("w"), F.lit(n).alias("n"), F.lit(seen).alias("seen")) for c, n, seen in (("words", 1, 1), ("compounds", 1, 0), ("joined", 0, 1))]))
+    return forms.select(kinds.alias("x")).select(F.explode("x.w").alias("word"), "x.n", "x.seen").groupBy("word").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
 
-def with_misread(body: DataFrame, bad: DataFrame) -> DataFrame:
-    """(rec_id, words array<string>): the blocks of (rec_id, text) that hold words of ``bad``, and which."""
-    bad = checkpointed(bad.select("word").distinct())
-    if bad.count() > SENT:
 
-        def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in parts:
-                found = ((i, block_words(t)) for i, t in zip(pdf["rec_id"], pdf["text"], strict=True))
-                yield pd.DataFrame([(i, w) for i, x in found for w in {*x[0], *x[2]}], columns=["rec_id", "word"])
+def with_misread(forms: DataFrame, bad: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(rec_id, words array<string>): the blocks of ``forms`` that hold words of ``bad``, and which."""
+    each = forms.select("rec_id", F.explode(F.array_distinct(F.concat("words", "joined"))).alias("word"))
+    return met(each, bad.select("word").distinct(), ["word"], "left_semi", most).groupBy("rec_id").agg(F.sort_array(F.collect_set("word")).alias("words"))
 
-        return body.select("rec_id", "text").mapInPandas(each, "rec_id bigint, word string").join(bad, "word", "left_semi").groupBy("rec_id").agg(F.collect_set("word").alias("words"))
-    few = frozenset(r.word for r in bad.collect())
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for i, t in zip(pdf["rec_id"], pdf["text"], strict=True):
-                words, _, joined = block_words(t)
-                hit = few.intersection(words).union(few.intersection(joined))
-                if hit:
-                    rows.append((i, sorted(hit)))
-            yield pd.DataFrame(rows, columns=["rec_id", "words"])
 
-    return body.select("rec_id", "text").mapInPandas(run, "rec_id bigint, words array<string>")
+#: Unbroken text of more characters isn't a word but something encoded, and has no variants.
+LONGEST = 1000
 
 
 def variants(word: str) -> list[str]:
     """What a form may have been before recognition: odd glyphs undone at once, then one further confusion."""
+    if len(word) > LONGEST:
+        return []
     bases = [word]
     if _ODD_MIX.search(word):
         plain = "".join(ODD.get(c, c) for c in word)
@@ -228,8 +205,8 @@ def _figures(text: str) -> str:
 
 def _roman(n: int) -> str:
     out = ""
-    for v, c in ((50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
-        while n >= v and len(out) < 12:
+    for v, c in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+        while n >= v:
             out, n = out + c, n - v
     return out
 
@@ -243,7 +220,7 @@ def line_form(line: str, page: int, alone: bool, first: bool, last: bool, gap, f
     number = "none"
     if nums:
         number = "page" if str(page) in nums[:1] + nums[-1:] else "other"
-    roman = alone and bool(regex.fullmatch(r"[ivxlc]{1,6}", t)) and t == _roman(page)
+    roman = alone and bool(regex.fullmatch(r"[ivxlcdm]+", t)) and t == _roman(page)
     shape = "only" if only else "roman" if roman else "orn" if alone and not any(c.isalnum() for c in t) else "short" if alone and low <= 90 and not regex.search(r"[.!?…。！？।]$", t) else "text"
     place = "top" if first else "bottom" if last else "mid"
     tail = "edge" if number == "page" and regex.search(r"(?:^\W*[\dlIO|]+\s{2,}|(?:\s{2,}|\|\s*)[\dlIO|]+\W*$)", t) else "in" if nums and shape == "short" else "no"
@@ -258,7 +235,7 @@ def model() -> Chain:
     """The field, trained on the small labelled table of page layouts below."""
     rng = random.Random(11)
     seqs, tags = [], []
-    body = lambda: line_form("The council waited at the gate and", 9, False, False, False, None, False, 5, 0, False, None, None)
+    body = lambda: line_form("They walked along the lane until", 9, False, False, False, None, False, 5, 0, False, None, None)
 
     def block(out, lab, where):
         n = rng.randint(1, 6)
@@ -267,31 +244,31 @@ def model() -> Chain:
             mark = rng.choice(["-", "-", "-", "‐", "¬", "=", "\u00ad"]) if div else None
             proof = rng.choice(["join", "join", "join", "none", "compound", "halves"]) if div else None
             hit = bool(mark) and (proof in ("join", "none") or (mark != "-"))
-            out.append(line_form("The council waited at the gate and", 9, False, where == 0 and k == 0, where == 2 and k == n - 1, None, False, 5, 0, False, proof, mark))
+            out.append(line_form("They walked along the lane until", 9, False, where == 0 and k == 0, where == 2 and k == n - 1, None, False, 5, 0, False, proof, mark))
             lab.append("break" if hit else "body")
 
     # Labelled lines: text with # for the page number, the style of the book's headers, pages since the text stood there
     # last, whether it is the book's title or belongs to even pages, whether the page has a number, parity; label.
     top = [
-        ("#   THE SALTED LEDGER", "numbered", None, False, False, None, "furniture"), ("THE SALTED LEDGER   #", "numbered", None, False, True, None, "furniture"), ("#   THE SALTED LEDGER", "numbered", 2, True, False, 0, "furniture"),
-        ("OF THE QUIET HARBOUR   #", "numbered", 2, False, False, 1, "furniture"), ("The Salted Ledger   #", "none", 1, True, False, None, "furniture"), ("LE RAPPORT ANNUEL   #", "numbered", 1, False, False, None, "furniture"),
-        ("QUIET PROCESSION   #", "numbered", None, False, False, 1, "furniture"), ("THE SALTED LEDGER   #", "plain", 1, False, False, None, "furniture"),
-        ("THE SALTED LEDGER", "plain", 1, False, True, 1, "furniture"), ("The Salted Ledger", "plain", 2, True, True, 0, "furniture"), ("The Salted Ledger", "plain", 2, True, False, 0, "heading"), ("The Quiet Harbour", "plain", 2, False, True, 1, "furniture"),
-        ("The Quiet Harbour", "plain", 1, False, False, 1, "heading"), ("The Quiet Harbour", "plain", 2, False, False, 1, "heading"), ("The Salted Ledger", "plain", None, True, False, 0, "heading"), ("The Salted Ledger", "plain", None, True, True, 0, "furniture"),
-        ("The Salted Ledger", "plain", 7, True, True, 0, "furniture"), ("The Salted Ledger", "plain", 6, True, False, 0, "heading"), ("The Quiet Harbour", "plain", None, False, True, 1, "furniture"), ("The Quiet Harbour", "plain", 9, False, True, 1, "furniture"), ("The Quiet Harbour", "plain", None, False, True, 0, "furniture"),
-        ("THE QUIET HARBOUR", "plain", None, False, False, 1, "heading"), ("The Quiet Harbour", "plain", None, False, False, 0, "heading"), ("The Quiet Harbour", "plain", 9, False, False, 1, "heading"), ("The Quiet Harbour", "plain", 9, False, False, 0, "heading"),
-        ("The Quiet Harbour", "plain", 1, False, False, 0, "heading"), ("The Quiet Harbour", "plain", 2, False, False, 0, "heading"), ("The Salted Ledger", "plain", None, True, False, 1, "heading"), ("The Salted Ledger", "plain", 5, True, False, 1, "heading"), ("The Salted Ledger", "plain", 1, True, False, 1, "heading"),
-        ("OF THE QUIET HARBOUR", "numbered", None, False, False, None, "heading"), ("Of the Quiet Harbour", "numbered", None, False, False, None, "heading"), ("Der Briefwechsel", "none", None, False, False, None, "heading"), ("LA CORRESPONDANCE", "numbered", 1, False, False, None, "heading"),
-        ("LA CORRESPONDANCE", "none", 2, False, False, None, "heading"), ("El informe anual", "numbered", 12, False, False, None, "heading"), ("LA CORRESPONDANCE", "none", None, False, False, None, "heading"), ("Los libros", "numbered", None, True, False, None, "heading"), ("Los libros", "numbered", 2, True, False, 0, "heading"),
-        ("Los libros", "none", 2, True, False, 0, "heading"), ("Los libros", "none", None, False, True, None, "heading"),
-        ("The Salted Ledger", "plain", 2, True, True, 1, "furniture"), ("The Salted Ledger", "none", None, True, True, 0, "furniture"), ("The Salted Ledger", "none", 2, True, True, 0, "furniture"),
+        ("#   THE PAPER LANTERN", "numbered", None, False, False, None, "furniture"), ("THE PAPER LANTERN   #", "numbered", None, False, True, None, "furniture"), ("#   THE PAPER LANTERN", "numbered", 2, True, False, 0, "furniture"),
+        ("ON THE LONG ROAD   #", "numbered", 2, False, False, 1, "furniture"), ("The Paper Lantern   #", "none", 1, True, False, None, "furniture"), ("LES DEUX VALISES   #", "numbered", 1, False, False, None, "furniture"),
+        ("EVENING WALKS   #", "numbered", None, False, False, 1, "furniture"), ("THE PAPER LANTERN   #", "plain", 1, False, False, None, "furniture"),
+        ("THE PAPER LANTERN", "plain", 1, False, True, 1, "furniture"), ("The Paper Lantern", "plain", 2, True, True, 0, "furniture"), ("The Paper Lantern", "plain", 2, True, False, 0, "heading"), ("The Long Road", "plain", 2, False, True, 1, "furniture"),
+        ("The Long Road", "plain", 1, False, False, 1, "heading"), ("The Long Road", "plain", 2, False, False, 1, "heading"), ("The Paper Lantern", "plain", None, True, False, 0, "heading"), ("The Paper Lantern", "plain", None, True, True, 0, "furniture"),
+        ("The Paper Lantern", "plain", 7, True, True, 0, "furniture"), ("The Paper Lantern", "plain", 6, True, False, 0, "heading"), ("The Long Road", "plain", None, False, True, 1, "furniture"), ("The Long Road", "plain", 9, False, True, 1, "furniture"), ("The Long Road", "plain", None, False, True, 0, "furniture"),
+        ("THE LONG ROAD", "plain", None, False, False, 1, "heading"), ("The Long Road", "plain", None, False, False, 0, "heading"), ("The Long Road", "plain", 9, False, False, 1, "heading"), ("The Long Road", "plain", 9, False, False, 0, "heading"),
+        ("The Long Road", "plain", 1, False, False, 0, "heading"), ("The Long Road", "plain", 2, False, False, 0, "heading"), ("The Paper Lantern", "plain", None, True, False, 1, "heading"), ("The Paper Lantern", "plain", 5, True, False, 1, "heading"), ("The Paper Lantern", "plain", 1, True, False, 1, "heading"),
+        ("ON THE LONG ROAD", "numbered", None, False, False, None, "heading"), ("On the Long Road", "numbered", None, False, False, None, "heading"), ("Das Gartentor", "none", None, False, False, None, "heading"), ("LA FENÊTRE VERTE", "numbered", 1, False, False, None, "heading"),
+        ("LA FENÊTRE VERTE", "none", 2, False, False, None, "heading"), ("El reloj de agua", "numbered", 12, False, False, None, "heading"), ("LA FENÊTRE VERTE", "none", None, False, False, None, "heading"), ("Las barcas", "numbered", None, True, False, None, "heading"), ("Las barcas", "numbered", 2, True, False, 0, "heading"),
+        ("Las barcas", "none", 2, True, False, 0, "heading"), ("Las barcas", "none", None, False, True, None, "heading"),
+        ("The Paper Lantern", "plain", 2, True, True, 1, "furniture"), ("The Paper Lantern", "none", None, True, True, 0, "furniture"), ("The Paper Lantern", "none", 2, True, True, 0, "furniture"),
     ]
     foot = [
-        ("Die Wasserleitung | #", "none", 1, True, False, None, "furniture"), ("DIE WASSERLEITUNG | #", "numbered", None, False, False, None, "furniture"), ("Of the Quiet Harbour | #", "none", None, False, False, None, "furniture"), ("La correspondance | #", "plain", 2, False, False, None, "furniture"), ("p. #", "plain", None, False, False, None, "furniture"),
+        ("Die Gartenlaube | #", "none", 1, True, False, None, "furniture"), ("DIE GARTENLAUBE | #", "numbered", None, False, False, None, "furniture"), ("On the Long Road | #", "none", None, False, False, None, "furniture"), ("La fenêtre verte | #", "plain", 2, False, False, None, "furniture"), ("p. #", "plain", None, False, False, None, "furniture"),
         ("#", "plain", None, False, False, None, "furniture"), ("#", "none", None, False, False, None, "furniture"), ("[#]", "plain", None, False, False, None, "furniture"), ("– # –", "none", None, False, False, None, "furniture"), ("– # –", "plain", None, False, False, None, "furniture"), ("Page # of 46", "plain", 1, False, False, None, "furniture"), ("Page # of 12", "numbered", 1, False, False, None, "furniture"),
         ("Page # of 12", "plain", None, False, False, None, "furniture"), ("~", "plain", None, False, False, None, "furniture"), ("~", "none", None, False, False, None, "furniture"), ("* * *", "numbered", None, False, False, None, "body"), ("1844", "plain", None, False, False, None, "body"), ("9,801", "none", None, False, False, None, "body"), ("III", "plain", None, False, False, None, "body"), ("4,685", "numbered", None, False, False, None, "body"),
     ]
-    mid = [("* * *", "numbered", None, False, False, None, "body"), ("* * *", "plain", 1, False, False, None, "body"), ("1684", "numbered", None, False, False, None, "body"), ("9,572", "plain", None, False, False, None, "body"), ("III", "none", None, False, False, None, "body"), ("IV", "plain", None, False, False, None, "body"), ("1872", "none", None, False, False, None, "body"), ("The Quiet Harbour", "numbered", None, False, False, None, "heading")]
+    mid = [("* * *", "numbered", None, False, False, None, "body"), ("* * *", "plain", 1, False, False, None, "body"), ("1684", "numbered", None, False, False, None, "body"), ("9,572", "plain", None, False, False, None, "body"), ("III", "none", None, False, False, None, "body"), ("IV", "plain", None, False, False, None, "body"), ("1872", "none", None, False, False, None, "body"), ("The Long Road", "numbered", None, False, False, None, "heading")]
     styles = {"numbered": (9, 0), "plain": (0, 9), "none": (0, 0)}
 
     def put(item, where, out, lab):
@@ -387,10 +364,11 @@ def labelled_lines(pages: DataFrame, counts: DataFrame, classes: tuple[str, ...]
 
 
 def _prepared(blocks: DataFrame, books: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The pages, their body blocks (rec_id, text), and the word counts."""
+    """The pages, the forms of their body blocks, and the word counts."""
     pages = checkpointed(page_blocks(blocks, books))
     body = pages.select(F.explode(F.filter("b", lambda x: x["cls"] == "body")).alias("x")).select("x.rec_id", "x.text")
-    return pages, body, checkpointed(word_counts(body))
+    forms = checkpointed(block_forms(body))
+    return pages, forms, checkpointed(word_counts(forms))
 
 
 def cases(blocks: DataFrame, books: DataFrame) -> DataFrame:
@@ -399,12 +377,12 @@ def cases(blocks: DataFrame, books: DataFrame) -> DataFrame:
     Null and blank texts have no case; repeats of a record count once; books without rows in ``books`` are left out, as
     their format is unknown.
     """
-    pages, body, counts = _prepared(blocks, books)
+    pages, forms, counts = _prepared(blocks, books)
     lines = labelled_lines(pages, counts)
     kinds = checkpointed(lines.select("rec_id", F.forall("labels", lambda x: x == "furniture").alias("furniture"), F.exists("labels", lambda x: x == "break").alias("broken")))
     a = kinds.where("furniture").select("rec_id", F.lit("furniture").alias("noise"))
     b = kinds.where("broken and not furniture").select("rec_id", F.lit("break").alias("noise"))
-    c = with_misread(body, misread(counts)).select("rec_id").join(kinds.where("furniture").select("rec_id"), "rec_id", "left_anti").select("rec_id", F.lit("glyph").alias("noise"))
+    c = with_misread(forms, misread(counts)).select("rec_id").join(kinds.where("furniture").select("rec_id"), "rec_id", "left_anti").select("rec_id", F.lit("glyph").alias("noise"))
     return a.unionByName(b).unionByName(c)
 
 
@@ -426,7 +404,7 @@ def goes_on(tail: str, head: str, long: bool, cut: bool, apart: bool) -> bool:
     """Whether the paragraph whose text ends in ``tail`` at the end of a page goes on in ``head`` on the next.
 
     ``long``: running text by its length and lines; ``cut``: the last word is divided; ``apart``: a heading or the like stands
-    between. A small letter, comma or semicolon goes on where no sentence was closed; a capital, a figure, a quotation
+    between, or ``tail`` looks like one. A small letter, comma or semicolon goes on where no sentence was closed; a capital, a figure, a quotation
     or a caseless script only where a long block, a divided word or a comma breaks off inside a sentence.
     """
     tail, head = tail.rstrip(), head.lstrip()
@@ -461,10 +439,10 @@ def paragraphs(blocks: DataFrame, books: DataFrame) -> DataFrame:
     are resolved by doubling the pointers, so that no book is gathered in one task. Spaceless scripts are joined without
     a space there.
     """
-    pages, _, counts = _prepared(blocks, books)
+    pages, forms, counts = _prepared(blocks, books)
     lines = checkpointed(labelled_lines(pages, counts, with_text=True).where(~F.forall("labels", lambda x: x == "furniture")))
     meant = checkpointed(misread(counts).where("meant is not null"))
-    fixes = with_misread(lines, meant).select("rec_id", F.explode("words").alias("word")).join(meant, "word").groupBy("rec_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "meant"))).alias("fix"))
+    fixes = with_misread(forms, meant).select("rec_id", F.explode("words").alias("word")).join(meant, "word").groupBy("rec_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "meant"))).alias("fix"))
 
     @pandas_udf("string")
     def repair(text: pd.Series, labels: pd.Series, fix: pd.Series) -> pd.Series:
@@ -490,7 +468,7 @@ def paragraphs(blocks: DataFrame, books: DataFrame) -> DataFrame:
     ends = rows.join(edge.join(other, ["book_id", "page_no"], "left"), ["book_id", "page_no"])
     apart = lambda x: F.coalesce(x, F.lit(False))
     firsts = ends.where("block_idx = lo").select("book_id", "page_no", "block_idx", F.substring("text", 1, SEAM).alias("head"), (F.col("heading") | apart(F.col("top") < F.col("lo"))).alias("below"), (F.col("lo") == F.col("hi")).alias("single"))
-    lasts = ends.where("block_idx = hi and not heading").select("book_id", (F.col("page_no") + 1).alias("page_no"), F.col("block_idx").alias("to_idx"), F.right("text", F.lit(SEAM)).alias("tail"), ((F.length("text") > SHORT) | (F.col("lines") > 1) & (F.length("text") >= FILLED * F.col("lines"))).alias("long"), "cut", apart(F.col("bottom") > F.col("hi")).alias("above"))
+    lasts = ends.where("block_idx = hi").select("book_id", (F.col("page_no") + 1).alias("page_no"), F.col("block_idx").alias("to_idx"), F.right("text", F.lit(SEAM)).alias("tail"), ((F.length("text") > SHORT) | (F.col("lines") > 1) & (F.length("text") >= FILLED * F.col("lines"))).alias("long"), "cut", (F.col("heading") | apart(F.col("bottom") > F.col("hi"))).alias("above"))
 
     @pandas_udf("boolean")
     def joins(tail: pd.Series, head: pd.Series, long: pd.Series, cut: pd.Series, apart: pd.Series) -> pd.Series:
@@ -504,7 +482,7 @@ def paragraphs(blocks: DataFrame, books: DataFrame) -> DataFrame:
         step = link.join(via, ["book_id", "to_page"], "left")
         if step.where("p2 is not null").isEmpty():
             break
-        link = checkpointed(step.select("book_id", "page_no", "block_idx", "single", "hyphen", F.coalesce("p2", "to_page").alias("to_page"), F.coalesce("i2", "to_idx").alias("to_idx")))
+        link = checkpointed(step.select("book_id", "page_no", "block_idx", "single", "hyphen", F.coalesce("p2", "to_page").alias("to_page"), F.coalesce("i2", "to_idx").alias("to_idx")), frees=link)
     at = link.select("book_id", "page_no", "block_idx", "hyphen", "to_page", "to_idx")
     moved = rows.join(at, ["book_id", "page_no", "block_idx"], "left").select("book_id", F.coalesce("to_page", "page_no").alias("p"), F.coalesce("to_idx", "block_idx").alias("i"), "page_no", "block_idx", F.concat(F.coalesce("hyphen", F.lit("")), "text").alias("text"), "cut")
     parts = moved.groupBy("book_id", "p", "i").agg(F.sort_array(F.collect_list(F.struct("page_no", "block_idx", "text", "cut"))).alias("x"))

@@ -86,3 +86,69 @@ def test_paragraphs_go_on_in_capitals_and_caseless_scripts(frame):
     rest = more.replace("\n", " ")
     want = {(1, 1): f"{long} {mid} Vallisund blockade. It ended.".replace("\n", " "), (5, 1): long, (6, 1): "Dunvarra lay still. It ended.", (8, 1): zh + "年度报告。", (11, 1): "Das Komitee verzeichnete am Abend noch die Nord-Süd-Straße am Ufer."}
     assert got == want | {k: rest for k in ((1, 0), (3, 1), (5, 0), (6, 2), (8, 0), (9, 1), (11, 0), (12, 1))}
+
+
+def test_misread_by_both_joins(frame):
+    forms = scans.block_forms(frame([(1, "one vvell two"), (2, "vvell bar-\nbour bar"), (3, "clean words"), (4, "")], "rec_id bigint, text string"))
+    bad = frame([("vvell",), ("barbour",)], "word string")
+    ways = [sorted((r.rec_id, list(r.words)) for r in scans.with_misread(forms, bad, most).collect()) for most in (100, 0)]
+    assert ways[0] == ways[1] == [(1, ["vvell"]), (2, ["barbour", "vvell"])]
+
+
+def test_long_words_count(frame):
+    long = "Donaudampfschifffahrtselektrizitätenhaupt"  # 41 characters
+    assert len(long) == 41
+    counts = {r.word: r.n for r in scans.word_counts(scans.block_forms(frame([(1, f"{long} and {long}")], "rec_id bigint, text string"))).collect()}
+    assert counts[long] == 2 and scans.variants("x" * 100_000) == [] and "Donaudampfschifffahrtselektrizitätenhaupt" in scans.variants(long.replace("h", "b", 1))
+
+
+def _typeset(rng, paragraphs, wide=46, lines=9):
+    """Pages of blocks as a scanner sees them: lines of a width, divided words, misread letters, headers and page numbers."""
+    pages, page, room, no = [], [], lines, 1
+    for text in paragraphs:
+        words, rows, row = text.split(), [], ""
+        while words:
+            w = words.pop(0)
+            if len(row) + len(w) + 1 <= wide:
+                row = f"{row} {w}".strip()
+            elif len(w) > 7 and w.isalpha() and len(row) + 5 <= wide and rng.random() < 0.6:
+                rows.append(f"{row} {w[:4]}-")
+                row = w[4:]
+            else:
+                rows.append(row)
+                row = w
+        rows.append(row)
+        while rows:
+            part, rows = rows[:room], rows[room:]
+            page.append("\n".join(part))
+            room -= len(part)
+            if room <= 0 or rows:
+                pages.append((no, page))
+                page, room, no = [], lines, no + 1
+    pages.append((no, page))
+    out, rec = [], 0
+    for no, page in pages:
+        for k, (text, kind) in enumerate([(f"A BOOK OF FERRIES   {no}", "header" if no % 5 else "body"), *[(t, "body") for t in page], (f"{no}", "folio" if no % 4 else "body")]):
+            rec += 1
+            if kind == "body" and rng.random() < 0.06:
+                text = text.replace("harbour", "barbour", 1).replace("modern", "rnodern", 1)
+            out.append((rec, "b", no, k, text, kind))
+    return out
+
+
+def test_paragraphs_of_typeset_pages(frame):
+    """What share of known paragraphs comes back exactly from noisy pages."""
+    import random
+
+    rng = random.Random(3)
+    nouns, verbs = "harbour ferry captain lantern warehouse merchant passenger timetable quarrel modern bridge".split(), "carried repaired described forgot measured remembered".split()
+    sentence = lambda: f"The {rng.choice(nouns)} {rng.choice(verbs)} a {rng.choice(nouns)} beside the {rng.choice(nouns)} before the {rng.choice(nouns)} of the morning."
+    want = [" ".join(sentence() for _ in range(rng.randint(2, 6))) for _ in range(150)]
+    rows = _typeset(rng, want)
+    blocks = frame(rows, "rec_id bigint, book_id string, page_no int, block_idx int, text string, classification string")
+    books = frame([("b", "pdf", "A Book of Ferries")], "book_id string, book_format string, title string")
+    got = [r.text for r in sorted(scans.paragraphs(blocks, books).collect(), key=lambda r: (r.page_no, r.block_idx))]
+    whole = len(set(want) & set(got)) / len(set(want))
+    print(f"paragraphs restored exactly: {whole:.3f} of {len(want)}, {len(got)} rows")
+    assert whole > 0.9
+    assert not any("FERRIES" in t for t in got)
