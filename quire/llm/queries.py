@@ -10,6 +10,7 @@ QUERIES = {
     "p3_found": lambda s, d: sentences.found(table(s, d, "sections"), table(s, d, "nodes"), table(s, d, "books")),
     "p4_found": lambda s, d: pieces.found(table(s, d, "sections"), table(s, d, "nodes"), table(s, d, "blocks"), table(s, d, "size_limits")),
     "p4_pieces": lambda s, d: pieces.pieces(table(s, d, "sections"), table(s, d, "nodes"), table(s, d, "blocks"), table(s, d, "size_limits")),
+    "p4_cuts": lambda s, d: pieces.cut_kinds(table(s, d, "sections"), table(s, d, "nodes"), table(s, d, "blocks"), table(s, d, "size_limits")),
     "p5_found": lambda s, d: scans.cases(table(s, d, "blocks"), table(s, d, "books")),
     "p5_paragraphs": lambda s, d: scans.paragraphs(table(s, d, "blocks"), table(s, d, "books")),
     "p6_found": lambda s, d: truncation.found(table(s, d, "brackets"), table(s, d, "nodes")),

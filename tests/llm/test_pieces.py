@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm.pieces import found, leaf_texts, pieces, split
+from quire.llm.pieces import cut_kinds, cuts, found, leaf_texts, pieces, split, tree
 
 
 @settings(max_examples=60, deadline=None)
@@ -24,6 +24,61 @@ def test_natural_boundaries():
     assert all(text[b - 1].isspace() or text[b - 1] == "." for _, b in got)
 
 
+SECTION = "{0}\n" + "The council waited here for long. " * 4 + "\n"
+
+
+def test_only_siblings_share_a_piece():
+    """The tail of an oversized section isn't packed with the section behind it."""
+    text = "# Alpha\n" + "It stood low. " * 70 + "\n# Beta\n" + "It rose again soon. " * 95 + "\n# Gamma\n" + "The end was near. " * 24
+    got = [text[a:b] for a, b in split(text, 1500, 0)]
+    assert got[0].startswith("# Alpha") and got[1].startswith("# Beta") and got[-1].startswith("# Gamma")
+    assert not any("# Gamma" in x and "It rose" in x for x in got)
+
+
+def test_headings_nest_by_rank():
+    text = "# A\nintro\n## A1\nbody\n### A1a\ndeep\n## A2\nbody\n# B\nlast"
+    top = tree(text)
+    assert [text[k.lo : k.hi].split("\n")[0] for k in top.kids] == ["# A", "# B"]
+    a = top.kids[0]
+    assert [(k.kind, text[k.lo : k.hi].split("\n")[0]) for k in a.kids] == [("head", "# A"), ("paragraph", "intro"), ("heading", "## A1"), ("heading", "## A2")]
+    assert [k.kind for k in a.kids[2].kids] == ["head", "paragraph", "heading"]
+    books = tree("Part One\nx\nChapter 1\ny\nChapter 2\nz\nPart Two\nw")
+    assert [len([k for k in b.kids if k.kind == "heading"]) for b in books.kids] == [2, 0]
+
+
+def test_lists_and_markup_nest():
+    text = "- one\n  - inner a\n  - inner b\n- two\nplain"
+    top = tree(text)
+    assert [text[k.lo : k.hi].strip().split("\n")[0] for k in top.kids] == ["- one", "- two", "plain"]
+    assert len(top.kids[0].kids) == 3
+    html = "<section>\n<h2>One</h2>\n<p>text</p>\n</section>\n<section>\n<p>more</p>\n</section>"
+    top = tree(html)
+    assert [html[k.lo : k.hi].strip()[-10:] for k in top.kids] == ["</section>", "</section>"] and top.kids[0].kids
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab A.\n#-<p>/ul1é中。", max_size=400))
+def test_a_tree_tiles_its_text(text):
+    todo = [tree(text)]
+    assert (todo[0].lo, todo[0].hi) == (0, len(text))
+    while todo:
+        n = todo.pop()
+        if n.kids:
+            assert n.kids[0].lo == n.lo and n.kids[-1].hi == n.hi and all(a.hi == b.lo for a, b in zip(n.kids, n.kids[1:], strict=False))
+            todo += n.kids
+
+
+def test_deep_trees_and_kinds_of_cuts():
+    deep = "".join("  " * i + f"- item {i}\n" for i in range(3000))
+    got = split(deep, 900, 20)
+    assert max(b - a for a, b in got) <= 900
+    text = "\n".join(SECTION.format(h) for h in ("# One", "# Two", "# Three"))
+    assert [k for _, _, k in cuts(text, 200, 0)] == ["heading"] * 3
+    assert {k for _, _, k in cuts("word " * 300, 100, 0)} == {"heading", "word"} and {k for _, _, k in cuts("x" * 300, 100, 0)} == {"heading", "character"}
+    assert {k for _, _, k in cuts("It stood low. " * 30, 100, 0)} == {"heading", "sentence"}
+    assert {k for _, _, k in cuts("it stood low; " * 30, 100, 0)} == {"heading", "clause"}
+
+
 def test_unbroken_text_is_cut_anyway():
     got = split("x" * 10_000, 2500, 150)
     assert max(b - a for a, b in got) <= 2500 and got[-1][1] == 10_000
@@ -67,4 +122,6 @@ def test_items(frame):
     assert leaf[0][2] == text[: len(leaf[0][2])] and len(leaf) >= 6
     assert [(r.piece_start, r.piece_end, r.text) for r in got if r.rec_id == 7] == [(0, 0, "")]
     assert sorted((r.item_kind, r.rec_id) for r in found(sections, nodes, blocks, limits).collect()) == [("leaf", 5), ("leaf", 7), ("section", 1)]
+    kinds = cut_kinds(sections, nodes, blocks, limits).collect()
+    assert sum(r.cuts for r in kinds) == len(got) - 3 and all(r.longest <= 50 for r in kinds)
     assert found(sections.where("false"), nodes.where("false"), blocks, limits).collect() == []
