@@ -6,10 +6,14 @@ engine. A null text gives null, an empty one the empty result named in each func
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[ \t\n\r\f\x0B]"
+_SPACES = re.compile(WS + "+")
 # Control and direction marks that are dropped from texts handed to a model.
 CONTROL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\u200B-\\u200F\\u202A-\\u202E\\u2066-\\u2069\\uFEFF]"
 # Upper bounds in characters of the length hints, and word budgets of each.
@@ -69,9 +73,15 @@ def offset_annotate(text: Column, step: int = 1000) -> Column:
 def sample_sentences(text: Column, count: int) -> Column:
     """Up to ``count`` evenly spaced sentences of 25 to 240 characters."""
     parts = F.filter(F.transform(F.split(text, f"(?<=[.!?]){WS}+"), trimmed), lambda s: F.length(s).between(25, 240))
-    n = F.size(parts)
-    at = lambda i: F.floor((i + F.lit(0.5)) * n / F.lit(count)).cast("int")
-    return F.when(text.isNull(), F.lit(None)).when(n <= count, parts).otherwise(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.element_at(parts, at(i) + 1)))
+
+    def picked(found: Column) -> Column:
+        n = F.size(found)
+        at = lambda i: F.floor((i + F.lit(0.5)) * n / F.lit(count)).cast("int")
+        some = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.element_at(found, at(i) + 1))
+        return F.when(n <= count, found).otherwise(some)
+
+    # a variable of a lambda is evaluated once, an expression as often as it is named
+    return F.when(text.isNotNull(), F.transform(F.array(parts), picked)[0])
 
 
 def named_terms(text: Column) -> Column:
@@ -133,12 +143,27 @@ def paragraphs_html(text: Column, fallback: str = "[omitted]") -> Column:
 
 
 def wrapped(text: Column, width: int) -> Column:
-    """Greedy word wrap to lines of ``width`` characters; a longer word has a line of its own."""
-    step = lambda acc, w: F.when(
-        (F.size(acc) > 0) & (F.length(F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))) + 1 + F.length(w) <= width),
-        F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat_ws(" ", F.element_at(acc, F.greatest(F.size(acc), F.lit(1))), w))),
-    ).otherwise(F.concat(acc, F.array(w)))
-    return F.aggregate(words(text), F.array().cast("array<string>"), step)
+    """Greedy word wrap to lines of ``width`` characters; a longer word has a line of its own. Linear in the text."""
+
+    @F.pandas_udf("array<string>")
+    def wrap(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if t is None:
+                return None
+            lines, line, n = [], [], -1
+            for w in _SPACES.split(t):
+                if not w:
+                    continue
+                if line and n + 1 + len(w) > width:
+                    lines.append(" ".join(line))
+                    line, n = [], -1
+                line.append(w)
+                n += 1 + len(w)
+            return [*lines, " ".join(line)] if line else lines
+
+        return texts.map(one)
+
+    return wrap(text)
 
 
 def duration_ms(text: Column) -> Column:

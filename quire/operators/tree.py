@@ -1,8 +1,8 @@
 """Trees of sections as adjacency tables: chains, descendants, roll-ups, seeding and reconciling of children.
 
-A tree is at most ``DEPTH`` deep, so closures are a fixed number of equi-joins on (book, node), each set-based over all
-books. Nodes whose parent is missing are roots of their own. Folds that depend on what was kept before run over the
-children of one node, inside the JVM.
+Closures go level by level over (book, node, parent) alone until a level is empty, each level one equi-join over all
+books; trees may be of any depth. Nodes whose parent is missing are roots of their own. Folds that depend on what was kept
+before run over the children of one node, inside the JVM.
 """
 
 from __future__ import annotations
@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.intervals import latest
+from quire.operators.ordered import numbered, running
 from quire.session import checkpointed
 
+# The depth below which a node isn't divided further.
 DEPTH = 6
+#: Characters of a text per tile of its reading order.
+TILE = 1 << 13
 COLUMNS = ["parent_id", "ord", "depth", "title", "start_off", "end_off", "start_page", "end_page", "is_leaf", "source", "summary_text", "summary_words"]
 # Limits of decomposition in pages and characters, and the most children of a node.
 LEAF_PAGES, MIN_CHARS, MIN_PAGES, MAX_CHILDREN, SNAP = 5, 7500, 3, 8, 400
@@ -24,34 +28,47 @@ def current(nodes: DataFrame) -> DataFrame:
     return latest(nodes, ["book_id", "node_id"], ["stored_at", "rec_id"], COLUMNS)
 
 
+def _levels(first: DataFrame, step, nodes: DataFrame) -> DataFrame:
+    """The union of ``first`` and what ``step`` makes of each level, until one is empty.
+
+    Parents that form a circle would go on for ever; no path is longer than its book has nodes.
+    """
+    level = checkpointed(first)
+    out, longest, depth = level, None, 0
+    while True:
+        level = checkpointed(step(level))
+        if level.isEmpty():
+            return out
+        out, depth = out.unionByName(level), depth + 1
+        if depth % 8 == 0:  # few trees are that deep: is there a circle?
+            longest = longest or nodes.groupBy("book_id").count().agg(F.max("count")).first()[0]
+            if depth >= longest:
+                return out
+
+
 def title_chains(nodes: DataFrame, glue: str = " › ") -> DataFrame:
-    """(book_id, node_id, chain): titles from the root to each node that a root reaches."""
+    """(book_id, node_id, chain): titles from the root to each node that a root reaches, whatever its depth."""
     n = nodes.select("book_id", "node_id", "parent_id", F.coalesce("title", F.lit("")).alias("title"))
-    level = n.where("parent_id is null").select("book_id", "node_id", F.col("title").alias("chain"))
-    out = level
-    for _ in range(DEPTH):
+    inner = n.where("parent_id is not null")
+
+    def below(level: DataFrame) -> DataFrame:
         up = level.select("book_id", F.col("node_id").alias("parent_id"), F.col("chain").alias("above"))
-        level = n.where("parent_id is not null").join(up, ["book_id", "parent_id"]).select("book_id", "node_id", F.concat("above", F.lit(glue), "title").alias("chain"))
-        out = out.unionByName(level)
-    return out
+        return inner.join(up, ["book_id", "parent_id"]).select("book_id", "node_id", F.concat("above", F.lit(glue), "title").alias("chain"))
 
+    return _levels(n.where("parent_id is null").select("book_id", "node_id", F.col("title").alias("chain")), below, n)
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """(book_id, node_id, anc_id): every node with itself and all nodes above it."""
+
+def ancestors(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(book_id, node_id, anc_id): every node (or those of ``of``) with itself and all nodes above it."""
     n = nodes.select("book_id", "node_id", "parent_id")
-    level = n.select("book_id", "node_id", F.col("node_id").alias("anc_id"))
-    out = level
     parents = n.where("parent_id is not null").select("book_id", F.col("node_id").alias("anc_id"), F.col("parent_id").alias("next"))
-    for _ in range(DEPTH):
-        level = level.join(parents, ["book_id", "anc_id"]).select("book_id", "node_id", F.col("next").alias("anc_id"))
-        out = out.unionByName(level)
-    return out
+    first = (n if of is None else of).select("book_id", "node_id", F.col("node_id").alias("anc_id"))
+    return _levels(first, lambda level: level.join(parents, ["book_id", "anc_id"]).select("book_id", "node_id", F.col("next").alias("anc_id")), n)
 
 
 def descendant_leaves(nodes: DataFrame) -> DataFrame:
     """(book_id, node_id, leaf_id) of every node and each leaf at or below it."""
-    leaves = nodes.where("is_leaf").select("book_id", "node_id", "parent_id")
-    up = ancestors(nodes.select("book_id", "node_id", "parent_id")).join(leaves.select("book_id", "node_id"), ["book_id", "node_id"], "left_semi")
+    up = ancestors(nodes, nodes.where("is_leaf"))
     return up.select("book_id", F.col("anc_id").alias("node_id"), F.col("node_id").alias("leaf_id"))
 
 
@@ -70,8 +87,10 @@ def leaf_flags(nodes: DataFrame) -> DataFrame:
 
 def listing(nodes: DataFrame) -> DataFrame:
     """(book_id, pos, node_id, chain, chars): nodes in reading order, with their chains and extents."""
-    w = Window.partitionBy("book_id").orderBy(F.col("start_off").asc_nulls_last(), "depth", "node_id")
-    return nodes.join(title_chains(nodes), ["book_id", "node_id"]).select("book_id", F.row_number().over(w).alias("pos"), "node_id", "chain", (F.col("end_off") - F.col("start_off")).alias("chars"))
+    order = [F.col("start_off").asc_nulls_last(), "depth", "node_id"]
+    n = nodes.select("book_id", "node_id", "depth", "start_off", (F.col("end_off") - F.col("start_off")).alias("chars"))
+    n = n.join(title_chains(nodes), ["book_id", "node_id"])
+    return numbered(n, ["book_id"], F.floor(F.col("start_off") / TILE), order, "pos").select("book_id", "pos", "node_id", "chain", "chars")
 
 
 def downstream_leaves(nodes: DataFrame, most: int = 80) -> DataFrame:
@@ -81,12 +100,13 @@ def downstream_leaves(nodes: DataFrame, most: int = 80) -> DataFrame:
     out together, and the ``most`` numbers from there meet the leaves by an equi-join. No pairs beyond those are made.
     """
     leaves = nodes.where("is_leaf and start_off is not null").select("book_id", F.col("node_id").alias("leaf_id"), "start_off")
-    numbered = leaves.withColumn("pos", F.row_number().over(Window.partitionBy("book_id").orderBy("start_off", "leaf_id")))
+    places = numbered(leaves, ["book_id"], F.floor(F.col("start_off") / TILE), ["start_off", "leaf_id"], "pos")
+    none = F.lit(None).cast("string")
     ends = nodes.where("not is_leaf and end_off is not null").select("book_id", "node_id", F.col("end_off").alias("at"), F.lit(0).alias("one"))
-    both = ends.unionByName(leaves.select("book_id", F.lit(None).cast("string").alias("node_id"), F.col("start_off").alias("at"), F.lit(1).alias("one")))
-    w = Window.partitionBy("book_id").orderBy("at", "one").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = both.withColumn("before", F.sum("one").over(w)).where("one = 0").select("book_id", "node_id", F.explode(F.sequence(F.col("before") + 1, F.col("before") + most)).alias("pos")).withColumn("pos", F.col("pos").cast("int"))
-    return first.join(numbered, ["book_id", "pos"]).select("book_id", "node_id", "leaf_id", "pos")
+    both = ends.unionByName(leaves.select("book_id", none.alias("node_id"), F.col("start_off").alias("at"), F.lit(1).alias("one")))
+    counted = running(both, ["book_id"], F.floor(F.col("at") / TILE), ["at", "one"], F.col("one"), "before").where("one = 0")
+    first = counted.select("book_id", "node_id", F.explode(F.sequence((F.col("before") + 1).cast("int"), (F.col("before") + most).cast("int"))).alias("pos"))
+    return first.join(places, ["book_id", "pos"]).select("book_id", "node_id", "leaf_id", "pos")
 
 
 def dependency_edges(nodes: DataFrame, most: int = 80) -> DataFrame:
@@ -104,8 +124,9 @@ def seed_top_level(bounds: DataFrame, index: DataFrame, least: int = MIN_CHARS)
     """
     total = index.groupBy("book_id").agg(F.max(F.col("start") + F.col("chars")).alias("total"))
     pages = index.select("book_id", "page_no", "start")
-    w = Window.partitionBy("book_id").orderBy("page_no", "title")
-    x = bounds.join(pages, ["book_id", "page_no"]).withColumn("next", F.lead("start").over(w)).join(total, "book_id").select("book_id", "page_no", "title", "start", F.coalesce("next", "total").alias("stop"), "total").where("stop > start")
+    w = Window.partitionBy("book_id").orderBy("page_no", "title")  # boundaries only, as many as a book has sections
+    x = bounds.join(pages, ["book_id", "page_no"]).withColumn("next", F.lead("start").over(w)).join(total, "book_id")
+    x = x.select("book_id", "page_no", "title", "start", F.coalesce("next", "total").alias("stop"), "total").where("stop > start")
     rows = x.groupBy("book_id", "total").agg(F.sort_array(F.collect_list(F.struct("start", "title", "stop"))).alias("x"))
     item = "array<struct<start:bigint,title:string,stop:bigint>>"
     top = lambda acc: F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))
@@ -181,12 +202,19 @@ def summarize_tree(nodes: DataFrame, leaf_words: int = 12, node_words: int = 60,
 
     run = summarizer or first_words
     n = checkpointed(nodes.select("book_id", "node_id", "parent_id", "ord", "depth", "is_leaf", "summary_text"))
-    done = run(n.where("is_leaf").select("book_id", "node_id", F.coalesce("summary_text", F.lit("")).alias("text"), F.lit(leaf_words).alias("most")))
-    deepest = n.agg(F.max("depth")).first()[0]
-    for depth in range(min(deepest if deepest is not None else -1, DEPTH), -1, -1):
-        kids = n.join(done, ["book_id", "node_id"]).select("book_id", F.col("parent_id").alias("node_id"), "ord", F.col("node_id").alias("kid"), "summary")
+    leaf = n.where("is_leaf").select("book_id", "node_id", F.coalesce("summary_text", F.lit("")).alias("text"), F.lit(leaf_words).alias("most"))
+    out = level = checkpointed(run(leaf))
+    for depth in _depths(n):
         here = n.where((F.col("depth") == depth) & ~F.col("is_leaf")).select("book_id", "node_id")
+        kids = n.join(out, ["book_id", "node_id"]).select("book_id", F.col("parent_id").alias("node_id"), "ord", F.col("node_id").alias("kid"), "summary")
         x = F.sort_array(F.collect_list(F.struct("ord", "kid", "summary")))
-        text = kids.join(here, ["book_id", "node_id"], "left_semi").groupBy("book_id", "node_id").agg(F.array_join(F.transform(x, lambda y: y["summary"]), " ").alias("text"), F.lit(node_words).alias("most"))
-        done = checkpointed(done.unionByName(run(text)))
-    return done
+        text = kids.join(here, ["book_id", "node_id"], "left_semi").groupBy("book_id", "node_id")
+        text = text.agg(F.array_join(F.transform(x, lambda y: y["summary"]), " ").alias("text"), F.lit(node_words).alias("most"))
+        level = checkpointed(run(text))
+        out = out.unionByName(level)
+    return out
+
+
+def _depths(nodes: DataFrame) -> list[int]:
+    """The depths at which inner nodes stand, deepest first."""
+    return sorted((r[0] for r in nodes.where("not is_leaf and depth is not null").select("depth").distinct().collect()), reverse=True)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quire.operators import blocks as B
 from quire.operators import curation as C
 from quire.operators import tree as T
+from quire.operators.intervals import latest
+from quire.operators.ordered import numbered
 from quire.plans.blocks import _bounds
 from quire.session import checkpointed
 from quire.tables import table
@@ -50,32 +52,57 @@ def _kids(s, d):
     return T.reconciled(s.createDataFrame(_KIDS, "id int, title string, start_off int, end_off int"), s.createDataFrame([(i, _TEXT) for i in (1, 2, 3)], "id int, text string"))
 
 
-def _deleted(n, i, books):
-    under = checkpointed(T.descendant_leaves(n))
-    return C.deletions(C.fragment_pages(n, C.fragments(n, i, under), under), books)
+def _books(s, d):
+    return table(s, d, "books", "book_id", "page_count")
+
+
+def _heap(s, d):
+    """The sections of a book as a binary heap in their order: trees as deep as the logarithm of their number."""
+    x = latest(table(s, d, "sections"), ["book_id", "section_id"], ["stored_at", "rec_id"], ["ord", "title"])
+    order = [F.col("ord").asc_nulls_last(), "section_id"]
+    n = numbered(x, ["book_id"], F.floor(F.coalesce("ord", F.lit(1 << 30)) / 64), order, "k").select("book_id", "k", F.concat(F.lit("t"), (F.col("k") % 10).cast("string")).alias("title"))
+    half = F.floor(F.col("k") / 2)
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    return checkpointed(n.select("book_id", name(F.col("k")).alias("node_id"), F.when(half > 0, name(half)).alias("parent_id"), "title"))
+
+
+def _merged(n, i):
+    return checkpointed(C.merged(C.fragments(n, i)))
+
+
+def _edits(s, d):
+    full = checkpointed(_n(s, d))
+    n = full.drop("summary_text")
+    _, gone = C.export_plan(n, _inc(n), _books(s, d))
+    return C.edit_plan(gone, n, full.select("book_id", "node_id", F.col("summary_text").alias("text")).where("text is not null"))
 
 
 QUERIES = {
     "title_chain": _tree(lambda s, d, n, i: T.title_chains(n)),
+    "deep_tree": lambda s, d: T.title_chains(_heap(s, d), "/"),
     "descendant_leaves": _tree(lambda s, d, n, i: T.descendant_leaves(n)),
-    "count_leaves": _with(lambda s, d, n, i: T.leaf_counts(n)),
+    "count_leaves": _tree(lambda s, d, n, i: T.leaf_counts(n)),
     "leaf_flags": _with(lambda s, d, n, i: T.leaf_flags(n)),
-    "ontology_listing": _with(lambda s, d, n, i: T.listing(n)),
-    "downstream_leaves": _with(lambda s, d, n, i: T.downstream_leaves(n)),
-    "dependency_edges": _with(lambda s, d, n, i: T.dependency_edges(n)),
+    "ontology_listing": _tree(lambda s, d, n, i: T.listing(n)),
+    "downstream_leaves": _tree(lambda s, d, n, i: T.downstream_leaves(n)),
+    "dependency_edges": _tree(lambda s, d, n, i: T.dependency_edges(n)),
     "inclusion_state": _tree(lambda s, d, n, i: C.states(n, i)),
     "fragments": _tree(lambda s, d, n, i: C.fragments(n, i)),
     "merge_brackets": _tree(lambda s, d, n, i: C.merged(C.fragments(n, i))),
-    "fragment_pages": _tree(lambda s, d, n, i: C.fragment_pages(n, C.fragments(n, i))),
-    "deletion_intervals": _tree(lambda s, d, n, i: _deleted(n, i, table(s, d, "books", "book_id", "page_count"))),
-    "export_stats": _tree(lambda s, d, n, i: C.export_stats(n, i, table(s, d, "books", "book_id", "page_count"))),
-    "curate_stats": _with(lambda s, d, n, i: C.leaf_inclusion(n, i).join(n.select("book_id", F.col("node_id").alias("leaf_id"), "start_page", "end_page"), ["book_id", "leaf_id"]).groupBy("book_id").agg(F.count("*").alias("leaves"), F.count_if("included").alias("kept"), F.coalesce(F.sum(F.when(F.col("included"), F.col("end_page") - F.col("start_page") + 1)), F.lit(0)).alias("kept_pages"))),
+    "fragment_pages": _tree(lambda s, d, n, i: C.fragment_pages(n, _merged(n, i))),
+    "preflight": _tree(lambda s, d, n, i: C.preflight(n, _merged(n, i))),
+    "deletion_intervals": _tree(lambda s, d, n, i: C.export_plan(n, i, _books(s, d))[1]),
+    "deletions_behind_preamble": _tree(lambda s, d, n, i: C.export_plan(n, i, _books(s, d), 2)[1]),
+    "export_stats": _tree(lambda s, d, n, i: C.export_stats(n, i, _books(s, d))),
+    "edit_plan": _edits,
+    "set_inclusion": _tree(lambda s, d, n, i: C.set_to(n, i, n.where("depth = 1").select("book_id", "node_id", (F.col("ord") % 2 == 0).alias("to")))),
+    "curate_stats": _tree(lambda s, d, n, i: C.leaf_inclusion(n, i).join(n.select("book_id", F.col("node_id").alias("leaf_id"), "start_page", "end_page"), ["book_id", "leaf_id"]).groupBy("book_id").agg(F.count("*").alias("leaves"), F.count_if("included").alias("kept"), F.coalesce(F.sum(F.when(F.col("included"), F.col("end_page") - F.col("start_page") + 1)), F.lit(0)).alias("kept_pages"))),
     "toggle_inclusion": _tree(lambda s, d, n, i: C.toggled(n, i, n.where("depth = 1"))),
-    "apply_suggest": _with(lambda s, d, n, i: C.applied(n, i, n.where("source = 'toc' and not is_leaf and summary_words < 50"))),
-    "revert_suggest": _with(lambda s, d, n, i: C.reverted(C.applied(n, i, n.where("source = 'toc' and not is_leaf and summary_words < 50")))),
+    "apply_suggest": _tree(lambda s, d, n, i: C.applied(n, i, n.where("source = 'toc' and not is_leaf and summary_words < 50"))),
+    "revert_suggest": _tree(lambda s, d, n, i: C.reverted(C.applied(n, i, n.where("source = 'toc' and not is_leaf and summary_words < 50")))),
     "suggest_budget": _with(lambda s, d, n, i: n.where("is_leaf and end_off > start_off").groupBy("book_id").agg(F.sum(F.col("end_off") - F.col("start_off")).alias("total")).select("book_id", "total", F.floor(F.col("total") * 0.4 + 0.5).alias("to_exclude"))),
-    "suggest_leaves": _with(lambda s, d, n, i: T.descendant_leaves(n).join(n.where("source = 'toc' and summary_words < 50").select("book_id", "node_id"), ["book_id", "node_id"], "left_semi").select("book_id", "leaf_id").distinct()),
-    "spine_leaf_map": _with(lambda s, d, n, i: C.spine_plan(B.records(table(s, d, "blocks", "rec_id", "book_id", "page_no", "spine_item_id")), n, i)),
+    "suggest_leaves": _tree(lambda s, d, n, i: T.descendant_leaves(n).join(n.where("source = 'toc' and summary_words < 50").select("book_id", "node_id"), ["book_id", "node_id"], "left_semi").select("book_id", "leaf_id").distinct()),
+    "spine_leaf_map": _tree(lambda s, d, n, i: C.spine_plan(B.records(table(s, d, "blocks", "rec_id", "book_id", "page_no", "spine_item_id")), n, i)),
     "seed_top_level": lambda s, d: T.seed_top_level(_bounds(s, d), B.page_index(B.records(table(s, d, "blocks", "rec_id", "book_id", "page_no", "block_idx", "text", "classification"))), 3000),
     "merge_undersized": _with(lambda s, d, n, i: T.merge_undersized(n.where("parent_id is not null and start_page is not null and end_page is not null").select(F.concat_ws("/", "book_id", "parent_id").alias("id"), F.col("start_page").alias("lo"), F.greatest("start_page", "end_page").alias("hi"), F.concat_ws(" ", "node_id", "title").alias("title")))),
     "reconcile_children": _kids,
@@ -91,14 +118,27 @@ _S = f"""{_UP}, {_I}, st AS (SELECT n.book_id, n.node_id, count(i.leaf_id) AS le
 s AS (SELECT *, CASE WHEN kept = 0 THEN 'none' WHEN kept = leaves THEN 'all' ELSE 'mixed' END AS state FROM st)"""
 _F = f"""{_S}, f AS (SELECT n.book_id, n.node_id, CASE WHEN s.state = 'all' THEN 'keep' ELSE 'bracket' END AS kind, n.start_off, n.end_off, s.leaves FROM n JOIN s USING (book_id, node_id)
 LEFT JOIN s a ON a.book_id = n.book_id AND a.node_id = n.parent_id WHERE s.state <> 'mixed' AND s.leaves > 0 AND (a.state IS NULL OR a.state = 'mixed'))"""
-_M = """m0 AS (SELECT *, CASE WHEN kind = 'bracket' AND lag(kind) OVER w = 'bracket' AND lag(end_off) OVER w = start_off THEN 0 ELSE 1 END AS nw FROM f WHERE start_off IS NOT NULL AND end_off IS NOT NULL WINDOW w AS (PARTITION BY book_id ORDER BY start_off, end_off, node_id)),
+_M = """m0 AS (SELECT *, CASE WHEN kind = 'bracket' AND lag(kind) OVER w = 'bracket' AND lag(end_off) OVER w = start_off THEN 0 ELSE 1 END AS nw
+  FROM f WHERE start_off IS NOT NULL AND end_off IS NOT NULL WINDOW w AS (PARTITION BY book_id ORDER BY start_off, end_off, node_id)),
 m1 AS (SELECT *, sum(nw) OVER (PARTITION BY book_id ORDER BY start_off, end_off, node_id) AS run FROM m0),
-m AS (SELECT book_id, kind, arg_min(node_id, struct_pack(start_off, end_off, node_id)) AS first_id, min(start_off) AS start_off, max(end_off) AS end_off, count(*) AS parts FROM m1 GROUP BY book_id, run, kind)"""
-_P = "p AS (SELECT f.book_id, f.node_id, f.kind, f.start_off, min(n.start_page) AS lo, max(n.end_page) AS hi FROM f JOIN dl USING (book_id, node_id) JOIN n ON n.book_id = dl.book_id AND n.node_id = dl.leaf_id GROUP BY ALL HAVING min(n.start_page) <= max(n.end_page))"
-_D = """q AS (SELECT p.*, unnest(range(greatest(lo, 1), least(hi, page_count) + 1)) AS page FROM p JOIN (SELECT DISTINCT book_id, page_count FROM books WHERE page_count IS NOT NULL) USING (book_id)),
+m AS (SELECT book_id, kind, arg_min(node_id, struct_pack(start_off, end_off, node_id)) AS node_id, min(start_off) AS start_off, max(end_off) AS end_off, count(*) AS parts,
+  sum(end_off - start_off) AS chars FROM m1 GROUP BY book_id, run, kind)"""
+_L = """ov AS (SELECT m.book_id, m.node_id, m.kind, m.start_off, l.node_id AS leaf_id, l.title, l.start_off AS ls, l.start_page, l.end_page
+  FROM m JOIN n l ON l.book_id = m.book_id AND l.is_leaf AND l.end_off > m.start_off AND l.start_off < m.end_off AND l.start_off < l.end_off AND m.start_off < m.end_off)"""
+_P = """p AS (SELECT book_id, node_id, kind, start_off, min(start_page) AS lo, max(end_page) AS hi FROM ov
+  WHERE start_page IS NOT NULL AND end_page IS NOT NULL GROUP BY ALL)"""
+
+
+def _D(offset: int = 0) -> str:
+    return f"""q AS (SELECT p.*, unnest(range(greatest(lo + {offset}, 1 + {offset}), least(hi + {offset}, page_count) + 1)) AS page
+  FROM p JOIN (SELECT DISTINCT book_id, page_count FROM books WHERE page_count IS NOT NULL) USING (book_id)),
 g AS (SELECT book_id, page, arg_min(node_id, struct_pack(start_off, node_id)) FILTER (kind = 'bracket') AS node_id FROM q GROUP BY ALL HAVING count(*) FILTER (kind = 'keep') = 0),
 r AS (SELECT *, page - row_number() OVER (PARTITION BY book_id, node_id ORDER BY page) AS run FROM g),
 d AS (SELECT book_id, node_id, min(page) AS lo, max(page) AS hi FROM r GROUP BY book_id, node_id, run)"""
+
+
+_PLAN = f"{_F}, {_M}, {_L}, {_P}"
+_HINT = "CASE WHEN chars <= 1500 THEN 'one-line' WHEN chars <= 7500 THEN 'short' WHEN chars <= 30000 THEN 'medium' WHEN chars IS NOT NULL THEN 'long' END"
 _SUG = "source = 'toc' AND NOT is_leaf AND summary_words < 50"
 _W = "[ \\t\\n\\r\\f\\v]"
 _LIST = f"list_filter(regexp_split_to_array({{0}}, '{_W}+'), lambda w: w <> '')"
@@ -121,6 +161,10 @@ def _rollup() -> str:
 
 SQL = {
     "title_chain": f"WITH RECURSIVE {_N}, c AS (SELECT book_id, node_id, coalesce(title, '') AS chain FROM n WHERE parent_id IS NULL UNION ALL SELECT n.book_id, n.node_id, c.chain || ' › ' || coalesce(n.title, '') FROM n JOIN c ON c.book_id = n.book_id AND c.node_id = n.parent_id) SELECT * FROM c",
+    "deep_tree": """WITH RECURSIVE ls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id, section_id ORDER BY stored_at DESC, rec_id DESC) AS rn FROM sections) WHERE rn = 1),
+h AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY ord NULLS LAST, section_id) AS k FROM ls),
+c AS (SELECT book_id, k, 't' || k % 10 AS chain FROM h WHERE k = 1 UNION ALL SELECT h.book_id, h.k, c.chain || '/t' || h.k % 10 FROM c JOIN h ON h.book_id = c.book_id AND h.k // 2 = c.k)
+SELECT book_id, 'n' || k AS node_id, chain FROM c""",
     "descendant_leaves": f"WITH {_UP} SELECT * FROM dl",
     "count_leaves": f"WITH {_UP} SELECT n.book_id, n.node_id, count(dl.leaf_id) AS leaves, n.end_off - n.start_off AS chars FROM n LEFT JOIN dl USING (book_id, node_id) GROUP BY n.book_id, n.node_id, n.end_off - n.start_off",
     "leaf_flags": f"WITH {_N} SELECT book_id, node_id, depth >= 6 OR coalesce(end_page - start_page + 1, ceil((end_off - start_off) / 2500.0)) <= 5 OR end_off - start_off < 7500 AS stop FROM n",
@@ -132,10 +176,28 @@ p AS (SELECT w.book_id, w.node_id, w.ws AS a, l.leaf_id, l.ws AS b, row_number()
 SELECT book_id, node_id, leaf_id FROM p WHERE k <= 80 AND list_has_any(a, b)""",
     "inclusion_state": f"WITH {_S} SELECT book_id, node_id, state, leaves, kept FROM s",
     "fragments": f"WITH {_F} SELECT * FROM f",
-    "merge_brackets": f"WITH {_F}, {_M} SELECT * FROM m",
-    "fragment_pages": f"WITH {_F}, {_P} SELECT * FROM p",
-    "deletion_intervals": f"WITH {_F}, {_P}, {_D} SELECT * FROM d",
-    "export_stats": f"WITH {_F}, {_M}, {_P}, {_D} SELECT b.book_id, b.page_count AS pages, coalesce(x.deleted, 0) AS deleted, b.page_count - coalesce(x.deleted, 0) AS kept, coalesce(y.brackets, 0) AS brackets FROM (SELECT DISTINCT book_id, page_count FROM books WHERE page_count IS NOT NULL) b LEFT JOIN (SELECT book_id, sum(hi - lo + 1) AS deleted FROM d GROUP BY book_id) x USING (book_id) LEFT JOIN (SELECT book_id, count(*) AS brackets FROM m WHERE kind = 'bracket' GROUP BY book_id) y USING (book_id)",
+    "merge_brackets": f"WITH {_F}, {_M} SELECT *, {_HINT} AS hint FROM m",
+    "fragment_pages": f"WITH {_PLAN} SELECT * FROM p",
+    "preflight": f"""WITH {_PLAN}, x AS (SELECT DISTINCT book_id, leaf_id, ls, title FROM ov WHERE start_page IS NULL OR end_page IS NULL)
+SELECT book_id, count(*) AS missing, arg_min(coalesce(title, chr(0)), struct_pack(ls, leaf_id)) AS title FROM x GROUP BY book_id""",
+    "deletion_intervals": f"WITH {_PLAN}, {_D()} SELECT * FROM d",
+    "deletions_behind_preamble": f"WITH {_PLAN}, {_D(2)} SELECT * FROM d",
+    "export_stats": f"""WITH {_PLAN}, {_D()}
+SELECT b.book_id, b.page_count AS pages, coalesce(x.deleted, 0) AS deleted, b.page_count - coalesce(x.deleted, 0) AS kept, coalesce(x.brackets, 0) AS brackets,
+  b.book_id NOT IN (SELECT book_id FROM ov WHERE start_page IS NULL OR end_page IS NULL) AS exportable
+FROM (SELECT DISTINCT book_id, page_count FROM books WHERE page_count IS NOT NULL) b
+LEFT JOIN (SELECT book_id, sum(hi - lo + 1) AS deleted, count(DISTINCT node_id) AS brackets FROM d GROUP BY book_id) x USING (book_id)""",
+    "edit_plan": f"""WITH {_PLAN}, {_D()},
+e AS (SELECT d.*, row_number() OVER (PARTITION BY d.book_id ORDER BY d.lo DESC, d.node_id) AS step, coalesce(n.title, 'Excluded section') AS title,
+  coalesce(n.summary_text, '[Editorial bracket unavailable.]') AS text FROM d LEFT JOIN n USING (book_id, node_id)),
+w AS (SELECT book_id, step, {_LIST.format('text')} AS ws FROM e),
+wr AS (SELECT book_id, step, ws, 1 AS i, length(ws[1]) AS wide, 1 AS lines FROM w WHERE len(ws) > 0
+  UNION ALL SELECT book_id, step, ws, i + 1, CASE WHEN wide + 1 + length(ws[i + 1]) <= 84 THEN wide + 1 + length(ws[i + 1]) ELSE length(ws[i + 1]) END,
+    CASE WHEN wide + 1 + length(ws[i + 1]) <= 84 THEN lines ELSE lines + 1 END FROM wr WHERE i < len(ws)),
+z AS (SELECT book_id, step, max(lines) AS lines FROM wr GROUP BY ALL)
+SELECT e.book_id, e.step, e.node_id, e.lo, e.hi, e.title, e.text, CAST(greatest(1, ceil(coalesce(z.lines, 0) / 41.0)) AS INT) AS inserted FROM e LEFT JOIN z USING (book_id, step)""",
+    "set_inclusion": f"""WITH {_UP}, {_I}, u AS (SELECT dl.book_id, dl.leaf_id, bool_and(n.ord % 2 = 0) AS t FROM dl JOIN n USING (book_id, node_id) WHERE n.depth = 1 GROUP BY ALL)
+SELECT i.book_id, i.leaf_id, coalesce(u.t, i.included) AS included FROM i LEFT JOIN u USING (book_id, leaf_id)""",
     "curate_stats": f"WITH {_N}, {_I} SELECT i.book_id, count(*) AS leaves, count(CASE WHEN included THEN 1 END) AS kept, coalesce(sum(CASE WHEN included THEN end_page - start_page + 1 END), 0) AS kept_pages FROM i JOIN n ON n.book_id = i.book_id AND n.node_id = i.leaf_id GROUP BY i.book_id",
     "toggle_inclusion": f"WITH {_S}, u AS (SELECT dl.book_id, dl.leaf_id, bool_or(s.state <> 'all') AS t FROM dl JOIN s USING (book_id, node_id) JOIN n USING (book_id, node_id) WHERE n.depth = 1 GROUP BY ALL) SELECT i.book_id, i.leaf_id, coalesce(u.t, i.included) AS included FROM i LEFT JOIN u USING (book_id, leaf_id)",
     "apply_suggest": f"WITH {_UP}, {_I}, x AS (SELECT DISTINCT dl.book_id, dl.leaf_id FROM dl JOIN n USING (book_id, node_id) WHERE {_SUG}) SELECT i.book_id, i.leaf_id, i.included AND x.leaf_id IS NULL AS included, i.included AS before FROM i LEFT JOIN x USING (book_id, leaf_id)",

@@ -1,8 +1,10 @@
 """Exact cases of export plans on a tree root -> A(a1, a2), B(b1, b2)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import curation as C
+from quire.operators import ordered as O
 from quire.operators import tree as T
 
 DDL = "book_id string, node_id string, parent_id string, ord int, depth int, title string, start_off bigint, end_off bigint, start_page int, end_page int, is_leaf boolean, source string, summary_text string, summary_words int"
@@ -22,10 +24,9 @@ def inc(frame, out):
     return frame([("k", x, False) for x in out] or [("k", "none", True)], "book_id string, leaf_id string, included boolean")
 
 
-def plan(frame, pages, out, total=20):
+def plan(frame, pages, out, total=20, offset=0):
     n = tree(frame, pages)
-    f = C.fragments(n, inc(frame, out))
-    d = C.deletions(C.fragment_pages(n, f), frame([("k", total)], "book_id string, page_count int"))
+    _, d = C.export_plan(n, inc(frame, out), frame([("k", total)], "book_id string, page_count int"), offset)
     return sorted((r.node_id, r.lo, r.hi) for r in d.collect())
 
 
@@ -34,6 +35,7 @@ def plan(frame, pages, out, total=20):
     [
         (DISJOINT, [], []), (DISJOINT, ["a1"], [("a1", 1, 5)]), (DISJOINT, ["a1", "b2"], [("a1", 1, 5), ("b2", 16, 20)]), (OVERLAP, ["a1"], [("a1", 1, 6)]),
         (OVERLAP, ["a2"], [("a2", 8, 8)]), (SHADOW, ["a2"], []), (DISJOINT, ["a1", "a2"], [("A", 1, 10)]), (DISJOINT, ["a1", "a2", "b1", "b2"], [("root", 1, 20)]),
+        (DISJOINT, ["a2", "b1"], [("a2", 6, 15)]),
     ],
 )
 def test_deletions(frame, pages, out, want):
@@ -44,6 +46,69 @@ def test_pages_beyond_the_book_are_not_spread(frame):
     assert plan(frame, DISJOINT, ["b2"], 17) == [("b2", 16, 17)]
 
 
+def test_pages_before_the_analysed_ones_stay(frame):
+    assert plan(frame, DISJOINT, ["a1"], 25, 5) == [("a1", 6, 10)] and plan(frame, DISJOINT, ["b2"], 22, 5) == [("b2", 21, 22)]
+
+
+def test_preflight(frame):
+    n = tree(frame, DISJOINT)
+    f = C.merged(C.fragments(n, inc(frame, ["a1"])))
+    assert C.preflight(n, f).collect() == []
+    for leaf, page in (("a1", "start_page"), ("a2", "end_page")):
+        bad = n.withColumn(page, F.expr(f"if(node_id = '{leaf}', null, {page})"))
+        assert [(r.missing, r.title) for r in C.preflight(bad, f).collect()] == [(1, leaf)]
+        stats = C.export_stats(bad, inc(frame, ["a1"]), frame([("k", 20)], "book_id string, page_count int")).collect()
+        assert [r.exportable for r in stats] == [False]
+
+
+def test_edit_plan_goes_backwards(frame):
+    n = tree(frame, DISJOINT)
+    _, d = C.export_plan(n, inc(frame, ["a1", "b2"]), frame([("k", 20)], "book_id string, page_count int"))
+    got = sorted(map(tuple, C.edit_plan(d, n, frame([("k", "b2", "word " * 900)], "book_id string, node_id string, text string")).select("step", "node_id", "lo", "inserted").collect()))
+    assert got == [(1, "b2", 16, 2), (2, "a1", 1, 1)]
+
+
+def chain(frame, n):
+    rows = [("c", f"n{i}", f"n{i - 1}" if i else None, 0, i, f"t{i}", 0, 100, 1, 2, i == n - 1, "toc", "leaf words here", 3) for i in range(n)]
+    return frame(rows, DDL)
+
+
+@pytest.mark.parametrize("n", [1, 12])
+def test_trees_of_any_depth(frame, n):
+    t = chain(frame, n)
+    chains = {r.node_id: r.chain for r in T.title_chains(t).collect()}
+    assert len(chains) == n and chains[f"n{n - 1}"] == " › ".join(f"t{i}" for i in range(n))
+    assert T.descendant_leaves(t).count() == n and T.summarize_tree(t).count() == n
+    assert {r.state for r in C.states(t, frame([("c", f"n{n - 1}", False)], "book_id string, leaf_id string, included boolean")).collect()} == {"none"}
+
+
+def test_circles_end(frame):
+    rows = [("c", "a", "b", 0, 1, "a", 0, 9, 1, 1, False, "toc", None, 0), ("c", "b", "a", 0, 1, "b", 0, 9, 1, 1, False, "toc", None, 0), ("c", "l", "a", 0, 2, "l", 0, 9, 1, 1, True, "toc", "x", 1)]
+    t = frame(rows, DDL)
+    assert T.title_chains(t).count() == 0
+    assert {r.node_id for r in T.descendant_leaves(t).collect()} == {"a", "b", "l"}
+
+
+def test_running_and_overlaps_against_brute_force(spark, frame):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(0, 90, 7)]), i, rng.randint(-5, 9)) for i in range(120)]
+    df = frame(rows, "k string, at int, id int, v int")
+    order = [F.col("at").asc_nulls_last(), "id"]
+    tile = F.floor(F.col("at") / 20)
+    got = {r.id: (r.s, r.m, r.f) for r in O.following(O.running(O.running(df, ["k"], tile, order, F.col("v"), "s"), ["k"], tile, order, F.col("v"), "m", "max", True), ["k"], tile, order, F.col("v"), "f").collect()}
+    for k in ("a", "b", None):
+        part = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is None, r[1] or 0, r[2]))
+        for i, r in enumerate(part):
+            assert got[r[2]] == (sum(x[3] for x in part[:i]), max(x[3] for x in part[: i + 1]), min((x[3] for x in part[i + 1 :]), default=None))
+    left = [(i, "k", rng.randint(0, 5000), rng.randint(0, 5000)) for i in range(60)] + [(99, "k", 0, 10**12), (98, "k", None, 5)]
+    right = [(i, "k", rng.randint(0, 5000), rng.randint(0, 5000)) for i in range(60)] + [(99, "k", 3, 10**13)]
+    x = O.overlaps(frame(left, "i int, k string, a bigint, b bigint"), frame(right, "j int, k string, c bigint, d bigint"), "k", ("a", "b", "c", "d"))
+    want = sorted((i, j) for i, _, a, b in left for j, _, c, d in right if a is not None and a < b and c < d and a < d and c < b)
+    assert sorted((r.i, r.j) for r in x.collect()) == want
+
+
 def test_mixed_fragments(frame):
     f = C.fragments(tree(frame, DISJOINT), inc(frame, ["a2"]))
     assert sorted((r.kind, r.node_id) for r in f.collect()) == [("bracket", "a2"), ("keep", "B"), ("keep", "a1")]
@@ -51,7 +116,7 @@ def test_mixed_fragments(frame):
 
 def test_touching_brackets_merge(frame):
     m = C.merged(C.fragments(tree(frame, DISJOINT), inc(frame, ["a2", "b1"]))).where("kind = 'bracket'").collect()
-    assert [(r.first_id, r.start_off, r.end_off, r.parts) for r in m] == [("a2", 1000, 3000, 2)]
+    assert [(r.node_id, r.start_off, r.end_off, r.parts, r.chars, r.hint) for r in m] == [("a2", 1000, 3000, 2, 2000, "short")]
 
 
 def test_toggle_and_revert(frame):
