@@ -173,19 +173,30 @@ def merge_undersized(children: DataFrame, least: int = MIN_PAGES) -> DataFrame:
     """(id, title, lo, hi): children of a node in pages lo..hi, those under ``least`` pages merged into a neighbour.
 
     A small child joins the one before; a small predecessor is absorbed by the next, which keeps its own title; a small
-    last one joins the one before.
+    last one joins the one before. Offsets (start_off, end_off) are merged along where ``children`` has them.
     """
-    rows = children.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "title"))).alias("x"))
-    item = "array<struct<lo:int,hi:int,title:string>>"
+    offsets = [c for c in ("start_off", "end_off") if c in children.columns]
+    a, b = offsets or (F.lit(None).cast("int"), F.lit(None).cast("int"))
+    entry = F.struct(F.col("lo"), F.col("hi"), F.col("title"), (F.col(a) if offsets else a).alias("a"), (F.col(b) if offsets else b).alias("b"))
+    rows = children.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("x"))
+    item = f"array<{rows.schema['x'].dataType.elementType.simpleString()}>"
     top = lambda acc: F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))
     small = lambda y: y["hi"] - y["lo"] + 1 < least
     put = lambda acc, y: F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(y))
-    of = lambda lo, hi, title: F.struct(lo.alias("lo"), hi.alias("hi"), title.alias("title"))
-    folded = F.aggregate("x", F.array().cast(item), lambda acc, y: F.when(F.size(acc) == 0, F.array(y)).when(small(y), put(acc, of(top(acc)["lo"], y["hi"], top(acc)["title"]))).when(small(top(acc)), put(acc, of(top(acc)["lo"], y["hi"], y["title"]))).otherwise(F.concat(acc, F.array(y))))
-    f = rows.select("id", folded.alias("f"))
+    of = lambda first, last, title: F.struct(first["lo"].alias("lo"), last["hi"].alias("hi"), title.alias("title"), first["a"].alias("a"), last["b"].alias("b"))
+
+    def step(acc: Column, y: Column) -> Column:
+        absorbed = F.when(small(top(acc)), put(acc, of(top(acc), y, y["title"]))).otherwise(F.concat(acc, F.array(y)))
+        return F.when(F.size(acc) == 0, F.array(y)).when(small(y), put(acc, of(top(acc), y, top(acc)["title"]))).otherwise(absorbed)
+
+    f = rows.select("id", F.aggregate("x", F.array().cast(item), step).alias("f"))
     n = F.size("f")
-    fixed = F.when((n >= 2) & small(F.element_at("f", -1)), F.concat(F.slice("f", F.lit(1), F.greatest(n - 2, F.lit(0))), F.array(of(F.element_at("f", F.greatest(n - 1, F.lit(1)))["lo"], F.element_at("f", -1)["hi"], F.element_at("f", F.greatest(n - 1, F.lit(1)))["title"])))).otherwise(F.col("f"))
-    return f.select("id", F.explode(fixed).alias("c")).select("id", "c.title", "c.lo", "c.hi")
+    before = F.element_at("f", F.greatest(n - 1, F.lit(1)))
+    tail = F.array(of(before, F.element_at("f", -1), before["title"]))
+    fixed = F.when((n >= 2) & small(F.element_at("f", -1)), F.concat(F.slice("f", F.lit(1), F.greatest(n - 2, F.lit(0))), tail)).otherwise(F.col("f"))
+    out = f.select("id", F.explode(fixed).alias("c"))
+    more = [F.col("c.a").alias("start_off"), F.col("c.b").alias("end_off")] if offsets else []
+    return out.select("id", "c.title", "c.lo", "c.hi", *more)
 
 
 def summarize_tree(nodes: DataFrame, leaf_words: int = 12, node_words: int = 60, summarizer=None) -> DataFrame:

@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import events as E
 from quire.operators import layout as L
-from quire.operators import blocks as B
-from quire.operators import model as M
-from quire.operators import structure as S
 from quire.operators.intervals import latest
-from quire.plans.blocks import COLS
 from quire.sources import epub
 from quire.streaming import windows as W
 from quire.tables import table
@@ -40,14 +36,6 @@ def _items(s):
     return s.createDataFrame(_ITEMS, "page_id int, x double, y double, width double, height double, text string, font string")
 
 
-_REPLIES = [
-    (1, 1, 50, '{"boundaries":[{"boundaryPageNumber":5,"suggestedTitle":"One","confidence":0.9},{"boundaryPageNumber":51,"suggestedTitle":"Far","confidence":0.5}]}'),
-    (2, 1, 50, '```json\n{"boundaries":[{"boundaryPageNumber":7,"suggestedTitle":"","confidence":0.9}]}\n```'),
-    (3, 51, 100, 'Here: {"boundaries":[{"boundaryPageNumber":60,"suggestedTitle":"Two","confidence":1.0}]} done'),
-    (4, 1, 9, '{"boundaries":[]}'), (5, 1, 9, "nothing"), (6, 1, 9, '{"boundaries":[{"boundaryPageNumber":3,"suggestedTitle":"x","confidence":1.5}]}'),
-]
-
-
 def _epub() -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -77,11 +65,6 @@ QUERIES = {
     "row_cluster": lambda s, d: L.rows(_items(s)).select("page_id", "text", "row"),
     "column_split": lambda s, d: L.column_split(_items(s), 600.0),
     "layout_blocks": lambda s, d: L.blocks(_items(s), 600.0),
-    "validate_boundaries": lambda s, d: s.createDataFrame(_REPLIES, "id int, lo int, hi int, raw string").select("id", F.size(M.boundaries(F.col("raw"), F.col("lo"), F.col("hi"))).alias("n"), M.boundaries(F.col("raw"), F.col("lo"), F.col("hi")).isNotNull().alias("ok")).withColumn("n", F.when(F.col("ok"), F.col("n"))),
-    "decompose_replies": lambda s, d: M.complete(table(s, d, "sections", "rec_id", "raw_text").distinct().where("length(raw_text) >= 200").select(F.col("rec_id").cast("string").alias("request_id"), F.lit("decompose").alias("kind"), F.col("raw_text").alias("text"), F.lit(1500).alias("most"))).select("request_id", F.size(M.children(F.col("reply"))).alias("children")),
-    "structure_windows": lambda s, d: M.detected_boundaries(S.window_texts(B.records(table(s, d, "blocks", *COLS)), 50), S.page_windows(table(s, d, "blocks", "book_id", "page_no"), 50)),
-    "build_tree": lambda s, d: M.build_tree(table(s, d, "sections", "rec_id", "raw_text").distinct().select(F.col("rec_id").alias("id"), F.col("raw_text").alias("text")), 700),
-    "tree_leaves": lambda s, d: M.build_tree(table(s, d, "sections", "rec_id", "raw_text").distinct().select(F.col("rec_id").alias("id"), F.col("raw_text").alias("text")), 700).where("is_leaf").groupBy("id").agg(F.min("start_off").alias("lo"), F.max("end_off").alias("hi"), F.sum(F.col("end_off") - F.col("start_off")).alias("covered")),
     "epub_export": lambda s, d: epub.rewritten(_files(s), s.createDataFrame([("b/one.epub", "b", "A short & plain bracket.")], "path string, spine_item_id string, bracket string")).select("path", "replaced", F.length("content").isNotNull().alias("written")),
     "epub_blocks": lambda s, d: epub.parse(_files(s)),
     "classify_html": lambda s, d: epub.parse(_files(s)).where("ok and text is not null").groupBy("tag", "classification").agg(F.count("*").alias("n")),
@@ -114,8 +97,6 @@ f AS (SELECT page_id, k, text, y AS mean, 1 AS n, 0 AS r FROM o WHERE k = 1 UNIO
 SELECT o.page_id, o.k, o.text, CASE WHEN abs(o.y - f.mean) <= 0.6 * greatest(o.height, 4) THEN (f.mean * f.n + o.y) / (f.n + 1) ELSE o.y END, CASE WHEN abs(o.y - f.mean) <= 0.6 * greatest(o.height, 4) THEN f.n + 1 ELSE 1 END, CASE WHEN abs(o.y - f.mean) <= 0.6 * greatest(o.height, 4) THEN f.r ELSE f.r + 1 END FROM f JOIN o ON o.page_id = f.page_id AND o.k = f.k + 1)
 SELECT page_id, text, r AS row FROM f""",
     "column_split": f"SELECT page_id, arg_max((x + p) / 2, x - p) AS split FROM (SELECT page_id, x, lag(x) OVER (PARTITION BY page_id ORDER BY x) AS p, count(*) OVER (PARTITION BY page_id) AS n FROM {_ITEMSQL}) WHERE n >= 20 AND p < 300 AND x > 300 AND x - p > 60 GROUP BY page_id",
-    "decompose_replies": "SELECT DISTINCT CAST(rec_id AS VARCHAR) AS request_id, CAST(ceil(length(raw_text) / 1500.0) AS INT) AS children FROM sections WHERE length(raw_text) >= 200",
-    "tree_leaves": "SELECT DISTINCT rec_id AS id, 0 AS lo, length(raw_text) AS hi, length(raw_text) AS covered FROM sections",
     "stream_tumbling": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL",
     "stream_sliding": "SELECT strftime(d, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS d FROM events) GROUP BY ALL",
     "stream_latest": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
