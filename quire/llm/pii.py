@@ -66,7 +66,7 @@ def tokens(text: str) -> tuple[list[str], list[int], list[int], dict[str, list[t
     forms = [" " + _plain(w) if r is not w and r != w and w != "\n" else _plain(w) for r, w in zip(raw, bare, strict=True)]
     if forms and forms[0][0] not in " \n":
         forms[0] = " " + forms[0]
-    runs = {kind: [m.span() for m in p.finditer(text)] for kind, p in (("mail", _EMAIL), ("figures", _FIGURES))}
+    runs = {"mail": _mails(text), "figures": [m.span() for m in _FIGURES.finditer(text)]}
     shaped = [(a, b, "mail") for a, b in runs["mail"]]
     shaped += [(a, b, tag) for a, b in runs["figures"] if (tag := _figures(text[a:b]))]
     shaped += [(m.start(), m.end(), tag) for m in _MIXED.finditer(text) if (tag := _mixed(m.group()))]
@@ -76,6 +76,24 @@ def tokens(text: str) -> tuple[list[str], list[int], list[int], dict[str, list[t
     return forms, starts, ends, runs
 
 
+def _mails(text: str) -> list[tuple[int, int]]:
+    """What is written like a mail address: each is looked for around its own at-sign."""
+    out: list[tuple[int, int]] = []
+    for m in _SIGN.finditer(text):
+        lo = m.start()
+        if lo and text[lo - 1].isspace():
+            lo -= 1
+        floor = out[-1][1] if out else 0
+        while lo > floor and (text[lo - 1] in "._+%-" or text[lo - 1].isascii() and text[lo - 1].isalnum()):
+            lo -= 1
+        while lo < m.start() and not text[lo].isalnum():
+            lo += 1
+        hit = _EMAIL.match(text, lo)
+        if hit and hit.end() > m.end():
+            out.append(hit.span())
+    return out
+
+
 def _plain(w: str) -> str:
     """A number by its length and first figure only; other forms as they are."""
     return (w[0] if w[0] in "01" else "7") + "7" * min(len(w) - 1, 11) if w[0].isdecimal() and w.isdecimal() else w
@@ -182,8 +200,9 @@ def model() -> Chain:
 _AT = r"(?:\s?@\s?|\s?[\[(]at[\])]\s?)"
 _DOT = r"(?:\.|\s?[\[(]dot[\])]\s?)"
 _EMAIL = regex.compile(rf"(?i)[a-z0-9][a-z0-9._+%-]*{_AT}\n?[a-z0-9-]+(?:{_DOT}\n?[a-z0-9-]+)*{_DOT}[a-z]{{2,}}")
-_FIGURES = regex.compile(r"[+(]?\d[\d\s()./–-]*\d")
-_MIXED = re.compile(r"(?<![\w-])[A-Z0-9]+(?:-[A-Z0-9]+)*(?![\w-])")
+_SIGN = re.compile(r"@|[\[(][Aa][Tt][\])]")
+_FIGURES = re.compile(r"[+(]?\d[\d\s()./–-]*\d")
+_MIXED = re.compile(r"(?<![\w-])(?=[A-Z-]*\d)[A-Z0-9]+(?:-[A-Z0-9]+)*(?![\w-])")
 _IDNUM = regex.compile(r"[A-Z0-9]+(?:[ \n./-]{1,2}[A-Z0-9]+)*")
 
 
@@ -234,6 +253,9 @@ def check(text: str, kind: str, s: int, e: int, runs: dict[str, list[tuple[int,
     comma = regex.search(r",\s+(?!\p{Lu}|\p{Lo})", text[s:e])
     if comma and text[s].isupper():
         e = s + comma.start()  # what follows a comma in a name is a given name
+    comma = text.find(",", s, e)
+    if comma > 0 and len(regex.findall(r"\p{Lu}[\p{L}.’'-]*", text[s:comma])) > 1:
+        e = comma  # a whole name before the comma: what follows is something else
     part = text[s:e]
     if regex.match(r"\p{Lu}\s", part):
         return None
