@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections import Counter
+
 import regex
 
 from quire.llm.dictionaries import FUNCTION_WORDS
@@ -43,13 +47,23 @@ for _l, _ws in FUNCTION_WORDS.items():
 SCRIPTS = [("ru", regex.compile(r"\p{Cyrillic}")), ("ar", regex.compile(r"\p{Arabic}")), ("hi", regex.compile(r"\p{Devanagari}")), ("th", regex.compile(r"\p{Thai}")), ("ko", regex.compile(r"\p{Hangul}")), ("kana", regex.compile(r"[\p{Hiragana}\p{Katakana}]")), ("han", regex.compile(r"\p{Han}")), ("latin", regex.compile(r"\p{Latin}"))]
 #: Letters of a spaceless script count for more than one, as they carry more text.
 WEIGHT = {"han": 2.5, "kana": 2.0, "th": 1.2}
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _script(c: str) -> str | None:
+    return next((k for k, p in SCRIPTS if p.match(c)), None)
 
 
 def language(text: str | None) -> str | None:
     """The main language of a text by script and dictionary; None where that can't be told (in Latin letters by two words at least)."""
     if not text:
         return None
-    counts = {k: len(p.findall(text)) * WEIGHT.get(k, 1.0) for k, p in SCRIPTS}
+    counts = dict.fromkeys((k for k, _ in SCRIPTS), 0.0)
+    for c, n in Counter(text).items():
+        k = _script(c)
+        if k:
+            counts[k] += n * WEIGHT.get(k, 1.0)
     if counts["kana"] > 0.15 * (counts["kana"] + counts["han"]):
         counts["ja"] = counts.pop("kana") + counts.pop("han")
     else:
@@ -61,11 +75,11 @@ def language(text: str | None) -> str | None:
         return top
     hits: dict[str, float] = {}
     seen: dict[str, set[str]] = {}
-    for w in regex.findall(r"\p{L}+", text.lower()):
+    for w, n in Counter(_LETTERS.findall(text.lower())).items():
         langs = _WORDS_OF.get(w)
         if langs:
             for x in langs:
-                hits[x] = hits.get(x, 0) + 1 / len(langs)
+                hits[x] = hits.get(x, 0) + n / len(langs)
                 seen.setdefault(x, set()).add(w)
     if not hits:
         return None
