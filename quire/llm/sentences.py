@@ -13,9 +13,9 @@ The dictionary of the word lattice are the closed classes below and a lexicon th
 from __future__ import annotations
 
 import bisect
+import re
 from collections import Counter
 from collections.abc import Collection, Iterator
-from itertools import accumulate
 
 import pandas as pd
 import regex
@@ -70,7 +70,7 @@ WEIGHTS = {
 #: What a unit without any letter or figure costs.
 HOLLOW = 1e6
 
-_END = regex.compile(r"[.!?…।؟。！？｡]+")
+_END = re.compile(r"[.!?…।؟。！？｡]+")
 _ABBR = regex.compile(r"[\p{L}\p{M}ª.\-]+$")
 _NUM = regex.compile(r"\d+$")
 _THAI = regex.compile(r"\p{Thai}")
@@ -78,6 +78,7 @@ _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _RUN = regex.compile(r"[\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}ー々]+")
 _STOP = regex.compile(r"[。！？「“]")
 _GAP = regex.compile(r"[^\S\n]+")
+_QUOTES = re.compile("[" + re.escape("".join({*PAIRS, *PAIRS.values()})) + "]")
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 _ERA = regex.compile(r"(?:\p{Thai}{1,3}\.)+")
 _WEB = regex.compile(r"(?:www\.|://|@)\S*$")
@@ -236,36 +237,40 @@ def _cjk_gap(line: str, a: int, b: int, found: Words) -> float:
     return found.closing(a, b, 0.0) if _CJK.match(line[b]) else found.closing(a, b, 0.5) if line[b] in "“「『" else -1.0
 
 
-def _quotations(line: str) -> tuple[list[int], dict[int, int]]:
-    """How many quotations and brackets reach over each place (those left open reach to the end), and openings by closings."""
-    stack: list[tuple[int, str]] = []
-    spans = []
-    for i, c in enumerate(line):
-        if stack and c == PAIRS.get(stack[-1][1]):
-            s, m = stack.pop()
-            spans.append((s, m, i))
-        elif c in PAIRS and c not in "[":
-            if c == "“" and stack and stack[-1][1] == "„":
-                continue
-            stack.append((i, c))
-        elif c in "”»」』)）":
-            for k in range(len(stack) - 1, -1, -1):
-                if PAIRS[stack[k][1]] == c:
-                    s, m = stack[k]
-                    spans.append((s, m, i))
-                    del stack[k:]
-                    break
-    spans += [(s, m, len(line)) for s, m in stack]
-    depth = [0] * (len(line) + 2)
-    for s, _, c in spans:
-        depth[s + 1] += 1
-        depth[c + 1] -= 1
-    return list(accumulate(depth)), {c: s for s, _, c in sorted(spans, reverse=True)}
+class _Quotations:
+    """Quotations and brackets of a line: how many reach over a place (those left open reach to the end), and openings by closings."""
+
+    def __init__(self, line: str):
+        stack: list[tuple[int, str]] = []
+        spans = []
+        for m in _QUOTES.finditer(line):
+            i, c = m.start(), m.group()
+            if stack and c == PAIRS.get(stack[-1][1]):
+                s, _ = stack.pop()
+                spans.append((s, i))
+            elif c in PAIRS and c not in "[":
+                if c == "“" and stack and stack[-1][1] == "„":
+                    continue
+                stack.append((i, c))
+            elif c in "”»」』)）":
+                for k in range(len(stack) - 1, -1, -1):
+                    if PAIRS[stack[k][1]] == c:
+                        spans.append((stack[k][0], i))
+                        del stack[k:]
+                        break
+        spans += [(s, len(line)) for s, _ in stack]
+        self.starts, self.ends = sorted(s for s, _ in spans), sorted(c for _, c in spans)
+        self.opens = {c: s for s, c in sorted(spans, reverse=True)}
+
+    def over(self, at: int) -> bool:
+        """Whether any begins before ``at`` and doesn't end before it."""
+        return bool(self.starts) and bisect.bisect_left(self.starts, at) > bisect.bisect_left(self.ends, at)
 
 
 def split_line(line: str, lexicon: Collection[str] = ()) -> list[int]:
     """Ends of the sentence units within ``line`` (the end of the line is always one): the cheapest path of its lattice."""
-    depth, opens = _quotations(line)
+    quotes = _Quotations(line)
+    opens = quotes.opens
     found = Words(line, lexicon)
     n = len(line)
     nodes: dict[int, tuple[float, int]] = {}  # score, and the opening of a quotation that a report follows
@@ -284,14 +289,14 @@ def split_line(line: str, lexicon: Collection[str] = ()) -> list[int]:
         if f >= n:
             continue
         score, opened = _scored(line, a, b, e, f, opens, found)
-        if depth[e]:
+        if quotes.over(e):
             score += WEIGHTS["quoted"]
         if e not in nodes or score > nodes[e][0]:
             nodes[e] = score, opened
     if found.runs:
         for m in _GAP.finditer(line):
             a, b = m.span()
-            if depth[a] or a in nodes:
+            if a in nodes or quotes.over(a):
                 continue
             thai = _THAI.search(line, max(0, a - 12), a) or _THAI.match(line, b)
             nodes[a] = (_thai_gap if thai else _cjk_gap)(line, a, b, found), -1
@@ -310,13 +315,13 @@ def _path(line: str, nodes: list[tuple[int, float, int]]) -> list[int]:
     back = [-1]
     low = [0]  # index of the cheapest node up to each one
     solid = 0  # nodes up to this index have a letter or figure between them and the current place
-    at = 0
-    last = -1  # place of the last letter or figure seen
+    last = -1  # place of the last letter or figure before the current place
     for place, score, opened in [*nodes, (n, 0.0, -1)]:
-        while at < place:
-            if line[at].isalnum():
-                last = at
-            at += 1
+        k = place - 1
+        while k >= places[-1] and not line[k].isalnum():
+            k -= 1
+        if k >= places[-1]:
+            last = k
         while solid + 1 < len(places) and places[solid + 1] <= last:
             solid += 1
         full = places[solid] <= last
@@ -465,9 +470,10 @@ def found(sections: DataFrame, nodes: DataFrame, books: DataFrame) -> DataFrame:
     repeats), so that the shuffle of that step carries each record once.
     """
     epub = books.where(F.lower("book_format") == "epub").select("book_id").distinct()
-    s = sections.select("rec_id", "book_id", "raw_text").join(epub, "book_id", "left_semi").select("rec_id", "raw_text").dropDuplicates(["rec_id"])
-    n = nodes.select("rec_id", "summary_text").where("summary_text is not null").dropDuplicates(["rec_id"])
-    known = lexicon(s.select(F.col("raw_text").alias("t")).unionByName(n.select(F.col("summary_text").alias("t"))), "t")
-    one = sentence_units(s, "rec_id", "raw_text", True, known).withColumn("item_kind", F.lit("section"))
-    two = sentence_units(n, "rec_id", "summary_text", False, known).withColumn("item_kind", F.lit("summary"))
+    s = sections.select("rec_id", "book_id", F.col("raw_text").alias("text")).join(epub, "book_id", "left_semi").select(F.lit("section").alias("item_kind"), "rec_id", "text")
+    n = nodes.select(F.lit("summary").alias("item_kind"), "rec_id", F.col("summary_text").alias("text")).where("text is not null")
+    items = checkpointed(s.unionByName(n).dropDuplicates(["item_kind", "rec_id"]))
+    known = lexicon(items, "text")
+    one = sentence_units(items.where("item_kind = 'section'"), "rec_id", "text", True, known).withColumn("item_kind", F.lit("section"))
+    two = sentence_units(items.where("item_kind = 'summary'"), "rec_id", "text", False, known).withColumn("item_kind", F.lit("summary"))
     return one.unionByName(two).select("item_kind", "rec_id", "sent_start", "sent_end")
