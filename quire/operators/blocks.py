@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import trimmed
+from quire.operators.ordered import following, running
 
 # Ends of a line that closes a sentence; openings of captions, footnotes, folios and cast lists.
 TERMINAL = "[.!?…)\"”'’\\]]\\s*$"
@@ -28,6 +29,8 @@ MATTER = [
 ]
 
 PAGE = ["book_id", "page_no"]
+#: Pages per tile of what runs over a book.
+PAGES = 512
 
 
 def records(blocks: DataFrame) -> DataFrame:
@@ -72,13 +75,20 @@ def verse_runs(blocks: DataFrame, least: int = 3) -> DataFrame:
     return x.where("line").groupBy(*PAGE, "run").agg(F.min("block_idx").alias("lo"), F.max("block_idx").alias("hi"), F.count("*").alias("lines")).where(F.col("lines") >= least).select(*PAGE, "lo", "hi", "lines")
 
 
-def cast_runs(blocks: DataFrame, longest: int = 100) -> DataFrame:
-    """(book_id, page_no, lo, hi): a cast heading and the body lines of at most ``longest`` characters that follow it."""
+def cast_runs(blocks: DataFrame, longest: int = 100, least: int = 3) -> DataFrame:
+    """(book_id, page_no, lo, hi): a cast heading and the body lines of at most ``longest`` characters that follow it.
+
+    Verse is marked first, and what it protects ends a run.
+    """
     t = F.coalesce(trimmed(F.col("text")), F.lit(""))
-    stop = (F.coalesce(F.col("classification"), F.lit("")) != "body") | (t == "") | (F.length(t) > longest)
+    body = F.coalesce(F.col("classification"), F.lit("")) == "body"
     w = Window.partitionBy(*PAGE).orderBy("block_idx")
+    x = blocks.select(*PAGE, "block_idx", t.rlike(CAST).alias("head"), (body & short_line(F.col("text"))).alias("line"), (~body | (t == "") | (F.length(t) > longest)).alias("stop"))
+    x = x.withColumn("run", F.sum(F.when(F.col("line"), 0).otherwise(1)).over(w))
+    verse = F.col("line") & (F.count_if("line").over(Window.partitionBy(*PAGE, "run")) >= least)
+    x = x.withColumn("stop", F.col("stop") | verse)
     after = w.rowsBetween(1, Window.unboundedFollowing)
-    x = blocks.select(*PAGE, "block_idx", t.rlike(CAST).alias("head"), F.min(F.when(stop, F.col("block_idx"))).over(after).alias("stop"), F.max("block_idx").over(after).alias("end"))
+    x = x.select(*PAGE, "block_idx", "head", F.min(F.when(F.col("stop"), F.col("block_idx"))).over(after).alias("stop"), F.max("block_idx").over(after).alias("end"))
     x = x.where("head").select(*PAGE, F.col("block_idx").alias("lo"), F.coalesce(F.col("stop") - 1, F.col("end"), F.col("block_idx")).alias("hi"))
     return x.where("hi > lo")
 
@@ -120,6 +130,11 @@ def front_back_matter(blocks: DataFrame) -> DataFrame:
     return first.select("book_id", "side", "kind", F.col("x.page_no").alias("lo"), F.coalesce(F.col("x.next") - 1, F.col("x.last")).alias("hi"))
 
 
+def matter_spans(matter: DataFrame) -> DataFrame:
+    """(book_id, side, lo, hi): all pages of front and of back matter together."""
+    return matter.groupBy("book_id", "side").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def page_texts(blocks: DataFrame, classes: tuple[str, ...] = ("body",), glue: str = "\n") -> DataFrame:
     """(book_id, page_no, text): a page's blocks of some classes that aren't blank, in order, joined."""
     b = blocks.where(F.col("classification").isin(*classes) & F.col("text").rlike(r"\S"))
@@ -130,12 +145,11 @@ def page_texts(blocks: DataFrame, classes: tuple[str, ...] = ("body",), glue: st
 def page_index(blocks: DataFrame) -> DataFrame:
     """(book_id, page_no, start, chars): where each page's text begins in the text of its book.
 
-    Lengths are summed per page first; the running sum then goes over pages only.
+    Lengths are summed per page first; the running sum then goes over pages only, at two levels.
     """
     b = blocks.where((F.col("classification") == "body") & F.col("text").rlike(r"\S"))
     p = b.groupBy(*PAGE).agg(F.sum(F.length("text") + 1).alias("n"))
-    w = Window.partitionBy("book_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    return p.select(*PAGE, F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"), (F.col("n") - 1).alias("chars"))
+    return running(p, ["book_id"], F.floor(F.col("page_no") / PAGES), ["page_no"], F.col("n"), "start").select(*PAGE, "start", (F.col("n") - 1).alias("chars"))
 
 
 def offset_pages(points: DataFrame, index: DataFrame, keys: list[str], offset: str = "offset") -> DataFrame:
@@ -145,8 +159,8 @@ def offset_pages(points: DataFrame, index: DataFrame, keys: list[str], offset: s
     tasks; each tile begins with the page that reaches into it.
     """
     tile = 1 << 16
-    w = Window.partitionBy("book_id").orderBy("start")
-    pages = index.select("book_id", "page_no", "start", F.coalesce(F.lead("start").over(w), F.col("start") + F.col("chars") + 1).alias("end"), F.lead("start").over(w).isNull().alias("final"))
+    pages = following(index.select("book_id", "page_no", "start", "chars"), ["book_id"], F.floor(F.col("page_no") / PAGES), ["page_no"], F.col("start"), "next")
+    pages = pages.select("book_id", "page_no", "start", F.coalesce("next", F.col("start") + F.col("chars") + 1).alias("end"), F.col("next").isNull().alias("final"))
     tiles = pages.select("book_id", "page_no", "start", "end", "final", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("end") - 1) / tile))).alias("tile"))
     last = pages.where("final").select("book_id", F.col("page_no").alias("last_page"), F.col("end").alias("text_end"))
     p = points.where(F.col(offset).isNotNull()).withColumn("tile", F.floor(F.greatest(F.col(offset), F.lit(0)) / tile))

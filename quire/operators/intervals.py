@@ -1,18 +1,23 @@
 """Interval algebra per entity: continuous periods and the gaps between them.
 
 Spark's session_window, with a duration of each row's own, merges overlapping intervals natively. Equal starts are
-combined before the shuffle, and a book's axis is divided into tiles, so that a book with a third of all rows is merged
-in many tasks; what is left per book are disjoint periods, whose touching ends are joined with a running maximum, and
-the gaps follow with lead.
+combined before the shuffle, and an entity's axis is divided into tiles, so that a book with a third of all rows is merged
+in many tasks; ends that touch over the tiles' borders are joined with a running maximum at two levels, and the gaps
+follow with the next start, found likewise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Positions per tile of the first merge.
-TILE = 1 << 20
+from quire.operators.ordered import following, running
+from quire.session import checkpointed
+
+#: Positions per tile of the first merge of offsets; pages have tiles of fewer.
+TILE, PAGES = 1 << 10, 64
+#: Tiles of the merge per tile of what runs over an entity.
+WIDE = 64
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -36,14 +41,15 @@ def periods(ranges: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi",
     span = F.concat((F.col("_hi") - F.col("_lo")).cast("string"), F.lit(" microseconds"))
     merged = r.select(*keys, F.floor(F.col("_lo") / tile).alias("_tile"), at.alias("_at"), span.alias("_span")).groupBy(*keys, "_tile", F.session_window("_at", F.col("_span")).alias("_w")).agg(F.count("*").alias("_n"))
     m = merged.select(*keys, F.unix_micros("_w.start").alias("_lo"), F.unix_micros("_w.end").alias("_hi"))
-    w = Window.partitionBy(*keys).orderBy("_lo", "_hi")
-    before = F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    top = F.max("_hi").over(Window.partitionBy(*keys))
-    starts = m.select(*keys, "_lo", before.alias("_before"), top.alias("_top")).where("_before is null or _lo > _before")
-    return starts.select(*keys, F.col("_lo").alias("lo"), F.coalesce(F.lead("_before").over(Window.partitionBy(*keys).orderBy("_lo")), "_top").alias("hi"))
+    m = checkpointed(m)
+    order, wide = ["_lo", "_hi"], F.floor(F.col("_lo") / (tile * WIDE))
+    x = running(m, keys, wide, order, F.col("_hi"), "_before", "max")
+    opens = F.when(F.col("_before").isNull() | (F.col("_lo") > F.col("_before")), F.col("_lo"))
+    x = running(x.withColumn("_opens", opens), keys, wide, order, F.col("_opens"), "_period", "max", own=True)
+    return x.groupBy(*keys, "_period").agg(F.max("_hi").alias("hi")).select(*keys, F.col("_period").alias("lo"), "hi")
 
 
-def gaps(covered: DataFrame, bounds: DataFrame, keys: list[str], first: Column, end: Column) -> DataFrame:
+def gaps(covered: DataFrame, bounds: DataFrame, keys: list[str], first: Column, end: Column, tile: int = TILE) -> DataFrame:
     """(*keys, lo, hi): maximal stretches [lo, hi) of [first, end) of each row of ``bounds`` that no period covers.
 
     ``covered`` has disjoint periods as of ``periods``; an entity without any is one gap; one whose bounds are null or
@@ -53,8 +59,9 @@ def gaps(covered: DataFrame, bounds: DataFrame, keys: list[str], first: Column,
     # each period opens a gap behind it; the entity's own first position opens one before all
     opens = b.select(*keys, "_first", "_end", F.col("_first").alias("_from"), F.lit(None).cast("long").alias("_start"))
     rest = covered.join(b, keys).select(*keys, "_first", "_end", F.col("hi").alias("_from"), F.col("lo").alias("_start"))
-    w = Window.partitionBy(*keys).orderBy(F.col("_start").asc_nulls_first())
-    x = opens.unionByName(rest).select(*keys, "_end", F.greatest("_from", "_first").alias("lo"), F.lead("_start").over(w).alias("_next"))
+    place = F.coalesce(F.floor(F.col("_start") / (tile * WIDE)), F.lit(-(1 << 62)))
+    x = following(opens.unionByName(rest), keys, place, [F.col("_start").asc_nulls_first()], F.col("_start"), "_next")
+    x = x.select(*keys, "_end", F.greatest("_from", "_first").alias("lo"), "_next")
     return x.select(*keys, "lo", F.least(F.coalesce("_next", "_end"), "_end").alias("hi")).where("lo < hi")
 
 
@@ -66,10 +73,10 @@ def book_periods(nodes: DataFrame, sections: DataFrame, books: DataFrame) -> Dat
     b = books.where("total_chars is not null").select("book_id", "total_chars", "page_count").dropDuplicates(["book_id"])
     leaf = latest(nodes, ["book_id", "node_id"], ["stored_at", "rec_id"], ["start_off", "end_off", "is_leaf"]).where("is_leaf and start_off < end_off").join(b.select("book_id"), "book_id", "left_semi")
     page = latest(sections, ["book_id", "section_id"], ["stored_at", "rec_id"], ["start_page", "end_page"]).where("start_page <= end_page").join(b.select("book_id"), "book_id", "left_semi")
-    lp = periods(leaf, ["book_id"], "start_off", "end_off")
-    pp = periods(page.withColumn("end_page", F.col("end_page") + 1), ["book_id"], "start_page", "end_page")
+    lp = checkpointed(periods(leaf, ["book_id"], "start_off", "end_off"))
+    pp = checkpointed(periods(page.withColumn("end_page", F.col("end_page") + 1), ["book_id"], "start_page", "end_page", PAGES))
     lg = gaps(lp, b, ["book_id"], F.lit(0), F.col("total_chars"))
-    pg = gaps(pp, b, ["book_id"], F.lit(1), F.col("page_count") + 1)
+    pg = gaps(pp, b, ["book_id"], F.lit(1), F.col("page_count") + 1, PAGES)
     closed = F.col("hi") - 1
     return (
         lp.select("book_id", F.lit("leaf_period").alias("kind"), "lo", "hi")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.blocks import page_texts
+from quire.operators.blocks import PAGES, page_texts
+from quire.operators.ordered import numbered, running
+from quire.operators.tree import title_chains
 
 
 def page_windows(pages: DataFrame, size: int = 50) -> DataFrame:
@@ -32,32 +37,62 @@ def window_texts(blocks: DataFrame, size: int = 50) -> DataFrame:
 def boundary_crosscheck(outline: DataFrame, model: DataFrame, windows: DataFrame, tolerance: int = 2) -> DataFrame:
     """(book_id, win, matched): whether, within a window, each boundary of one side is near one of the other.
 
-    ``outline`` and ``model`` have (book_id, page_no). Nearness is an equi-join on the pages around a boundary, both ways.
+    ``outline`` and ``model`` have (book_id, page_no), ``windows`` (book_id, win, lo, hi) of any size. Nearness is an equi-join
+    on the pages around a boundary, both ways.
     """
     span = int(tolerance)
-    size = 50
+    pages = F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int"))
+    page = windows.select("book_id", "win", F.explode(pages).alias("page_no"))
+    placed = lambda b: b.select("book_id", "page_no").distinct().join(page, ["book_id", "page_no"])
+    one, two = placed(outline), placed(model)
 
     def unmatched(a, b):
-        near = b.select("book_id", F.floor((F.col("page_no") - 1) / size).alias("win"), F.explode(F.sequence(F.col("page_no") - span, F.col("page_no") + span)).alias("page_no")).distinct()
-        return a.withColumn("win", F.floor((F.col("page_no") - 1) / size)).join(near, ["book_id", "win", "page_no"], "left_anti").select("book_id", "win")
+        near = b.select("book_id", "win", F.explode(F.sequence(F.col("page_no") - span, F.col("page_no") + span)).alias("page_no")).distinct()
+        return a.join(near, ["book_id", "win", "page_no"], "left_anti").select("book_id", "win")
 
-    bad = unmatched(outline, model).unionByName(unmatched(model, outline)).distinct().withColumn("bad", F.lit(True))
+    bad = unmatched(one, two).unionByName(unmatched(two, one)).distinct().withColumn("bad", F.lit(True))
     return windows.select("book_id", "win").join(bad, ["book_id", "win"], "left").select("book_id", "win", F.col("bad").isNull().alias("matched"))
 
 
+def disagreement(checked: DataFrame, most: float = 0.3) -> DataFrame:
+    """(book_id, windows, ratio, hybrid): the share of compared windows that don't match; over ``most`` both sides are used."""
+    x = checked.groupBy("book_id").agg(F.count("*").alias("windows"), F.count_if(~F.col("matched")).alias("bad"))
+    ratio = F.col("bad") / F.col("windows")
+    return x.select("book_id", "windows", ratio.alias("ratio"), (ratio > most).alias("hybrid"))
+
+
+def mean_confidence(bounds: DataFrame, least: float = 0.4) -> DataFrame:
+    """(book_id, confidence, low): the mean confidence of a book's boundaries, and whether it is under ``least``."""
+    c = bounds.groupBy("book_id").agg(F.avg("confidence").alias("confidence"))
+    return c.select("book_id", "confidence", (F.col("confidence") < least).alias("low"))
+
+
 def dedupe_boundaries(bounds: DataFrame, distance: int = 2) -> DataFrame:
     """(book_id, page_no, title): of each book's boundaries those further than ``distance`` from the last one kept.
 
-    The choice depends on what was kept before, so it is a fold over a book's sorted boundaries, inside the JVM. A
-    book's boundaries are as many as its sections.
+    On one page the least ``rank`` (where there is such a column), then title, counts. A boundary further than ``distance``
+    from the one before is kept whatever came before that, so the choice runs over stretches of near ones only: they stream
+    in order through a fold that remembers one page.
     """
-    rows = bounds.groupBy("book_id").agg(F.sort_array(F.collect_set(F.struct("page_no", "title"))).alias("x"))
-    kept = F.aggregate(
-        "x",
-        F.array().cast("array<struct<page_no:int,title:string>>"),
-        lambda acc, y: F.when((F.size(acc) == 0) | (y["page_no"] - F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["page_no"] > distance), F.concat(acc, F.array(y))).otherwise(acc),
-    )
-    return rows.select("book_id", F.explode(kept).alias("k")).select("book_id", "k.page_no", "k.title")
+    rank = F.col("rank") if "rank" in bounds.columns else F.lit(0)
+    first = bounds.where("page_no is not null").groupBy("book_id", "page_no").agg(F.min(F.struct(rank.alias("rank"), "title")).alias("x"))
+    tile = F.floor(F.col("page_no") / PAGES)
+    p = running(first, ["book_id"], tile, ["page_no"], F.col("page_no"), "prev", "max")
+    far = F.col("prev").isNull() | (F.col("page_no") - F.col("prev") > distance)
+    p = running(p.withColumn("new", F.when(far, 1).otherwise(0)), ["book_id"], tile, ["page_no"], F.col("new"), "run", own=True)
+
+    def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, last = None, 0
+        for pdf in parts:
+            mark = []
+            for book, run, page in zip(pdf["book_id"], pdf["run"], pdf["page_no"], strict=True):
+                ok = (book, run) != of or page - last > distance
+                of, last = (book, run), page if ok else last
+                mark.append(ok)
+            yield pdf.loc[mark, ["book_id", "page_no", "title"]]
+
+    rows = p.select("book_id", "run", "page_no", F.col("x.title").alias("title")).repartition("book_id", "run").sortWithinPartitions("book_id", "run", "page_no")
+    return rows.mapInPandas(keep, "book_id string, page_no int, title string")
 
 
 def with_opening(bounds: DataFrame) -> DataFrame:
@@ -100,3 +135,40 @@ def oversized_cuts(blocks: DataFrame, sections: DataFrame, most: int) -> DataFra
     x = s.join(b, ["book_id", "page_no"]).withColumn("upto", F.sum("n").over(w)).withColumn("part", F.floor((F.col("upto") - F.col("n")) / most))
     total = x.groupBy("rec_id").agg(F.sum("n").alias("all")).where(F.col("all") > most)
     return x.join(total, "rec_id", "left_semi").groupBy("book_id", "rec_id", "part").agg(F.min(F.struct("page_no", "block_idx")).alias("a"), F.max("page_no").alias("hi"), F.sum("n").alias("chars")).select("book_id", "rec_id", "part", F.col("a.page_no").alias("lo"), "hi", "chars")
+
+
+def split_at(blocks: DataFrame, sections: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(book_id, rec_id, ord, title, confidence, lo, hi, chars): sections divided where ``cuts`` say; others stay whole.
+
+    ``sections``: (rec_id, book_id, ord, title, start_page, end_page, confidence); ``cuts``: (rec_id, block_no, title), a part
+    ends before block number ``block_no`` (from 1) of its section and has the cut's title, what is left has the section's with
+    " (cont.)". Cuts outside 2..number of blocks don't count. All are numbered again in order.
+    """
+    b = blocks.select("book_id", "page_no", "block_idx", F.when((F.col("classification") == "body") & F.col("text").rlike(r"\S"), F.length("text")).alias("n"))
+    s = sections.where("start_page <= end_page")
+    each = s.select("rec_id", "book_id", F.explode(F.sequence("start_page", "end_page")).alias("page_no")).join(b, ["book_id", "page_no"])
+    tile = F.floor(F.col("page_no") / PAGES)
+    each = numbered(each, ["rec_id"], tile, ["page_no", "block_idx"], "k")
+    total = each.groupBy("rec_id").agg(F.max("k").alias("blocks"))
+    c = cuts.join(total, "rec_id").where("block_no > 1 and block_no <= blocks").groupBy("rec_id", "block_no").agg(F.min("title").alias("cut_title"))
+    marks = each.join(c.select("rec_id", F.col("block_no").alias("k"), F.lit(1).alias("cut")), ["rec_id", "k"], "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+    parts = running(marks, ["rec_id"], tile, ["page_no", "block_idx"], F.col("cut"), "part", own=True)
+    size = F.greatest(F.coalesce(F.sum(F.col("n") + 1), F.lit(0)) - 1, F.lit(0))
+    p = parts.groupBy("rec_id", "book_id", "part").agg(F.min("page_no").alias("lo"), F.max("page_no").alias("hi"), size.alias("chars"))
+    w = Window.partitionBy("rec_id").orderBy("block_no")  # the cuts of one section
+    named = c.select("rec_id", (F.row_number().over(w) - 1).alias("part"), "cut_title")
+    many = c.select("rec_id").distinct().withColumn("many", F.lit(True))
+    x = p.join(named, ["rec_id", "part"], "left").join(many, "rec_id", "left").join(s.select("rec_id", F.col("ord").alias("old"), "title", "confidence"), "rec_id")
+    title = F.when(F.col("many").isNull(), F.col("title")).otherwise(F.coalesce("cut_title", F.concat(F.col("title"), F.lit(" (cont.)"))))
+    x = x.select("book_id", "rec_id", "old", "part", title.alias("title"), F.when(F.col("many"), F.lit(0.6)).otherwise(F.col("confidence")).alias("confidence"), "lo", "hi", "chars")
+    return numbered(x, ["book_id"], F.floor(F.coalesce("old", F.lit(0)) / 64), [F.coalesce("old", F.lit(0)), "rec_id", "part"], "ord").drop("old", "part")
+
+
+def flattened(outline: DataFrame) -> DataFrame:
+    """(book_id, pos, node_id, depth, title, start_page): an outline (book_id, node_id, parent_id, ord, title, start_page) depth first."""
+    o = outline.withColumn("step", F.concat(F.format_string("%08d", F.coalesce("ord", F.lit(0))), F.lit(":"), "node_id"))
+    paths = title_chains(o.select("book_id", "node_id", "parent_id", F.col("step").alias("title")), "\u0001")
+    x = o.join(paths, ["book_id", "node_id"])
+    depth = F.size(F.split("chain", "\u0001")) - 1
+    place = numbered(x.withColumn("depth", depth), ["book_id"], F.lit(0), ["chain"], "pos")
+    return place.select("book_id", "pos", "node_id", "depth", "title", "start_page")

@@ -8,7 +8,6 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quire.operators import events as E
-from quire.operators import layout as L
 from quire.operators.intervals import latest
 from quire.sources import epub
 from quire.streaming import windows as W
@@ -29,13 +28,6 @@ def _calls(s, d):
     return table(s, d, "brackets", "rec_id", "book_id", "model", "deletion_index", "prompt_tokens", "completion_tokens", "produced_at").distinct()
 
 
-_ITEMS = [(1, 50.0 + 12 * (i % 10) + (320 if i % 20 >= 10 else 0), 20.0 * (i // 20) + (i % 3) * 1.5, 10.0, 9.0 if i % 4 else 2.0, f"w{i}", "serif" if i % 5 else "bold") for i in range(80)] + [(2, 10.0 * i, 7.0 * i, 8.0, 10.0, f"v{i}", "mono") for i in range(9)]
-
-
-def _items(s):
-    return s.createDataFrame(_ITEMS, "page_id int, x double, y double, width double, height double, text string, font string")
-
-
 def _epub() -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -62,21 +54,17 @@ QUERIES = {
     "call_estimate": lambda s, d: table(s, d, "brackets", "rec_id", "deleted_text", "prompt_tokens").distinct().select("rec_id", F.greatest(F.lit(1), F.ceil(F.length(F.coalesce("deleted_text", F.lit(""))) / 4)).alias("estimate"), "prompt_tokens"),
     "budget_admission": lambda s, d: E.admitted(_calls(s, d).withColumn("size", F.col("prompt_tokens") + F.col("completion_tokens")), "book_id", ["produced_at", "rec_id"], "size", 3000).select("book_id", "rec_id", "size", "admitted"),
     "book_history": lambda s, d: table(s, d, "books", "book_id", "title", "created_at").join(latest(table(s, d, "sections"), ["book_id", "section_id"], ["stored_at", "rec_id"], ["title"]).groupBy("book_id").agg(F.count("*").alias("sections")), "book_id", "left").join(_calls(s, d).groupBy("book_id").agg(F.count("*").alias("brackets")), "book_id", "left").select("book_id", F.coalesce("title", "book_id").alias("name"), F.coalesce("sections", F.lit(0)).alias("sections"), F.coalesce("brackets", F.lit(0)).alias("brackets")),
-    "row_cluster": lambda s, d: L.rows(_items(s)).select("page_id", "text", "row"),
-    "column_split": lambda s, d: L.column_split(_items(s), 600.0),
-    "layout_blocks": lambda s, d: L.blocks(_items(s), 600.0),
     "epub_export": lambda s, d: epub.rewritten(_files(s), s.createDataFrame([("b/one.epub", "b", "A short & plain bracket.")], "path string, spine_item_id string, bracket string")).select("path", "replaced", F.length("content").isNotNull().alias("written")),
     "epub_blocks": lambda s, d: epub.parse(_files(s)),
     "classify_html": lambda s, d: epub.parse(_files(s)).where("ok and text is not null").groupBy("tag", "classification").agg(F.count("*").alias("n")),
     "stream_tumbling": lambda s, d: W.run_to_table(W.tumbling(W.event_stream(s, d)), "complete").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 3).alias("total")),
     "stream_sliding": lambda s, d: W.run_to_table(W.sliding(W.event_stream(s, d)), "complete").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n"),
-    "stream_session": lambda s, d: W.run_to_table(W.sessions(W.event_stream(s, d)), "append").select("user_id", "n"),
+    "stream_session": lambda s, d: W.run_to_table(W.sessions(W.event_stream(s, d)), "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n"),
     "stream_latest": lambda s, d: W.run_to_table(W.latest(W.event_stream(s, d)), "complete"),
     "stream_dedup_late": lambda s, d: W.run_to_table(W.deduplicated(W.event_stream(s, d)), "append").select("event_id", "user_id", "event_type"),
 }
 
 _C = "c AS (SELECT DISTINCT rec_id, book_id, model, deletion_index, prompt_tokens, completion_tokens, produced_at FROM brackets)"
-_ITEMSQL = "(VALUES " + ", ".join(f"({p}, {x}::DOUBLE, {y}::DOUBLE, {h}::DOUBLE, '{t}')" for p, x, y, _, h, t, _f in _ITEMS) + ") i(page_id, x, y, height, text)"
 
 SQL = {
     "latest_activity": "SELECT user_id, ts, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
@@ -92,13 +80,10 @@ SQL = {
 f AS (SELECT book_id, rec_id, size, i, size <= 3000 AS admitted, CASE WHEN size <= 3000 THEN size ELSE 0 END AS used FROM o WHERE i = 1
 UNION ALL SELECT o.book_id, o.rec_id, o.size, o.i, f.used + o.size <= 3000, f.used + CASE WHEN f.used + o.size <= 3000 THEN o.size ELSE 0 END FROM f JOIN o ON o.book_id = f.book_id AND o.i = f.i + 1) SELECT book_id, rec_id, size, admitted FROM f""",
     "book_history": f"WITH {_C} SELECT b.book_id, coalesce(b.title, b.book_id) AS name, coalesce(s.n, 0) AS sections, coalesce(k.n, 0) AS brackets FROM books b LEFT JOIN (SELECT book_id, count(DISTINCT section_id) AS n FROM sections GROUP BY book_id) s USING (book_id) LEFT JOIN (SELECT book_id, count(*) AS n FROM c GROUP BY book_id) k USING (book_id)",
-    "row_cluster": f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, text) AS k FROM {_ITEMSQL}),
-f AS (SELECT page_id, k, text, y AS mean, 1 AS n, 0 AS r FROM o WHERE k = 1 UNION ALL
-SELECT o.page_id, o.k, o.text, CASE WHEN abs(o.y - f.mean) <= 0.6 * greatest(o.height, 4) THEN (f.mean * f.n + o.y) / (f.n + 1) ELSE o.y END, CASE WHEN abs(o.y - f.mean) <= 0.6 * greatest(o.height, 4) THEN f.n + 1 ELSE 1 END, CASE WHEN abs(o.y - f.mean) <= 0.6 * greatest(o.height, 4) THEN f.r ELSE f.r + 1 END FROM f JOIN o ON o.page_id = f.page_id AND o.k = f.k + 1)
-SELECT page_id, text, r AS row FROM f""",
-    "column_split": f"SELECT page_id, arg_max((x + p) / 2, x - p) AS split FROM (SELECT page_id, x, lag(x) OVER (PARTITION BY page_id ORDER BY x) AS p, count(*) OVER (PARTITION BY page_id) AS n FROM {_ITEMSQL}) WHERE n >= 20 AND p < 300 AND x > 300 AND x - p > 60 GROUP BY page_id",
     "stream_tumbling": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL",
     "stream_sliding": "SELECT strftime(d, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS d FROM events) GROUP BY ALL",
+    "stream_session": """WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+y AS (SELECT user_id, ts, sum(nw) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM x) SELECT user_id, min(ts) AS start, count(*) AS n FROM y GROUP BY user_id, g""",
     "stream_latest": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "stream_dedup_late": "SELECT event_id, user_id, event_type FROM events",
 }

@@ -21,17 +21,24 @@ def _T():
     return F.col("text")
 
 
-_DURATIONS = ["1s", "100ms", "1m30s", "12.5s", "2h", "1h2m3s", "45", "0.5", "soon", "", "1m 30s", "3x", None]
-_REPLIES = ['{"a": 1}', 'Sure: ```json\n{"a": [1, 2]}\n```', 'Here you are {"b": {"c": 2}} as asked', "The list [1, 2, 3] follows", "null", "no json here", "```\nnot json\n```", "", "{broken", "[1, 2", '``` {"x": true} ```', "{} and [1]", None]
+def _durations(s, d):
+    """Durations in all forms, some of them none, from the numbers of events."""
+    i, n = F.col("event_id"), (F.col("event_id") % 977).cast("string")
+    form = F.when(i % 6 == 0, F.concat(n, F.lit("s"))).when(i % 6 == 1, F.concat(n, F.lit("m"), (i % 60).cast("string"), F.lit("s"))).when(i % 6 == 2, F.concat(n, F.lit("ms")))
+    form = form.when(i % 6 == 3, F.concat(n, F.lit(".5"))).when(i % 6 == 4, F.concat(n, F.lit(" h"))).otherwise(F.concat(F.lit("1h"), n, F.lit("m")))
+    return table(s, d, "events", "event_id").select("event_id", F.when(i % 50 > 0, form).alias("raw"))
 
 
-def _values(s, rows):
-    return s.createDataFrame([(i, x) for i, x in enumerate(rows)], "id int, raw string")
+def _replies(s, d):
+    """The props of events as a model might wrap them."""
+    i, p = F.col("event_id"), F.col("props")
+    raw = F.when(i % 5 == 0, p).when(i % 5 == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(i % 5 == 2, F.concat(F.lit("Sure: "), p, F.lit(" done"))).when(i % 5 == 3, F.lit("null")).otherwise(p.substr(F.lit(1), F.length(p) - 1))
+    return table(s, d, "events", "event_id", "props").select(F.col("event_id").alias("id"), raw.alias("raw"))
 
 
-def _sqlvals(rows):
-    q = lambda x: "NULL" if x is None else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-    return "(VALUES " + ", ".join(f"({i}, {q(x)})" for i, x in enumerate(rows)) + ") v(id, raw)"
+_DUR = """(SELECT event_id, CASE WHEN event_id % 50 > 0 THEN CASE event_id % 6 WHEN 0 THEN event_id % 977 || 's' WHEN 1 THEN event_id % 977 || 'm' || event_id % 60 || 's' WHEN 2 THEN event_id % 977 || 'ms'
+WHEN 3 THEN event_id % 977 || '.5' WHEN 4 THEN event_id % 977 || ' h' ELSE '1h' || event_id % 977 || 'm' END END AS raw FROM events)"""
+_RAW = """(SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN 'Sure: ' || props || ' done' WHEN 3 THEN 'null' ELSE props[1:length(props) - 1] END AS raw FROM events)"""
 
 
 QUERIES = {
@@ -54,9 +61,9 @@ QUERIES = {
     "bracket_html": lambda s, d: table(s, d, "brackets", "rec_id", "bracket_text").distinct().select("rec_id", T.paragraphs_html(F.col("bracket_text")).alias("html")),
     "wrapped_lines": lambda s, d: table(s, d, "brackets", "rec_id", "bracket_text").distinct().select("rec_id", F.posexplode(T.wrapped(F.col("bracket_text"), 60)).alias("line_no", "line")),
     "paginated_lines": lambda s, d: table(s, d, "brackets", "rec_id", "bracket_text").distinct().select("rec_id", F.posexplode(T.wrapped(F.col("bracket_text"), 60)).alias("n", "line")).groupBy("rec_id", F.floor(F.col("n") / 8).alias("page")).agg(F.count("*").alias("lines")),
-    "parse_duration": lambda s, d: _values(s, _DURATIONS).select("id", T.duration_ms(F.col("raw")).alias("ms")),
-    "lenient_json": lambda s, d: _values(s, _REPLIES).select("id", T.lenient_json(F.col("raw")).isNotNull().alias("ok"), F.length(T.lenient_json(F.col("raw"))).alias("n")),
-    "backoff_schedule": lambda s, d: s.range(0, 21).select(F.col("id").alias("attempt"), F.least(F.lit(60000.0), F.least(F.lit(60000.0), 500.0 * F.pow(F.lit(2.0), F.col("id"))) * 1.125).alias("wait_ms")),
+    "parse_duration": lambda s, d: _durations(s, d).select("event_id", T.duration_ms(F.col("raw")).alias("ms")),
+    "lenient_json": lambda s, d: _replies(s, d).select("id", T.lenient_json(F.col("raw")).isNotNull().alias("ok"), F.length(T.lenient_json(F.col("raw"))).alias("n")),
+    "backoff_schedule": lambda s, d: table(s, d, "events", "event_id").select("event_id", F.least(F.lit(60000.0), F.least(F.lit(60000.0), 500.0 * F.pow(F.lit(2.0), F.col("event_id") % 21)) * 1.125).alias("wait_ms")),
     "event_props": lambda s, d: table(s, d, "events", "event_id", "props").select("event_id", F.size(F.json_object_keys("props")).alias("keys"), T.lenient_json(F.col("props")).isNotNull().alias("ok")),
 }
 
@@ -108,13 +115,13 @@ FROM (SELECT rec_id, ord, regexp_replace(regexp_replace(regexp_replace(lower(coa
 FROM (SELECT DISTINCT rec_id, list_filter(list_transform({_PARA.format('bracket_text')}, lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS p FROM brackets)""",
     "wrapped_lines": _WRAP + " SELECT rec_id, line_no, line FROM l",
     "paginated_lines": _WRAP + " SELECT rec_id, line_no // 8 AS page, count(*) AS lines FROM l GROUP BY rec_id, line_no // 8",
-    "parse_duration": f"""SELECT id, CASE WHEN regexp_matches(raw, '^([0-9]+(\\.[0-9]+)?(ms|s|m|h))+$') THEN
+    "parse_duration": f"""SELECT event_id, CASE WHEN regexp_matches(raw, '^([0-9]+(\\.[0-9]+)?(ms|s|m|h))+$') THEN
 list_sum(list_transform(regexp_extract_all(raw, '[0-9.]+(ms|s|m|h)'), lambda p: CAST(regexp_extract(p, '^[0-9.]+') AS DOUBLE) * CASE WHEN p LIKE '%ms' THEN 1 WHEN p LIKE '%h' THEN 3600000 WHEN p LIKE '%m' THEN 60000 ELSE 1000 END))
-WHEN regexp_matches(raw, '^[0-9]+(\\.[0-9]+)?$') THEN 1000.0 * TRY_CAST(raw AS DOUBLE) END AS ms FROM {_sqlvals(_DURATIONS)}""",
+WHEN regexp_matches(raw, '^[0-9]+(\\.[0-9]+)?$') THEN 1000.0 * TRY_CAST(raw AS DOUBLE) END AS ms FROM {_DUR}""",
     "named_terms": f"""SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(list_concat({_FIRST('[A-Z][a-z]+(?:' + WS + '+[A-Z][a-z]+)*', 20)}, list_concat({_FIRST('[0-9]{4}', 10)}, {_FIRST('"[^"' + chr(10) + ']{1,160}"', 5, False)})), '|') END AS terms FROM documents""",
-    "backoff_schedule": "SELECT i AS attempt, least(60000.0, least(60000.0, 500.0 * pow(2.0, i)) * 1.125) AS wait_ms FROM range(0, 21) t(i)",
+    "backoff_schedule": "SELECT event_id, least(60000.0, least(60000.0, 500.0 * pow(2.0, event_id % 21)) * 1.125) AS wait_ms FROM events",
     "event_props": "SELECT event_id, len(json_keys(props)) AS keys, json_valid(props) AND props <> 'null' AS ok FROM events",
-    "lenient_json": f"""WITH v AS (SELECT id, raw, CASE WHEN contains(raw, '```') AND regexp_extract(raw, '(?is)```(?:json)?\\s*(.*?)```', 1) <> '' THEN {_TRIM.format("regexp_extract(raw, '(?is)```(?:json)?" + chr(92) + "s*(.*?)```', 1)")} ELSE {_TRIM.format('raw')} END AS inn FROM {_sqlvals(_REPLIES)}),
+    "lenient_json": f"""WITH v AS (SELECT id, raw, CASE WHEN contains(raw, '```') AND regexp_extract(raw, '(?is)```(?:json)?\\s*(.*?)```', 1) <> '' THEN {_TRIM.format("regexp_extract(raw, '(?is)```(?:json)?" + chr(92) + "s*(.*?)```', 1)")} ELSE {_TRIM.format('raw')} END AS inn FROM {_RAW}),
 c AS (SELECT id, unnest([raw, inn, inn[instr(inn, '{{'):length(inn) - instr(reverse(inn), '}}') + 1], inn[instr(inn, '['):length(inn) - instr(reverse(inn), ']') + 1]]) AS t, unnest([1, 2, 3, 4]) AS k,
  unnest([true, true, contains(inn, '{{') AND contains(inn, '}}') AND length(inn) - instr(reverse(inn), '}}') + 1 > instr(inn, '{{'), contains(inn, '[') AND contains(inn, ']') AND length(inn) - instr(reverse(inn), ']') + 1 > instr(inn, '[')]) AS can FROM v),
 g AS (SELECT id, arg_min(t, k) AS t FROM c WHERE can AND t <> '' AND {_TRIM.format('t')} <> 'null' AND json_valid(t) GROUP BY id)

@@ -44,12 +44,23 @@ def _tree(f):
     return run
 
 
-_TEXT = "\n\n".join("paragraph " + str(i) + " " + "x" * (90 + 37 * i) for i in range(30))
-_KIDS = [(1, "A", 0, 700), (1, "Empty", 700, 700), (1, "B", 690, 1500), (1, " ", 1490, 99999)] + [(2, f"c{i}", i * 500, i * 500 + 510) for i in range(12)] + [(3, "only", 5, 20)]
+def _texts(s, d):
+    """The sections with blank lines between their lines."""
+    x = table(s, d, "sections", "rec_id", "raw_text").dropDuplicates(["rec_id"]).where("raw_text is not null")
+    return x.select(F.col("rec_id").alias("id"), F.replace("raw_text", F.lit("\n"), F.lit("\n\n")).alias("text"))
 
 
 def _kids(s, d):
-    return T.reconciled(s.createDataFrame(_KIDS, "id int, title string, start_off int, end_off int"), s.createDataFrame([(i, _TEXT) for i in (1, 2, 3)], "id int, text string"))
+    """Twelve proposed children of each section, some empty, some overlapping, some beyond its end."""
+    t = checkpointed(_texts(s, d))
+    k = F.col("k")
+    p = t.select("id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("k")).select("id", F.concat(F.lit("c"), k.cast("string")).alias("title"), (k * 310).alias("start_off"), (k * 310 + (k % 3) * 290).alias("end_off"))
+    return T.reconciled(p, t)
+
+
+def _snaps(s, d):
+    at = _texts(s, d).select("id", "text", F.explode(F.array(F.lit(150), F.lit(700), F.lit(2600))).alias("place")).where("place < length(text)")
+    return at.select("id", "place", T.snapped(F.col("text"), F.col("place")).alias("snapped"))
 
 
 def _books(s, d):
@@ -106,7 +117,7 @@ QUERIES = {
     "seed_top_level": lambda s, d: T.seed_top_level(_bounds(s, d), B.page_index(B.records(table(s, d, "blocks", "rec_id", "book_id", "page_no", "block_idx", "text", "classification"))), 3000),
     "merge_undersized": _with(lambda s, d, n, i: T.merge_undersized(n.where("parent_id is not null and start_page is not null and end_page is not null").select(F.concat_ws("/", "book_id", "parent_id").alias("id"), F.col("start_page").alias("lo"), F.greatest("start_page", "end_page").alias("hi"), F.concat_ws(" ", "node_id", "title").alias("title")))),
     "reconcile_children": _kids,
-    "snap_paragraph": lambda s, d: s.createDataFrame([(i, _TEXT) for i in range(0, 9000, 250)], "at int, text string").select("at", T.snapped(F.col("text"), F.col("at")).alias("snapped")),
+    "snap_paragraph": _snaps,
     "summarize_tree": _with(lambda s, d, n, i: T.summarize_tree(n)),
 }
 
@@ -159,7 +170,25 @@ def _rollup() -> str:
     return f"WITH {_N}, " + ", ".join(steps) + f" SELECT book_id, node_id, summary FROM {last}"
 
 
+_TX = "tx AS (SELECT DISTINCT rec_id AS id, replace(raw_text, chr(10), chr(10) || chr(10)) AS text FROM sections WHERE raw_text IS NOT NULL)"
+
+
+def _snap(at: str) -> str:
+    """The end of the blank line nearest to a place, of equal ones the earlier."""
+    lo, hi = f"CAST(greatest({at} - 400, 0) AS BIGINT)", f"CAST(least({at} + 400, length(text)) AS BIGINT)"
+    near = f"list_filter(range({lo}, greatest({hi}, {lo} + 1)), lambda i: text[i + 1:i + 2] = chr(10) || chr(10))"
+    return f"coalesce(list_min(list_transform({near}, lambda i: abs(i - {at}) * 1000000 + i)) % 1000000 + 2, {at})"
+
+
 SQL = {
+    "snap_paragraph": f"WITH {_TX} SELECT id, place, CAST({_snap('place')} AS INT) AS snapped FROM tx, (VALUES (150), (700), (2600)) v(place) WHERE place < length(text)",
+    "reconcile_children": f"""WITH RECURSIVE {_TX}, p AS (SELECT id, text, length(text) AS n, 'c' || k AS title, least(k * 310, length(text)) AS s, least(k * 310 + k % 3 * 290, length(text)) AS e FROM tx, range(0, 12) r(k)),
+q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, e, title) AS k, count(*) OVER (PARTITION BY id) AS m FROM p WHERE e > s),
+z AS (SELECT id, n, title, k, CASE WHEN k = m THEN n ELSE {_snap('e')} END AS stop FROM q),
+f AS (SELECT id, n, k, title, CAST(0 AS BIGINT) AS start, CASE WHEN stop > 0 THEN stop ELSE 0 END AS top, stop > 0 AS keep FROM z WHERE k = 1
+  UNION ALL SELECT z.id, z.n, z.k, z.title, f.top, CASE WHEN z.stop > f.top THEN z.stop ELSE f.top END, z.stop > f.top FROM f JOIN z ON z.id = f.id AND z.k = f.k + 1),
+g AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS i, count(*) OVER (PARTITION BY id) AS m FROM f WHERE keep)
+SELECT id, CASE WHEN i = 8 AND m > 8 THEN 'Remaining material' ELSE title END AS title, CAST(start AS INT) AS start_off, CAST(CASE WHEN i = least(m, 8) THEN n ELSE top END AS INT) AS end_off FROM g WHERE i <= 8""",
     "title_chain": f"WITH RECURSIVE {_N}, c AS (SELECT book_id, node_id, coalesce(title, '') AS chain FROM n WHERE parent_id IS NULL UNION ALL SELECT n.book_id, n.node_id, c.chain || ' › ' || coalesce(n.title, '') FROM n JOIN c ON c.book_id = n.book_id AND c.node_id = n.parent_id) SELECT * FROM c",
     "deep_tree": """WITH RECURSIVE ls AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id, section_id ORDER BY stored_at DESC, rec_id DESC) AS rn FROM sections) WHERE rn = 1),
 h AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY ord NULLS LAST, section_id) AS k FROM ls),

@@ -22,6 +22,8 @@ def test_store(spark, frame, tmp_path):
     ch = frame([("r", "a", 1, "z"), ("r", "c", 0, "w")], "run_id string, id string, t int, v string")
     assert sorted((r.id, r.v) for r in store.upserted(base, ch, ["run_id", "id"], "t").collect()) == [("a", "z"), ("b", "y"), ("c", "w")]
     assert sorted((r.id, r.v) for r in store.patched(base, frame([("r", "b", None)], "run_id string, id string, v string"), ["run_id", "id"]).collect()) == [("a", "x"), ("b", "y")]
+    assert [r.v for r in store.get(base, id="b").collect()] == ["y"] and [r.id for r in store.listed(base, ["id"], run_id="r").collect()] == ["a", "b"] and store.listed(base, run_id=None).collect() == []
+    assert sorted(map(tuple, store.removed(base, frame([("r",), ("q",), ("r",)], "run_id string")).collect())) == [("q", 0), ("r", 2)]
     assert store.without_run(base, frame([("r",)], "run_id string")).collect() == []
     log = str(tmp_path / "log")
     for k in range(2):
@@ -36,7 +38,7 @@ def test_provider_failure_is_a_row(frame):
 
     req = frame([("q", "summary", "a b c", 2), ("e", "summary", None, 2)], "request_id string, kind string, text string, most int")
     assert {r.error for r in M.complete(req, Broken).collect()} == {"RuntimeError: no line"}
-    assert {r.request_id: r.reply for r in M.complete(req).collect()} == {"q": '{"text": "a b"}', "e": '{"text": ""}'}
+    assert {r.request_id: r.reply for r in M.complete(req).collect()} == {"q": '{"summary": "a b"}', "e": '{"summary": ""}'}
 
 
 def test_admission_passes_over_what_does_not_fit(frame):

@@ -57,6 +57,40 @@ def test_verse_and_cast_runs(frame):
     assert B.verse_runs(df.where("false")).collect() == []
 
 
+def test_verse_stops_a_cast_list(frame):
+    ddl = "rec_id bigint, book_id string, page_no int, block_idx int, text string, classification string, font_hint string"
+    lines = ["Dramatis Personae.", "A MERCHANT of the town of Alder.", "a line of verse", "another line", "a third one", "THE WIDOW."]
+    df = frame([(i, "b", 1, i, t, "body", None) for i, t in enumerate(lines)], ddl)
+    assert [(r.lo, r.hi) for r in B.cast_runs(df).collect()] == [(0, 1)]
+
+
+def test_front_and_back_matter(frame):
+    heads = {2: "Contents", 3: "Preface to this edition", 5: "Foreword", 7: "Chapter one", 27: "Notes", 28: "Bibliography", 29: "Index of names"}
+    rows = [("b", p, 0, heads.get(p, f"Running text of page {p}."), "body") for p in range(1, 31)] + [("c", p, 0, f"Plain {p}.", "body") for p in range(1, 31)]
+    m = B.front_back_matter(frame(rows, "book_id string, page_no int, block_idx int, text string, classification string"))
+    got = sorted((r.side, r.kind, r.lo, r.hi) for r in m.collect())
+    assert got == [("back", "bibliography", 28, 28), ("back", "endnotes", 27, 27), ("back", "index", 29, 30), ("front", "foreword", 5, 30), ("front", "preface", 3, 4), ("front", "toc", 2, 2)]
+    assert sorted(map(tuple, B.matter_spans(m).collect())) == [("b", "back", 27, 30), ("b", "front", 2, 30)]
+
+
+def test_ranked_and_long_dedupe(frame):
+    df = frame([("b", 5, "model", 1), ("b", 5, "outline", 0)] + [("b", p, f"t{p:03d}", 0) for p in range(10, 2000)], "book_id string, page_no int, title string, rank int")
+    got = sorted((r.page_no, r.title) for r in S.dedupe_boundaries(df).collect())
+    assert got[0] == (5, "outline") and [p for p, _ in got[1:]] == list(range(10, 2000, 3))
+
+
+def test_windows_of_any_size(frame):
+    b = "book_id string, page_no int"
+    w = frame([("b", k, 10 * k + 1, 10 * k + 10) for k in range(3)], "book_id string, win int, lo int, hi int")
+    got = {r.win: r.matched for r in S.boundary_crosscheck(frame([("b", 3)], b), frame([("b", 4), ("b", 25)], b), w).collect()}
+    assert got == {0: True, 1: True, 2: False}
+    assert [(r.windows, round(r.ratio, 3), r.hybrid) for r in S.disagreement(frame([("b", k, v) for k, v in got.items()], "book_id string, win int, matched boolean")).collect()] == [(3, 0.333, True)]
+
+
+def test_wrap_of_long_texts(frame):
+    assert frame([("word " * 200_000,)], "t string").select(F.size(T.wrapped(F.col("t"), 60)).alias("n")).first().n == 16667
+
+
 def test_dedupe_keeps_distance_to_last_kept(frame):
     df = frame([("b", p, f"t{p}") for p in (1, 2, 4, 5, 9)] + [("c", 11, "x"), ("c", 11, "x")], "book_id string, page_no int, title string")
     assert sorted((r.book_id, r.page_no) for r in S.dedupe_boundaries(df).collect()) == [("b", 1), ("b", 4), ("b", 9), ("c", 11)]
