@@ -12,7 +12,7 @@ os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
 def spark():
     from quire.session import local_session
 
-    s = local_session(4, 4, "tests")
+    s = local_session(4, 2, "tests")
     s.sparkContext.setLogLevel("OFF")
     yield s
 

@@ -30,16 +30,23 @@ def plan(frame, pages, out, total=20, offset=0):
     return sorted((r.node_id, r.lo, r.hi) for r in d.collect())
 
 
-@pytest.mark.parametrize(
-    "pages,out,want",
-    [
-        (DISJOINT, [], []), (DISJOINT, ["a1"], [("a1", 1, 5)]), (DISJOINT, ["a1", "b2"], [("a1", 1, 5), ("b2", 16, 20)]), (OVERLAP, ["a1"], [("a1", 1, 6)]),
-        (OVERLAP, ["a2"], [("a2", 8, 8)]), (SHADOW, ["a2"], []), (DISJOINT, ["a1", "a2"], [("A", 1, 10)]), (DISJOINT, ["a1", "a2", "b1", "b2"], [("root", 1, 20)]),
-        (DISJOINT, ["a2", "b1"], [("a2", 6, 15)]),
-    ],
-)
-def test_deletions(frame, pages, out, want):
-    assert plan(frame, pages, out) == want
+CASES = [
+    (DISJOINT, [], []), (DISJOINT, ["a1"], [("a1", 1, 5)]), (DISJOINT, ["a1", "b2"], [("a1", 1, 5), ("b2", 16, 20)]), (OVERLAP, ["a1"], [("a1", 1, 6)]),
+    (OVERLAP, ["a2"], [("a2", 8, 8)]), (SHADOW, ["a2"], []), (DISJOINT, ["a1", "a2"], [("A", 1, 10)]), (DISJOINT, ["a1", "a2", "b1", "b2"], [("root", 1, 20)]),
+    (DISJOINT, ["a2", "b1"], [("a2", 6, 15)]),
+]
+
+
+def test_deletions(frame):
+    """Every case is a book of its own."""
+    n = i = None
+    for k, (pages, out, _) in enumerate(CASES):
+        a, b = tree(frame, pages).withColumn("book_id", F.lit(f"k{k}")), inc(frame, out).withColumn("book_id", F.lit(f"k{k}"))
+        n, i = (a, b) if n is None else (n.unionByName(a), i.unionByName(b))
+    _, d = C.export_plan(n, i, frame([(f"k{k}", 20) for k in range(len(CASES))], "book_id string, page_count int"))
+    got = d.collect()
+    for k, (_, out, want) in enumerate(CASES):
+        assert sorted((r.node_id, r.lo, r.hi) for r in got if r.book_id == f"k{k}") == want, out
 
 
 def test_pages_beyond_the_book_are_not_spread(frame):
@@ -73,8 +80,7 @@ def chain(frame, n):
     return frame(rows, DDL)
 
 
-@pytest.mark.parametrize("n", [1, 12])
-def test_trees_of_any_depth(frame, n):
+def test_trees_of_any_depth(frame, n=12):
     t = chain(frame, n)
     chains = {r.node_id: r.chain for r in T.title_chains(t).collect()}
     assert len(chains) == n and chains[f"n{n - 1}"] == " › ".join(f"t{i}" for i in range(n))
