@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.tokens import TOKENIZERS, token_count
-from quire.session import checkpointed
+from quire.session import checkpointed, met
 
 #: Bins of a histogram round.
 BINS = 4096
@@ -19,8 +19,8 @@ BINS = 4096
 
 def sized(docs: DataFrame, targets: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, source, n, weight) of the documents of the named sources: tokens, and one over the repeats of the text."""
-    names = F.broadcast(targets.select("source").where("source is not null").distinct())  # the table of targets is fixed
-    d = docs.select("doc_id", "source", "text").join(names, "source", "left_semi").where(F.col("text").isNotNull() & (F.length("text") > 0)).withColumn("h", F.xxhash64("text"))
+    names = targets.select("source").where("source is not null").distinct()
+    d = met(docs.select("doc_id", "source", "text"), names, ["source"], "left_semi").where(F.col("text").isNotNull() & (F.length("text") > 0)).withColumn("h", F.xxhash64("text"))
     n = d.select("doc_id", "source", "h", token_count(F.col("text"), folder).alias("n"))
     n = checkpointed(n)
     again = n.groupBy("source", "h").agg(F.count("*").alias("k")).where("k > 1")
@@ -46,7 +46,7 @@ def plan(docs: DataFrame, targets: DataFrame, total: int | None = None) -> DataF
 
 def _order(docs: DataFrame, plan_: DataFrame, seed: int) -> DataFrame:
     """(source, doc_id, n, q): the Pareto rank of each document of a source that needs a sample."""
-    d = docs.join(F.broadcast(plan_.where("rest > 0")), "source")  # at most one row per source of the fixed table
+    d = met(docs, plan_.where("rest > 0"), ["source"])
     u = (F.xxhash64(F.lit(seed), "source", "doc_id").bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
     p = F.least(F.greatest(F.col("rest") * F.col("weight") / F.col("mass"), F.lit(1e-9)), F.lit(1 - 1e-9))
     return d.select("source", "doc_id", "n", "rest", (F.log(u) - F.log1p(-u) - F.log(p) + F.log1p(-p)).alias("q"))
@@ -58,7 +58,7 @@ def _narrow(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hist = b.groupBy("source", "bin", "rest").agg(F.sum("n").alias("m")).select("source", "bin", "rest", "m", F.sum("m").over(w).alias("upto"))
     cut = hist.where("upto >= rest and upto - m < rest").select("source", F.col("bin").alias("cut"), (F.col("rest") - (F.col("upto") - F.col("m"))).alias("left"))
-    x = b.join(F.broadcast(cut), "source", "left")  # one row per source
+    x = met(b, cut, ["source"], "left")
     taken = x.where("cut is null or bin < cut").select("source", "doc_id", "n")
     again = x.where("bin = cut").select("source", "doc_id", "n", "q", F.col("left").alias("rest"), (F.col("lo") + F.col("bin") * F.col("width")).alias("lo"), (F.col("width") / BINS).alias("width"))
     return taken, again
@@ -79,7 +79,7 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, seed:
     w = Window.partitionBy("source").orderBy("q", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     three = last.select("source", "doc_id", "n", "rest", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before")).where("before + n / 2 <= rest").select("source", "doc_id", "n")
     sample = one.unionByName(two).unionByName(three).select("source", "doc_id", F.lit(1).alias("extra"))
-    every = d.join(F.broadcast(p.select("source", "whole")), "source")
+    every = met(d, p.select("source", "whole"), ["source"])
     return every.join(sample, ["source", "doc_id"], "left").select("source", "doc_id", F.col("n").alias("n_tokens"), (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies")).where("copies > 0")
 
 
