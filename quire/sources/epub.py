@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import io
 import posixpath
+import re
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -18,10 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators.blocks import CAPTION
+
 # Elements that make a block, and those whose text is no text.
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "div", "figcaption"}
 SILENT = {"script", "style", "head", "template"}
 VOID = {"br", "img", "hr", "meta", "link", "input", "col", "source", "wbr"}
+_CAPTION = re.compile(CAPTION)
 SCHEMA = "path string, ok boolean, reason string, title string, author string, page_no int, block_idx int, spine_item_id string, tag string, text string, classification string"
 
 
@@ -31,7 +35,7 @@ class Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[dict] = []
-        self.silent = 0
+        self.silent = self.code = 0
         self.out: list[dict] = []
 
     def handle_starttag(self, tag, attrs):
@@ -41,13 +45,15 @@ class Blocks(HTMLParser):
             if tag == "br" and self.stack:
                 self.stack[-1]["text"].append("\n")
             return
-        if tag in ("math", "code") and self.stack:
-            self.stack[-1]["protected"] = True
+        cls = (dict(attrs).get("class") or "").split()
+        if (tag == "math" or "math" in cls) and self.stack:
+            self.stack[-1]["protected"] = True  # a formula protects the block it stands in, code only blocks within it
+        self.code += tag == "code"
         if tag in BLOCKS and self.stack and self.stack[-1]["tag"] == "p":
             self._close("p")  # a block ends an open paragraph
         if tag in BLOCKS:
-            cls = dict(attrs).get("class") or ""
-            b = {"tag": tag, "text": [], "note": "footnote" in cls, "protected": tag == "pre" or any(x["protected"] and x["tag"] == "pre" for x in self.stack)}
+            inside = tag == "pre" or self.code > 0 or any(x["tag"] == "pre" for x in self.stack)
+            b = {"tag": tag, "text": [], "note": any("footnote" in c for c in cls), "protected": inside or "math" in cls}
             self.stack.append(b)
             self.out.append(b)
 
@@ -59,6 +65,7 @@ class Blocks(HTMLParser):
             self._close(tag)
 
     def handle_endtag(self, tag):
+        self.code -= tag == "code" and self.code > 0
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag in BLOCKS:
@@ -85,7 +92,7 @@ def html_blocks(source: str) -> list[tuple[str, str, str]]:
         text = " ".join("".join(b["text"]).split())
         if not text:
             continue
-        caption = b["tag"] == "figcaption" or text.lower().startswith(("figure ", "fig. ", "table ", "plate ", "diagram ", "map "))
+        caption = b["tag"] == "figcaption" or len(text) < 200 and bool(_CAPTION.match(text))
         kind = "protected" if b["protected"] else "body" if b["tag"][0] == "h" and b["tag"][1:].isdigit() else "caption" if caption else "footnote" if b["note"] else "body"
         out.append((b["tag"], text, kind))
     return out

@@ -48,3 +48,9 @@ def test_admission_passes_over_what_does_not_fit(frame):
 
 def test_checkpoint_keeps_rows(frame):
     assert checkpointed(frame([(1,)], "a int")).count() == 1
+
+
+def test_html_classes():
+    long = "Figure 3. " + "x" * 200
+    html = f"<p>Use <code>x</code> here.</p><code><p>inner</p></code><p>See <math><mi>x</mi></math></p><p class='math'>y</p><p>{long}</p><p>Fig. 2 a map</p><p>figures are</p><pre><p>z</p></pre>"
+    assert [k for _, _, k in epub.html_blocks(html)] == ["body", "protected", "protected", "protected", "body", "caption", "body", "protected"]
