@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,14 +61,22 @@ def token_ledger(calls: DataFrame) -> DataFrame:
 def admitted(calls: DataFrame, key: str, order: list[str], size: str, ceiling: int) -> DataFrame:
     """(key, *order, size, admitted): calls in order, each admitted while what was admitted before leaves room for it.
 
-    A call that doesn't fit is passed over and later, smaller ones may still fit, so it is a fold over a key's calls.
+    A call that doesn't fit is passed over and later, smaller ones may still fit, so it is a fold over a key's calls: they
+    stream in order through one task that remembers what is used, and aren't collected.
     """
-    x = calls.where(F.col(size).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("_s")))).alias("x"))
-    init = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(acc, c):
-        ok = acc["used"] + c["_s"] <= ceiling
-        return F.struct((acc["used"] + F.when(ok, c["_s"]).otherwise(0)).alias("used"), F.concat(acc["out"], F.array(ok)).alias("out"))
-
-    y = x.select(key, "x", F.aggregate("x", init, step)["out"].alias("a"))
-    return y.select(key, F.explode(F.arrays_zip("x", "a")).alias("z")).select(key, *[F.col(f"z.x.{o}").alias(o) for o in order], F.col("z.x._s").alias(size), F.col("z.a").alias("admitted"))
+    x = calls.where(F.col(size).isNotNull()).select(key, *order, F.col(size).cast("long").alias(size))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, used, first = None, 0, True
+        for pdf in parts:
+            out = []
+            for k, n in zip(pdf[key], pdf[size], strict=True):
+                if first or k != of:
+                    of, used, first = k, 0, False
+                ok = used + n <= ceiling
+                used += n if ok else 0
+                out.append(ok)
+            yield pdf.assign(admitted=out)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields) + ", admitted boolean"
+    return x.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
