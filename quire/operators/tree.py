@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.operators.intervals import latest
-from quire.operators.ordered import numbered, running
+from quire.operators.ordered import following, numbered, running
 from quire.session import checkpointed
 
 # The depth below which a node isn't divided further.
 DEPTH = 6
-#: Characters of a text per tile of its reading order.
-TILE = 1 << 13
+#: Characters of a text per tile of its reading order, and pages per tile of what runs over them.
+TILE, PAGES = 1 << 13, 512
 COLUMNS = ["parent_id", "ord", "depth", "title", "start_off", "end_off", "start_page", "end_page", "is_leaf", "source", "summary_text", "summary_words"]
 # Limits of decomposition in pages and characters, and the most children of a node.
 LEAF_PAGES, MIN_CHARS, MIN_PAGES, MAX_CHILDREN, SNAP = 5, 7500, 3, 8, 400
@@ -124,18 +124,15 @@ def seed_top_level(bounds: DataFrame, index: DataFrame, least: int = MIN_CHARS)
     """
     total = index.groupBy("book_id").agg(F.max(F.col("start") + F.col("chars")).alias("total"))
     pages = index.select("book_id", "page_no", "start")
-    w = Window.partitionBy("book_id").orderBy("page_no", "title")  # boundaries only, as many as a book has sections
-    x = bounds.join(pages, ["book_id", "page_no"]).withColumn("next", F.lead("start").over(w)).join(total, "book_id")
-    x = x.select("book_id", "page_no", "title", "start", F.coalesce("next", "total").alias("stop"), "total").where("stop > start")
-    rows = x.groupBy("book_id", "total").agg(F.sort_array(F.collect_list(F.struct("start", "title", "stop"))).alias("x"))
-    item = "array<struct<start:bigint,title:string,stop:bigint>>"
-    top = lambda acc: F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))
-    folded = F.aggregate("x", F.array().cast(item), lambda acc, y: F.when(
-        (F.size(acc) > 0) & (y["stop"] - y["start"] < least),
-        F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(top(acc)["start"].alias("start"), top(acc)["title"].alias("title"), y["stop"].alias("stop")))),
-    ).otherwise(F.concat(acc, F.array(y))))
-    out = rows.select("book_id", "total", F.posexplode(folded).alias("i", "k"), F.size(folded).alias("n"))
-    return out.select("book_id", "k.title", F.when(F.col("i") == 0, 0).otherwise(F.col("k.start")).cast("long").alias("start_off"), F.when(F.col("i") == F.col("n") - 1, F.col("total")).otherwise(F.col("k.stop")).alias("end_off"))
+    x = following(bounds.join(pages, ["book_id", "page_no"]), ["book_id"], F.floor(F.col("page_no") / PAGES), ["page_no", "title"], F.col("start"), "next")
+    x = x.join(total, "book_id").select("book_id", "title", "start", F.coalesce("next", "total").alias("stop"), "total").where("stop > start")
+    large = F.when(F.col("stop") - F.col("start") >= least, 1).otherwise(0)
+    x = running(checkpointed(x), ["book_id"], F.floor(F.col("start") / TILE), ["start", "title"], large, "run", own=True)
+    g = x.groupBy("book_id", "total", "run").agg(F.min(F.struct("start", "title")).alias("a"), F.max("stop").alias("stop"))
+    ends = g.groupBy("book_id").agg(F.min("run").alias("first"), F.max("run").alias("last"))
+    start = F.when(F.col("run") == F.col("first"), 0).otherwise(F.col("a.start")).cast("long")
+    stop = F.when(F.col("run") == F.col("last"), F.col("total")).otherwise(F.col("stop"))
+    return g.join(ends, "book_id").select("book_id", F.col("a.title").alias("title"), start.alias("start_off"), stop.alias("end_off"))
 
 
 def snapped(text: Column, offset: Column, reach: int = SNAP) -> Column:
