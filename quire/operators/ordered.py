@@ -60,20 +60,20 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str,
     """Rows of ``left`` beside those of ``right`` with the same key whose half-open interval overlaps theirs, each pair once.
 
     ``names``: start and end columns of left, then of right; other columns must differ. The axis of a key is divided into
-    at most STRETCHES stretches up to the last start of either side; both sides are laid over them and meet by an equi-join
-    on (key, stretch), in the stretch where the later of the two begins. Intervals with a null bound or without extent
-    overlap nothing.
+    as many stretches as it has intervals, at most STRETCHES, up to the last start of either side; both sides are laid over
+    them and meet by an equi-join on (key, stretch), in the stretch where the later of the two begins. Intervals with a null
+    bound or without extent overlap nothing. How many rows are laid out is not known to the planner, so that join shuffles.
     """
     a, b, c, d = names
     left, right = left.where(f"{a} < {b}"), right.where(f"{c} < {d}")
     starts = left.select(key, F.col(a).alias("s")).unionByName(right.select(key, F.col(c).alias("s")))
-    axis = starts.groupBy(key).agg(F.min("s").alias("_first"), F.max("s").alias("_last"))
-    axis = axis.select(key, "_first", F.greatest(F.ceil((F.col("_last") - F.col("_first") + 1) / STRETCHES), F.lit(1)).alias("_wide"), "_last")
+    axis = starts.groupBy(key).agg(F.min("s").alias("_first"), F.max("s").alias("_last"), F.least(F.count("*"), F.lit(STRETCHES)).alias("_n"))
+    axis = axis.select(key, "_first", F.greatest(F.ceil((F.col("_last") - F.col("_first") + 1) / F.col("_n")), F.lit(1)).alias("_wide"), "_last")
 
     def laid(df: DataFrame, lo: str, hi: str, at: str) -> DataFrame:
         place = lambda x: F.floor((x - F.col("_first")) / F.col("_wide"))
         x = df.join(axis, key).withColumn(at, place(F.col(lo)))
-        return x.withColumn("_stretch", F.explode(F.sequence(F.col(at), place(F.least(F.col(hi) - 1, F.col("_last")))))).drop("_first", "_wide", "_last")
+        return x.withColumn("_stretch", F.explode(F.sequence(F.col(at), place(F.least(F.col(hi) - 1, F.col("_last")))))).drop("_first", "_wide", "_last").hint("merge")
 
     x = laid(left, a, b, "_al").join(laid(right, c, d, "_ar"), [key, "_stretch"])
     return x.where((F.col("_stretch") == F.greatest("_al", "_ar")) & (F.col(a) < F.col(d)) & (F.col(c) < F.col(b))).drop("_stretch", "_al", "_ar")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.intervals import latest
 from quire.operators.ordered import following, numbered, running
-from quire.session import checkpointed
+from quire.session import checkpointed, shuffled
 
 # The depth below which a node isn't divided further.
 DEPTH = 6
@@ -34,16 +34,16 @@ def _levels(first: DataFrame, step, nodes: DataFrame) -> DataFrame:
     Parents that form a circle would go on for ever; no path is longer than its book has nodes.
     """
     level = checkpointed(first)
-    out, longest, depth = level, None, 0
+    out, rows, longest, depth = level, level._rows, None, 0
     while True:
         level = checkpointed(step(level))
-        if level.isEmpty():
-            return out
-        out, depth = out.unionByName(level), depth + 1
+        if not level._rows:
+            return shuffled(out, rows)
+        out, rows, depth = out.unionByName(level), rows + level._rows, depth + 1
         if depth % 8 == 0:  # few trees are that deep: is there a circle?
             longest = longest or nodes.groupBy("book_id").count().agg(F.max("count")).first()[0]
             if depth >= longest:
-                return out
+                return shuffled(out, rows)
 
 
 def title_chains(nodes: DataFrame, glue: str = " › ") -> DataFrame:

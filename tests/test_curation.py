@@ -115,6 +115,37 @@ def test_running_and_overlaps_against_brute_force(spark, frame):
     assert sorted((r.i, r.j) for r in x.collect()) == want
 
 
+def test_closures_and_laid_intervals_are_not_broadcast(frame, monkeypatch):
+    """A closure is a union, which takes no mark from its levels; how far intervals are laid out the planner can't know."""
+    monkeypatch.setattr("quire.session.BROADCAST_ROWS", 5)
+    n = tree(frame, DISJOINT)
+    said = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    under = T.descendant_leaves(n)
+    assert under.count() == 12 and "BroadcastHashJoin" not in said(n.hint("merge").join(under, ["book_id", "node_id"])) + said(under.join(frame([("k",)], "book_id string"), "book_id"))
+    both = frame([("k", 0, 9)], "k string, a int, b int"), frame([("k", 3, 5)], "k string, c int, d int")
+    assert "Generate" not in said(O.overlaps(*both, "k", ("a", "b", "c", "d"))).split("SortMergeJoin", 1)[0]
+
+
+def test_few_intervals_are_laid_over_few_stretches(frame):
+    """Two intervals of a long axis: a row for each stretch of 256 would be laid out for nothing."""
+    both = frame([("k", 0, 10**6)], "k string, a int, b int"), frame([("k", 10**6 - 9, 10**6 + 5)], "k string, c int, d int")
+    x = O.overlaps(*both, "k", ("a", "b", "c", "d"))
+    assert x.count() == 1
+    text = x._jdf.queryExecution().executedPlan()
+    laid = []
+
+    def walk(p):
+        if p.getClass().getSimpleName() == "GenerateExec":
+            laid.append(p.metrics().apply("numOutputRows").value())
+        kids = [p.executedPlan()] if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else [p.plan()] if p.getClass().getSimpleName().endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        for k in kids:
+            walk(k)
+
+    x._jdf.collectToPython()
+    walk(text)
+    assert laid and sum(laid) <= 6
+
+
 def test_mixed_fragments(frame):
     f = C.fragments(tree(frame, DISJOINT), inc(frame, ["a2"]))
     assert sorted((r.kind, r.node_id) for r in f.collect()) == [("bracket", "a2"), ("keep", "B"), ("keep", "a1")]

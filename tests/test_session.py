@@ -58,3 +58,13 @@ def test_met_gives_the_same_rows_either_way(frame):
     assert small == large and len(small) == 50
     plan = session.met(left, right, ["k"], "left", 10)._jdf.queryExecution().toString()
     assert "strategy=broadcast" in plan and "strategy=broadcast" not in session.met(left, right, ["k"], "left", 1)._jdf.queryExecution().toString()
+
+
+def test_large_tables_are_never_broadcast(frame, monkeypatch):
+    """The files of a table of many rows can be far smaller than the rows; the planner goes by the files."""
+    t = frame([(i, i % 7) for i in range(50)], "a int, k int")
+    plan = lambda most: (monkeypatch.setattr(session, "BROADCAST_ROWS", most), session.checkpointed(t).join(session.checkpointed(t), "a"))[1]
+    said = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    small, large = plan(50), plan(49)
+    assert "BroadcastHashJoin" in said(small) and "BroadcastHashJoin" not in said(large)
+    assert small.count() == large.count() == 50
