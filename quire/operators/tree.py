@@ -139,9 +139,14 @@ def snapped(text: Column, offset: Column, reach: int = SNAP) -> Column:
     """The end of the blank line nearest to ``offset`` within ``reach`` characters (ties: the earlier); else ``offset``."""
     lo = F.greatest(offset - reach, F.lit(0)).cast("int")
     hi = F.least(offset + reach, F.length(text)).cast("int")
-    at = F.filter(F.sequence(lo, F.greatest(hi - 1, lo)), lambda i: F.substring(text, i + 1, F.lit(2)) == "\n\n")
-    best = F.array_min(F.transform(at, lambda i: F.struct(F.abs(i - offset).alias("d"), i.alias("i"))))
-    return F.coalesce(best["i"] + 2, offset).cast("int")
+    near = F.substring(text, lo + 1, F.greatest(hi - 1, lo) + 2 - lo)  # cut out once, as places in a long text are counted from its start
+    at = F.coalesce(offset - lo, F.lit(0)).cast("int")
+    head = F.reverse(F.substring(near, F.lit(1), at + 2))
+    back, on = F.position(F.lit("\n\n"), head), F.position(F.lit("\n\n"), near, F.greatest(at + 1, F.lit(1)))
+    before = F.when(back > 0, F.length(head) - 1 - back)
+    after = F.when(on > 0, on - 1)
+    best = F.when(after.isNull() | (at - before <= after - at), before).otherwise(after)
+    return F.coalesce(lo + best + 2, offset).cast("int")
 
 
 def reconciled(proposed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -154,16 +159,16 @@ def reconciled(proposed: DataFrame, texts: DataFrame) -> DataFrame:
     n = F.length("text")
     clamp = lambda c: F.least(F.greatest(F.floor(c).cast("int"), F.lit(0)), n)
     p = proposed.join(texts, "id").select("id", "text", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("Untitled section")).alias("title"), clamp(F.col("start_off")).alias("s"), clamp(F.col("end_off")).alias("e")).where("e > s")
+    p = p.select("id", n.alias("n"), "s", "e", "title", snapped(F.col("text"), F.col("e")).alias("snap"))  # texts stay out of the sort
     w = Window.partitionBy("id").orderBy("s", "e", "title")
-    p = p.select("id", n.alias("n"), "title", F.row_number().over(w).alias("k"), F.when(F.lead("s").over(w).isNull(), n).otherwise(snapped(F.col("text"), F.col("e"))).alias("stop"))
-    rows = p.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("k", "title", "stop"))).alias("x"))
-    item = "array<struct<title:string,start:int,stop:int>>"
-    top = lambda acc: F.when(F.size(acc) > 0, F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))["stop"]).otherwise(F.lit(0))
-    kept = F.aggregate("x", F.array().cast(item), lambda acc, y: F.when(y["stop"] > top(acc), F.concat(acc, F.array(F.struct(y["title"].alias("title"), top(acc).alias("start"), y["stop"].alias("stop"))))).otherwise(acc))
-    out = rows.select("id", "n", F.posexplode(kept).alias("i", "c"), F.size(kept).alias("m")).where(F.col("i") < MAX_CHILDREN)
+    p = p.select("id", "n", "title", F.row_number().over(w).alias("k"), F.when(F.lead("s").over(w).isNull(), F.col("n")).otherwise(F.col("snap")).alias("stop"))
+    k = Window.partitionBy("id").orderBy("k")
+    top = F.coalesce(F.max("stop").over(k.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # the end of the last one kept
+    kept = p.select("id", "n", "title", "k", F.greatest(top, F.lit(0)).alias("start"), "stop").where("stop > start")
+    out = kept.select("*", (F.row_number().over(k) - 1).alias("i"), F.count("*").over(Window.partitionBy("id")).alias("m")).where(F.col("i") < MAX_CHILDREN)
     tail = (F.col("i") == MAX_CHILDREN - 1) & (F.col("m") > MAX_CHILDREN)
     last = tail | (F.col("i") == F.col("m") - 1)
-    return out.select("id", F.when(tail, "Remaining material").otherwise(F.col("c.title")).alias("title"), F.col("c.start").alias("start_off"), F.when(last, F.col("n")).otherwise(F.col("c.stop")).alias("end_off"))
+    return out.select("id", F.when(tail, "Remaining material").otherwise(F.col("title")).alias("title"), F.col("start").alias("start_off"), F.when(last, F.col("n")).otherwise(F.col("stop")).alias("end_off"))
 
 
 def merge_undersized(children: DataFrame, least: int = MIN_PAGES) -> DataFrame:

@@ -146,6 +146,25 @@ def test_few_intervals_are_laid_over_few_stretches(frame):
     assert laid and sum(laid) <= 6
 
 
+def test_snapping_searches_a_window_and_no_list_of_places(frame):
+    """Each place used to be looked up in the whole text, from its start: 800 times for each child."""
+    texts = [None, "", "\n\n", "a\n\n\nb", "é😀\n\nxy\n\nz", "x" * 500 + "\n\n" + "y" * 300 + "\n\n" + "z" * 500]
+    rows = [(i, t, o) for i, t in enumerate(texts) for o in (-3, -1, 0, 1, 2, 3, 4, 7, 651, 652, 653, 1300, 2000)]
+
+    def want(t, o):
+        lo, hi = max(o - T.SNAP, 0), min(o + T.SNAP, len(t or ""))
+        at = [(abs(i - o), i) for i in range(lo, max(hi, lo + 1)) if t is not None and t[i : i + 2] == "\n\n"]
+        return min(at)[1] + 2 if at else o
+
+    df = frame(rows, "id int, text string, o int")
+    got = df.select("id", "o", T.snapped(F.col("text"), F.col("o")).alias("at"))
+    assert "lambda" not in got._jdf.queryExecution().toString().lower()
+    assert sorted((r.id, r.o, r["at"]) for r in got.collect()) == sorted((i, o, want(t, o)) for i, t, o in rows)
+    p = frame([(1, "c", 0, 3), (1, "d", 3, 9)], "id int, title string, start_off int, end_off int")
+    plan = T.reconciled(p, frame([(1, "some text")], "id int, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert all("text#" not in line for line in plan.split("Join")[0].splitlines() if "Window" in line or "Sort" in line)
+
+
 def test_mixed_fragments(frame):
     f = C.fragments(tree(frame, DISJOINT), inc(frame, ["a2"]))
     assert sorted((r.kind, r.node_id) for r in f.collect()) == [("bracket", "a2"), ("keep", "B"), ("keep", "a1")]
