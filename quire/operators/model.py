@@ -154,10 +154,15 @@ def asked_twice(requests: DataFrame, useful: Callable[[Column], Column], make: C
 
 
 # ------------------------------------------------------------------------------------------------ checks of replies
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, however often ``then`` names it; an expression is made again at each place and item."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _list(reply: Column, name: str, item: str, ok) -> Column:
     """The list ``name`` of a reply; null if it is missing or any of its items is invalid."""
     x = F.from_json(lenient_json(reply), f"{name} array<struct<{item}>>")[name]
-    return F.when(F.forall(x, lambda c: F.coalesce(ok(c), F.lit(False))), x)
+    return _let(x, lambda x: F.when(F.forall(x, lambda c: F.coalesce(ok(c), F.lit(False))), x))
 
 
 def children(reply: Column) -> Column:
@@ -169,11 +174,14 @@ def children(reply: Column) -> Column:
     x = _list(reply, "children", "title:string,startOffset:bigint,endOffset:bigint", ok)
     x = F.array_sort(x, lambda a, b: F.when(a["startOffset"] < b["startOffset"], -1).when(a["startOffset"] > b["startOffset"], 1).otherwise(0))
 
-    def filled(c: Column, i: Column) -> Column:
-        end = F.when(c["endOffset"] > c["startOffset"], c["endOffset"]).otherwise(F.try_element_at(x, i + 2)["startOffset"])
-        return F.struct(c["title"].alias("title"), c["startOffset"].alias("startOffset"), end.alias("endOffset"))
+    def filled(x: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            end = F.when(c["endOffset"] > c["startOffset"], c["endOffset"]).otherwise(F.try_element_at(x, i + 2)["startOffset"])
+            return F.struct(c["title"].alias("title"), c["startOffset"].alias("startOffset"), end.alias("endOffset"))
+
+        return F.when(F.size(x) >= 1, F.transform(x, one))
 
-    return F.when(F.size(x) >= 1, F.transform(x, filled))
+    return _let(x, filled)
 
 
 def summary(reply: Column) -> Column:
@@ -416,8 +424,8 @@ def build_tree(items: DataFrame, least: int = T.MIN_CHARS, page: int = 2500, mos
         own = checkpointed(big.join(texts, "id").select("request_id", F.col("text").substr(F.col("start_off") + 1, size).alias("text"), F.ceil(size / fanout).cast("int").alias("most")))
         req = own.where(F.length(trimmed(F.col("text"))) >= 200).withColumn("kind", F.lit("decompose"))
         got = asked_twice(req, lambda r: F.size(children(r)) >= 2, make)
-        asked = F.coalesce(F.size(children(F.col("first"))) >= 2, F.lit(False))
-        kids = got.select("request_id", F.explode(F.when(asked, children(F.col("first"))).otherwise(children(F.col("second")))).alias("c"))
+        asked = _let(children(F.col("first")), lambda c: F.when(F.size(c) >= 2, c).otherwise(children(F.col("second"))))
+        kids = got.select("request_id", F.explode(asked).alias("c"))
         proposed = kids.join(own.select("request_id", F.length("text").alias("n")), "request_id").select(F.col("request_id").alias("id"), F.col("c.title").alias("title"), F.col("c.startOffset").alias("start_off"), F.coalesce("c.endOffset", "n").alias("end_off"))
         whole = T.reconciled(proposed, own.select(F.col("request_id").alias("id"), "text")).withColumnRenamed("id", "request_id")
         at = lambda c: (F.floor((F.col("base") + F.col(c)) / page) + 1).cast("int")

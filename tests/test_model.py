@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import model as M
 from quire.operators import tree as T
@@ -113,3 +114,11 @@ def test_forced_leaves_retry_and_seeds(frame):
     assert [r.source for r in M.build_tree(items, 1000, 500, seeds=seed).collect()] == ["single-seed"]
     two = frame([(1, "A", 0, 9000), (1, "B", 9000, len(text))], "id int, title string, start_off int, end_off int")
     assert {(r.title, r.source) for r in M.build_tree(items, 10**6, 500, seeds=two).collect()} == {("Book", "root"), ("A", "toc"), ("B", "toc")}
+
+
+def test_a_reply_is_parsed_once_for_all_its_children(frame):
+    """Named inside a lambda, the parsed reply was made again for every child."""
+    reply = '{"children":[{"title":"b","startOffset":5},{"title":"a","startOffset":0},{"title":"c","startOffset":9,"endOffset":12}]}'
+    x = frame([(reply,), (None,), ("{}",)], "r string").select(M.children(F.col("r")).alias("c"))
+    assert [r.c and [tuple(k) for k in r.c] for r in x.collect()] == [[("a", 0, 5), ("b", 5, 9), ("c", 9, 12)], None, None]
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
