@@ -7,12 +7,14 @@ engine. A null text gives null, an empty one the empty result named in each func
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[ \t\n\r\f\x0B]"
+WS_CHARS = " \t\n\r\f\x0b"
 _SPACES = re.compile(WS + "+")
 # Control and direction marks that are dropped from texts handed to a model.
 CONTROL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\u200B-\\u200F\\u202A-\\u202E\\u2066-\\u2069\\uFEFF]"
@@ -175,11 +177,26 @@ def duration_ms(text: Column) -> Column:
     return F.when(ok, F.aggregate(parts, F.lit(0.0), lambda a, p: a + one(p))).when(text.rlike(r"^[0-9]+(?:\.[0-9]+)?$"), F.expr("1.0") * 1000.0 * text.try_cast("double"))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, however often ``then`` names it; an expression is made again at each place and item."""
+    return F.transform(F.array(value), then)[0]
+
+
 def lenient_json(raw: Column) -> Column:
     """The JSON in a model's reply: all of it, a fenced block, the outermost object or array; null where there is none."""
-    # inside brackets, as the parser takes a value with anything behind it
-    valid = lambda s: F.when(F.try_parse_json(F.concat(F.lit("["), s, F.lit("]"))).isNotNull() & (F.json_array_length(F.concat(F.lit("["), s, F.lit("]"))) == 1) & (trimmed(s) != "null"), s)
+
+    def valid(s: Column) -> Column:
+        # inside brackets, as the parser takes a value with anything behind it; what begins with a fence fails, at the price of an exception
+        one = let(F.concat(F.lit("["), s, F.lit("]")), lambda x: F.try_parse_json(x).isNotNull() & (F.json_array_length(x) == 1))
+        return F.when(~F.startswith(s, F.lit("`")) & one & (trimmed(s) != "null"), s)
+
+    def within(inner: Column) -> Column:
+        def span(a: str, b: str) -> Column:
+            place = F.struct(F.instr(inner, a).alias("lo"), (F.length(inner) - F.instr(F.reverse(inner), b) + 1).alias("hi"))
+            return let(place, lambda x: F.when((x["lo"] > 0) & (x["hi"] > x["lo"]), inner.substr(x["lo"], x["hi"] + 1 - x["lo"])))
+
+        return F.coalesce(valid(inner), let(span("{", "}"), valid), let(span("[", "]"), valid))
+
     fence = F.regexp_extract(raw, r"(?is)```(?:json)?\s*(.*?)```", 1)
-    inner = trimmed(F.when(F.instr(raw, "```") > 0, F.when(fence == "", raw).otherwise(fence)).otherwise(raw))
-    span = lambda a, b: F.when((F.instr(inner, a) > 0) & (F.length(inner) - F.instr(F.reverse(inner), b) + 1 > F.instr(inner, a)), inner.substr(F.instr(inner, a), F.length(inner) - F.instr(F.reverse(inner), b) + 2 - F.instr(inner, a)))
-    return F.coalesce(valid(raw), valid(inner), valid(span("{", "}")), valid(span("[", "]")))
+    block = let(fence, lambda x: F.when(x == "", raw).otherwise(x))
+    return F.coalesce(valid(raw), let(trimmed(F.when(F.instr(raw, "```") > 0, block).otherwise(raw)), within))

@@ -10,13 +10,17 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from quire.functions.text import WORD_BUDGETS, lenient_json, named_terms, trimmed, truncate_words, word_count, wrap_untrusted
+from quire.functions.text import WORD_BUDGETS, WS_CHARS, lenient_json, let, named_terms, trimmed, truncate_words, word_count, wrap_untrusted
 from quire.operators import tree as T
 from quire.session import checkpointed
 
@@ -138,6 +142,31 @@ def complete(requests: DataFrame, make: Callable[[], Provider] = Extractive) ->
     return requests.select("request_id", "kind", "text", "most").mapInPandas(run, REPLY)
 
 
+def replied(rows: DataFrame, kind: str, make: Callable[[], Provider] = Extractive) -> DataFrame:
+    """``rows`` of (request_id, text, most, ...) with their ``reply``; null where the text is null, which isn't sent, and for errors.
+
+    All columns pass as Arrow, so that long texts needn't be joined to their replies again.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        provider = make()
+        for b in parts:
+            asked = b.select(["request_id", "text", "most"]).filter(pc.is_valid(b.column("text")))
+            got: dict = {}
+            if asked.num_rows:
+                pdf = asked.to_pandas()
+                pdf.insert(1, "kind", kind)
+                try:
+                    out = provider.complete(pdf)
+                    got = dict(zip(out["request_id"], out["reply"], strict=True))
+                except Exception:  # noqa: BLE001
+                    got = {}
+            replies = [x if isinstance(x := got.get(i), str) else None for i in b.column("request_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replies, pa.string())], names=[*b.schema.names, "reply"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("reply", StringType())]))
+
+
 def asked_twice(requests: DataFrame, useful: Callable[[Column], Column], make: Callable[[], Provider]) -> DataFrame:
     """(request_id, first, second, prompt_tokens, completion_tokens): replies of all, and of those without use a second one.
 
@@ -154,15 +183,10 @@ def asked_twice(requests: DataFrame, useful: Callable[[Column], Column], make: C
 
 
 # ------------------------------------------------------------------------------------------------ checks of replies
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is made once, however often ``then`` names it; an expression is made again at each place and item."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _list(reply: Column, name: str, item: str, ok) -> Column:
     """The list ``name`` of a reply; null if it is missing or any of its items is invalid."""
     x = F.from_json(lenient_json(reply), f"{name} array<struct<{item}>>")[name]
-    return _let(x, lambda x: F.when(F.forall(x, lambda c: F.coalesce(ok(c), F.lit(False))), x))
+    return let(x, lambda x: F.when(F.forall(x, lambda c: F.coalesce(ok(c), F.lit(False))), x))
 
 
 def children(reply: Column) -> Column:
@@ -181,7 +205,7 @@ def children(reply: Column) -> Column:
 
         return F.when(F.size(x) >= 1, F.transform(x, one))
 
-    return _let(x, filled)
+    return let(x, filled)
 
 
 def summary(reply: Column) -> Column:
@@ -385,61 +409,84 @@ def build_tree(items: DataFrame, least: int = T.MIN_CHARS, page: int = 2500, mos
 
     A node that is deep, of few pages (``page`` characters each) or under ``least`` characters is a leaf. The others are sent to
     the model with their own part of the text, those with fewer than two children once more, strictly; a text of under 200
-    characters isn't sent. The children are made contiguous, snapped to blank lines and capped (``tree.reconciled``), small
-    ones merged (``tree.merge_undersized``); with fewer than two left the node is a forced leaf. Each level is one set-based
-    step over all items, and leaves tile the text of their item. ``seeds``: (id, title, start_off, end_off) of a first level; an
+    characters isn't sent. The children are made contiguous, snapped to blank lines and capped (``tree.contiguous``), small
+    ones merged (``tree.merged_in_order``); with fewer than two left the node is a forced leaf. Each level is one map over all
+    items: a node's row holds its text, reply and children, and the next level cuts its texts out of it, so texts are never
+    joined or shuffled. Leaves tile the text of their item. ``seeds``: (id, title, start_off, end_off) of a first level; an
     item whose only seed is its whole text has just a root of the source ``single-seed``. Ids are numbered level by level.
     """
-    texts = checkpointed(items.select("id", F.coalesce("text", F.lit("")).alias("text")))
     cols = ["id", "path", "parent", "depth", "title", "start_off", "end_off"]
-    root = texts.select("id", F.lit("000000").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit("Book").alias("title"), F.lit(0).alias("start_off"), F.length("text").alias("end_off"))
+    texts = items.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    start = [F.lit("000000").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit("Book").alias("title"), F.lit(0).alias("start_off"), F.length("text").alias("end_off")]
     leaf = lambda df, source, flag=True: df.select(*cols, F.lit(flag).alias("is_leaf"), F.lit(source).alias("source"))
-    key = F.concat_ws("\u0001", F.col("id").cast("string"), "path")
+    origin = F.when(F.col("depth") == 0, "root").otherwise("toc" if seeds is not None else "llm-decomposed")
 
-    def below(rows: DataFrame, parents: DataFrame) -> DataFrame:
-        """The next level from (id, path, title, start_off, end_off) with offsets of the item's text."""
-        w = Window.partitionBy("id", "path").orderBy("start_off")  # children of one node
-        n = rows.withColumn("k", F.row_number().over(w) - 1).join(parents.select("id", "path", "depth"), ["id", "path"])
-        return n.select("id", F.concat("path", F.lit("."), F.format_string("%06d", "k")).alias("path"), F.col("path").alias("parent"), (F.col("depth") + 1).alias("depth"), "title", "start_off", "end_off")
+    def stops(depth: Column, lo: Column, hi: Column) -> Column:
+        pages = F.floor((F.greatest(hi, lo + 1) - 1) / page) - F.floor(lo / page) + 1
+        return (depth >= most_depth) | (pages <= T.LEAF_PAGES) | (hi - lo < least)
 
-    level, done = checkpointed(root), leaf(checkpointed(root.limit(0)), "")
-    if seeds is not None:
+    def asked(rows: DataFrame, kind: str) -> DataFrame:
+        """Rows of a level with the children of those that have a text (null: fewer than two), and their texts as long as they are needed."""
+        size = F.col("end_off") - F.col("start_off")
+        req = rows.select(*cols, "stop", F.concat_ws("\u0001", F.col("id").cast("string"), "path").alias("request_id"), "text", F.ceil(size / fanout).cast("int").alias("most"))
+        got = replied(req, kind, make).select(*cols, "stop", "text", F.when(F.col("text").isNotNull(), children(F.col("reply"))).alias("c"))
+        at = lambda x: (F.floor((F.col("start_off") + x) / page) + 1).cast("int")
+        off = lambda x: F.col("start_off") + x
+
+        def merged(x: Column) -> Column:
+            entry = F.transform(x, lambda k: F.struct(at(k["start_off"]).alias("lo"), at(k["end_off"] - 1).alias("hi"), k["title"].alias("title"), off(k["start_off"]).alias("a"), off(k["end_off"]).alias("b")))
+            return F.when(F.size(x) >= 2, T.merged_in_order(entry))
+
+        many = F.coalesce(F.size("c") >= 2, F.lit(False))
+        got = got.select(*cols, "stop", "text", (F.col("text").isNotNull() & ~many).alias("poor"), F.when(many, let(T.contiguous(F.col("c"), F.col("text")), merged)).alias("kids"))
+        got = got.select(*cols, "stop", "text", "poor", F.when(F.size("kids") >= 2, F.col("kids")).alias("kids"))
+        divided = F.exists("kids", lambda k: ~stops(F.col("depth") + 1, k["a"], k["b"]))
+        return got.withColumn("text", F.when(F.col("poor") | divided, F.col("text")))
+
+    def opened(rows: DataFrame) -> DataFrame:
+        """A level with its own texts: whether a node stops, and null texts of those that aren't sent."""
+        x = rows.withColumn("stop", stops(F.col("depth"), F.col("start_off"), F.col("end_off")))
+        return x.withColumn("text", F.when(~F.col("stop") & (F.length(F.btrim("text", F.lit(WS_CHARS))) >= 200), F.col("text")))
+
+    done, free = [], None
+    if seeds is None:
+        level = texts.select("id", *start, "text")
+    else:
+        free = texts = checkpointed(texts)
+        root = checkpointed(texts.select("id", *start))
         x = checkpointed(seeds.join(texts.select("id", F.length("text").alias("n")), "id"))
         one = x.groupBy("id").agg(F.count("*").alias("k"), F.max(F.when((F.col("start_off") <= 0) & (F.col("end_off") >= F.col("n")), 1)).alias("whole"))
         single = one.where("k = 1 and whole = 1").select("id")
-        seeded = x.select("id").distinct()
-        done = done.unionByName(leaf(level.join(single, "id", "left_semi"), "single-seed"))
-        good = x.join(single, "id", "left_anti").select("id", F.lit("000000").alias("path"), "title", F.col("start_off").cast("int"), F.col("end_off").cast("int"))
-        done = done.unionByName(leaf(level.join(good.select("id").distinct(), "id", "left_semi"), "root", False))
-        level = checkpointed(below(good, level).unionByName(level.join(seeded, "id", "left_anti")))
-    while not level.isEmpty():
-        size = F.col("end_off") - F.col("start_off")
-        pages = F.floor((F.greatest("end_off", F.col("start_off") + 1) - 1) / page) - F.floor(F.col("start_off") / page) + 1
-        stop = (F.col("depth") >= most_depth) | (pages <= T.LEAF_PAGES) | (size < least)
-        origin = F.when(F.col("depth") == 0, "root").otherwise("toc" if seeds is not None else "llm-decomposed")
-        done = done.unionByName(level.where(stop).select(*cols, F.lit(True).alias("is_leaf"), origin.alias("source")))
-        big = checkpointed(level.where(~stop).withColumn("request_id", key))
-        if big.isEmpty():
+        good = x.join(single, "id", "left_anti").select("id", "title", F.col("start_off").cast("int"), F.col("end_off").cast("int"))
+        done += [leaf(root.join(single, "id", "left_semi"), "single-seed"), leaf(root.join(good.select("id").distinct(), "id", "left_semi"), "root", False)]
+        w = Window.partitionBy("id").orderBy("start_off")  # the seeds of one item
+        first = good.withColumn("path", F.concat(F.lit("000000."), F.format_string("%06d", F.row_number().over(w) - 1)))
+        first = first.select("id", "path", F.lit("000000").alias("parent"), F.lit(1).alias("depth"), "title", "start_off", "end_off")
+        level = first.unionByName(root.join(x.select("id").distinct(), "id", "left_anti")).join(texts, "id")
+        level = level.withColumn("text", F.col("text").substr(F.col("start_off") + 1, F.col("end_off") - F.col("start_off")))
+    while True:
+        tables = [checkpointed(asked(opened(level), "decompose"), frees=free)]
+        free = None
+        poor, more = tables[0].agg(F.max("poor"), F.max(F.col("kids").isNotNull())).first()
+        if poor:
+            again = tables[0].where("poor").drop("poor", "kids")
+            tables = [tables[0].where("not poor"), checkpointed(asked(again, "decompose" + STRICT))]
+            more = more or not tables[1].where("kids is not null").isEmpty()
+        for t in tables:
+            source = F.when(F.col("stop") | F.col("kids").isNotNull(), origin).otherwise("forced-leaf")
+            done.append(t.select(*cols, F.col("kids").isNull().alias("is_leaf"), source.alias("source")))
+        if not more:
             break
-        own = checkpointed(big.join(texts, "id").select("request_id", F.col("text").substr(F.col("start_off") + 1, size).alias("text"), F.ceil(size / fanout).cast("int").alias("most")))
-        req = own.where(F.length(trimmed(F.col("text"))) >= 200).withColumn("kind", F.lit("decompose"))
-        got = asked_twice(req, lambda r: F.size(children(r)) >= 2, make)
-        asked = _let(children(F.col("first")), lambda c: F.when(F.size(c) >= 2, c).otherwise(children(F.col("second"))))
-        kids = got.select("request_id", F.explode(asked).alias("c"))
-        proposed = kids.join(own.select("request_id", F.length("text").alias("n")), "request_id").select(F.col("request_id").alias("id"), F.col("c.title").alias("title"), F.col("c.startOffset").alias("start_off"), F.coalesce("c.endOffset", "n").alias("end_off"))
-        whole = T.reconciled(proposed, own.select(F.col("request_id").alias("id"), "text")).withColumnRenamed("id", "request_id")
-        at = lambda c: (F.floor((F.col("base") + F.col(c)) / page) + 1).cast("int")
-        whole = whole.join(big.select("request_id", F.col("start_off").alias("base")), "request_id").withColumn("last", F.col("end_off") - 1)
-        small = T.merge_undersized(whole.select(F.col("request_id").alias("id"), "title", at("start_off").alias("lo"), at("last").alias("hi"), (F.col("base") + F.col("start_off")).alias("start_off"), (F.col("base") + F.col("end_off")).alias("end_off")))
-        small = checkpointed(small.select(F.col("id").alias("request_id"), "title", F.col("start_off").cast("int"), F.col("end_off").cast("int")))
-        many = small.groupBy("request_id").count().where("count >= 2").select("request_id")
-        inner = big.join(many, "request_id", "left_semi")
-        done = done.unionByName(leaf(big.join(many, "request_id", "left_anti"), "forced-leaf"))
-        done = done.unionByName(inner.select(*cols, F.lit(False).alias("is_leaf"), origin.alias("source")))
-        level = checkpointed(below(small.join(inner.select("request_id", "id", "path"), "request_id").drop("request_id"), inner))
+        inner = reduce(DataFrame.unionByName, [t.where("kids is not null").select("id", "path", "depth", F.col("start_off").alias("base"), "text", "kids") for t in tables])
+        below = inner.select("id", "path", "depth", "base", "text", F.posexplode("kids").alias("k", "c"))
+        a, b = F.col("c.a"), F.col("c.b")
+        level = below.select(
+            "id", F.concat("path", F.lit("."), F.format_string("%06d", "k")).alias("path"), F.col("path").alias("parent"), (F.col("depth") + 1).alias("depth"), F.col("c.title").alias("title"), a.alias("start_off"),
+            b.alias("end_off"), F.when(~stops(F.col("depth") + 1, a, b), F.col("text").substr(a - F.col("base") + 1, b - a)).alias("text"),
+        )
     order = Window.partitionBy("id").orderBy("depth", "path")  # nodes of one item
-    named = done.withColumn("node_id", F.format_string("node-%04d", F.row_number().over(order)))
-    up = named.select("id", F.col("path").alias("parent"), F.col("node_id").alias("parent_id"))
+    named = checkpointed(reduce(DataFrame.unionByName, done).withColumn("node_id", F.format_string("node-%04d", F.row_number().over(order))))
+    up = named.where("not is_leaf").select("id", F.col("path").alias("parent"), F.col("node_id").alias("parent_id"))
     out = named.join(up, ["id", "parent"], "left")
     ord_ = F.coalesce(F.regexp_extract("path", r"\.(\d+)$", 1).try_cast("int"), F.lit(0)).alias("ord")
     last = F.greatest("end_off", F.col("start_off") + 1) - 1

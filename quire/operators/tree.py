@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
 from quire.operators.intervals import latest
 from quire.operators.ordered import following, numbered, running
 from quire.session import checkpointed, shuffled
@@ -135,20 +136,32 @@ def seed_top_level(bounds: DataFrame, index: DataFrame, least: int = MIN_CHARS)
     return g.join(ends, "book_id").select("book_id", F.col("a.title").alias("title"), start.alias("start_off"), stop.alias("end_off"))
 
 
-def snapped(text: Column, offset: Column, reach: int = SNAP) -> Column:
-    """The end of the blank line nearest to ``offset`` within ``reach`` characters (ties: the earlier); else ``offset``."""
+def _nearby(text: Column, offset: Column, reach: int) -> tuple[Column, Column, Column]:
+    """Where the text within ``reach`` of ``offset`` begins, that text, and the offset's place in it."""
     lo = F.greatest(offset - reach, F.lit(0)).cast("int")
     hi = F.least(offset + reach, F.length(text)).cast("int")
     near = F.substring(text, lo + 1, F.greatest(hi - 1, lo) + 2 - lo)  # cut out once, as places in a long text are counted from its start
-    at = F.coalesce(offset - lo, F.lit(0)).cast("int")
+    return lo, near, F.coalesce(offset - lo, F.lit(0)).cast("int")
+
+
+def _blank_lines(near: Column, at: Column) -> tuple[Column, Column]:
+    """The last blank line up to ``at`` and the first one from there on; null where there is none."""
     head = F.reverse(F.substring(near, F.lit(1), at + 2))
     back, on = F.position(F.lit("\n\n"), head), F.position(F.lit("\n\n"), near, F.greatest(at + 1, F.lit(1)))
-    before = F.when(back > 0, F.length(head) - 1 - back)
-    after = F.when(on > 0, on - 1)
+    return F.when(back > 0, F.length(head) - 1 - back), F.when(on > 0, on - 1)
+
+
+def _nearest(lo: Column, at: Column, before: Column, after: Column, offset: Column) -> Column:
     best = F.when(after.isNull() | (at - before <= after - at), before).otherwise(after)
     return F.coalesce(lo + best + 2, offset).cast("int")
 
 
+def snapped(text: Column, offset: Column, reach: int = SNAP) -> Column:
+    """The end of the blank line nearest to ``offset`` within ``reach`` characters (ties: the earlier); else ``offset``."""
+    lo, near, at = _nearby(text, offset, reach)
+    return _nearest(lo, at, *_blank_lines(near, at), offset)
+
+
 def reconciled(proposed: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, title, start_off, end_off): children as proposed for a text made contiguous, snapped and capped.
 
@@ -171,6 +184,80 @@ def reconciled(proposed: DataFrame, texts: DataFrame) -> DataFrame:
     return out.select("id", F.when(tail, "Remaining material").otherwise(F.col("title")).alias("title"), F.col("start").alias("start_off"), F.when(last, F.col("n")).otherwise(F.col("stop")).alias("end_off"))
 
 
+def contiguous(kids: Column, text: Column) -> Column:
+    """``reconciled`` for an array of (title, startOffset, endOffset) beside its text: array of (title, start_off, end_off).
+
+    A missing end is the text's. All stays in one row, so neither texts nor children are shuffled.
+    """
+    child = "array<struct<title:string,start_off:int,end_off:int>>"
+
+    def fitted(n: Column) -> Column:
+        clamp = lambda c: F.least(F.greatest(c, F.lit(0)), n).cast("int")
+        title = lambda c: F.coalesce(F.nullif(F.trim(c["title"]), F.lit("")), F.lit("Untitled section"))
+        x = F.transform(kids, lambda c: F.struct(clamp(c["startOffset"]).alias("s"), clamp(F.coalesce(c["endOffset"], n)).alias("e"), title(c).alias("title")))
+        x = F.sort_array(F.filter(x, lambda c: c["e"] > c["s"]))
+
+        def near(c: Column) -> Column:  # each step is an item of its own, as what a lambda names twice is made twice
+            lo, cut, at = _nearby(text, c["e"], SNAP)
+            return F.struct(c["title"].alias("title"), c["e"].alias("e"), lo.alias("lo"), cut.alias("near"), at.alias("at"))
+
+        def lines(c: Column) -> Column:
+            before, after = _blank_lines(c["near"], c["at"])
+            return F.struct(c["title"].alias("title"), c["e"].alias("e"), c["lo"].alias("lo"), c["at"].alias("at"), before.alias("before"), after.alias("after"))
+
+        ends = F.transform(x, near)
+        ends = F.transform(ends, lines)
+        ends = F.transform(ends, lambda c: F.struct(c["title"].alias("title"), _nearest(c["lo"], c["at"], c["before"], c["after"], c["e"]).alias("stop")))
+        ends = let(ends, lambda x: F.transform(x, lambda c, i: F.struct(c["title"].alias("title"), F.when(i == F.size(x) - 1, n).otherwise(c["stop"]).alias("stop"))))
+
+        def kept(acc: Column, c: Column) -> Column:
+            one = F.struct(c["title"].alias("title"), acc["top"].alias("start_off"), c["stop"].alias("end_off"))
+            return F.when(c["stop"] > acc["top"], F.struct(c["stop"].alias("top"), F.concat(acc["out"], F.array(one)).alias("out"))).otherwise(acc)
+
+        def capped(x: Column) -> Column:
+            last, tail = lambda i: i == F.least(F.size(x), F.lit(MAX_CHILDREN)) - 1, lambda i: (i == MAX_CHILDREN - 1) & (F.size(x) > MAX_CHILDREN)
+            some = F.slice(x, 1, MAX_CHILDREN)
+            return F.transform(some, lambda c, i: F.struct(F.when(tail(i), "Remaining material").otherwise(c["title"]).alias("title"), c["start_off"].alias("start_off"), F.when(last(i), n).otherwise(c["end_off"]).alias("end_off")))
+
+        none = F.struct(F.lit(0).alias("top"), F.array().cast(child).alias("out"))
+        return let(F.aggregate(ends, none, kept, lambda acc: acc["out"]), capped)
+
+    return let(F.length(text), fitted)
+
+
+def _small(y: Column, least: int) -> Column:
+    return y["hi"] - y["lo"] + 1 < least
+
+
+def _spanned(first: Column, last: Column, title: Column) -> Column:
+    return F.struct(first["lo"].alias("lo"), last["hi"].alias("hi"), title.alias("title"), first["a"].alias("a"), last["b"].alias("b"))
+
+
+def _absorbed(x: Column, item: str, least: int) -> Column:
+    """The children (lo, hi, title, a, b) of the array ``x`` of the type ``item``, small ones merged with the one before."""
+    top = lambda acc: F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))
+    put = lambda acc, y: F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(y))
+
+    def step(acc: Column, y: Column) -> Column:
+        absorbed = F.when(_small(top(acc), least), put(acc, _spanned(top(acc), y, y["title"]))).otherwise(F.concat(acc, F.array(y)))
+        return F.when(F.size(acc) == 0, F.array(y)).when(_small(y, least), put(acc, _spanned(top(acc), y, top(acc)["title"]))).otherwise(absorbed)
+
+    return F.aggregate(x, F.array().cast(item), step)
+
+
+def _tail_joined(f: Column, least: int) -> Column:
+    """A small last one joins the one before."""
+    n = F.size(f)
+    before = F.element_at(f, F.greatest(n - 1, F.lit(1)))
+    tail = F.array(_spanned(before, F.element_at(f, -1), before["title"]))
+    return F.when((n >= 2) & _small(F.element_at(f, -1), least), F.concat(F.slice(f, F.lit(1), F.greatest(n - 2, F.lit(0))), tail)).otherwise(f)
+
+
+def merged_in_order(x: Column, least: int = MIN_PAGES) -> Column:
+    """``merge_undersized`` for an array of (lo, hi, title, a, b) in the order of its offsets a..b, one row per node."""
+    return let(_absorbed(x, "array<struct<lo:int,hi:int,title:string,a:int,b:int>>", least), lambda f: _tail_joined(f, least))
+
+
 def merge_undersized(children: DataFrame, least: int = MIN_PAGES) -> DataFrame:
     """(id, title, lo, hi): children of a node in pages lo..hi, those under ``least`` pages merged into a neighbour.
 
@@ -181,21 +268,8 @@ def merge_undersized(children: DataFrame, least: int = MIN_PAGES) -> DataFrame:
     a, b = offsets or (F.lit(None).cast("int"), F.lit(None).cast("int"))
     entry = F.struct(F.col("lo"), F.col("hi"), F.col("title"), (F.col(a) if offsets else a).alias("a"), (F.col(b) if offsets else b).alias("b"))
     rows = children.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("x"))
-    item = f"array<{rows.schema['x'].dataType.elementType.simpleString()}>"
-    top = lambda acc: F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))
-    small = lambda y: y["hi"] - y["lo"] + 1 < least
-    put = lambda acc, y: F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(y))
-    of = lambda first, last, title: F.struct(first["lo"].alias("lo"), last["hi"].alias("hi"), title.alias("title"), first["a"].alias("a"), last["b"].alias("b"))
-
-    def step(acc: Column, y: Column) -> Column:
-        absorbed = F.when(small(top(acc)), put(acc, of(top(acc), y, y["title"]))).otherwise(F.concat(acc, F.array(y)))
-        return F.when(F.size(acc) == 0, F.array(y)).when(small(y), put(acc, of(top(acc), y, top(acc)["title"]))).otherwise(absorbed)
-
-    f = rows.select("id", F.aggregate("x", F.array().cast(item), step).alias("f"))
-    n = F.size("f")
-    before = F.element_at("f", F.greatest(n - 1, F.lit(1)))
-    tail = F.array(of(before, F.element_at("f", -1), before["title"]))
-    fixed = F.when((n >= 2) & small(F.element_at("f", -1)), F.concat(F.slice("f", F.lit(1), F.greatest(n - 2, F.lit(0))), tail)).otherwise(F.col("f"))
+    f = rows.select("id", _absorbed(F.col("x"), f"array<{rows.schema['x'].dataType.elementType.simpleString()}>", least).alias("f"))
+    fixed = _tail_joined(F.col("f"), least)
     out = f.select("id", F.explode(fixed).alias("c"))
     more = [F.col("c.a").alias("start_off"), F.col("c.b").alias("end_off")] if offsets else []
     return out.select("id", "c.title", "c.lo", "c.hi", *more)

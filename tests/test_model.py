@@ -1,6 +1,7 @@
 """Calls of a model and what is done where it fails; decomposition of texts."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +123,49 @@ def test_a_reply_is_parsed_once_for_all_its_children(frame):
     x = frame([(reply,), (None,), ("{}",)], "r string").select(M.children(F.col("r")).alias("c"))
     assert [r.c and [tuple(k) for k in r.c] for r in x.collect()] == [[("a", 0, 5), ("b", 5, 9), ("c", 9, 12)], None, None]
     assert x._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_texts_of_a_tree_are_neither_joined_nor_shuffled(frame, monkeypatch):
+    """Each level used to join the whole texts to its nodes, and their parts to the replies and again to their children."""
+    plans, old = [], M.checkpointed
+    monkeypatch.setattr(M, "checkpointed", lambda df, frees=None: plans.append(df._jdf.queryExecution().executedPlan().toString()) or old(df, frees))
+    text = "\n\n".join(f"Paragraph {i}. " + "It went on for a while. " * 30 for i in range(60))
+    got = rows(M.build_tree(frame([(1, text)], "id int, text string"), 2000, 500, make=M.Faulty))
+    assert len(got) > 20 and sum("MapInArrow" in p for p in plans) >= 3
+    assert not any("Join" in p or "Exchange" in p for p in plans if "text#" in p)
+
+
+def kids_of(*kids):
+    return json.dumps({"children": [dict(zip(("title", "startOffset", "endOffset"), k, strict=False)) for k in kids]})
+
+
+def test_small_children_of_one_page_keep_their_order(frame):
+    """Children that begin and end on the same pages were merged in the order of their titles, so that leaves didn't tile the text."""
+    text = "It went on for a while. " * 800
+    rules = [("decompose", kids_of(("Z", 0, 20), ("Y", 20, 40), ("X", 40, 60), ("W", 60, 9000), ("V", 9000, len(text))))]
+    got = rows(M.build_tree(frame([(1, text)], "id int, text string"), 1000, 500, 1, make=lambda: M.Matching(rules)))
+    assert sorted((r.title, r.start_off, r.end_off) for r in got.values() if r.is_leaf) == [("V", 9000, len(text)), ("W", 0, 9000)]
+
+
+def test_offsets_beyond_any_text(frame):
+    text = "It went on for a while. " * 800
+    rules = [("decompose", kids_of(("A", 0, 9000), ("B", 9000, 10**13), ("C", 10**12, 10**13)))]
+    got = rows(M.build_tree(frame([(1, text)], "id int, text string"), 1000, 500, 1, make=lambda: M.Matching(rules)))
+    assert [(r.title, r.end_off) for _, r in sorted(got.items())] == [("Book", len(text)), ("A", 9000), ("B", len(text))]
+
+
+def test_children_beside_their_text_are_those_of_the_tables(frame):
+    """In one row: the same children as by joins and windows, also out of order, empty, overlapping and too many."""
+    lot, schema = random.Random(5), "id int, text string, kids array<struct<title:string,startOffset:bigint,endOffset:bigint>>"
+    text = lambda: "".join(lot.choice(["ab ", "é😀 ", "x\n\n", "word. "]) * lot.randint(1, 40) for _ in range(lot.randint(0, 40)))
+    data = [(i, text(), [(lot.choice(["T", "  ", "A b", ""]) * lot.randint(0, 3), lot.randint(0, 3000), lot.choice([None, lot.randint(0, 4000)])) for _ in range(lot.randint(0, 14))]) for i in range(120)]
+    df = frame(data, schema)
+    got = df.select("id", F.explode(T.contiguous(F.col("kids"), F.col("text"))).alias("c")).select("id", "c.*")
+    rest = df.select("id", F.length("text").alias("n"), F.explode("kids").alias("c")).select("id", "c.title", F.col("c.startOffset").alias("start_off"), F.coalesce("c.endOffset", "n").alias("end_off"))
+    want = T.reconciled(rest, df.select("id", "text"))
+    assert got.count() > 100 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    pages = [(i, [(lo := k * 3 + lot.randint(0, 2), lo + lot.randint(0, 5), f"t{k}", k, k + 1) for k in range(lot.randint(1, 9))]) for i in range(60)]
+    x = frame(pages, "id int, x array<struct<lo:int,hi:int,title:string,a:int,b:int>>")
+    got = x.select("id", F.explode(T.merged_in_order(F.col("x"))).alias("c")).select("id", "c.title", "c.lo", "c.hi", "c.a", "c.b")
+    want = T.merge_undersized(x.select("id", F.inline("x")).withColumnsRenamed({"a": "start_off", "b": "end_off"}))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
