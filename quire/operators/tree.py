@@ -202,12 +202,13 @@ def contiguous(kids: Column, text: Column) -> Column:
             return F.struct(c["title"].alias("title"), c["e"].alias("e"), lo.alias("lo"), cut.alias("near"), at.alias("at"))
 
         def lines(c: Column) -> Column:
-            before, after = _blank_lines(c["near"], c["at"])
+            before, after = (F.when(F.contains(c["near"], F.lit("\n\n")), x) for x in _blank_lines(c["near"], c["at"]))
             return F.struct(c["title"].alias("title"), c["e"].alias("e"), c["lo"].alias("lo"), c["at"].alias("at"), before.alias("before"), after.alias("after"))
 
-        ends = F.transform(x, near)
-        ends = F.transform(ends, lines)
+        ends = F.transform(F.transform(x, near), lines)
         ends = F.transform(ends, lambda c: F.struct(c["title"].alias("title"), _nearest(c["lo"], c["at"], c["before"], c["after"], c["e"]).alias("stop")))
+        plain = F.transform(x, lambda c: F.struct(c["title"].alias("title"), c["e"].alias("stop")))  # most texts have no blank line to look for
+        ends = F.when(F.contains(text, F.lit("\n\n")), ends).otherwise(plain)
         ends = let(ends, lambda x: F.transform(x, lambda c, i: F.struct(c["title"].alias("title"), F.when(i == F.size(x) - 1, n).otherwise(c["stop"]).alias("stop"))))
 
         def kept(acc: Column, c: Column) -> Column:
